@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import chat, forest_join, pfair, pii, quality, token_counts
+from crestline.llm import chat, decontaminate, forest_join, pfair, pii, quality, token_counts
 
 #: Demonstration key; a real one comes from a key store.
 PII_KEY = b"crestline demonstration key"
@@ -26,6 +26,10 @@ def id_rest(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def op1_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_minhash_forest_join, op4_pairwise_quality, op5_prefix_target_chat, op7_feistel_pii, op8_pfair_mix, op9_token_counts)
+    for f in (op1_qgram_decontamination, op2_minhash_forest_join, op4_pairwise_quality, op5_prefix_target_chat, op7_feistel_pii, op8_pfair_mix, op9_token_counts)
 }
 
 ORACLES: dict[str, str] = {}
