@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import chat, decontaminate, forest_join, pfair, pii, quality, token_counts
+from crestline.llm import ann, chat, decontaminate, forest_join, langid, pfair, pii, quality, token_counts
 
 #: Demonstration key; a real one comes from a key store.
 PII_KEY = b"crestline demonstration key"
@@ -48,6 +48,13 @@ def op5_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(extra)))
 
 
+def op6_marginal_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(id_rest("doc_id", 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (id_rest("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY).withColumn("n_pii", F.size("pii_kinds"))
@@ -62,9 +69,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_qgram_decontamination, op2_minhash_forest_join, op4_pairwise_quality, op5_prefix_target_chat, op7_feistel_pii, op8_pfair_mix, op9_token_counts)
+    for f in (op1_qgram_decontamination, op2_minhash_forest_join, op4_pairwise_quality, op5_prefix_target_chat, op6_marginal_unigram_langid, op7_feistel_pii, op8_pfair_mix, op9_token_counts, op10_anisotropic_search)
 }
 
 ORACLES: dict[str, str] = {}
