@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import ann, chat, decontaminate, forest_join, langid, pfair, pii, quality, token_counts
+from crestline.llm import ann, chat, decontaminate, forest_join, host_suffix, langid, pfair, pii, quality, token_counts
 
 #: Demonstration key; a real one comes from a key store.
 PII_KEY = b"crestline demonstration key"
@@ -34,6 +34,10 @@ def op2_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_suffix.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, learn=id_rest("doc_id", 3) != 1)
@@ -75,7 +79,7 @@ def op10_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_qgram_decontamination, op2_minhash_forest_join, op4_pairwise_quality, op5_prefix_target_chat, op6_marginal_unigram_langid, op7_feistel_pii, op8_pfair_mix, op9_token_counts, op10_anisotropic_search)
+    for f in (op1_qgram_decontamination, op2_minhash_forest_join, op3_host_suffix_text, op4_pairwise_quality, op5_prefix_target_chat, op6_marginal_unigram_langid, op7_feistel_pii, op8_pfair_mix, op9_token_counts, op10_anisotropic_search)
 }
 
 ORACLES: dict[str, str] = {}
