@@ -215,21 +215,28 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     return [(r, i, len({x[0] for x in m}), min(x[1] for x in m), min(x[2] for x in m), max(x[3] for x in m)) for (r, i), m in sorted(matches.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 12, width: int = 96, per_edit: int = 16, least_chars: int = 40, block_bytes: int = 16_000_000) -> DataFrame:
-    """A row for each document and item found in it: id, item id, n_segments found, edits (fewest in a segment), and
-    start and end, about where in the text the passage lies."""
-    spark = docs.sparkSession
+OPTIONS = {"q": 12, "width": 96, "per_edit": 16, "least_chars": 40}
+
+
+def sent_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int, options: dict):
+    """The benchmark in blocks of about block_bytes, each as a broadcast index."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-size // block_bytes) or 1
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kinds = f"id {rows.schema['id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}"
-    item_type = pa.int64() if "bigint" in kinds.split("item ")[1] else pa.int32() if "int" in kinds.split("item ")[1] else pa.string()
-    result = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = Index([(r.item, r.text) for r in part.distinct().orderBy("item", "text").collect()], q, width, per_edit, least_chars)
-        sent = spark.sparkContext.broadcast(index)
+        rows = part.distinct().orderBy("item", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r.item, r.text) for r in rows], **OPTIONS | options))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000, **options) -> DataFrame:
+    """A row for each document and item found in it: id, item id, n_segments found, edits (fewest in a segment), and
+    start and end, about where in the text the passage lies. options: q, width, per_edit, least_chars."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    item_kind = benchmark.schema[item_col].dataType.simpleString()
+    item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
+    result = None
+    for sent in sent_indexes(benchmark, item_col, item_text_col, block_bytes, options):
 
         def run(batches, sent=sent):
             for batch in batches:
@@ -242,13 +249,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                         ["id", "item", "n_segments", "edits", "start", "end"],
                     )
 
-        found = rows.mapInArrow(run, f"{kinds}, n_segments bigint, edits bigint, start bigint, end bigint")
+        found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, item {item_kind}, n_segments bigint, edits bigint, start bigint, end bigint")
         result = found if result is None else result.unionByName(found)
     return result.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_segments", "edits", "start", "end")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs in which nothing of the benchmark is found; rows whose id is null are looked at like any other."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = contaminated(marked, benchmark, id_col="_row", **options).select("_row").distinct()
-    return marked.join(found, "_row", "left_anti").drop("_row")
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000, **options) -> DataFrame:
+    """The rows of docs in which nothing of the benchmark is found, each judged where it is: no shuffle."""
+    for sent in sent_indexes(benchmark, item_col, item_text_col, block_bytes, options):
+        place = docs.columns.index(text_col)
+
+        def run(batches, sent=sent, place=place):
+            for batch in batches:
+                for a, b in row_spans(batch.column(place), SPAN_BYTES):
+                    some = batch.slice(a, b - a)
+                    kept = np.ones(some.num_rows, bool)
+                    kept[[r[0] for r in search(some.column(place).to_pylist(), sent.value)]] = False
+                    yield some.filter(pa.array(kept))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

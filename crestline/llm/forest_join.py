@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.llm.arrow_text import row_spans
@@ -263,3 +263,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
     )
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """All columns of docs, one row of each class of near duplicates: that of the least id. A row
+    without id is named by its text, behind all others. Rows without words link to nothing and stay, but
+    of rows that repeat both id and text one stays."""
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.withColumn("_row", F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("long"), text).alias("i")))
+    found = near_duplicates(rows.select("_row", text_col), id_col="_row", text_col=text_col, **options)
+    losers = found.where("_row <> class_id").select("_row").distinct()
+    kept = rows.join(losers, "_row", "left_anti").withColumn("_text", text)
+    once = F.row_number().over(Window.partitionBy("_row", "_text").orderBy("_text"))
+    return kept.withColumn("_once", once).where("_once = 1").drop("_once", "_text", "_row")
