@@ -192,3 +192,94 @@ def laplacian_solve(n: int, src: np.ndarray, dst: np.ndarray, ridge: np.ndarray,
         new = (r * z).sum(0)
         p, rz = z + new / np.maximum(rz, 1e-300) * p, new
     return x
+
+
+class Compact:
+    """A small undirected graph with nodes as places in ids, its neighbours end to end."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray | None = None):
+        self.ids, both = np.unique(np.concatenate((src, dst)), return_inverse=True)
+        a, b = both[: len(src)], both[len(src) :]
+        start, stop = np.concatenate((a, b)), np.concatenate((b, a))
+        order = np.lexsort((stop, start))
+        self.start, self.to = start[order], stop[order]
+        self.w = None if w is None else np.concatenate((w, w))[order]
+        self.first = np.searchsorted(self.start, np.arange(len(self.ids) + 1))
+
+    def place(self, node) -> int:
+        """Place of a node, or -1."""
+        i = int(np.searchsorted(self.ids, node))
+        return i if i < len(self.ids) and self.ids[i] == node else -1
+
+    def out(self, front: np.ndarray) -> np.ndarray:
+        """Places in `to` of all edges that leave front."""
+        sizes = self.first[front + 1] - self.first[front]
+        return np.repeat(self.first[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+    def labels(self) -> np.ndarray:
+        """The least place of each node's component."""
+        label = np.arange(len(self.ids))
+        while True:
+            low = label.copy()
+            np.minimum.at(low, self.start, label[self.to])
+            np.minimum.at(low, label, low)
+            low = low[low]
+            if (low == label).all():
+                return label
+            label = low
+
+    def walk(self, source: int, by_hops: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, hops, lengths) reached from a place: along paths of fewest hops (the shortest of these), or shortest paths."""
+        n = len(self.ids)
+        hops, length = np.full(n, -1), np.full(n, np.inf)
+        hops[source], length[source] = 0, 0.0
+        front, step = np.array([source]), 0
+        while len(front):
+            step += 1
+            e = self.out(front)
+            to, new = self.to[e], length[self.start[e]] + (1.0 if self.w is None else self.w[e])
+            fresh = hops[to] < 0 if by_hops else new < length[to] - 1e-12
+            to, new = to[fresh], new[fresh]
+            np.minimum.at(length, to, new)
+            front = np.unique(to)
+            hops[front] = step
+        at = np.flatnonzero(hops >= 0)
+        return at, hops[at], length[at]
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """(coreness, layer, global layer) of each node, 0 where it was never taken, and the last core and layer counter."""
+        n = len(self.ids)
+        alive, deg = np.ones(n, bool), np.diff(self.first)
+        core_of, layer_of, round_of = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
+        core = layer = step = 1
+        while True:
+            taken = np.flatnonzero(alive & (deg <= core) & (deg > 0))
+            core_of[taken], layer_of[taken], round_of[taken] = core, layer, step
+            alive[taken] = False
+            deg = np.bincount(self.start, alive[self.start] & alive[self.to], n)
+            layer, step = layer + 1, step + 1
+            left = deg[alive & (deg > 0)]
+            if not len(left):
+                return core_of, layer_of, round_of, core, layer
+            if left.min() >= core + 1:
+                core, layer = core + 1, 1
+
+
+def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, own: np.ndarray | None = None, cells: int = 4_000_000):
+    """For parts of queries: (places of queries, ranks from 1, ids, squared distances) of the k nearest points, ties to the
+    smaller id; own leaves out points of the query's own id."""
+    step = max(1, cells // max(1, len(points)))
+    for a in range(0, len(queries), step):
+        some = queries[a : a + step]
+        d2 = np.zeros((len(some), len(points)))
+        for j in range(points.shape[1]):
+            d2 += (some[:, j, None] - points[None, :, j]) ** 2
+        if own is not None:
+            d2[own[a : a + step, None] == ids[None]] = np.inf
+        kth = np.partition(d2, k - 1, 1)[:, k - 1] if k < len(points) else np.full(len(some), np.inf)
+        q, p = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+        order = np.lexsort((ids[p], d2[q, p], q))
+        q, p = q[order], p[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        kept = rank <= k
+        yield a + q[kept], rank[kept], ids[p[kept]], d2[q[kept], p[kept]]

@@ -8,13 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, distance
+from crestline.operators import dense
 from crestline.operators.state import cut
 
 DIMS = ("x", "y")
+#: Distinct edges of a graph that the driver may hold, under 5 MB. Loops over such a graph run on it at once, or on copies of it
+#: in the tasks that hold the sources; larger graphs go through rounds of joins.
+SMALL_EDGES = 200_000
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -24,6 +30,12 @@ def canonical(edges: DataFrame) -> DataFrame:
 
 def numbered(edges: DataFrame) -> DataFrame:
     """canonical edges with edge_id from 0 in the order of (src, dst), counted by ranges."""
+    held = small(canonical(edges))
+    if held is not None:
+        keep = held.start < held.to
+        order = np.lexsort((held.to[keep], held.start[keep]))
+        pairs = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(held.ids[held.start[keep][order]], held.ids[held.to[keep][order]], strict=True))]
+        return edges.sparkSession.createDataFrame(pairs, "edge_id bigint, src bigint, dst bigint")
     rows = canonical(edges).repartitionByRange("src", "dst").withColumn("_part", F.spark_partition_id())
     rows = cut(rows)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,6 +44,32 @@ def numbered(edges: DataFrame) -> DataFrame:
     return rows.withColumn("_place", place).join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_place") - 1).alias("edge_id"), "src", "dst")
 
 
+def small(edges: DataFrame) -> dense.Compact | None:
+    """The graph of canonical edges(src, dst[, w]) if it has at most SMALL_EDGES of them."""
+    rows = edges.limit(SMALL_EDGES + 1).collect()
+    if len(rows) > SMALL_EDGES:
+        return None
+    pairs = np.array([(r["src"], r["dst"]) for r in rows], np.int64).reshape(-1, 2)
+    return dense.Compact(pairs[:, 0], pairs[:, 1], np.array([r["w"] for r in rows], float) if "w" in edges.columns else None)
+
+
+def _walks(sources: DataFrame, held: dense.Compact, by_hops: bool) -> DataFrame:
+    """(source, node, hops, len) from each source; the graph goes along with the task's function."""
+
+    def run(batches):
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                at = held.place(source)
+                if at < 0:
+                    nodes, hops, lengths = np.array([source]), np.zeros(1, int), np.zeros(1)
+                else:
+                    places, hops, lengths = held.walk(at, by_hops)
+                    nodes = held.ids[places]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), source)), pa.array(nodes), pa.array(hops.astype(np.int32)), pa.array(lengths)], ["source", "node", "hops", "len"])
+
+    return sources.select(F.col("node").cast("long")).mapInArrow(run, "source bigint, node bigint, hops int, len double")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, multiplicity kept."""
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -94,6 +132,11 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     Each round gives a node the least label around it and then that label's own label, so the number of rounds
     grows with the logarithm of the longest path.
     """
+    held = small(canonical(edges))
+    if held is not None:
+        label = held.labels()
+        known = nodes.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(held.ids, held.ids[label], strict=True)], "node bigint, comp bigint")
+        return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     ways = cut(both_ways(canonical(edges)))
     now = cut(nodes.select("node", F.col("node").alias("comp")))
     for _ in range(most_rounds):
@@ -122,6 +165,9 @@ def giant_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hop_distances(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(source, node, hops) for every node that can be reached from each of sources(node), by rounds of frontiers."""
+    held = small(canonical(edges))
+    if held is not None:
+        return _walks(sources, held, True).select("source", "node", "hops")
     ways = cut(both_ways(canonical(edges)))
     front = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
     seen = front
@@ -142,6 +188,9 @@ def diameter(nodes: DataFrame, edges: DataFrame) -> int:
 def path_lengths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, dims: Sequence[str] = DIMS, fewest_hops: bool = True, most_rounds: int = 10_000) -> DataFrame:
     """(source, node, hops, len): Euclidean length along the path of fewest hops (ties: the shortest such), or else the shortest length."""
     weighted = edge_weights(nodes, canonical(edges), dims)
+    held = small(weighted)
+    if held is not None:
+        return _walks(sources, held, fewest_hops)
     ways = cut(weighted.select("src", "dst", "w").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
     best = front = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(0.0).alias("len")))
     for step in range(1, most_rounds):
@@ -160,6 +209,13 @@ def onion_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, coreness, layer, global_layer) by peeling: each round takes all nodes of degree from 1 to the core's number; the core
     rises once every node left has a larger degree. Nodes that lose their last edge without being taken, and isolated ones, get
     the last core and its layer counter."""
+    held = small(canonical(edges))
+    if held is not None:
+        a, b, c, core, layer = held.peel()
+        took = [(int(i), *map(int, v)) for i, *v in zip(held.ids, a, b, c, strict=True) if v[0]]
+        known = nodes.sparkSession.createDataFrame(took, "node bigint, coreness int, layer int, global_layer int")
+        rest = (core, layer, layer)
+        return nodes.select("node").join(known, "node", "left").select("node", *[F.coalesce(n, F.lit(v)).alias(n) for n, v in zip(("coreness", "layer", "global_layer"), rest, strict=True)])
     alive = cut(both_ways(canonical(edges)))
     taken = None
     core, layer, rounds = 1, 1, 1

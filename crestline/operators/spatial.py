@@ -10,13 +10,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, squared_distance
+from crestline.operators import dense
 from crestline.operators.state import cut
 
 DIMS = ("x", "y")
+#: Points whose coordinates go along with a task's function, under 1 MB; more are joined by cells.
+SMALL_POINTS = 20_000
 
 
 def _cell(dims: Sequence[str], prefix: str, width) -> list[Column]:
@@ -54,10 +59,27 @@ def range_join(left: DataFrame, right: DataFrame, radius: float | str, *, left_i
     return joined.withColumn("d2", squared_distance(columns(dims, "l_"), columns(dims, "r_"))).where(F.col("d2") <= limit)
 
 
+def _knn_small(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, dims: Sequence[str], exclude_self: bool) -> DataFrame:
+    """The same by comparing each query with all points, which go along with the task's function."""
+    own = points.select(F.col(point_id).cast("long").alias("id"), *[F.col(d).cast("double") for d in dims]).collect()
+    ids = np.array([r[0] for r in own], np.int64)
+    x = np.array([r[1:] for r in own], float).reshape(-1, len(dims))
+
+    def run(batches):
+        for batch in batches:
+            q_ids = batch.column(0).to_numpy()
+            q = np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
+            for row, rank, found, d2 in dense.nearest(q, x, ids, k, q_ids if exclude_self else None):
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(rank.astype(np.int32)), pa.array(found), pa.array(d2)], ["q_id", "rank", "p_id", "d2"])
+
+    rows = queries.select(F.col(query_id).cast("long").alias("q_id"), *[F.col(d).cast("double").alias(d) for d in dims])
+    return rows.mapInArrow(run, "q_id bigint, rank int, p_id bigint, d2 double")
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "id", point_id: str = "id", dims: Sequence[str] = DIMS, exclude_self: bool = False, most_rounds: int = 60) -> DataFrame:
     """The k nearest points of each query, ties to the smaller id: q_id, rank (from 1), p_id and d2.
 
-    A round looks at the cells around a query; an answer stands when its k-th distance is within the width of
+    Up to SMALL_POINTS points go to every task and are compared with all its queries. Beyond, a round looks at the cells around a query; an answer stands when its k-th distance is within the width of
     a cell, since nearer points cannot lie further out. Other queries go on with cells twice as wide.
     """
     some = points.agg(F.count("*").alias("n"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("a", F.min), ("b", F.max))]).first()
@@ -77,6 +99,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "
     found = None
     left = _named(queries, query_id, dims, "q_")
     every = _named(points, point_id, dims, "p_")
+    if some.n <= SMALL_POINTS:
+        return _knn_small(queries, points, wanted, query_id, point_id, dims, exclude_self)
     cells = [f"_c_{d}" for d in dims]
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "p_id"))
     for _ in range(most_rounds):
