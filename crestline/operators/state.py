@@ -34,8 +34,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 def _remove() -> None:
     for spark, path in _written:
-        jvm = spark.sparkContext._jvm
-        if jvm is None or spark.sparkContext._jsc.sc().isStopped():
+        jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+        if jvm is None or context is None or context.sc().isStopped():
             return
         there = jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        there.getFileSystem(context.hadoopConfiguration()).delete(there, True)
