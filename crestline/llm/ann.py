@@ -70,7 +70,12 @@ def fit_arrays(x: np.ndarray, n_lists: int, *, k: int = 20, recall: float = 0.98
     draw = np.random.default_rng(seed)
     n, dims = x.shape
     n_lists = min(n_lists, n)
-    centres = x[draw.choice(n, n_lists, False)].copy()
+    # first centres far from each other: each is drawn by squared distance from those before
+    far, first = np.full(n, np.inf), [int(draw.integers(n))]
+    while len(first) < n_lists:
+        far = np.minimum(far, ((x - x[first[-1]]) ** 2).sum(1))
+        first.append(int(draw.choice(n, p=far / far.sum())) if far.sum() > 0 else len(first) % n)
+    centres = x[first].copy()
     for _ in range(rounds):
         at = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
         sums = np.zeros_like(centres)

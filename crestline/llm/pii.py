@@ -49,12 +49,8 @@ def bare(text: str) -> str:
     return re.sub(r"[ -]", "", text)
 
 
-def parse_date(text: str):
-    """The day that a text names, and how to write another day the same way; None if there is none."""
-    words = re.fullmatch(r"(\d{1,2}) (\w+) (\d{4})", text)
-    words_us = re.fullmatch(r"(\w+) (\d{1,2}), (\d{4})", text)
-    iso = re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", text)
-    slashed = re.fullmatch(r"(\d{1,2})([/.-])(\d{1,2})[/.-](\d{4})", text)
+def parse_date(text: str) -> tuple[date, str] | None:
+    """The day that a text names and the style it is written in; None if it names no day."""
 
     def day(y, m, d):
         try:
@@ -62,22 +58,33 @@ def parse_date(text: str):
         except ValueError:
             return None
 
-    if words and (found := day(words[3], MONTHS.index(words[2]) + 1, words[1])):
-        return found, lambda x: f"{x.day} {MONTHS[x.month - 1]} {x.year:04d}"
-    if words_us and (found := day(words_us[3], MONTHS.index(words_us[1]) + 1, words_us[2])):
-        return found, lambda x: f"{MONTHS[x.month - 1]} {x.day}, {x.year:04d}"
-    if iso and (found := day(*iso.groups())):
-        return found, lambda x: x.isoformat()
-    if slashed:
-        a, sep, b, year = slashed.groups()
-        wide = "02d" if len(a) == 2 and len(b) == 2 else "d"
-        if found := day(year, b, a):
-            return found, lambda x: f"{x.day:{wide}}{sep}{x.month:{wide}}{sep}{x.year:04d}"
-        if found := day(year, a, b):
-            return found, lambda x: f"{x.month:{wide}}{sep}{x.day:{wide}}{sep}{x.year:04d}"
+    if (m := re.fullmatch(r"(\d{1,2}) (\w+) (\d{4})", text)) and (found := day(m[3], MONTHS.index(m[2]) + 1, m[1])):
+        return found, "words" if m[1] == str(found.day) else "words2"
+    if (m := re.fullmatch(r"(\w+) (\d{1,2}), (\d{4})", text)) and (found := day(m[3], MONTHS.index(m[1]) + 1, m[2])):
+        return found, "month" if m[2] == str(found.day) else "month2"
+    if (m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", text)) and (found := day(*m.groups())):
+        return found, "iso"
+    if m := re.fullmatch(r"(\d{1,2})([/.-])(\d{1,2})[/.-](\d{4})", text):
+        wide = "2" if len(m[1]) == len(m[3]) == 2 else ""
+        if found := day(m[4], m[3], m[1]):
+            return found, f"{m[2]}dm{wide}"
+        if found := day(m[4], m[1], m[3]):
+            return found, f"{m[2]}md{wide}"
     return None
 
 
+def write_date(day: date, style: str) -> str:
+    year, number = f"{day.year:04d}", f"{day.day:02d}" if style.endswith("2") else str(day.day)
+    if style.startswith("words"):
+        return f"{number} {MONTHS[day.month - 1]} {year}"
+    if style.startswith("month"):
+        return f"{MONTHS[day.month - 1]} {number}, {year}"
+    if style == "iso":
+        return day.isoformat()
+    month = f"{day.month:02d}" if style.endswith("2") else str(day.month)
+    return style[0].join([number, month, year] if style[1:3] == "dm" else [month, number, year])
+
+
 def valid(kind: str, text: str) -> bool:
     """Whether a find is what its form says."""
     if kind == "card":
@@ -121,9 +128,14 @@ def pseudonym(cipher: Feistel, kind: str, text: str, back: bool = False) -> str:
         new = cipher.digits("ip", [int(o) - low[len(o)] for o in octets], [size[len(o)] for o in octets], back)
         return ".".join(str(v + low[len(o)]) for v, o in zip(new, octets, strict=True))
     if kind == "date":
-        day, write = parse_date(text)
+        day, style = parse_date(text)
         start, size, place = century_day(day)
-        return write(date.fromordinal(start + cipher.below(f"date{start}", place, size, back)))
+        while True:
+            # walk on to a day that reads back in the same style, as the given one does
+            place = cipher.below(f"date{start}", place, size, back)
+            new = date.fromordinal(start + place)
+            if parse_date(write_date(new, style)) == (new, style):
+                return write_date(new, style)
     if kind == "phone":
         code = re.match(r"\+\d{1,3}(?=[ .(-])|", text)[0]
         return code + cipher.text("phone" + code, text[len(code) :], back=back)

@@ -1,0 +1,232 @@
+"""Operators on single documents: tokens, languages, quality, PII, HTML."""
+
+import random
+import re
+from datetime import date
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from crestline.llm import feistel, host_suffix, html_blocks, langid, pii, quality, queries, token_counts
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+KEY = b"test"
+ODD = [None, "", " ", "\n\n", "a", "ÀÉ ß 漢字", "x" * 300_000, "word " * 60_000, "<|endoftext|> </s>", "\u0000 nul", "🙂" * 50]
+
+
+def docs_of(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, "s", None) for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def real(sf_dir):
+    return duckdb.connect().execute(f"SELECT doc_id, text, lang FROM read_parquet('{sf_dir}/documents.parquet') ORDER BY doc_id").fetchall()
+
+
+def test_token_counts_equal_the_library(spark, real):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(token_counts.vocabulary_path("byte_bpe_50k.json"))
+    texts = [*ODD, *[t for _, t, _ in real[:100]]]
+    want = [len(own.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    rows = token_counts.token_counts(docs_of(spark, texts).withColumnRenamed("source", "n_tokens"), piece_chars=50, call_bytes=1000).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == want
+    assert [r.n_bytes for r in rows] == [len((t or "").encode()) for t in texts]
+    assert all(r.over_limit == (r.n_tokens > 512) for r in rows)
+    assert token_counts.token_counts(docs_of(spark, [])).count() == 0
+
+
+def test_pieces_join_to_the_text():
+    for t in ["ab cd " * 30, "x" * 500, "a\n\n b  c" * 40]:
+        parts = list(token_counts.pieces(t, 16))
+        assert "".join(parts) == t
+        assert all(re.match(r"[ \n]", p) for p in parts[1:])
+
+
+def test_languages(spark, sf_dir, real):
+    rows = queries.op6_marginal_unigram_langid(spark, sf_dir).collect()
+    lang = {i: x for i, _, x in real}
+    held = [(r.lang_pred, lang[r.doc_id]) for r in rows if r.held_out and lang[r.doc_id]]
+    assert len(rows) == len(real) and np.mean([a == b for a, b in held]) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_forward_pass_sums_all_segmentations():
+    t = langid.Trie(sorted({"▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"}))
+    p = np.random.default_rng(1).uniform(0.01, 0.3, (t.size, 2))
+    p[langid.NONE] = 0
+    names = {s: i for i, s in enumerate(sorted({"▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"}), 2)}
+
+    def brute(s, k):
+        if not s:
+            return 1.0
+        return sum(p[names.get(s[:n], langid.OTHER if n == 1 else langid.NONE), k] * brute(s[n:], k) for n in range(1, len(s) + 1))
+
+    words = ["a", "ab", "abab", "babab", "abzba", "q", "ab" * 40]
+    got = langid.log_words(t, p, words)
+    for w, row in zip(words[:-1], got[:-1], strict=True):
+        assert np.allclose(row, np.log([brute("▁" + w, k) for k in (0, 1)]))
+    assert np.isfinite(got).all()
+
+
+def test_expected_pieces_add_up_to_letters():
+    from collections import Counter
+
+    t = langid.Trie(sorted({"▁", "▁a", "a", "b", "ab"}))
+    found = langid.expected_pieces(t, Counter({"ab": 3, "ba": 1}))
+    length = np.array([1, 0] + [len(x) for x in sorted({"▁", "▁a", "a", "b", "ab"})])
+    assert abs((found * length).sum() - 4 * 3) < 1e-6
+
+
+def test_languages_of_odd_rows(spark):
+    docs = docs_of(spark, ["the cat and the dog", "der Hund und die Katze", *ODD])
+    model = langid.fit(docs_of(spark, ["the dog and a cat"]).union(docs_of(spark, ["die Katze und der Hund"], "de")).union(docs_of(spark, ["nothing"], None)))
+    rows = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    assert (rows[0].lang_pred, rows[1].lang_pred) == ("en", "de")
+    assert [rows[i].lang_pred for i in (2, 3, 4, 5)] == ["und"] * 4 and len(rows) == len(ODD) + 2
+    assert langid.identify(docs, langid.fit(docs_of(spark, []))).where("lang_pred <> 'und'").isEmpty()
+
+
+def test_quality(spark, sf_dir):
+    rows = {r.doc_id: r for r in queries.op4_pairwise_quality(spark, sf_dir).collect()}
+    labels = duckdb.connect().execute(f"SELECT doc_id, quality FROM read_parquet('{sf_dir}/labels.parquet')").fetchall()
+    held = [(rows[i].predicted, y) for i, y in labels if rows[i].held_out]
+    assert np.mean([a == b for a, b in held]) > 0.9
+
+
+def test_quality_of_odd_rows(spark):
+    docs = docs_of(spark, ODD).withColumnRenamed("source", "score")
+    model = quality.RankModel(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES), np.ones(quality.N_FEATURES), 0.0)
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    labels = spark.createDataFrame([(0, 1, None), (None, 0, None), (2, None, 1)], "doc_id bigint, quality int, toxic int")
+    assert quality.fit(docs, labels).base == 1.0
+    assert quality.fit(docs, labels.limit(0)).base == 0.5
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_ranking_orders_pairs():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(400, 5))
+    y = (x[:, 0] + 0.1 * draw.normal(size=400) > 0.5).astype(int)
+    model = quality.fit_pairs(x, y)
+    assert ((model.scores(x) >= 0.5) == y).mean() > 0.9
+    assert abs((model.scores(x) >= 0.5).mean() - y.mean()) < 0.02
+
+
+VALUES = {
+    "card": ["4111 1111 1111 1111", "5500-0000-0000-0004", "340000000000009"],
+    "iban": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
+    "ssn": ["123-45-6789"],
+    "ip": ["97.51.17.173", "8.8.8.8"],
+    "date": ["1980-02-29", "29/02/1980", "February 29, 1980", "3 March 1999", "12/25/2001"],
+    "phone": ["+1 (017) 555-7713", "555-123-4567"],
+    "email": ["und.34@mail7.example.com", "für@x-y.org"],
+    "secret": ['token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'],
+    "hex": ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"],
+}
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_pseudonyms_keep_format_and_go_back(kind):
+    cipher = feistel.Feistel(KEY)
+    for text in VALUES[kind]:
+        (a, b, found), *rest = pii.spans(f"say {text}###, then")
+        assert not rest and found == kind, (text, found)
+        own = f"say {text}###, then"[a:b]
+        new = pii.pseudonym(cipher, kind, own)
+        assert new != own and pii.valid(kind, new) and pii.pseudonym(cipher, kind, new, back=True) == own
+        if kind not in ("date", "ip"):
+            assert re.sub(r"[^\W_]", "x", new) == re.sub(r"[^\W_]", "x", own)
+
+
+def test_equal_values_stay_linked_and_invalid_numbers_stay():
+    a, kinds = pii.rewrite("4111111111111111 and 4111 1111 1111 1111", KEY)
+    first, second = a.split(" and ")
+    assert kinds == ["card", "card"] and first == second.replace(" ", "")
+    for text in ["9807915762804490", "300.1.2.3", "2020-02-30", "version 4.0.", "000-12-3456", "1.2.3", "no digits @ all"]:
+        assert pii.rewrite(text, KEY) == (text, []), text
+
+
+def test_feistel_is_a_permutation():
+    cipher = feistel.Feistel(KEY)
+    assert sorted(cipher.below("k", v, 1000) for v in range(1000)) == list(range(1000))
+    assert all(cipher.below("k", cipher.below("k", v, 1000), 1000, back=True) == v for v in range(0, 1000, 37))
+    assert len({cipher.text("t", f"{v:04d}") for v in range(10_000)}) == 10_000
+    assert feistel.century_day(date(1999, 12, 31))[1] == 36_524
+
+
+def test_pii_of_odd_rows(spark):
+    docs = docs_of(spark, [*ODD, "mail a.b@c.de", "mail a.b@c.de"]).withColumnRenamed("lang", "pii_kinds")
+    rows = pii.pseudonymise(docs, KEY).orderBy("doc_id").collect()
+    assert [r.text for r in rows[: len(ODD)]] == ODD
+    assert rows[-1].text == rows[-2].text != "mail a.b@c.de" and rows[-1].pii_kinds == ["email"]
+    assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+PAGE = """<html><head><title>t</title></head><body class="has-sidebar"><header>Site</header><nav><a href=x>Menu</a></nav><div class="cookie-notice">Cookies</div>
+<main><article><h1>Title &amp; more</h1><p>One <b>two</b>three<br>four <p class=ad>Buy<p>Next &lt;tag&gt;&nbsp;x<ul><li>i1<li>i2</ul><form>f<input></form><aside>side</aside>
+<section id="comments"><p>lol</p></section><script>var a="</p>"</script><style>p{}</style></article></main><footer>f</footer></body>"""
+
+
+def test_main_text_of_a_page():
+    found = html_blocks.blocks(PAGE)
+    assert [b.text for b in found if b.zone == 2] == ["Title & more", "One twothree four", "Next <tag> x", "i1", "i2"]
+    assert all(b.zone == 2 for b in found)
+    for cut in range(0, len(PAGE), 7):
+        html_blocks.blocks(PAGE[:cut])
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+
+
+def test_repeated_runs_of_a_host_go(spark):
+    line = "<div>Subscribe to our wonderful site for the best news every day</div>"
+    rows = [(i, "http://a.b/x", f"{line}<div>Own words number {i} {chr(97 + i) * 3} come here and stay {i}</div>", "clash") for i in range(6)]
+    rows += [(6, None, None, None), (7, "http://c.d/", "", None), (8, "http://c.d/", line, None), (0, "http://a.b/x", rows[0][2], None)]
+    got = {r.page_id: r for r in host_suffix.extract(pages_of(spark, rows)).collect()}
+    for i in range(6):
+        assert got[i].text == f"Own words number {i} {chr(97 + i) * 3} come here and stay {i}" and got[i].n_repeated == 1
+    assert got[6].text == got[7].text == "" and got[8].text.startswith("Subscribe") and got[8].n_chars == len(got[8].text)
+    assert host_suffix.extract(pages_of(spark, [])).count() == 0
+
+
+def test_repeated_runs_against_brute_force():
+    draw = random.Random(4)
+    for _ in range(30):
+        tokens = [draw.randrange(3) for _ in range(60)]
+        page = sorted(draw.randrange(5) for _ in tokens)
+        run, least = draw.randrange(2, 6), draw.randrange(2, 4)
+        seen: dict = {}
+        for i in range(len(tokens) - run + 1):
+            if page[i] == page[i + run - 1]:
+                seen.setdefault(tuple(tokens[i : i + run]), set()).add(page[i])
+        want = np.zeros(len(tokens), bool)
+        for i in range(len(tokens) - run + 1):
+            if page[i] == page[i + run - 1] and len(seen[tuple(tokens[i : i + run])]) >= least:
+                want[i : i + run] = True
+        assert (host_suffix.repeated(np.array(tokens, np.uint64), np.array(page), run, least) == want).all()
+
+
+def test_whole_table_of_pages(spark, sf_dir):
+    import html
+
+    got = {r.page_id: r for r in queries.op3_host_suffix_text(spark, sf_dir).collect()}
+    pages = duckdb.connect().execute(f"SELECT page_id, html FROM read_parquet('{sf_dir}/pages.parquet')").fetchall()
+    for i, page in pages:
+        body = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
+        lines = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1)>", "\n", body.replace("<br>", " "))).split("\n")
+        want = "\n".join(x for x in (" ".join(html.unescape(y).split()) for y in lines) if x)
+        assert got[i].text == want and got[i].n_chars == len(want)
+
+
+def test_text_bytes_of_slices():
+    from crestline.llm.arrow_text import row_spans, text_bytes
+
+    column = pa.array(["aé", None, "", "bcd"]).slice(1)
+    raw, ends = text_bytes(column)
+    assert bytes(raw) == b"bcd" and ends.tolist() == [0, 0, 0, 3]
+    assert list(row_spans(column, 1)) == [(0, 2), (2, 3)] or sum(b - a for a, b in row_spans(column, 1)) == 3
