@@ -50,8 +50,13 @@ def paired(x: np.ndarray) -> np.ndarray:
     return x.reshape(len(x), -1, 2)
 
 
-def encode(rest: np.ndarray, direction: np.ndarray, books: np.ndarray, weight: float, sweeps: int = 2) -> np.ndarray:
-    """Codes of rest (pairs) by coordinate descent on squared error + weight * squared error along direction."""
+def encode(rest: np.ndarray, direction: np.ndarray, books: np.ndarray, weight: float, sweeps: int = 2, rows: int = 1024) -> np.ndarray:
+    """Codes of rest (pairs) by coordinate descent on squared error + weight * squared error along direction, rows vectors at a time."""
+    parts = [_encode(rest[a : a + rows], direction[a : a + rows], books, weight, sweeps) for a in range(0, len(rest), rows)]
+    return np.concatenate(parts) if parts else np.zeros(rest.shape[:2], np.int64)
+
+
+def _encode(rest: np.ndarray, direction: np.ndarray, books: np.ndarray, weight: float, sweeps: int) -> np.ndarray:
     gaps = ((rest[:, :, None, :] - books[None]) ** 2).sum(3)
     along = ((rest[:, :, None, :] - books[None]) * direction[:, :, None, :]).sum(3)
     codes = gaps.argmin(2)
@@ -165,7 +170,8 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     dims, count = sizes[0]["d"], sizes[0]["count"]
     rows = rows.where(F.size("v") == dims)
     bound = max(256, min(most_sample, 8_000_000 // dims))
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(bound).select("v").collect()])
+    packed_sample = rows.orderBy(F.xxhash64("id"), "id").limit(bound).select("v").toArrow()
+    sample = packed_sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dims)
     n_lists = max(1, min(most_lists, -(-count // list_rows)))
     model = fit_arrays(sample, n_lists, k=k, recall=recall)
     chunks = max(1, -(-count // (n_lists * list_rows)))
