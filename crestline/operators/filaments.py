@@ -8,6 +8,7 @@ type 2 at its end, a loop at its least node.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,37 @@ from crestline.operators.state import cut
 DIMS = ("x", "y")
 
 
+@dataclass
+class Filament:
+    """One filament as an object on the driver."""
+
+    fil_id: int
+    type: int
+    length: float
+    curvature: float
+    nodes: list[int]
+    edges: list[int]
+    assignment: list[int] = field(default_factory=list)
+    residuals: list[float] = field(default_factory=list)
+    uncertainty: list[float] = field(default_factory=list)
+
+    def summary(self) -> str:
+        kinds = ("loop", "from end to end", "from end to bifurcation", "between bifurcations")
+        return f"filament {self.fil_id}, {kinds[self.type]}: {len(self.nodes)} nodes, length {self.length:.3f}, curvature {self.curvature:.3f}, {len(self.assignment)} points"
+
+
+FILAMENT_SCHEMA = "fil_id bigint, type int, length double, curvature double, nodes array<bigint>, edges array<bigint>, assignment array<bigint>, residuals array<double>, uncertainty array<double>"
+
+
+def to_objects(filaments: DataFrame) -> list[Filament]:
+    """The filaments of a graph, which are few, as objects."""
+    return [Filament(**{k: v for k, v in r.asDict().items() if k in Filament.__dataclass_fields__}) for r in filaments.orderBy("fil_id").collect()]
+
+
+def to_table(spark, filaments: Sequence[Filament]) -> DataFrame:
+    return spark.createDataFrame([tuple(asdict(f)[k] for k in Filament.__dataclass_fields__) for f in filaments], FILAMENT_SCHEMA)
+
+
 def _in_order(src: list, dst: list, ids: list, w: list, degrees: dict) -> tuple[list, list, float]:
     """Nodes and edge ids along a chain, from its proper start, and its length."""
     around: dict = {}

@@ -59,7 +59,12 @@ class FitParameters:
         """sig from the bandwidth rule over points."""
         return replace(self, sig=bandwidth(points, self.a0, dims).first().sig)
 
+    def changed(self, **values) -> FitParameters:
+        """The same with some values changed."""
+        return replace(self, **values)
+
     def show(self) -> str:
+        """A line for each parameter."""
         return "\n".join(f"{k} = {v}" for k, v in self.__dict__.items())
 
 

@@ -205,6 +205,28 @@ def path_lengths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, dims: S
     raise RuntimeError("paths are longer than the rounds allowed")
 
 
+def shortest_path(edges: DataFrame, start: int, stop: int) -> DataFrame:
+    """(step, node) along a path of fewest hops from start to stop, the least former node at each step; empty if there is none."""
+    spark = edges.sparkSession
+    hops = cut(hop_distances(edges, spark.createDataFrame([(start,)], "node bigint")))
+    last = hops.where(F.col("node") == stop).first()
+    if last is None:
+        return spark.createDataFrame([], "step int, node bigint")
+    ways = cut(both_ways(canonical(edges)))
+    path = [stop]
+    for step in range(last.hops - 1, -1, -1):
+        before = hops.where(F.col("hops") == step).select(F.col("node").alias("dst"))
+        path.append(ways.where(F.col("src") == path[-1]).join(before, "dst").agg(F.min("dst").alias("n")).first().n)
+    return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node bigint")
+
+
+def edge_id_of(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(src, dst) in any direction with edge_id, null where there is no such edge."""
+    ways = edges.select("edge_id", F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b"))
+    asked = pairs.withColumn("_a", F.least("src", "dst")).withColumn("_b", F.greatest("src", "dst"))
+    return asked.join(ways, ["_a", "_b"], "left").drop("_a", "_b")
+
+
 def onion_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, coreness, layer, global_layer) by peeling: each round takes all nodes of degree from 1 to the core's number; the core
     rises once every node left has a larger degree. Nodes that lose their last edge without being taken, and isolated ones, get

@@ -93,6 +93,16 @@ ORACLES: dict[str, str] = {
     "giant_component": f"""{CLOSURE}, best AS (SELECT comp FROM found GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1) SELECT node, CAST(comp = (SELECT comp FROM best) AS INT) AS in_giant FROM found""",
     "hop_distances": f"""{GRAPH.replace('WITH ', 'WITH RECURSIVE ', 1)}, ways AS (SELECT src AS u, dst AS v FROM flat UNION SELECT dst, src FROM flat), {REACH}
         SELECT (SELECT min(id) FROM p2) AS source, node, CAST(min(hops) AS INT) AS hops FROM reach GROUP BY node""",
+    "edge_numbers": f"""{GRAPH}, n AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src AS a, dst AS b FROM flat)
+        SELECT src, dst, edge_id FROM edges JOIN n ON a = least(src, dst) AND b = greatest(src, dst)""",
+    "shortest_path": f"""{TREE_SQL}, step(path) AS (SELECT [(SELECT min(id) FROM p2)] UNION ALL SELECT list_append(path, t.v) FROM step JOIN
+        (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree) t ON t.u = path[-1] WHERE NOT list_contains(path, t.v) AND path[-1] <> (SELECT max(id) FROM p2)),
+        found AS (SELECT path FROM step WHERE path[-1] = (SELECT max(id) FROM p2))
+        SELECT CAST(i AS INT) AS step, CAST(path[i + 1] AS BIGINT) AS node FROM found, unnest(range(0, len(path))) t(i)""",
+    "path_lengths": f"""{TREE_SQL}, step(node, prior, hops, len) AS (SELECT (SELECT min(id) FROM p2), CAST(-1 AS BIGINT), 0, 0.0::DOUBLE UNION ALL
+        SELECT t.v, s.node, s.hops + 1, s.len + sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) FROM step s JOIN
+        (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree) t ON t.u = s.node AND t.v <> s.prior JOIN p2 a ON a.id = t.u JOIN p2 b ON b.id = t.v)
+        SELECT (SELECT min(id) FROM p2) AS source, node, CAST(hops AS INT) AS hops, round(len, 6) AS len FROM step""",
     "e_step": f"{RESP} SELECT id, node, round(r, 6) AS r FROM resp_plain",
     "e_step_background": f"{RESP} SELECT id, node, round(r, 6) AS r FROM resp",
     "row_normalise": "SELECT l_orderkey, l_linenumber, round(CAST(l_quantity AS DOUBLE) / (1 + sum(CAST(l_quantity AS DOUBLE)) OVER (PARTITION BY l_orderkey)), 6) AS share FROM lineitem",
@@ -125,6 +135,11 @@ ORACLES: dict[str, str] = {
         SELECT rep, node FROM r WHERE p <= 100""",
     "edge_samples": f"""{GRAPH}, s AS (SELECT src, dst, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / 0.005::DOUBLE AS n FROM edges JOIN p2 a ON a.id = src JOIN p2 b ON b.id = dst)
         SELECT src, dst, round(ax + k / n * (bx - ax), 6) AS x, round(ay + k / n * (by_ - ay), 6) AS y FROM s, unnest(range(0, CAST(floor(n) AS BIGINT) + 1)) t(k) UNION ALL SELECT src, dst, round(bx, 6), round(by_, 6) FROM s""",
+    "full_covariance_e_step": f"""{ctes('p2', 'seeds')}, k AS (SELECT s.node, p.x, p.y, row_number() OVER (PARTITION BY s.node ORDER BY (s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y), p.id) AS rank FROM seeds s, p2 p),
+        c AS (SELECT node, var_samp(x) AS a, covar_samp(x, y) AS c, var_samp(y) AS b FROM k WHERE rank <= 20 GROUP BY node),
+        q AS (SELECT p.id, s.node, exp(-((c.b * (p.x - s.x) * (p.x - s.x) - 2 * c.c * (p.x - s.x) * (p.y - s.y) + c.a * (p.y - s.y) * (p.y - s.y)) / (c.a * c.b - c.c * c.c)) / 2) / sqrt(c.a * c.b - c.c * c.c) AS w
+        FROM p2 p CROSS JOIN seeds s JOIN c USING (node)), l AS (SELECT id, node, w, sum(w) OVER (PARTITION BY id) AS t FROM q)
+        SELECT id, node, round(w / t, 6) AS r FROM l""",
     "position_uncertainty": f"""{ctes('p2', 'seeds')}, r AS (SELECT rep, id, row_number() OVER (PARTITION BY rep ORDER BY md5('0|' || rep || '|' || id), id) AS p FROM p2, range(10) t(rep)),
         d AS (SELECT r.rep, s.node, min({DOWN}) AS d2 FROM r JOIN p2 p ON p.id = r.id CROSS JOIN seeds s WHERE r.p <= CAST(floor((SELECT count(*) FROM p2) * 0.75) AS BIGINT) GROUP BY r.rep, s.node)
         SELECT node, round(sqrt(avg(d2)), 6) AS rho FROM d GROUP BY node""",

@@ -282,6 +282,20 @@ def path_lengths(spark, d):
     return graph.path_lengths(nodes, topology.mst(nodes), nodes.agg(F.min("node").alias("node"))).select("source", "node", "hops", r6("len"))
 
 
+@query
+def shortest_path(spark, d):
+    """From the least node to the greatest along the tree."""
+    nodes = as_nodes(p2(spark, d))
+    ends = nodes.agg(F.min("node").alias("a"), F.max("node").alias("b")).first()
+    return graph.shortest_path(topology.mst(nodes), ends.a, ends.b)
+
+
+@query
+def edge_numbers(spark, d):
+    edges = neighbour_edges(spark, d)
+    return graph.edge_id_of(graph.numbered(edges), edges)
+
+
 @query
 def graph_diameter(spark, d):
     nodes = seeds(spark, d).persist()

@@ -90,3 +90,20 @@ def test_connectivity_events(spark, either_way):
     assert [(r.node, r.event, r.connectivity) for r in rows if r.node == 3] == [(3, 3, 3)]
     assert {r.node: r.event for r in rows} == {3: 3, 7: -1}
     assert graph.giant_component(nodes, edges.limit(0)).select("in_giant").distinct().first()[0] == -1
+
+
+def test_shortest_path_and_edge_numbers(spark, either_way):
+    nodes, edges = make(spark, *FORK)
+    assert [r.node for r in graph.shortest_path(edges, 8, 7).orderBy("step").collect()] == [8, 6, 5, 4, 3, 7]
+    assert graph.shortest_path(edges, 0, 9).count() == 0
+    asked = spark.createDataFrame([(1, 0), (0, 1), (0, 5)], "src bigint, dst bigint")
+    rows = {(r.src, r.dst): r.edge_id for r in graph.edge_id_of(graph.numbered(edges), asked).collect()}
+    assert rows == {(1, 0): 0, (0, 1): 0, (0, 5): None}
+
+
+def test_filament_objects(spark):
+    nodes, edges = make(spark, *STAR)
+    table = filaments.find_filaments(nodes, edges)
+    objects = filaments.to_objects(table)
+    assert [f.nodes for f in objects] == [[1, 0], [2, 0], [3, 0]] and "bifurcation" in objects[0].summary()
+    assert [f.nodes for f in filaments.to_objects(filaments.to_table(spark, objects))] == [[1, 0], [2, 0], [3, 0]]
