@@ -215,7 +215,7 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     return [(r, i, len({x[0] for x in m}), min(x[1] for x in m), min(x[2] for x in m), max(x[3] for x in m)) for (r, i), m in sorted(matches.items())]
 
 
-OPTIONS = {"q": 12, "width": 96, "per_edit": 16, "least_chars": 40}
+OPTIONS = {"q": 12, "width": 64, "per_edit": 16, "least_chars": 40}
 
 
 def sent_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int, options: dict):
