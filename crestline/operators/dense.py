@@ -37,28 +37,25 @@ def spanning_tree(x: np.ndarray) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def relative_neighbour_pairs(x: np.ndarray, rows: int = 256) -> np.ndarray:
-    """Pairs (i < j) without a third point strictly nearer to both than they are to each other."""
-    n, out = len(x), []
-    square = (x**2).sum(1)
-    for i in range(n):
+def relative_neighbour_pairs(x: np.ndarray, rows: np.ndarray | None = None, near: int = 24) -> np.ndarray:
+    """Pairs (i < j) without a third point strictly nearer to both than they are to each other; only those of rows, if given, as i.
+    The nearest points of i rule out almost every j; what is left is held against all points."""
+    out = []
+    for i in range(len(x)) if rows is None else rows:
         d = ((x - x[i]) ** 2).sum(1)
-        order = np.argsort(d, kind="stable")
-        order = order[order != i]
-        # a point blocks j if it is nearer to i and nearer to j
-        kept: list[int] = []
-        candidates = order[order > i]
-        for a in range(0, len(candidates), rows):
-            part = candidates[a : a + rows]
-            nearer = order[d[order] < d[part].max()]
-            gap = square[part][:, None] + square[nearer][None] - 2 * x[part] @ x[nearer].T
-            exact = np.abs(gap - d[part][:, None]) < 1e-9 * (1 + d[part][:, None])
-            blocked = (gap < d[part][:, None]) & (d[nearer][None] < d[part][:, None]) & ~exact
-            for p, q in zip(*np.nonzero(exact & (d[nearer][None] < d[part][:, None])), strict=True):
-                if ((x[part[p]] - x[nearer[q]]) ** 2).sum() < d[part[p]]:
-                    blocked[p, q] = True
-            kept.extend(part[~blocked.any(1)])
-        out += [(i, j) for j in sorted(kept)]
+        d[i] = np.inf
+        first = np.argpartition(d, near)[:near] if len(x) > near else np.flatnonzero(np.isfinite(d))
+        later = np.arange(i + 1, len(x))
+        blocked = np.zeros(len(later), bool)
+        for r in first[np.argsort(d[first])]:
+            left = later[~blocked]
+            if not len(left):
+                break
+            blocked[~blocked] = (d[r] < d[left]) & (((x[left] - x[r]) ** 2).sum(1) < d[left])
+        for j in later[~blocked]:
+            closer = np.flatnonzero(d < d[j])
+            if not (((x[closer] - x[j]) ** 2).sum(1) < d[j]).any():
+                out.append((i, j))
     return np.array(out, np.int64).reshape(-1, 2)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, distance, segment_distance
+from crestline.operators import dense, graph
 from crestline.operators.graph import canonical, components, degree, edge_weights, ends, hop_distances, induced, numbered, path_lengths
 from crestline.operators.mixture import responsibilities
 from crestline.operators.spatial import knn_join
@@ -76,6 +77,44 @@ def _in_order(src: list, dst: list, ids: list, w: list, degrees: dict) -> tuple[
         length += far
 
 
+def _described(src: list, dst: list, ids: list, w: list, degrees: dict, place: dict) -> tuple[int, float, float, list, list]:
+    """(type, length, curvature, nodes, edges) of the edges of one chain."""
+    path, numbers, length = _in_order(src, dst, ids, w, degrees)
+    first, last = path[0], path[-1]
+    if degrees[first] == 2:
+        kind = 0
+    elif degrees[first] == 1:
+        kind = 1 if degrees[last] == 1 else 2
+    else:
+        kind = 3
+    chord = float(np.linalg.norm(np.array(place[first]) - np.array(place[last])))
+    return kind, length, 1 - chord / length if length > 0 else 0.0, path, numbers
+
+
+def _small_chains(nodes: DataFrame, weighted: DataFrame, dims: Sequence[str]) -> DataFrame | None:
+    """The filaments of a graph of at most SMALL_EDGES edges (edge_id, src, dst, w), worked out at once; None for a larger one."""
+    rows = ends(nodes, weighted, dims).limit(graph.SMALL_EDGES + 1).collect()
+    if len(rows) > graph.SMALL_EDGES:
+        return None
+    degrees: dict = {}
+    place: dict = {}
+    for r in rows:
+        for v, p in ((r["src"], "a"), (r["dst"], "b")):
+            degrees[v] = degrees.get(v, 0) + 1
+            place[v] = [r[f"{p}_{d}"] for d in dims]
+    inner = [(r["src"], r["dst"]) for r in rows if degrees[r["src"]] == degrees[r["dst"]] == 2]
+    pairs = np.array(inner, np.int64).reshape(-1, 2)
+    held = dense.Compact(pairs[:, 0], pairs[:, 1])
+    chain = dict(zip(held.ids.tolist(), held.ids[held.labels()].tolist(), strict=True))
+    groups: dict = {}
+    for r in rows:
+        slim = [v for v in (r["src"], r["dst"]) if degrees[v] == 2]
+        groups.setdefault(chain.get(slim[0], slim[0]) if slim else (r["src"], r["dst"]), []).append(r)
+    found = [_described([r["src"] for r in g], [r["dst"] for r in g], [r["edge_id"] for r in g], [r["w"] for r in g], degrees, place) for g in groups.values()]
+    found.sort(key=lambda f: (f[0] == 3, f[0] != 0, f[3]))
+    return nodes.sparkSession.createDataFrame([(i, *f) for i, f in enumerate(found)], "fil_id bigint, type int, length double, curvature double, nodes array<bigint>, edges array<bigint>")
+
+
 def find_filaments(nodes: DataFrame, edges: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """(fil_id, type, length, curvature, nodes, edges): chains of degree-2 nodes between other nodes, as whole paths. Curvature is
     1 - chord / length. fil_id counts from 0 over loops, then paths with an end, then those between bifurcations, by their nodes.
@@ -83,6 +122,9 @@ def find_filaments(nodes: DataFrame, edges: DataFrame, dims: Sequence[str] = DIM
     Chains are found as components of the degree-2 nodes, and each is put in order in a group of its own."""
     flat = edges if "edge_id" in edges.columns else numbered(edges)
     weighted = edge_weights(nodes, flat.select("edge_id", "src", "dst"), dims)
+    held = _small_chains(nodes, weighted, dims)
+    if held is not None:
+        return held
     deg = cut(degree(nodes, flat.select("src", "dst")))
     inner = deg.where("deg = 2").select("node")
     chain = components(inner, induced(canonical(flat), inner))
@@ -97,16 +139,8 @@ def find_filaments(nodes: DataFrame, edges: DataFrame, dims: Sequence[str] = DIM
         t = table.to_pydict()
         degrees = dict(zip(t["src"], t["d_src"], strict=True)) | dict(zip(t["dst"], t["d_dst"], strict=True))
         place = dict(zip(t["src"], t["x_src"], strict=True)) | dict(zip(t["dst"], t["x_dst"], strict=True))
-        path, ids, length = _in_order(t["src"], t["dst"], t["edge_id"], t["w"], degrees)
-        first, last = path[0], path[-1]
-        if degrees[first] == 2:
-            kind = 0
-        elif degrees[first] == 1:
-            kind = 1 if degrees[last] == 1 else 2
-        else:
-            kind = 3
-        chord = float(np.linalg.norm(np.array(place[first]) - np.array(place[last])))
-        return pa.table({"type": pa.array([kind], pa.int32()), "length": [length], "curvature": [1 - chord / length if length > 0 else 0.0], "nodes": pa.array([path], pa.list_(pa.int64())), "edges": pa.array([ids], pa.list_(pa.int64()))})
+        kind, length, curvature, path, ids = _described(t["src"], t["dst"], t["edge_id"], t["w"], degrees, place)
+        return pa.table({"type": pa.array([kind], pa.int32()), "length": [length], "curvature": [curvature], "nodes": pa.array([path], pa.list_(pa.int64())), "edges": pa.array([ids], pa.list_(pa.int64()))})
 
     kept = rows.select("chain", F.col("edge_id").cast("long").alias("edge_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w", "d_src", "d_dst", "x_src", "x_dst")
     found = kept.groupBy("chain").applyInArrow(order, "type int, length double, curvature double, nodes array<bigint>, edges array<bigint>")

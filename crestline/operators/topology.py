@@ -218,10 +218,22 @@ def bootstrap_mst(nodes: DataFrame, reps: int = 100, share: float = 0.75, thresh
 
 
 def relative_neighbours(nodes: DataFrame, dims: Sequence[str] = DIMS, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """Pairs with no third node strictly nearer to both than they are to each other. Up to local_nodes nodes in one task;
-    beyond, candidate pairs come from the grid."""
-    if nodes.count() <= local_nodes:
-        return _by_rep(nodes, dense.relative_neighbour_pairs, dims, None)
+    """Pairs with no third node strictly nearer to both than they are to each other. Up to local_nodes nodes go to every task, which
+    looks at its own; beyond, candidate pairs come from the grid."""
+    own = nodes.select(F.col("node").cast("long").alias("node"), *[F.col(d).cast("double").alias(d) for d in dims]).limit(local_nodes + 1).collect()
+    if len(own) <= local_nodes:
+        own.sort(key=lambda r: r["node"])
+        ids = np.array([r["node"] for r in own], np.int64)
+        x = np.array([r[1:] for r in own], float).reshape(-1, len(dims))
+
+        def run(batches):
+            for batch in batches:
+                found = ids[dense.relative_neighbour_pairs(x, batch.column(0).to_numpy())]
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["src", "dst"])
+
+        spark = nodes.sparkSession
+        places = spark.range(0, len(ids), 1, max(1, min(len(ids) // 64, 4 * spark.sparkContext.defaultParallelism)))
+        return places.mapInArrow(run, "src bigint, dst bigint")
     # each pair of the graph joins a node to one nearer than every common neighbour: look for witnesses among the k nearest
     k, pairs = 16, None
     n = nodes.count()
