@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import ann, chat, decontaminate, forest_join, host_suffix, langid, pfair, pii, quality, token_counts
+from crestline.llm import ann, chat, decontaminate, forest_join, host_suffix, langid, oracles, pfair, pii, quality, token_counts
 
 #: Demonstration key; a real one comes from a key store.
 PII_KEY = b"crestline demonstration key"
@@ -82,4 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_qgram_decontamination, op2_minhash_forest_join, op3_host_suffix_text, op4_pairwise_quality, op5_prefix_target_chat, op6_marginal_unigram_langid, op7_feistel_pii, op8_pfair_mix, op9_token_counts, op10_anisotropic_search)
 }
 
-ORACLES: dict[str, str] = {}
+#: The others learn, hash or decode; tests hold them against brute force, round trips or held-out rows.
+ORACLES: dict[str, str] = {
+    "op2_minhash_forest_join": oracles.NEAR_DUPLICATES,
+    "op5_prefix_target_chat": oracles.CHATS,
+    "op8_pfair_mix": oracles.mix(MIX_WEIGHTS, MIX_DEFAULT),
+}
