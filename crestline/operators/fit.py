@@ -1,8 +1,8 @@
 """Fitting a mixture whose nodes follow a graph, by expectation and maximisation.
 
 The model (nodes, edges) is small: it lives on the driver and goes to the tasks with
-their function, as in other mixture fits on Spark. Points stay where they are; in
-each round a task reads its points once, compares them with the nodes of near cells
+their function, as in other mixture fits on Spark. Points stay where they are (unless
+there are at most SMALL_POINTS of them, where the driver makes the rounds); in each round a task reads its points once, compares them with the nodes of near cells
 only, and sends back one row of sums for each node it met. So a round is a single pass
 with one small shuffle, whatever the number of points. The number of nodes is checked against
 MOST_NODES.
@@ -23,11 +23,16 @@ from crestline.functions.stats import bandwidth
 from crestline.operators import dense
 from crestline.operators.graph import prune
 from crestline.operators.mixture import box_area
-from crestline.operators.topology import TOPOLOGIES, subsamples
+from crestline.operators.state import cut
+from crestline.operators.topology import LOCAL_NODES, TOPOLOGIES, subsamples
 
 DIMS = ("x", "y")
 #: Nodes of a model: its table is sent with each task (under 10 MB) and solved on the driver.
 MOST_NODES = 100_000
+#: Points, a few MB, over which the driver makes the rounds of a fit itself; the same sums over more are a pass of Spark.
+SMALL_POINTS = 200_000
+#: Topologies of node sets held in one place.
+DIRECT = {"mst": dense.spanning_tree, "relative_neighbours": dense.relative_neighbour_pairs, "delaunay": dense.delaunay_pairs}
 
 
 @dataclass(frozen=True)
@@ -97,9 +102,8 @@ class GraphModel:
 def local_edges(name_or_build: str | Callable, ids: np.ndarray, x: np.ndarray, dims: Sequence[str], spark) -> np.ndarray:
     """Edges of a topology as places in ids. Trees and proximity graphs of a model are worked out at once on the driver;
     any other builder is called with a table of the nodes."""
-    direct = {"mst": dense.spanning_tree, "relative_neighbours": dense.relative_neighbour_pairs, "delaunay": dense.delaunay_pairs}
-    if name_or_build in direct:
-        return direct[name_or_build](x)
+    if name_or_build in DIRECT:
+        return DIRECT[name_or_build](x)
     build = TOPOLOGIES[name_or_build] if isinstance(name_or_build, str) else name_or_build
     table = spark.createDataFrame([(int(i), *map(float, r)) for i, r in zip(ids, x, strict=True)], f"node bigint, {', '.join(f'{d} double' for d in dims)}")
     place = {int(i): k for k, i in enumerate(ids)}
@@ -159,44 +163,65 @@ def shares(cells: Cells, points: np.ndarray, sig: np.ndarray, pi: np.ndarray, fl
         yield p, k, weight / np.maximum(whole[p], 1e-300)
 
 
-def expectation_sums(points: DataFrame, x: np.ndarray, sig: np.ndarray, pi: np.ndarray, ksig: float, floor: float, dims: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
-    """Over all points: sums of r, r x and r x x by node, sum of the background's share, and the number of points."""
+def part_sums(own: np.ndarray, cells: Cells, sig: np.ndarray, pi: np.ndarray, floor: float) -> tuple[np.ndarray, float]:
+    """Over the given points: by node, sums of r, of r (x - node) and of its squares; and the sum of all r."""
+    x = cells.x
     k, d = x.shape
-    cells = Cells(x, sig, ksig)
-
-    def run(batches):
-        sums = np.zeros((k, 1 + 2 * d))
-        assigned, count = 0.0, 0
-        for batch in batches:
-            # sums go over coordinates from the first node on, so that squares lose no digits
-            own = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
-            own = own[np.isfinite(own).all(1)]
-            count += len(own)
-            for p, n, r in shares(cells, own, sig, pi, floor):
-                moved = own[p] - x[n]
-                assigned += r.sum()
-                sums[:, 0] += np.bincount(n, r, k)
-                for j in range(d):
-                    sums[:, 1 + j] += np.bincount(n, r * moved[:, j], k)
-                    sums[:, 1 + d + j] += np.bincount(n, r * moved[:, j] ** 2, k)
-        met = np.flatnonzero(sums[:, 0])
-        ids = np.concatenate((met, [-1]))
-        rows = np.concatenate((sums[met], [[count, assigned, *[0.0] * (2 * d - 1)]]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(rows[:, j]) for j in range(1 + 2 * d)]], ["node", *[f"s{j}" for j in range(1 + 2 * d)]])
-
-    names = [f"s{j}" for j in range(1 + 2 * d)]
-    part = points.select(*dims).mapInArrow(run, f"node bigint, {', '.join(f'{n} double' for n in names)}")
-    got = part.groupBy("node").agg(*[F.sum(n).alias(n) for n in names]).collect()
-    n, first, second = np.zeros(k), np.zeros((k, d)), np.zeros((k, d))
-    count, assigned = 0, 0.0
-    for r in got:
-        if r.node < 0:
-            count, assigned = int(r.s0), r.s1
-        else:
-            n[r.node] = r.s0
-            first[r.node] = r[2 : 2 + d]
-            second[r.node] = r[2 + d :]
-    return n, first, second, max(0.0, count - assigned) if floor > 0 else 0.0, count
+    sums, assigned = np.zeros((k, 1 + 2 * d)), 0.0
+    for p, n, r in shares(cells, own, sig, pi, floor):
+        # differences from the node keep the digits that squares of coordinates would lose
+        moved = own[p] - x[n]
+        assigned += r.sum()
+        sums[:, 0] += np.bincount(n, r, k)
+        for j in range(d):
+            sums[:, 1 + j] += np.bincount(n, r * moved[:, j], k)
+            sums[:, 1 + d + j] += np.bincount(n, r * moved[:, j] ** 2, k)
+    return sums, assigned
+
+
+def finite_rows(columns: Sequence[np.ndarray]) -> np.ndarray:
+    own = np.stack(columns, 1)
+    return own[np.isfinite(own).all(1)]
+
+
+def local_sums(own: np.ndarray, par: FitParameters) -> Callable:
+    """The expectation step over points held here."""
+
+    def run(x, sig, pi, floor):
+        sums, assigned = part_sums(own, Cells(x, sig, par.ksig), sig, pi, floor)
+        return sums, assigned, len(own)
+
+    return run
+
+
+def distributed_sums(points: DataFrame, par: FitParameters, dims: Sequence[str]) -> Callable:
+    """The expectation step as one pass over a table of points."""
+
+    def run(x, sig, pi, floor):
+        k, d = x.shape
+        cells = Cells(x, sig, par.ksig)
+        names = [f"s{j}" for j in range(1 + 2 * d)]
+
+        def task(batches):
+            sums, assigned, count = np.zeros((k, 1 + 2 * d)), 0.0, 0
+            for batch in batches:
+                own = finite_rows([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                more, part = part_sums(own, cells, sig, pi, floor)
+                sums, assigned, count = sums + more, assigned + part, count + len(own)
+            met = np.flatnonzero(sums[:, 0])
+            rows = np.concatenate((sums[met], [[count, assigned, *[0.0] * (2 * d - 1)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((met, [-1])), pa.int64()), *[pa.array(rows[:, j]) for j in range(1 + 2 * d)]], ["node", *names])
+
+        part = points.select(*dims).mapInArrow(task, f"node bigint, {', '.join(f'{n} double' for n in names)}")
+        sums, assigned, count = np.zeros((k, 1 + 2 * d)), 0.0, 0
+        for r in part.groupBy("node").agg(*[F.sum(n).alias(n) for n in names]).collect():
+            if r.node < 0:
+                count, assigned = int(r.s0), r.s1
+            else:
+                sums[r.node] = r[1:]
+        return sums, assigned, count
+
+    return run
 
 
 def smooth(fresh: np.ndarray, sig: np.ndarray, n: np.ndarray, edges: np.ndarray, lam_sig: float, d: int, floor: float) -> np.ndarray:
@@ -209,14 +234,52 @@ def smooth(fresh: np.ndarray, sig: np.ndarray, n: np.ndarray, edges: np.ndarray,
     return np.maximum(np.where(deg > 0, (fresh + c * around) / (1 + c), fresh), floor)
 
 
-def fit_graph(points: DataFrame, nodes: DataFrame, par: FitParameters, *, dims: Sequence[str] = DIMS, with_objective: bool = False) -> GraphModel:
+def rounds(sums_of: Callable, edges_of: Callable, ids: np.ndarray, x: np.ndarray, sig: np.ndarray, pi: np.ndarray, lam: float, area: float, par: FitParameters, dims: Sequence[str], objective_of: Callable | None = None) -> GraphModel:
+    """Expectation and maximisation until nodes rest, the objective settles, or max_rounds; sums_of makes the expectation step."""
+    k, d = x.shape
+    alpha = par.alpha if par.background else 0.0
+    edges = edges_of(x)
+    movements: list[float] = []
+    objectives: list[float] = []
+    before = (x, sig, pi, alpha)
+    for t in range(par.max_rounds):
+        before = (x, sig, pi, alpha)
+        floor = alpha / area if par.background else 0.0
+        sums, assigned, count = sums_of(x, sig, pi, floor)
+        n, first, second = sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :]
+        weight = np.maximum(n, par.eps)
+        right = (first + n[:, None] * x) / sig[:, None]
+        new = dense.laplacian_solve(k, edges[:, 0], edges[:, 1], weight / sig, lam, right)
+        alpha = max(0.0, count - assigned) / max(count, 1) if par.background else 0.0
+        if par.update == "fixed":
+            pi = np.full(k, (1 - alpha) / k) if par.background else pi
+        else:
+            move = new - x
+            fresh = ((second - 2 * move * first + move**2 * n[:, None]) / weight[:, None]).mean(1)
+            sig = np.maximum(smooth(fresh, sig, weight, edges, par.lam_sig, d, par.min_sigma), 1e-300)
+            pi = (weight / max(count, 1) + par.lam_pi * (1 - alpha) / k) / (1 + par.lam_pi)
+        step = np.sqrt(((new - x) ** 2).sum(1))
+        x = new
+        movements.append(float(np.sqrt((step**2).sum())))
+        if (t and t % par.refresh_every == 0) or t <= 3:
+            edges = edges_of(x)
+        if objective_of is not None:
+            objectives.append(objective_of(GraphModel(ids, x, sig, pi, edges, alpha, area, par.background, tuple(dims))))
+            if len(objectives) > 1 and abs(objectives[-1] - objectives[-2]) < par.eps:
+                break
+        if movements[-1] < par.eps or step.max() < par.eps:
+            break
+    return GraphModel(ids, x, sig, pi, edges, alpha, area, par.background, tuple(dims), tuple(movements), tuple(objectives), before)
+
+
+def fit_graph(points: DataFrame, nodes: DataFrame, par: FitParameters, *, dims: Sequence[str] = DIMS, with_objective: bool = False, small_points: int = SMALL_POINTS) -> GraphModel:
     """Fit nodes(node, x, y[, z][, sig][, pi]) to points. Stops when no node moves more than eps, or the objective settles,
     or after max_rounds. The result keeps movements (and objectives, if asked for) of each round."""
     if par.covariance != "spherical":
         raise ValueError("fits take spherical covariances; full ones have a responsibility operator of their own")
     spark = points.sparkSession
-    own = nodes.orderBy("node").collect()
-    k, d = len(own), len(dims)
+    own = nodes.orderBy("node").limit(MOST_NODES + 1).collect()
+    k = len(own)
     if not 0 < k <= MOST_NODES:
         raise ValueError(f"a model has 1 to {MOST_NODES} nodes, not {k}")
     ids = np.array([r["node"] for r in own], np.int64)
@@ -224,49 +287,25 @@ def fit_graph(points: DataFrame, nodes: DataFrame, par: FitParameters, *, dims:
     per_node = "sig" in nodes.columns
     start = par.sig if par.sig is not None else None if per_node else bandwidth(points, par.a0, dims).first().sig
     sig = np.array([r["sig"] for r in own], float) if per_node else np.full(k, start)
-    alpha = par.alpha if par.background else 0.0
-    pi = np.array([r["pi"] for r in own], float) if "pi" in nodes.columns else np.full(k, (1 - alpha) / k)
-    lam = par.lam if per_node else par.lam / start
+    pi = np.array([r["pi"] for r in own], float) if "pi" in nodes.columns else np.full(k, (1 - (par.alpha if par.background else 0.0)) / k)
     area = par.area if par.area is not None else box_area(points, dims) if par.background else 1.0
-    edges = local_edges(par.topology, ids, x, dims, spark)
-    held = points.select("id", *dims).persist()
-    movements: list[float] = []
-    objectives: list[float] = []
-    before = (x, sig, pi, alpha)
+    held = points.select("id", *[F.col(c).cast("double").alias(c) for c in dims]).persist()
+
+    def objective_of(model: GraphModel) -> float:
+        from crestline.operators.mixture import objective
+
+        return objective(held, model.nodes(spark), model.edge_table(spark), lam, alpha=model.alpha, area=area, background=par.background, dims=dims).first().objective
+
+    lam = par.lam if per_node else par.lam / start
     try:
-        for t in range(par.max_rounds):
-            before = (x, sig, pi, alpha)
-            n, first, second, outside, count = expectation_sums(held, x, sig, pi, par.ksig, alpha / area if par.background else 0.0, dims)
-            weight = np.maximum(n, par.eps)
-            right = (first + n[:, None] * x) / sig[:, None]
-            new = dense.laplacian_solve(k, edges[:, 0], edges[:, 1], weight / sig, lam, right)
-            alpha = outside / count if par.background else 0.0
-            if par.update == "fixed":
-                pi = np.full(k, (1 - alpha) / k) if par.background else pi
-            else:
-                move = new - x
-                spread = second - 2 * move * first + move**2 * n[:, None]
-                fresh = (spread / weight[:, None]).mean(1)
-                sig = smooth(fresh, sig, weight, edges, par.lam_sig, d, par.min_sigma)
-                sig = np.maximum(sig, 1e-300)
-                pi = (weight / count + par.lam_pi * (1 - alpha) / k) / (1 + par.lam_pi)
-            step = np.sqrt(((new - x) ** 2).sum(1))
-            x = new
-            movements.append(float(np.sqrt((step**2).sum())))
-            if (t and t % par.refresh_every == 0) or t <= 3:
-                edges = local_edges(par.topology, ids, x, dims, spark)
-            if with_objective:
-                from crestline.operators.mixture import objective
-
-                now = GraphModel(ids, x, sig, pi, edges, alpha, area, par.background, tuple(dims))
-                objectives.append(objective(held, now.nodes(spark), now.edge_table(spark), lam, alpha=alpha, area=area, background=par.background, dims=dims).first().objective)
-                if len(objectives) > 1 and abs(objectives[-1] - objectives[-2]) < par.eps:
-                    break
-            if movements[-1] < par.eps or step.max() < par.eps:
-                break
+        some = held.select(*dims).limit(small_points + 1).toArrow()
+        if some.num_rows <= small_points:
+            sums_of = local_sums(finite_rows([some.column(c).to_numpy().astype(float) for c in dims]), par)
+        else:
+            sums_of = distributed_sums(held, par, dims)
+        return rounds(sums_of, lambda y: local_edges(par.topology, ids, y, dims, spark), ids, x, sig, pi, lam, area, par, dims, objective_of if with_objective else None)
     finally:
         held.unpersist()
-    return GraphModel(ids, x, sig, pi, edges, alpha, area, par.background, tuple(dims), tuple(movements), tuple(objectives), before)
 
 
 def fit_from_points(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS) -> GraphModel:
@@ -281,22 +320,56 @@ def fit_from_points(points: DataFrame, par: FitParameters, dims: Sequence[str] =
         nodes.unpersist()
 
 
-def bootstrap_fits(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS) -> tuple[DataFrame, DataFrame]:
+def fit_sample(ids: np.ndarray, x: np.ndarray, par: FitParameters, dims: Sequence[str]) -> GraphModel:
+    """fit_from_points over points held here, for the topologies in DIRECT and a given sig."""
+    if par.denoising > 0:
+        pairs = DIRECT[par.topology](x)
+        graph = dense.Compact(pairs[:, 0], pairs[:, 1])
+        core, _, layer, last_core, last = graph.peel()
+        rank = np.full(len(x), last)
+        rank[graph.ids] = np.where(core > 0, layer, last)
+        ids, x = ids[rank > par.denoising], x[rank > par.denoising]
+    k = len(x)
+    if not k:
+        return GraphModel(ids, x, np.zeros(0), np.zeros(0), np.zeros((0, 2), np.int64), dims=tuple(dims))
+    area = par.area if par.area is not None else float(np.prod(x.max(0) - x.min(0))) if par.background else 1.0
+    pi = np.full(k, (1 - (par.alpha if par.background else 0.0)) / k)
+    return rounds(local_sums(x, par), DIRECT[par.topology], ids, x, np.full(k, par.sig), pi, par.lam / par.sig, area, par, dims)
+
+
+def bootstrap_fits(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS, local_points: int = LOCAL_NODES) -> tuple[DataFrame, DataFrame]:
     """(rep, node, x, ...) and (rep, src, dst) of fits to par.reps samples of int(N share) points. An error in a replica is raised, not hidden.
-    Replicas are independent; each is a distributed fit of its own."""
+    Samples of at most local_points points are fitted in parallel, one in a task; larger ones one after another, each distributed."""
     spark = points.sparkSession
     size = int(points.count() * par.share)
-    drawn = subsamples(points.select(F.col("id").alias("node"), *dims), par.reps, size, par.seed).persist()
+    place = ", ".join(f"{c} double" for c in dims)
+    drawn = subsamples(points.select(F.col("id").cast("long").alias("node"), *[F.col(c).cast("double").alias(c) for c in dims]), par.reps, size, par.seed)
+    if par.sig is None:
+        par = par.with_bandwidth(points, dims)
+    if size <= local_points and par.topology in DIRECT:
+
+        def run(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("node").to_numpy(), kind="stable")
+            ids = table.column("node").to_numpy()[order]
+            model = fit_sample(ids, np.stack([table.column(c).to_numpy()[order] for c in dims], 1), par, dims)
+            k, e = len(model.ids), len(model.edges)
+            none = np.full(e, np.nan)
+            columns = {
+                "rep": pa.array(np.full(k + e, table.column("rep")[0].as_py(), np.int32)),
+                "node": pa.array([*model.ids.tolist(), *[None] * e], pa.int64()),
+                **{c: pa.array(np.concatenate((model.positions[:, j], none))) for j, c in enumerate(dims)},
+                "src": pa.array([*[None] * k, *model.ids[model.edges[:, 0]].tolist()], pa.int64()),
+                "dst": pa.array([*[None] * k, *model.ids[model.edges[:, 1]].tolist()], pa.int64()),
+            }
+            return pa.table(columns)
+
+        both = cut(drawn.select("rep", "node", *dims).groupBy("rep").applyInArrow(run, f"rep int, node bigint, {place}, src bigint, dst bigint"))
+        return both.where("node is not null").select("rep", "node", *dims), both.where("node is null").select("rep", "src", "dst")
+    drawn = cut(drawn)
     nodes: list[tuple] = []
     edges: list[tuple] = []
-    try:
-        for rep in range(par.reps):
-            model = fit_from_points(drawn.where(F.col("rep") == rep).select(F.col("node").alias("id"), *dims), par, dims)
-            nodes += [(rep, int(i), *map(float, x)) for i, x in zip(model.ids, model.positions, strict=True)]
-            edges += [(rep, int(model.ids[a]), int(model.ids[b])) for a, b in model.edges]
-    finally:
-        drawn.unpersist()
-    return (
-        spark.createDataFrame(nodes, f"rep int, node bigint, {', '.join(f'{c} double' for c in dims)}"),
-        spark.createDataFrame(edges, "rep int, src bigint, dst bigint"),
-    )
+    for rep in range(par.reps):
+        model = fit_from_points(drawn.where(F.col("rep") == rep).select(F.col("node").alias("id"), *dims), par, dims)
+        nodes += [(rep, int(i), *map(float, x)) for i, x in zip(model.ids, model.positions, strict=True)]
+        edges += [(rep, int(model.ids[a]), int(model.ids[b])) for a, b in model.edges]
+    return spark.createDataFrame(nodes, f"rep int, node bigint, {place}"), spark.createDataFrame(edges, "rep int, src bigint, dst bigint")

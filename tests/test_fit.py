@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from crestline.operators import dense, filaments, mixture
-from crestline.operators.fit import FitParameters, fit_graph
+from crestline.operators.fit import FitParameters, bootstrap_fits, fit_graph
 from crestline.sources.catalog import read_catalog, write_catalog
 from crestline.sources.edge_text import read_edges, write_edges
 from crestline.sources.points import read_npy
@@ -68,6 +68,21 @@ def test_rounds_equal_plain_numpy(toy):
     assert np.allclose(got.positions, f) and np.allclose(got.sig, sig) and np.allclose(got.pi, pi) and abs(got.alpha - alpha) < 1e-9
 
 
+def test_passes_of_spark_give_the_same_model(toy):
+    par = FitParameters(lam=5.0, max_rounds=3, sig=0.05, background=True, alpha=0.1)
+    a, b = fit_graph(toy[0], toy[1], par), fit_graph(toy[0], toy[1], par, small_points=10)
+    assert np.allclose(a.positions, b.positions) and np.allclose(a.sig, b.sig) and abs(a.alpha - b.alpha) < 1e-9
+
+
+def test_replicas_in_tasks_equal_replicas_one_by_one(toy):
+    points = toy[0].where("id < 200")
+    par = FitParameters(reps=2, max_rounds=2, denoising=2, sig=0.05)
+    here, there = bootstrap_fits(points, par), bootstrap_fits(points, par, local_points=10)
+    a, b = ([tuple(r) for r in x[0].orderBy("rep", "node").collect()] for x in (here, there))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and np.allclose([r[2:] for r in a], [r[2:] for r in b])
+    assert {tuple(sorted(r)) for r in here[1].collect()} == {tuple(sorted(r)) for r in there[1].collect()}
+
+
 def test_responsibilities_sum_to_one(toy, model, spark):
     resp = mixture.responsibilities(toy[0], model.nodes(spark), alpha=model.alpha, area=model.area, background=True)
     sums = [r[1] for r in resp.groupBy("id").sum("r").collect()]
