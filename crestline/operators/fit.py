@@ -117,10 +117,13 @@ class Cells:
         self.x, self.reach2 = x, ksig * ksig * sig
         self.width = max(float(np.sqrt(self.reach2.max())), 1e-300)
         self.low = x.min(0)
-        steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * x.shape[1], indexing="ij"), -1).reshape(-1, x.shape[1])
-        own = self._cell(x)
-        self.table: dict[tuple, list[int]] = {}
-        for k, c in enumerate(own):
+        self.table: dict[tuple, list[int]] | None = None
+
+    def _fill(self) -> None:
+        self.table = {}
+        dims = self.x.shape[1]
+        steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * dims, indexing="ij"), -1).reshape(-1, dims)
+        for k, c in enumerate(self._cell(self.x)):
             for s in steps:
                 self.table.setdefault(tuple(c + s), []).append(k)
 
@@ -128,7 +131,17 @@ class Cells:
         return np.floor((x - self.low) / self.width).astype(np.int64)
 
     def pairs(self, points: np.ndarray, most: int = 4_000_000):
-        """(places of points, places of nodes, squared distances) of pairs within reach, in parts of bounded size, no point in two parts."""
+        """(places of points, places of nodes, squared distances) of pairs within reach, in parts of bounded size, no point in two parts;
+        few enough pairs are compared at once."""
+        if len(points) * len(self.x) <= most // 8:
+            d2 = np.zeros((len(points), len(self.x)))
+            for j in range(points.shape[1]):
+                d2 += (points[:, j, None] - self.x[None, :, j]) ** 2
+            p, n = np.nonzero(d2 <= self.reach2)
+            yield p, n, d2[p, n]
+            return
+        if self.table is None:
+            self._fill()
         cells = self._cell(points)
         order = np.lexsort(cells.T)
         ordered = cells[order]
