@@ -29,10 +29,11 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_/+=-]{8,})",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?!\.?\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.-])\d{1,2}\1\d{4})(?![\d/-])|(?<!\w)\d{1,2} (?:%s) \d{4}(?!\d)|(?<!\w)(?:%s) \d{1,2}, \d{4}(?!\d)" % ("|".join(MONTHS), "|".join(MONTHS)),
+    "date": r"(?<![\d/.-])(?:\d{4}([/.-])\d{2}\1\d{2}|\d{1,2}([/.-])\d{1,2}\2\d{4})(?![\d/-])|(?<!\w)\d{1,2} (?:%s) \d{4}(?!\d)|(?<!\w)(?:%s) \d{1,2}, \d{4}(?!\d)" % ("|".join(MONTHS), "|".join(MONTHS)),
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\w)\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)",
 }
 KINDS = list(PATTERNS)
@@ -62,8 +63,8 @@ def parse_date(text: str) -> tuple[date, str] | None:
         return found, "words" if m[1] == str(found.day) else "words2"
     if (m := re.fullmatch(r"(\w+) (\d{1,2}), (\d{4})", text)) and (found := day(m[3], MONTHS.index(m[1]) + 1, m[2])):
         return found, "month" if m[2] == str(found.day) else "month2"
-    if (m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", text)) and (found := day(*m.groups())):
-        return found, "iso"
+    if (m := re.fullmatch(r"(\d{4})([/.-])(\d\d)[/.-](\d\d)", text)) and (found := day(m[1], m[3], m[4])):
+        return found, f"{m[2]}ymd2"
     if m := re.fullmatch(r"(\d{1,2})([/.-])(\d{1,2})[/.-](\d{4})", text):
         wide = "2" if len(m[1]) == len(m[3]) == 2 else ""
         if found := day(m[4], m[3], m[1]):
@@ -79,10 +80,9 @@ def write_date(day: date, style: str) -> str:
         return f"{number} {MONTHS[day.month - 1]} {year}"
     if style.startswith("month"):
         return f"{MONTHS[day.month - 1]} {number}, {year}"
-    if style == "iso":
-        return day.isoformat()
     month = f"{day.month:02d}" if style.endswith("2") else str(day.month)
-    return style[0].join([number, month, year] if style[1:3] == "dm" else [month, number, year])
+    parts = {"d": number, "m": month, "y": year}
+    return style[0].join(parts[c] for c in (style[1:4] if style[1] == "y" else style[1:3] + "y"))
 
 
 def valid(kind: str, text: str) -> bool:
@@ -144,6 +144,9 @@ def pseudonym(cipher: Feistel, kind: str, text: str, back: bool = False) -> str:
         return cipher.text("email", name, back=back) + dot + top
     if kind == "hex" or FINDERS["hex"].fullmatch(text):
         return cipher.text("hex", text, HEX_UPPER if text.isupper() or text.isdigit() else HEX, back=back)
+    if kind == "key":
+        head = re.match(r"AKIA|gh._|sk-", text)[0]
+        return head + cipher.text("key", text[len(head) :], ALPHABETS, back=back)
     return cipher.text("secret", text, ALPHABETS, back=back)
 
 
@@ -156,6 +159,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in FINDERS[kind].finditer(text):
             a, b = m.span("secret") if kind == "secret" else m.span()
+            # a word in capitals behind an account number is not part of it
+            while kind == "iban" and not valid(kind, text[a:b]) and (space := text.rfind(" ", a, b)) > a + 14:
+                b = space
             if valid(kind, text[a:b]) and all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, kind))
     return sorted(taken)
