@@ -20,8 +20,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = ways.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        # the second key makes Spark deal out both sides anew, so that it can split the rows of a hub
+        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.xxhash64("u").alias("k"), F.least("m", "u").alias("m"))
+        large = ways.where("v > u").withColumn("k", F.xxhash64("u")).join(least, ["u", "k"]).select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # now v has only smaller neighbours u
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         hung = large.join(least, "v").select(F.col("m"), F.col("u"), F.col("v"))
