@@ -143,5 +143,50 @@ ORACLES: dict[str, str] = {
     "position_uncertainty": f"""{ctes('p2', 'seeds')}, r AS (SELECT rep, id, row_number() OVER (PARTITION BY rep ORDER BY md5('0|' || rep || '|' || id), id) AS p FROM p2, range(10) t(rep)),
         d AS (SELECT r.rep, s.node, min({DOWN}) AS d2 FROM r JOIN p2 p ON p.id = r.id CROSS JOIN seeds s WHERE r.p <= CAST(floor((SELECT count(*) FROM p2) * 0.75) AS BIGINT) GROUP BY r.rep, s.node)
         SELECT node, round(sqrt(avg(d2)), 6) AS rho FROM d GROUP BY node""",
+    "probability_map": f"""{GRAPH}, r AS (SELECT rep, id, row_number() OVER (PARTITION BY rep ORDER BY md5('0|' || rep || '|' || id), id) AS p FROM p2, range(10) t(rep)),
+        k AS (SELECT rep, id FROM r WHERE p <= CAST(floor((SELECT count(*) FROM p2) * 0.75) AS BIGINT)),
+        b AS (SELECT min(x) AS x0, (max(x) - min(x)) / 32 AS sx, min(y) AS y0, (max(y) - min(y)) / 32 AS sy, least(max(x) - min(x), max(y) - min(y)) / 32 / 5 AS step FROM p2),
+        s AS (SELECT u.rep, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / (SELECT step FROM b) AS n
+            FROM flat JOIN k u ON u.id = src JOIN k v ON v.id = dst AND v.rep = u.rep JOIN p2 a ON a.id = src JOIN p2 b ON b.id = dst),
+        q AS (SELECT rep, ax + k / n * (bx - ax) AS x, ay + k / n * (by_ - ay) AS y FROM s, unnest(range(0, CAST(floor(n) AS BIGINT) + 1)) t(k) UNION ALL SELECT rep, bx, by_ FROM s),
+        c AS (SELECT DISTINCT rep, CAST(CASE WHEN x = x0 + 31 * sx THEN 30 ELSE floor((x - x0) / sx) END AS BIGINT) AS i_x, CAST(CASE WHEN y = y0 + 31 * sy THEN 30 ELSE floor((y - y0) / sy) END AS BIGINT) AS i_y FROM q, b)
+        SELECT i_x, i_y, round(count(*) / 10.0::DOUBLE, 6) AS p FROM c WHERE i_x BETWEEN 0 AND 30 AND i_y BETWEEN 0 AND 30 GROUP BY 1, 2""",
+    "find_filaments": f"""{TREE_SQL}, way AS (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree),
+        far AS (SELECT u, v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS w FROM way JOIN p2 a ON a.id = u JOIN p2 b ON b.id = v),
+        deg AS (SELECT u AS node, count(*) AS d FROM way GROUP BY u),
+        walk(path, len) AS (SELECT [u, v], w FROM far JOIN deg ON node = u WHERE d <> 2 UNION ALL
+            SELECT list_append(path, f.v), len + f.w FROM walk JOIN deg ON deg.node = path[-1] AND deg.d = 2 JOIN far f ON f.u = path[-1] AND f.v <> path[-2]),
+        ended AS (SELECT path, len, a.d AS d1, b.d AS d2 FROM walk JOIN deg a ON a.node = path[1] JOIN deg b ON b.node = path[-1] AND b.d <> 2),
+        kept AS (SELECT path, len, CASE WHEN d1 > 1 THEN 3 WHEN d2 > 1 THEN 2 ELSE 1 END AS type FROM ended WHERE (d1 = 1 AND d2 > 1) OR ((d1 = 1) = (d2 = 1) AND path[1] < path[-1]))
+        SELECT row_number() OVER (ORDER BY type = 3, path) - 1 AS fil_id, CAST(type AS INT) AS type, round(len, 6) AS length,
+        round(1 - sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / len, 6) AS curvature, list_aggregate(path, 'string_agg', ',') AS path FROM kept JOIN p2 a ON a.id = path[1] JOIN p2 b ON b.id = path[-1]""",
+    "short_branches_cut": f"""{TREE_SQL}, way AS (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree), deg AS (SELECT u AS node, count(*) AS d FROM way GROUP BY u),
+        walk(path) AS (SELECT [u, v] FROM way JOIN deg ON node = u WHERE d = 1 UNION ALL SELECT list_append(path, v) FROM walk JOIN deg ON deg.node = path[-1] AND deg.d = 2 JOIN way ON u = path[-1] AND v <> path[-2]),
+        gone AS (SELECT unnest(path[1 : len(path) - 1]) AS node FROM walk JOIN deg ON deg.node = path[-1] AND deg.d > 2 WHERE len(path) - 1 <= 3)
+        SELECT id AS node FROM p2 WHERE id NOT IN (SELECT node FROM gone)""",
+    "pruned_nodes": f"""{TREE_SQL}, way AS (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree), leaf AS (SELECT u FROM way GROUP BY u HAVING count(*) = 1),
+        second AS (SELECT u FROM way WHERE u NOT IN (SELECT u FROM leaf) AND v NOT IN (SELECT u FROM leaf) GROUP BY u HAVING count(*) = 1)
+        SELECT id AS node FROM p2 WHERE id NOT IN (SELECT u FROM leaf) AND id NOT IN (SELECT u FROM second)""",
+    "connectivity_events": f"""{TREE_SQL}, way AS (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree), deg AS (SELECT u AS node, count(*) AS d FROM way GROUP BY u),
+        home AS (SELECT id AS c, x AS cx, y AS cy FROM p2 ORDER BY x * x + y * y, id LIMIT 1),
+        far AS (SELECT id, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS e FROM p2, home),
+        walk(node, prior, len) AS (SELECT c, CAST(-1 AS BIGINT), 0.0::DOUBLE FROM home UNION ALL
+            SELECT way.v, w.node, w.len + sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) FROM walk w JOIN way ON way.u = w.node AND way.v <> w.prior JOIN p2 a ON a.id = way.u JOIN p2 b ON b.id = way.v
+            JOIN far ON far.id = way.v AND far.e < 0.1::DOUBLE),
+        ev AS (SELECT node, CASE WHEN node = (SELECT c FROM home) THEN d WHEN d = 1 THEN -1 WHEN d > 2 THEN d - 2 END AS event, e, len FROM walk JOIN deg USING (node) JOIN far ON far.id = node)
+        SELECT node, CAST(event AS INT) AS event, round(e, 6) AS euclidean, round(len, 6) AS geodesic, CAST(sum(event) OVER (ORDER BY e, node) AS BIGINT) AS connectivity FROM ev WHERE event IS NOT NULL""",
+    "graph_diameter": f"""{TREE_SQL.replace('WITH RECURSIVE p2 AS (SELECT', ctes('seeds').replace('WITH ', 'WITH RECURSIVE ', 1) + ', p2 AS (SELECT node AS id, x, y FROM seeds), unused AS (SELECT', 1)},
+        hop(root, node, prior, hops) AS (SELECT id, id, CAST(-1 AS BIGINT), 0 FROM p2 UNION ALL SELECT h.root, t.v, h.node, h.hops + 1 FROM hop h JOIN (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree) t ON t.u = h.node AND t.v <> h.prior)
+        SELECT CAST(max(hops) AS BIGINT) AS diameter FROM hop""",
+    "remove_short_edges": f"""{TREE_SQL}, long AS (SELECT src, dst FROM tree JOIN p2 a ON a.id = src JOIN p2 b ON b.id = dst WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) >= 0.01::DOUBLE),
+        left2 AS (SELECT * FROM p2 WHERE id IN (SELECT src FROM long UNION SELECT dst FROM long)), {(RNG + ', ' + RNG_TREE).replace('p2', 'left2').replace('sides', 'sides2').replace('rng', 'rng2').replace('ways', 'ways2').replace('grown', 'grown2').replace('tree AS', 'tree2 AS')}
+        SELECT src, dst FROM tree2""",
+    "ellipsoid_graph": f"""{ctes('p2')}, ball AS (SELECT a.id AS src, b.id AS dst, b.x, b.y, b.x - a.x AS dx, b.y - a.y AS dy FROM p2 a JOIN p2 b ON a.id = b.id OR ((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) > 0
+        AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) < 0.05::DOUBLE * 0.05::DOUBLE)),
+        c AS (SELECT src, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM ball GROUP BY src HAVING count(*) > 15),
+        e AS (SELECT *, (a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c) AS l1, (a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c) AS l2 FROM c),
+        s AS (SELECT src, 0.05::DOUBLE * sqrt(l1 / l2) AS big, 0.05::DOUBLE / sqrt(l1 / l2) AS small, c / sqrt(c * c + (l2 - a) * (l2 - a)) AS ux, (l2 - a) / sqrt(c * c + (l2 - a) * (l2 - a)) AS uy FROM e WHERE l2 > 0)
+        SELECT src, dst FROM ball WHERE src <> dst AND src NOT IN (SELECT src FROM s) UNION ALL
+        SELECT p.id, o.id FROM s JOIN p2 p ON p.id = s.src JOIN p2 o ON o.id <> p.id WHERE pow(((o.x - p.x) * ux + (o.y - p.y) * uy) / small, 2) + pow(((o.x - p.x) * uy - (o.y - p.y) * ux) / big, 2) <= 1""",
     "edge_text_round_trip": f"{GRAPH} SELECT src, dst FROM edges",
 }

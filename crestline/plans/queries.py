@@ -543,7 +543,11 @@ def edge_samples(spark, d):
 
 @query
 def probability_map(spark, d):
-    nodes, edges = _replicas(spark, d)
+    """Edges of a replica are those of the neighbour graph between its points."""
+    nodes, _ = _replicas(spark, d)
+    flat = graph.canonical(neighbour_edges(spark, d))
+    a, b = (nodes.select("rep", F.col("node").alias(c)) for c in ("src", "dst"))
+    edges = flat.join(a, "src").join(b, ["rep", "dst"])
     return resample.probability_map(p2(spark, d), nodes, edges, 32).select("i_x", "i_y", r6("p"))
 
 
