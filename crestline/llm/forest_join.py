@@ -265,14 +265,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_marks: int = 250_000, **options) -> DataFrame:
     """All columns of docs, one row of each class of near duplicates: that of the least id. A row
     without id is named by its text, behind all others. Rows without words link to nothing and stay, but
-    of rows that repeat both id and text one stays."""
+    of rows that repeat both id and text one stays.
+
+    The rows to drop, and those that repeat, are counted: up to most_marks of them (about 50 MB) are broadcast, so that
+    texts stay where they are; more are joined."""
     text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.withColumn("_row", F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("long"), text).alias("i")))
+    name = F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("long"), text).alias("i"), text.alias("h"))
+    rows = docs.withColumn("_row", name)
     found = near_duplicates(rows.select("_row", text_col), id_col="_row", text_col=text_col, **options)
-    losers = found.where("_row <> class_id").select("_row").distinct()
-    kept = rows.join(losers, "_row", "left_anti").withColumn("_text", text)
-    once = F.row_number().over(Window.partitionBy("_row", "_text").orderBy("_text"))
-    return kept.withColumn("_once", once).where("_once = 1").drop("_once", "_text", "_row")
+    # rows of one name have one text, so one class
+    marks = found.groupBy("_row").agg(F.max(F.col("_row") != F.col("class_id")).alias("_lost"), (F.count("*") > 1).alias("_again"))
+    marks = cut(marks.where("_lost or _again"))
+    counted = marks.agg(F.count("*").alias("n"), F.max("_again").alias("again")).first()
+    marked = rows.join(F.broadcast(marks) if counted.n <= most_marks else marks, "_row", "left")
+    kept = marked.where("_lost is null")
+    if counted.again:
+        place = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+        twice = marked.where("not _lost and _again").withColumn("_place", place).where("_place = 1").drop("_place")
+        kept = kept.unionByName(twice)
+    return kept.drop("_row", "_lost", "_again")

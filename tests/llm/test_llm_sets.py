@@ -88,6 +88,9 @@ def test_deduplicate_keeps_one_of_each(spark):
     docs = docs_of(spark, texts)
     kept = [r.doc_id for r in forest_join.deduplicate(docs.union(docs)).collect()]
     assert sorted(kept) == sorted(set(classes))
+    assert sorted(r.doc_id for r in forest_join.deduplicate(docs.union(docs), most_marks=0).collect()) == sorted(kept)
+    other = docs.where("doc_id = 0").withColumn("text", F.lit("words of another text under the same number"))
+    assert forest_join.deduplicate(docs.union(other)).where("doc_id = 0").count() == 2
     unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") != 0, F.col("doc_id")))
     assert forest_join.deduplicate(unnamed).count() == len(set(classes))
 
