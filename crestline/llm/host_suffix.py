@@ -9,9 +9,12 @@ mostly covered by them goes. Where a page has an article (or else a main) elemen
 author set apart, so only blocks within it are kept, repeated or not; in pages without,
 what the suffix array leaves is the text.
 
-Rows travel once, by host; hosts with more than a thousandth of all pages, so a thousand at most,
-are spread over several parts, and any host is worked on `chunk_pages` pages at a time,
-so memory is bounded whatever the size of a host.
+Rows travel once, by host. Hosts of more than `chunk_pages` pages are spread over parts of about that
+size, and at most `chunk_pages` pages are worked on at a time, so memory is bounded whatever the size of a
+host. A suffix array sees one such window; so where a large host has a page that repetition decides, the runs of all
+its pages are first counted over the whole host: each as a 64-bit name with a 32-bit name of its page (runs
+or pages that share a name by chance are taken for one), dealt by run, and those on enough pages are sent back to
+the parts they occur in. The result thus does not depend on the windows.
 
 Defined results: a null, empty or textless page has an empty text; a null url is a host of its
 own; repeated rows are kept, and copies of a page count as one page for repetition; an empty
@@ -20,13 +23,21 @@ table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crestline.llm.cut import cut
 from crestline.llm.html_blocks import Block, blocks
-from crestline.llm.shingles import words
+from crestline.llm.shingles import ODD, mix, words
+
+#: Characters of pages for each bucket of runs, and runs that are held before those on enough pages of a part are thinned out.
+BUCKET_CHARS = 16_000_000
+MOST_HELD = 4_000_000
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least_pages: int) -> np.ndarray:
@@ -51,15 +62,59 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least_pages: int) -
     whole[: n - run + 1] = page[run - 1 :] == page[: n - run + 1]
     pairs = np.unique(np.stack((rank[whole], page[whole])), axis=1)
     often = np.bincount(pairs[0], minlength=int(rank.max()) + 1)
-    starts = np.flatnonzero(whole & (often[rank] >= least_pages))
+    return under(np.flatnonzero(whole & (often[rank] >= least_pages)), n, run)
+
+
+def under(starts: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of n tokens lie in one of the runs that begin at starts."""
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + run, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def main_texts(pages: list[list[Block]], run: int, least_pages: int, most_covered: float) -> list[tuple[str, int]]:
-    """(text, number of blocks removed as repeated) of each page of one host."""
+def run_names(tokens: np.ndarray, page: np.ndarray, salts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all runs within a page, and a 64-bit name of each under its page's salt."""
+    n = len(tokens) - run + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for k in range(run):
+        total = total * ODD + tokens[k : k + n]
+    starts = np.flatnonzero(page[run - 1 :] == page[:n])
+    return starts, mix(total[starts] ^ mix(salts[page[starts]]))
+
+
+def page_names(tokens: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """A 32-bit name of the words of each page."""
+    raw = tokens.tobytes()
+    return np.array([int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=4).digest(), "little") for a, b in zip(borders[:-1], borders[1:], strict=True)], np.uint64)
+
+
+def thinned(pairs: np.ndarray, least_pages: int) -> np.ndarray:
+    """Distinct rows of pairs (a run; its place and page in one number), of each run and place least_pages pages at most."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))] if len(pairs) else pairs
+    place = pairs[:, 1] >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], (pairs[1:, 0] != pairs[:-1, 0]) | (place[1:] != place[:-1])))) if len(pairs) else np.zeros(0, np.int64)
+    nth = np.arange(len(pairs)) - np.repeat(first, np.diff(np.append(first, len(pairs))))
+    return pairs[nth < least_pages]
+
+
+def often(pairs: np.ndarray, least_pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, runs), by place, of the runs that occur on at least least_pages pages of all places together."""
+    page = pairs[:, 1] & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((page, pairs[:, 0]))
+    run, page = pairs[order, 0], page[order]
+    new = np.concatenate(([True], (run[1:] != run[:-1]) | (page[1:] != page[:-1])))
+    names, count = np.unique(run[new], return_counts=True)
+    kept = pairs[np.isin(pairs[:, 0], names[count >= least_pages])]
+    both = np.unique(np.stack((kept[:, 1] >> np.uint64(32), kept[:, 0]), 1), axis=0)
+    return both[:, 0].astype(np.uint32).view(np.int32), both[:, 1]
+
+
+def main_texts(pages: list[list[Block]], run: int, least_pages: int, most_covered: float, common: np.ndarray | None = None, salt: int = 0) -> list[tuple[str, int]]:
+    """(text, number of blocks removed as repeated) of each page of one host; common: names, under salt, of runs known to be repeated."""
     flat = [b.text for p in pages for b in p]
     owner = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
     row, tokens = words(pa.array(flat, pa.large_string()))
@@ -79,6 +134,9 @@ def main_texts(pages: list[list[Block]], run: int, least_pages: int, most_covere
     for copy in np.flatnonzero(~kept_pages):
         source = teacher[same[teacher] == same[copy]][0]
         covered[borders[copy] : borders[copy + 1]] = covered[borders[source] : borders[source + 1]]
+    if common is not None and len(common):
+        starts, names = run_names(tokens, page, np.full(len(pages), salt, np.int64).view(np.uint64), run)
+        covered |= under(starts[np.isin(names, common)], len(tokens), run)
     total = np.bincount(row, minlength=len(flat))
     share = np.bincount(row, covered, minlength=len(flat)) / np.maximum(total, 1)
     out, k = [], 0
@@ -102,47 +160,109 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """id, url, text, n_chars and n_repeated (blocks removed as boilerplate of the host) of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    # fewer than a thousand hosts can hold more than a thousandth each
-    heavy = counts.where(F.col("n") > max(chunk_pages, total // 1000)).select("host", F.ceil(F.col("n") / chunk_pages).alias("parts"))
+
+    def look(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                found = [blocks(x or "", until=1) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.utf8_length(pc.fill_null(part.column(1), "")).cast(pa.int64()), pa.array([bool(x) and x[-1].zone < 1 for x in found], pa.bool_())], ["host", "chars", "open"])
+
+    counts = rows.select("host", "html").mapInArrow(look, "host string, chars bigint, open boolean").groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.max("open").alias("open"))
+    # at most one host for each chunk_pages pages
+    large = cut(counts.where(F.col("n") > chunk_pages).select("host", F.ceil(F.col("n") / chunk_pages).alias("parts"), "chars", "open"))
+    chars = large.where("open").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("n")).first().n
     id_type = rows.schema["id"].dataType.simpleString()
+    placed = rows.join(F.broadcast(large.drop("chars")), "host", "left").withColumn("order", F.xxhash64("id", "url"))
+    placed = placed.withColumn("part", F.pmod("order", F.coalesce("parts", F.lit(1)))).withColumn("place", F.hash("host", "part")).withColumn("salt", F.xxhash64("host"))
 
     def parse(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                found = [blocks(x or "") for x in part.column(2).to_pylist()]
+                found = [blocks(x or "") for x in part.column(6).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(3), pa.array(["\n".join(b.text for b in x) for x in found], pa.string()), pa.array([[b.zone for b in x] for x in found], pa.list_(pa.int32())), pa.array([[b.linked for b in x] for x in found], pa.list_(pa.int32()))],
-                    ["id", "url", "host", "blocks", "zones", "linked"],
+                    [*part.columns[:6], pa.array(["\n".join(b.text for b in x) for x in found], pa.string()), pa.array([[b.zone for b in x] for x in found], pa.list_(pa.int32())), pa.array([[b.linked for b in x] for x in found], pa.list_(pa.int32())), pa.nulls(part.num_rows, pa.binary())],
+                    ["id", "url", "place", "salt", "part", "order", "blocks", "zones", "linked", "runs"],
                 )
 
-    parsed = rows.mapInArrow(parse, f"id {id_type}, url string, host string, blocks string, zones array<int>, linked array<int>")
-    spread = parsed.join(F.broadcast(heavy), "host", "left").withColumn("order", F.xxhash64("id", "url"))
-    spread = spread.withColumn("part", F.pmod("order", F.coalesce("parts", F.lit(1)))).drop("parts")
-    dealt = spread.repartition("host", "part").sortWithinPartitions("host", "part", "order")
+    def list_runs(batches, buckets):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                texts = ["\n".join(b.text for b in blocks(x or "")) for x in part.column(2).to_pylist()]
+                page, tokens = words(pa.array(texts, pa.large_string()))
+                borders = np.searchsorted(page, np.arange(len(texts) + 1))
+                starts, names = run_names(tokens, page, part.column(1).to_numpy().view(np.uint64), run)
+                where = part.column(0).to_numpy().view(np.uint32).astype(np.uint64) << np.uint64(32) | page_names(tokens, borders)
+                pairs = thinned(np.stack((names, where[page[starts]]), 1), least_pages)
+                bucket = (pairs[:, 0] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                pairs, (own, first) = pairs[order], np.unique(bucket[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([p.tobytes() for p in np.split(pairs, first[1:])] if len(own) else [], pa.binary())], ["bucket", "pairs"])
+
+    def count_runs(batches):
+        now, held, n = None, [], 0
+
+        def done():
+            places, names = often(thinned(np.concatenate(held), least_pages), least_pages)
+            own, first = np.unique(places, return_index=True)
+            order = np.argsort(first)
+            return pa.RecordBatch.from_arrays([pa.array(own[order], pa.int32()), pa.array([x.tobytes() for x in np.split(names, first[order][1:])] if len(own) else [], pa.binary())], ["place", "runs"])
+
+        for batch in batches:
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and bucket != now:
+                    yield done()
+                    held, n = [], 0
+                now = bucket
+                held.append(np.frombuffer(raw.as_py(), np.uint64).reshape(-1, 2))
+                n += len(held[-1])
+                if n > MOST_HELD and len(held) > 1:
+                    held = [thinned(np.concatenate(held), least_pages)]
+                    n = len(held[0]) // 2  # what stays counts half, so that it is not gone over for each row
+        if held:
+            yield done()
+
+    columns = ["id", "url", "place", "salt", "part", "order"]
+    dealt = placed.select(*columns, "html").mapInArrow(parse, f"id {id_type}, url string, place int, salt bigint, part bigint, order bigint, blocks string, zones array<int>, linked array<int>, runs binary")
+    if chars:
+        buckets = -(-chars // BUCKET_CHARS)
+        listed = placed.where("open").select("place", "salt", "html").mapInArrow(lambda x: list_runs(x, buckets), "bucket bigint, pairs binary")
+        known = listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_runs, "place int, runs binary")
+        dealt = dealt.unionByName(known, allowMissingColumns=True)
+    # the runs of a place come before its pages
+    dealt = dealt.repartition("place").sortWithinPartitions("place", F.col("runs").isNull(), "salt", "part", "order")
 
     def work(batches):
         held: list[tuple] = []
 
         def done():
             pages_of = [[Block(*b) for b in zip(r["blocks"].split("\n"), r["zones"], r["linked"], strict=True)] if r["blocks"] else [] for r in held]
-            texts = main_texts(pages_of, run, least_pages, most_covered)
+            texts = main_texts(pages_of, run, least_pages, most_covered, common, held[0]["salt"])
             return pa.RecordBatch.from_arrays(
                 [pa.array([r["id"] for r in held], id_arrow), pa.array([r["url"] for r in held], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([k for _, k in texts], pa.int64())],
                 ["id", "url", "text", "n_chars", "n_repeated"],
             )
 
-        group = id_arrow = None
+        group = place = id_arrow = None
+        known: list[np.ndarray] = []
+        common = None
         for batch in batches:
             id_arrow = batch.schema.field("id").type
             for a in range(0, batch.num_rows, 512):
                 for r in batch.slice(a, 512).to_pylist():
-                    if held and ((r["host"], r["part"]) != group or len(held) >= chunk_pages):
+                    if held and ((r["place"], r["salt"], r["part"]) != group or len(held) >= chunk_pages):
                         yield done()
                         held.clear()
-                    group = (r["host"], r["part"])
+                    if r["place"] != place:
+                        place, known, common = r["place"], [], None
+                    if r["runs"] is not None:
+                        known.append(np.frombuffer(r["runs"], np.uint64))
+                        continue
+                    if known:
+                        common, known = np.concatenate(known), []
+                    group = (r["place"], r["salt"], r["part"])
                     held.append(r)
         if held:
             yield done()

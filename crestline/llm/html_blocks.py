@@ -61,8 +61,8 @@ def marked(name: str, own: dict[str, str]) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; what lies in a dropped element is left out."""
+def blocks(page: str, until: int = 3) -> list[Block]:
+    """Text blocks in page order, up to the first of zone `until`; what lies in a dropped element is left out."""
     found: list[Block] = []
     stack = [Open("", False, 0, False)]
     text: list[str] = []
@@ -101,6 +101,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
+            if found and found[-1].zone >= until:
+                return found
         elif name == "br":
             text.append(" ")
         if m[1]:

@@ -200,6 +200,24 @@ def test_repeated_runs_of_a_host_go(spark):
     assert host_suffix.extract(pages_of(spark, [])).count() == 0
 
 
+def test_repeated_runs_of_a_large_host_go(spark):
+    # each line is on four of 1,000 pages, and on a host of 258 pages two lines are on three; small hosts of the same lines keep them
+    word = lambda i, j: f"w{i}x{j}"
+    line = [" ".join(word(i, j) for j in range(10)) for i in range(260)]
+    page = lambda host, i, k: (i, f"http://{host}/{i}", f"<div>{line[k]}</div><div>Own words of page number {host[0]}{i} come here and stay {i}</div>", None)
+    rows = [page("large.org", i, i % 250) for i in range(1000)]
+    rows += [page("middle.org", 1000 + i, 250 + (i // 3 if i < 6 else 2) if i < 7 else (i - 7) % 250) for i in range(258)]
+    rows += [page(f"small{i // 2}.org", 1258 + i, i // 2) for i in range(20)]
+    got = {r.page_id: r for r in host_suffix.extract(pages_of(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    lost = {i for i, r in got.items() if r.n_repeated}
+    assert lost == set(range(1006))
+    assert all(got[i].text == f"Own words of page number {'l' if i < 1000 else 'm'}{i} come here and stay {i}" for i in lost)
+    assert all("\n" in r.text for i, r in got.items() if i not in lost)
+    # windows do not matter
+    assert {(r.page_id, r.text, r.n_repeated) for r in host_suffix.extract(pages_of(spark, rows), chunk_pages=7).collect()} == {(r.page_id, r.text, r.n_repeated) for r in got.values()}
+
+
 def test_repeated_runs_against_brute_force():
     draw = random.Random(4)
     for _ in range(30):
