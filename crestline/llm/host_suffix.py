@@ -5,9 +5,10 @@ form, adverts, notices, comments, scripts, hidden parts) is left out at once. Th
 remaining blocks of a host's pages are put end to end, and a suffix array to the depth
 `run` is made by prefix doubling: suffixes that agree in `run` words lie side by side.
 Runs that occur on at least `least_pages` pages of different words are boilerplate, and a block
-mostly covered by them goes. Where a page has an article (or else a main) element, its text is what the
-author set apart, so only blocks within it are kept, repeated or not; in pages without,
-what the suffix array leaves is the text.
+mostly covered by them goes. Where a page has an article element, its text is what the
+author set apart, so only blocks within it are kept, repeated or not. Where it has none but a main or content element, only
+blocks within that can be kept, and the suffix array decides which. In pages without any of these,
+what the suffix array leaves is the text, but for blocks whose text is more than half links: they go, repeated or not.
 
 Rows travel once, by host. Hosts of more than `chunk_pages` pages are spread over parts of about that
 size, and at most `chunk_pages` pages are worked on at a time, so memory is bounded whatever the size of a
@@ -35,6 +36,8 @@ from crestline.llm.cut import cut
 from crestline.llm.html_blocks import Block, blocks
 from crestline.llm.shingles import ODD, mix, words
 
+#: Zone of blocks that are kept without regard to repetition.
+ARTICLE = 2
 #: Characters of pages for each bucket of runs, and runs that are held before those on enough pages of a part are thinned out.
 BUCKET_CHARS = 16_000_000
 MOST_HELD = 4_000_000
@@ -144,13 +147,11 @@ def main_texts(pages: list[list[Block]], run: int, least_pages: int, most_covere
         inside = max((b.zone for b in p), default=0)
         kept, removed = [], 0
         for b in p:
-            if inside:
-                if b.zone == inside:
+            if b.zone == inside:
+                if inside < ARTICLE and share[k] > most_covered:
+                    removed += 1
+                elif inside or b.linked * 2 <= len(b.text):
                     kept.append(b.text)
-            elif share[k] > most_covered:
-                removed += 1
-            elif b.linked * 2 <= len(b.text):
-                kept.append(b.text)
             k += 1
         out.append(("\n".join(kept), removed))
     return out
@@ -165,8 +166,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                found = [blocks(x or "", until=1) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pc.utf8_length(pc.fill_null(part.column(1), "")).cast(pa.int64()), pa.array([bool(x) and x[-1].zone < 1 for x in found], pa.bool_())], ["host", "chars", "open"])
+                found = [blocks(x or "", until=ARTICLE) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.utf8_length(pc.fill_null(part.column(1), "")).cast(pa.int64()), pa.array([bool(x) and x[-1].zone < ARTICLE for x in found], pa.bool_())], ["host", "chars", "open"])
 
     counts = rows.select("host", "html").mapInArrow(look, "host string, chars bigint, open boolean").groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.max("open").alias("open"))
     # at most one host for each chunk_pages pages

@@ -218,6 +218,18 @@ def test_repeated_runs_of_a_large_host_go(spark):
     assert {(r.page_id, r.text, r.n_repeated) for r in host_suffix.extract(pages_of(spark, rows), chunk_pages=7).collect()} == {(r.page_id, r.text, r.n_repeated) for r in got.values()}
 
 
+def test_repeated_runs_within_main_go(spark):
+    line = "<p>Subscribe to our wonderful site for the best news every day</p>"
+    menu = "<p><a href=x>To page {i}a</a> <a href=y>To page {i}b</a></p>"
+    own = [f"Own words number {i} {chr(97 + i) * 3} come here and stay {i}" for i in range(12)]
+    shape = ["<div>Outside {i}</div><main>{line}<p>{own}</p></main>", "<div class=content>{line}<p>{own}</p></div>", "<main><article>{line}<p>{own}</p></article></main>", menu + "<div>{own}</div>"]
+    rows = [(i, f"http://h{i % 4}/", shape[i % 4].format(i=i, line=line, own=own[i]), None) for i in range(12)]
+    for chunk in (2, 256):
+        got = {r.page_id: r for r in host_suffix.extract(pages_of(spark, rows), chunk_pages=chunk).collect()}
+        for i in range(12):
+            assert got[i].text == (line[3:-4] + "\n" if i % 4 == 2 else "") + own[i] and got[i].n_repeated == int(i % 4 < 2)
+
+
 def test_repeated_runs_against_brute_force():
     draw = random.Random(4)
     for _ in range(30):
