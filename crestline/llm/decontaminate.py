@@ -1,19 +1,21 @@
 """Benchmark decontamination with the q-gram lemma over diagonal bands.
 
 Texts are folded: lower case, every run of other characters one space. A benchmark
-item is cut into overlapping segments of `width` characters (a shorter item is one
-segment). A segment of length m within e edits of some part of a document shares at
+item is cut into overlapping segments of `width` characters, one every width // 8 (a shorter item is one
+segment), so a passage of width + width // 8 - 1 characters always holds one: of 71, as set here. A segment of length m within e edits of some part of a document shares at
 least m + 1 - q (e + 1) q-grams with it, all on few neighbouring diagonals. So hits of
 benchmark q-grams are counted in overlapping diagonal bands per document and item, bands and
 then segments that reach the bound are kept, and banded alignment verifies them. The edit
-budget of a segment is one edit in `per_edit` characters.
+budget of a segment is one edit in `per_edit` characters. An item of fewer than `least_chars` characters is
+sought whole and without edits, between word borders, if it has `least_short` letters; letters of scripts
+that write words without spaces count twice, and have a border on each side.
 
 The benchmark is a stated query set: it is taken in blocks of about `block_bytes`, and
 each block's index is sent to the executors, so what is broadcast has that bound whatever the
 size of the benchmark. Each document is read whole and on its own, once a block.
 
 Defined results: null or empty texts match nothing, nor do items of fewer than
-`least_chars` folded characters; repeated rows match each by itself; repeated items
+`least_short` letters, as these are words of any text; repeated rows match each by itself; repeated items
 give one row each id; empty tables give an empty result; further columns are not read.
 """
 
@@ -30,6 +32,8 @@ from crestline.llm.arrow_text import row_spans
 
 SPACE = 32
 SPAN_BYTES = 2_000_000
+#: Scripts without spaces between words: Thai to Lao, Burmese, Khmer, Han with kana, and further Han.
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,14 +85,22 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def unspaced(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes), bool)
+    for a, b in UNSPACED:
+        out |= (codes >= a) & (codes < b)
+    return out
+
+
 class Index:
     """q-grams of some benchmark items, and their segments."""
 
-    def __init__(self, items: list[tuple], q: int, width: int, per_edit: int, least_chars: int):
+    def __init__(self, items: list[tuple], q: int, width: int, per_edit: int, least_chars: int, least_short: int = 12):
         self.q = q
         self.ids: list = []
         texts: list[str] = []
         self.codes: list[np.ndarray] = []
+        short: list[tuple] = []
         for item_id, text in items:
             codes = fold([text])[0]
             codes = codes[int(len(codes) > 0 and codes[0] == SPACE) :]
@@ -97,6 +109,17 @@ class Index:
                 self.ids.append(item_id)
                 self.codes.append(codes)
                 texts.append(text)
+            elif len(codes) + unspaced(codes).sum() >= least_short:
+                short.append((item_id, codes))
+        # short items come behind the others, by the length of the gram that they begin with
+        self.short: dict[int, tuple[np.ndarray, list[list[tuple[int, np.ndarray]]]]] = {}
+        for n in {min(len(c), q) for _, c in short}:
+            held: dict[int, list] = {}
+            for i, (_, c) in enumerate(short, len(self.ids)):
+                if min(len(c), q) == n:
+                    held.setdefault(int(gram_hashes(c[:n], n)[0]), []).append((i, c))
+            self.short[n] = (np.array(sorted(held), np.uint64), [held[k] for k in sorted(held)])
+        self.ids += [i for i, _ in short]
         hashes = [gram_hashes(c, q) for c in self.codes]
         lengths = [len(h) for h in hashes]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -112,8 +135,9 @@ class Index:
         self.segments: list[list[tuple[int, int]]] = []
         for c in self.codes:
             n, w = len(c), min(width, len(c))
-            begins = sorted({*range(0, n - w + 1, max(1, w // 2)), n - w})
+            begins = sorted({*range(0, n - w + 1, max(1, w // 8)), n - w})
             self.segments.append([(b, w) for b in begins])
+        self.begins = [np.array([b for b, _ in s]) for s in self.segments]
         self.per_edit = per_edit
         self.most = max((self.budget(w) for s in self.segments for _, w in s), default=0)
         self.least = min((self.bound(w) for s in self.segments for _, w in s), default=1)
@@ -128,13 +152,14 @@ class Index:
 
 
 def aligned(segment: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
-    """Fewest edits that turn segment into some part of each window, on the diagonals that a window longer than segment leaves."""
-    n, m = len(windows), len(segment)
+    """Fewest edits that turn segment (one for all windows, or a row for each) into some part of each window, on the diagonals that a window longer than segment leaves."""
+    segment = np.atleast_2d(segment)
+    n, m = len(windows), segment.shape[1]
     band = windows.shape[1] - m + 1
     across = np.arange(band)
     cost = np.zeros((n, band), np.int32)
     for i in range(m):
-        new = cost + (windows[:, i : i + band] != segment[i])
+        new = cost + (windows[:, i : i + band] != segment[:, i : i + 1])
         new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
         cost = np.minimum.accumulate(new - across, 1) + across
         if i % 16 == 15 and not (cost.min(1) <= most).any():
@@ -144,10 +169,45 @@ def aligned(segment: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
 
 def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, segments, fewest edits, start, end) for each item found in a text; start and end are places in the text."""
-    if not len(index.keys) or not texts:
+    if not texts or not index.ids:
         return []
     codes, borders, places = fold(texts)
-    if len(codes) < index.q:
+    return sorted(parts_found(codes, borders, places, index) + whole_found(codes, borders, places, index))
+
+
+def whole_found(codes: np.ndarray, borders: np.ndarray, places: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int]]:
+    """What search tells of short items: those held whole, between word borders."""
+    if not index.short:
+        return []
+    loose = (codes <= SPACE) | unspaced(codes)
+    edge = np.ones(len(codes) + 1, bool)
+    edge[1:-1] = loose[1:] | loose[:-1]
+    begins = np.flatnonzero(edge[:-1] & (codes > SPACE))
+    spans: dict[tuple[int, int], list] = {}
+    for n, (keys, items) in index.short.items():
+        at = begins[begins <= len(codes) - n]
+        if not len(at):
+            continue
+        hashes = gram_hashes(codes, n)[at]
+        found = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        right = keys[found] == hashes
+        at, found = at[right], found[right]
+        for k in np.unique(found):
+            for item, own in items[k]:
+                m = len(own)
+                some = at[found == k]
+                some = some[some <= len(codes) - m]
+                some = some[edge[some + m]]
+                some = some[(codes[some[:, None] + np.arange(m)] == own).all(1)]
+                for row, a in zip(np.searchsorted(borders, some, "right") - 1, some, strict=True):
+                    last = min(a + m, borders[row + 1] - 1)
+                    spans.setdefault((int(row), item), []).append((int(places[a]), int(places[last])))
+    return [(r, i, 1, 0, min(a for a, _ in x), max(b for _, b in x)) for (r, i), x in spans.items()]
+
+
+def parts_found(codes: np.ndarray, borders: np.ndarray, places: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int]]:
+    """What search tells of items that are sought in segments."""
+    if len(codes) < index.q or not len(index.keys):
         return []
     hashes = gram_hashes(codes, index.q)
     at = np.flatnonzero(index.seen[(hashes >> index.shift).astype(np.int64)])
@@ -178,36 +238,35 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     starts = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(sorted_key)])))
     kept = sizes >= index.least
-    tasks: dict[tuple[int, int], set] = {}
+    tasks: dict[int, set] = {}
     for a, size in zip(starts[kept], sizes[kept], strict=True):
         own = order[a : a + size] % len(base)
         value = int(sorted_key[a])
         low = (value % bands - 1) * step - max(len(c) for c in index.codes)
         the_row, the_item = divmod(value // bands, len(index.ids))
         spots = np.sort(inside[own])
-        for s, (begin, w) in enumerate(index.segments[the_item]):
-            held = np.searchsorted(spots, begin + w - index.q, "right") - np.searchsorted(spots, begin)
-            if held >= max(1, w + 1 - index.q * (index.budgets[w] + 1)):
-                tasks.setdefault((int(the_item), s), set()).add((int(the_row), low))
+        begin, w = index.begins[the_item], index.segments[the_item][0][1]
+        held = np.searchsorted(spots, begin + w - index.q, "right") - np.searchsorted(spots, begin)
+        for s in np.flatnonzero(held >= index.bound(w)):
+            tasks.setdefault(w, set()).add((int(the_item), int(s), int(the_row), low))
     matches: dict[tuple[int, int], list] = {}
     padded = np.concatenate((np.zeros(4 * step + near, np.uint32), codes, np.zeros(4 * step + 2 * near, np.uint32)))
     shift = 4 * step + near
-    for (the_item, s), wanted in tasks.items():
-        begin, w = index.segments[the_item][s]
+    for w, wanted in tasks.items():
         most = index.budgets[w]
-        segment = index.codes[the_item][begin : begin + w]
         spots = sorted(wanted)
         reach = w + 2 * step + 2 * most
         for part in range(0, len(spots), 4096):
             some = spots[part : part + 4096]
-            begins = np.array([low + begin - most for _, low in some])
+            segment = np.stack([index.codes[i][index.begins[i][s] :][:w] for i, s, _, _ in some])
+            begins = np.array([low + index.begins[i][s] - most for i, s, _, low in some])
             windows = padded[np.clip(begins + shift, 0, len(padded) - reach)[:, None] + np.arange(reach)]
             # what lies in another text does not count
             where = begins[:, None] + np.arange(reach)
-            rows = np.array([r for r, _ in some])
+            rows = np.array([r for _, _, r, _ in some])
             windows = np.where((where >= borders[rows][:, None]) & (where < borders[rows + 1][:, None]), windows, 0)
             edits = aligned(segment, windows, most)
-            for (r, _), b, e in zip(some, begins, edits, strict=True):
+            for (the_item, s, r, _), b, e in zip(some, begins, edits, strict=True):
                 if e <= most:
                     first = min(max(b + most, borders[r]), borders[r + 1] - 1)
                     last = min(max(b + most + w + step, borders[r]), borders[r + 1] - 1)
@@ -215,7 +274,7 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     return [(r, i, len({x[0] for x in m}), min(x[1] for x in m), min(x[2] for x in m), max(x[3] for x in m)) for (r, i), m in sorted(matches.items())]
 
 
-OPTIONS = {"q": 12, "width": 64, "per_edit": 16, "least_chars": 40}
+OPTIONS = {"q": 12, "width": 64, "per_edit": 16, "least_chars": 40, "least_short": 12}
 
 
 def sent_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int, options: dict):
@@ -231,7 +290,7 @@ def sent_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, block_
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000, **options) -> DataFrame:
     """A row for each document and item found in it: id, item id, n_segments found, edits (fewest in a segment), and
-    start and end, about where in the text the passage lies. options: q, width, per_edit, least_chars."""
+    start and end, about where in the text the passage lies. options: q, width, per_edit, least_chars, least_short."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())

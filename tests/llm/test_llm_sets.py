@@ -147,6 +147,25 @@ def test_benchmark_passages_are_found(spark, real, sf_dir):
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(texts)
 
 
+def test_short_passages_and_short_items_are_found(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 9)))
+    long = " ".join(word() for _ in range(60))[:300].strip()
+    own = " ".join(word() for _ in range(20)).replace("a", "z")
+    items = [(1, long), (2, "Who wrote the Iliad?"), (3, "法国的首都是哪里"), (4, "yes"), (5, "Name the tallest mountain in Asia")]
+    texts = [f"{own} {long[c : c + n]} {own}" for n in (71, 80, 95) for c in range(0, len(long) - n + 1, 3)]
+    want = {(i, 1) for i in range(len(texts))}
+    extra = ["He asked: who  WROTE the Iliad", "who wrote the iliads", "他问法国的首都是哪里,没人知道", "yes, who wrote it", "Name the tallest mountain in Asia!", "name the tallest fountain in asia", "surname the tallest mountain in asia"]
+    want |= {(len(texts), 2), (len(texts) + 2, 3), (len(texts) + 4, 5)}
+    docs = docs_of(spark, texts + extra)
+    for some in (items, items[1:]):
+        benchmark = spark.createDataFrame(some, "item_id bigint, text string")
+        got = decontaminate.contaminated(docs, benchmark).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d, i in want if i in dict(some)}
+        assert all((texts + extra)[r.doc_id][r.start :].lower().startswith(("who", "法国", "name")) for r in got if r.item_id > 1)
+        assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == set(range(len(texts) + len(extra))) - {r.doc_id for r in got}
+
+
 def test_banded_alignment_against_full_table():
     draw = random.Random(6)
     for _ in range(100):
