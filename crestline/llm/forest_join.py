@@ -13,7 +13,8 @@ copies is one row. Prefixes and families of any size are dealt out as pairs of b
 
 Defined results: a text with 1 to 4 words is one shingle of all its words; a text without
 words (null and empty ones) links to nothing and is a class of its own row; repeated rows are copies
-of each other; an empty table gives an empty result; further columns are not read.
+of each other; rows without id take part, and a class in which no row has an id has a null class_id; an empty table gives
+an empty result; further columns are not read.
 A link needs Jaccard similarity of at least `threshold`; n_links counts rows, copies included.
 """
 
@@ -54,8 +55,9 @@ def labels(signatures: np.ndarray, trees: int, depth: int, prefix: int) -> np.nd
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int, prefix: int, size: int) -> DataFrame:
-    """id, key (of the shingle set, null without words), shingles (their number), labels, and sketch (a byte of each minimum)."""
+    """id, name (of the text, only of rows without id), key (of the shingle set, null without words), shingles (their number), labels, and sketch (a byte of each minimum)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("name", F.when(F.col("id").isNull(), F.xxhash64("text")))
 
     def run(batches):
         for batch in batches:
@@ -68,12 +70,12 @@ def sign(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int, pr
                 sketch = (minima & np.uint32(255)).astype(np.uint8)
                 keys = [k if n else None for k, n in zip(set_keys(hashes, borders), counts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(list(under), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    ["id", "key", "shingles", "labels", "sketch"],
+                    [part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(list(under), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    ["id", "name", "key", "shingles", "labels", "sketch"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, key binary, shingles bigint, labels array<bigint>, sketch binary")
+    return rows.mapInArrow(run, f"id {kind}, name bigint, key binary, shingles bigint, labels array<bigint>, sketch binary")
 
 
 def whole_groups(batches, keys: list[str]):
@@ -198,9 +200,15 @@ def verify(sets: list[np.ndarray], block: np.ndarray, across: bool, threshold: f
     return near & (block[:, None] != block[None, :]) if across else near
 
 
-def links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
-    """(key, n, root) for each member and pair of blocks: rows linked to it and the least key of its component there."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(members.drop("shingles"), "id")
+def links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, threshold: float, unnamed: bool) -> DataFrame:
+    """(key, n, root) for each member and pair of blocks: rows linked to it and the least key of its component there; unnamed: whether members without id occur."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    members = members.drop("shingles")
+    rows = texts.join(members.drop("name"), "id").drop("id")
+    if unnamed:
+        # any row of a text without id will do, so one comes along
+        own = texts.where("id is null").select("text").distinct().withColumn("name", F.xxhash64("text"))
+        rows = rows.unionByName(own.join(members.where("id is null").drop("id"), "name").drop("name"))
 
     def cut_up(batches):
         for batch in batches:
@@ -238,18 +246,18 @@ def links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, trees: int = 14, depth: int = 6, recall: float = 0.999, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per document: id, class_id (least id of the class), n_links and n_copies (rows with the same shingle set, itself included)."""
+    """One row per document: id, class_id (least id of the class, null if no row of it has one), n_links and n_copies (rows with the same shingle set, itself included)."""
     prefix = prefix_depth(threshold, trees, depth, recall)
     signed = cut(sign(docs, id_col, text_col, trees, depth, prefix, size))
     worded = signed.where("key is not null")
     # labels and sketch depend on the key alone, so any copy's will do
-    reps = cut(worded.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")))
+    reps = cut(worded.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.min("name").alias("name"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")))
     least = max(0.0, threshold - 4.5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5)
     family = cut(families(reps, least, block_rows))
-    in_family = reps.select("key", "id", "copies", "shingles").join(family, "key")
+    in_family = reps.select("key", "id", "name", "copies", "shingles").join(family, "key")
     widths = in_family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("shingles") / block_shingles)).alias("blocks"))
     members = in_family.join(widths, "family")
-    found = cut(links(docs, members, id_col, text_col, size, threshold))
+    found = cut(links(docs, members, id_col, text_col, size, threshold, not reps.where("id is null").isEmpty()))
     counted = found.groupBy("key").agg(F.sum("n").alias("n"))
     joined = components(found.where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")))
     classes = reps.select("key", "id", "copies").join(counted, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")

@@ -100,6 +100,17 @@ def test_prefix_depth_meets_the_recall():
     assert 1 - (1 - 0.8**d) ** 14 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 14
 
 
+def test_near_copies_without_ids_are_linked(spark):
+    def text(i, last):
+        return " ".join(f"w{i}x{k}" for k in range(60)) + f" {last}"
+
+    # families of near copies: without any id, with some, and single rows; one text without id twice
+    rows = [(None, text(0, "a")), (None, text(0, "b")), (None, text(0, "b")), (7, text(1, "a")), (None, text(1, "b")), (5, text(2, "a")), (5, text(3, "a")), (None, text(4, "a")), (None, "")]
+    got = forest_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(None, None, 2, 1), (None, None, 2, 2), (None, None, 2, 2), (7, 7, 1, 1), (None, 7, 1, 1), (5, 5, 0, 1), (5, 5, 0, 1), (None, None, 0, 1), (None, None, 0, 1)]
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got) == Counter(want)
+
+
 def test_word_hashes_do_not_depend_on_the_batch():
     import pyarrow as pa
 
