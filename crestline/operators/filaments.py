@@ -7,6 +7,7 @@ type 2 at its end, a loop at its least node.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -215,15 +216,17 @@ def describe_filaments(points: DataFrame, nodes: DataFrame, edges: DataFrame, fi
     return out.select("*", F.coalesce(F.transform("m", lambda s: s["id"]), F.array().cast("array<bigint>")).alias("assignment"), F.coalesce(F.transform("m", lambda s: s["residual"]), F.array().cast("array<double>")).alias("residuals")).drop("m")
 
 
-def refine(nodes: DataFrame, edges: DataFrame, shortest: float, dims: Sequence[str] = DIMS, most_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def refine(nodes: DataFrame, edges: DataFrame, shortest: float, dims: Sequence[str] = DIMS, most_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without branches from an end to a bifurcation that are shorter than `shortest`, until there are none. nodes keeps the former
-    number as node_before; numbers run from 0 without gaps; nodes isolated from the start stay."""
+    number as node_before; numbers run from 0 without gaps; nodes isolated from the start stay. Every round takes nodes away, so there is an end; where most_rounds is given and short branches remain after it, that is an error."""
     kept, left = cut(nodes), cut(numbered(edges))
-    for _ in range(most_rounds):
+    for done in itertools.count():
         found = find_filaments(kept, left, dims)
         gone = cut(found.where((F.col("type") == 2) & (F.col("length") < shortest)).select(F.explode(F.slice("nodes", F.lit(1), F.size("nodes") - 1)).alias("node")).distinct())
         if gone.isEmpty():
             break
+        if done == most_rounds:
+            raise RuntimeError(f"short branches remain after {most_rounds} rounds")
         kept = cut(kept.join(gone, "node", "left_anti"))
         left = cut(numbered(induced(left, kept)))
     order = kept.select("node").repartitionByRange("node").withColumn("_part", F.spark_partition_id())

@@ -45,6 +45,15 @@ def test_lengths_and_curvature(spark):
     assert all(0 <= r.curvature <= 1 for r in found(*make(spark, *FORK)).values())
 
 
+def test_refinement_goes_on_until_no_arm_is_short(spark):
+    # the short arm at node 0 ends in a fork of two short arms
+    fork = ([(0, 0), (10, 0), (-10, 0), (0, 1), (-1, 2), (1, 2)], [(0, 1), (0, 2), (0, 3), (3, 4), (3, 5)])
+    nodes, _ = filaments.refine(*make(spark, *fork), 1.6)
+    assert {r.node_before for r in nodes.collect()} == {0, 1, 2}
+    with pytest.raises(RuntimeError):
+        filaments.refine(*make(spark, *fork), 1.6, most_rounds=1)
+
+
 def test_refinement_drops_short_arms_and_keeps_a_node_at_zero(spark, either_way):
     nodes, edges = filaments.refine(*make(spark, *FORK), 0.5)
     assert sorted(r.node_before for r in nodes.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
