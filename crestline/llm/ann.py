@@ -9,7 +9,7 @@ a list, and the best `rerank` of each chunk are scored exactly on the original v
 Centres and codebooks are fitted on a sample of at most `most_sample` vectors (those
 with the smallest hash); every vector is coded. How many lists a query visits is
 the least number that holds `recall` of the true neighbours within the sample, so vectors without
-clusters are scanned whole. Large lists are scanned in chunks; queries visit each
+clusters are scanned whole; a query goes on to further lists until those it visits hold k candidates. Large lists are scanned in chunks; queries visit each
 chunk as rows, so nothing grows on the driver or in a broadcast.
 
 Defined results: a vector that is null or zero, holds a null or non-finite component, or differs
@@ -143,7 +143,9 @@ def packed(codes: np.ndarray) -> np.ndarray:
 
 def best(chunk: dict, ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int):
     """The k best ids of a chunk and their exact scores for each query."""
-    rough = scan(query_tables(queries, books), chunk["codes"])
+    # powers of two keep the order of a query's sums, and all of them finite
+    small, few = (np.ldexp(x, -np.frexp(np.abs(x).max(axis, keepdims=True))[1]) for x, axis in ((queries, 1), (books, None)))
+    rough = scan(query_tables(small, few), chunk["codes"])
     rough[ids[:, None] == chunk["ids"][None]] = -np.inf
     some = min(rerank, rough.shape[1])
     picked = np.argpartition(-rough, some - 1, 1)[:, :some] if some < rough.shape[1] else np.tile(np.arange(some), (len(ids), 1))
@@ -174,7 +176,20 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     sample = packed_sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dims)
     n_lists = max(1, min(most_lists, -(-count // list_rows)))
     model = fit_arrays(sample, n_lists, k=k, recall=recall)
+    n_lists = len(model.centres)
     chunks = max(1, -(-count // (n_lists * list_rows)))
+    widths = np.zeros(n_lists, np.int64)
+
+    def count_lists(batches):
+        own = np.zeros(n_lists, np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                own += np.bincount(model.lists(batch.column(0).slice(a, 2048).flatten().to_numpy().reshape(-1, dims)), minlength=n_lists)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(own), pa.int32()), pa.array(own[own > 0], pa.int64())], ["list", "n"])
+
+    if model.probes < n_lists:
+        for r in rows.select("v").mapInArrow(count_lists, "list int, n bigint").groupBy("list").agg(F.sum("n").alias("n")).collect():
+            widths[r.list] = r.n
 
     def place(batches):
         for batch in batches:
@@ -196,17 +211,20 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 x = part.column(1).flatten().to_numpy().reshape(-1, dims)
-                near = np.argsort(-(x @ model.centres.T), 1, kind="stable")[:, : model.probes]
-                n, times = len(x), near.shape[1] * chunks
-                owner = np.repeat(np.arange(n), times)
+                near = np.argsort(-(x @ model.centres.T), 1, kind="stable")
+                # rows of the query's own id are no candidates
+                before = np.cumsum(widths[near], 1) - widths[near]
+                visited = (np.arange(n_lists) < model.probes) | (before < k + part.column(2).to_numpy()[:, None])
+                n = int(visited.sum()) * chunks
+                owner = np.repeat(np.nonzero(visited)[0], chunks)
                 raw = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(near.ravel(), chunks), pa.int32()), pa.array(np.tile(np.arange(chunks), n * near.shape[1]), pa.int64()), pa.array(np.ones(n * times), pa.int32()), part.column(0).take(pa.array(owner)), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in owner], pa.binary()), pa.nulls(n * times, pa.binary())],
+                    [pa.array(np.repeat(near[visited], chunks), pa.int32()), pa.array(np.tile(np.arange(chunks), n // chunks), pa.int64()), pa.array(np.ones(n), pa.int32()), part.column(0).take(pa.array(owner)), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in owner], pa.binary()), pa.nulls(n, pa.binary())],
                     ["list", "chunk", "kind", "id", "v", "codes"],
                 )
 
     schema = "list int, chunk bigint, kind int, id bigint, v binary, codes binary"
-    asked = rows.where(is_query).dropDuplicates(["id"])
+    asked = rows.where(is_query).groupBy("id").agg(F.first("v").alias("v"), F.count("*").alias("own"))
     both = rows.mapInArrow(place, schema).unionByName(asked.mapInArrow(visit, schema))
     dealt = both.repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
 

@@ -316,6 +316,21 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(table.limit(0), F.col("id") % 2 == 0).count() == 0
 
 
+def test_queries_in_a_small_list_go_on(spark):
+    draw = np.random.default_rng(13)
+    x = draw.normal(size=(305, 8)) * 0.05 + np.eye(8)[0] * np.where(np.arange(305) < 300, 1, -50)[:, None]
+    assert ann.fit_arrays(x, 2).probes == 1
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(304, x[304].tolist())] * 30, "vec_id bigint, embedding array<double>")
+    got = Counter(r.query_id for r in ann.search(table, F.col("id") % 4 == 0, list_rows=200).collect())
+    assert got == {q: 20 for q in range(0, 305, 4)}
+
+
+def test_large_components_take_part(spark):
+    table = spark.createDataFrame([(i, [1e20 * (i + 1), 1e20, -1e20]) for i in range(6)], "vec_id bigint, embedding array<float>")
+    got = ann.search(table, F.col("id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [5, 4, 3, 2, 1]
+
+
 def test_clustered_vectors_visit_few_lists():
     draw = np.random.default_rng(9)
     centres = draw.normal(size=(32, 16)) * 5
