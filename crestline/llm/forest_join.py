@@ -1,9 +1,11 @@
-"""Jaccard self-join of word shingles by a MinHash LSH forest.
-
-Each text has a signature of trees x depth minima; a tree orders texts by its depth minima,
-as a trie of sorted labels. Starting from whole labels, the matched prefix is shortened
-until the chance that a pair at the threshold shares one in some tree reaches the
-target recall (`prefix_depth`). Texts under one prefix are compared by their signatures,
+"""Jaccard self-join of word shingles by MinHash labels as in an LSH forest, at one fixed depth.
+
+Each text has a signature of trees x depth minima, the depth minima of a tree being its label there. The
+matched prefix of labels is the longest at which the chance that a pair at the threshold shares one in some tree
+reaches the target recall (`prefix_depth`: 4 of 6 minima as set). No trie is built, and no prefix is shortened
+for a group of its own: a forest does that to find the nearest few of a query, while a join at one threshold asks the same
+recall of every pair, so the same depth. These are fixed bands, 14 of 4 minima as set; the minima behind
+a prefix serve the sketch only. Texts under one prefix are compared by their signatures,
 and only a spanning forest of the likely pairs leaves a task; its connected components
 are families. Within a family every pair is then verified exactly on the shingle
 sets, block by block, and counted where it is found: pairs are never emitted.
