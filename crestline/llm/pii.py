@@ -1,31 +1,55 @@
 """Format-preserving pseudonyms for personal data in texts.
 
 Numbers are accepted only where they validate (Luhn for cards, mod 97 for IBANs,
-ranges for addresses and social security numbers, the calendar for dates). Each is
+ranges for addresses and social security numbers, the calendar for dates, and for phones an international
+prefix or the ranges of the North American plan). Each is
 then permuted by a keyed Feistel network within its own format: check digits, spacing and
-letter case stay right, and equal values get equal pseudonyms in every document. With the
-key the permutation can be undone.
+letter case stay right, and equal values get equal pseudonyms in every document, a day or a phone number
+also where it is written in another style. With the key the permutation can be undone.
 
 Defined results: a null text stays null; an empty text stays empty; repeated rows
 and equal values give equal results; overlapping finds go to the first kind in KINDS,
-then to the leftmost; an empty table gives an empty result; further columns pass through.
+then to the leftmost; values may be of any length, at a cost in proportion to it; letters of
+all scripts are replaced by others of their own script and case; an empty table gives an empty result; further columns pass through.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import sys
+import unicodedata
+from bisect import bisect_left
 from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crestline.llm.feistel import ALPHABETS, HEX, HEX_UPPER, Feistel, century_day, iban_check, luhn_digit
+from crestline.llm.arrow_text import row_spans
+from crestline.llm.feistel import ALPHABETS, HEX, HEX_UPPER, Feistel, iban_check, like_days, luhn_digit
+
+SPAN_BYTES = 4_000_000
+#: Values up to this length are remembered with their pseudonyms.
+REMEMBERED_CHARS = 256
+
+
+def _ranges(codes: list[int]) -> str:
+    """Code points in ascending order as ranges of a character class."""
+    out, start = [], 0
+    for i in range(1, len(codes) + 1):
+        if i == len(codes) or codes[i] != codes[i - 1] + 1:
+            out.append(re.escape(chr(codes[start])) + "-" + re.escape(chr(codes[i - 1])))
+            start = i
+    return "".join(out)
+
+
+#: Combining marks, which belong to the words of many scripts.
+MARKS = _ranges([c for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"])
 
 # What the formats look like.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]+(?:\.[\w-]+)+",
+    "email": rf"(?<![\w{MARKS}.%+-])[\w{MARKS}.%+-]{{1,64}}@[\w{MARKS}-]+(?:\.[\w{MARKS}-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_/+=-]{8,})",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
@@ -34,13 +58,24 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d/.-])(?:\d{4}([/.-])\d{2}\1\d{2}|\d{1,2}([/.-])\d{1,2}\2\d{4})(?![\d/-])|(?<!\w)\d{1,2} (?:%s) \d{4}(?!\d)|(?<!\w)(?:%s) \d{1,2}, \d{4}(?!\d)" % ("|".join(MONTHS), "|".join(MONTHS)),
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\w)\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)",
+    "phone": r"(?<![\w./-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|(?<!\w)\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)",
 }
 KINDS = list(PATTERNS)
 FINDERS = {k: re.compile(p) for k, p in PATTERNS.items()}
 DIGIT = re.compile(r"\d")
 
 
+def north_american(digits: str) -> bool:
+    """Whether ten digits are a number of the North American plan: neither area nor exchange begins with 0 or 1."""
+    return len(digits) == 10 and digits[0] > "1" and digits[3] > "1"
+
+
+def phone_parts(text: str) -> tuple[str, str]:
+    """Country code with its plus, and the rest; the code is empty if nothing sets it apart."""
+    code = re.match(r"\+1(?=\d{10}\Z)|\+\d{1,3}(?=[ .(-])|", text)[0]
+    return code, text[len(code) :]
+
+
 def good_ssn(text: str) -> bool:
     area, group, serial = text.split("-")
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
@@ -98,7 +133,8 @@ def valid(kind: str, text: str) -> bool:
     if kind == "date":
         return parse_date(text) is not None
     if kind == "phone":
-        return 8 <= len(DIGIT.findall(text)) <= 15
+        digits = "".join(DIGIT.findall(text))
+        return 8 <= len(digits) <= 15 and digits[0] != "0" if text[0] == "+" else north_american(digits)
     if kind == "secret":
         return bool(DIGIT.search(text))
     return True
@@ -129,16 +165,19 @@ def pseudonym(cipher: Feistel, kind: str, text: str, back: bool = False) -> str:
         return ".".join(str(v + low[len(o)]) for v, o in zip(new, octets, strict=True))
     if kind == "date":
         day, style = parse_date(text)
-        start, size, place = century_day(day)
-        while True:
-            # walk on to a day that reads back in the same style, as the given one does
-            place = cipher.below(f"date{start}", place, size, back)
-            new = date.fromordinal(start + place)
-            if parse_date(write_date(new, style)) == (new, style):
-                return write_date(new, style)
+        name, days = like_days(day)
+        place = cipher.below(f"date{name}", bisect_left(days, day.toordinal()), len(days), back)
+        return write_date(date.fromordinal(days[place]), style)
     if kind == "phone":
-        code = re.match(r"\+\d{1,3}(?=[ .(-])|", text)[0]
-        return code + cipher.text("phone" + code, text[len(code) :], back=back)
+        code, rest = phone_parts(text)
+        # with the code of the North American plan or none, a number is the same ten digits
+        home = code in ("", "+1") and len(DIGIT.findall(rest)) == 10
+        plan = north_american("".join(DIGIT.findall(rest)))
+
+        def good(new: str) -> bool:
+            return north_american("".join(DIGIT.findall(new))) == plan if home else new[0] != "+" or new[1] != "0"
+
+        return code + cipher.text("phone+1" if home else f"phone{code}", rest, back=back, good=good)
     if kind == "email":
         name, dot, top = text.rpartition(".")
         return cipher.text("email", name, back=back) + dot + top
@@ -157,14 +196,18 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     for kind in KINDS:
         if not (has_at if kind == "email" else has_digit):
             continue
+        own = []
         for m in FINDERS[kind].finditer(text):
             a, b = m.span("secret") if kind == "secret" else m.span()
             # a word in capitals behind an account number is not part of it
             while kind == "iban" and not valid(kind, text[a:b]) and (space := text.rfind(" ", a, b)) > a + 14:
                 b = space
-            if valid(kind, text[a:b]) and all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, kind))
-    return sorted(taken)
+            k = bisect_left(taken, (a,))
+            free = (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b)
+            if free and valid(kind, text[a:b]):
+                own.append((a, b, kind))
+        taken = sorted(taken + own)
+    return taken
 
 
 @functools.cache
@@ -181,7 +224,8 @@ def rewrite(text: str, key: bytes) -> tuple[str, list[str]]:
     """The text with pseudonyms, and the kinds of what was replaced in order."""
     out, at, kinds = [], 0, []
     for a, b, kind in spans(text):
-        out += [text[at:a], _remembered(key, kind, text[a:b], False)]
+        known = b - a <= REMEMBERED_CHARS
+        out += [text[at:a], _remembered(key, kind, text[a:b], False) if known else pseudonym(_cipher(key), kind, text[a:b])]
         kinds.append(kind)
         at = b
     return ("".join(out) + text[at:], kinds) if kinds else (text, kinds)
@@ -195,8 +239,8 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", kinds_c
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start, stop in row_spans(batch.column(place), SPAN_BYTES):
+                part = batch.slice(start, stop - start)
                 done = [(None, []) if t is None else rewrite(t, key) for t in part.column(place).to_pylist()]
                 columns = list(part.columns)
                 columns[place] = pa.array([x[0] for x in done], pa.string())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crestline.llm import ann, chat, decontaminate, forest_join, host_suffix, langid, oracles, pfair, pii, quality, token_counts
 
-#: Demonstration key; a real one comes from a key store.
+#: Demonstration key, for sessions that set none in spark.crestline.pii.key.
 PII_KEY = b"crestline demonstration key"
 
 #: Target weights of the mix; any other source has weight 2.
@@ -26,6 +26,11 @@ def id_rest(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    named = spark.conf.get("spark.crestline.pii.key", None)
+    return named.encode() if named else PII_KEY
+
+
 def op1_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,7 +66,7 @@ def op6_marginal_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY).withColumn("n_pii", F.size("pii_kinds"))
+    return pii.pseudonymise(docs, pii_key(spark)).withColumn("n_pii", F.size("pii_kinds"))
 
 
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
