@@ -1,14 +1,18 @@
 """Main text of pages with a suffix array over each host.
 
-A page is cut into blocks. Markup that names itself (navigation, header, footer, aside,
-form, adverts, notices, comments, scripts, hidden parts) is left out at once. The words of all
-remaining blocks of a host's pages are put end to end, and a suffix array to the depth
-`run` is made by prefix doubling: suffixes that agree in `run` words lie side by side.
-Runs that occur on at least `least_pages` pages of different words are boilerplate, and a block
-mostly covered by them goes. Where a page has an article element, its text is what the
-author set apart, so only blocks within it are kept, repeated or not. Where it has none but a main or content element, only
-blocks within that can be kept, and the suffix array decides which. In pages without any of these,
-what the suffix array leaves is the text, but for blocks whose text is more than half links: they go, repeated or not.
+A page is cut into blocks; elements that name themselves as something else than the article
+(navigation, footers, adverts, comments, scripts, hidden parts) are left out at once. The words of all
+remaining blocks of a host's pages are put end to end, and a suffix array is sorted to the depth
+`run` by prefix doubling. Neighbours whose longest common prefix reaches `run` words
+form an interval; one with suffixes from at least `least_pages` pages of different words is a repeated substring. Every
+longer one is made of such, so what they cover is covered by the long repeated substrings, and a block
+mostly covered is boilerplate.
+
+What the array decides: in a page with a main element, the blocks within it; else all blocks.
+One exception: an article element that holds at least half of the characters that are to be decided is what the author set
+apart as the article. Its blocks stay, repeated or not, as articles share passages too; outside of a main element
+nothing else stays then. Of the rest, blocks outside of article and main whose text is more than half links go, repeated or not, and within
+them such blocks go if any word is repeated.
 
 Rows travel once, by host. Hosts of more than `chunk_pages` pages are spread over parts of about that
 size, and at most `chunk_pages` pages are worked on at a time, so memory is bounded whatever the size of a
@@ -36,23 +40,18 @@ from crestline.llm.cut import cut
 from crestline.llm.html_blocks import Block, blocks
 from crestline.llm.shingles import ODD, mix, words
 
-#: Zone of blocks that are kept without regard to repetition.
-ARTICLE = 2
 #: Characters of pages for each bucket of runs, and runs that are held before those on enough pages of a part are thinned out.
 BUCKET_CHARS = 16_000_000
 MOST_HELD = 4_000_000
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least_pages: int) -> np.ndarray:
-    """Which tokens lie in a run of `run` tokens that occurs on at least least_pages pages; runs stay within a page."""
-    n = len(tokens)
-    if n < run:
-        return np.zeros(n, bool)
+def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """Places of all suffixes in the order of their first depth tokens, by prefix doubling."""
+    n, length = len(tokens), 1
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    length = 1
     order = np.argsort(rank, kind="stable")
-    while length < run:
-        step = min(length, run - length)
+    while length < depth:
+        step = min(length, depth - length)
         later = np.full(n, -1, np.int64)
         later[: n - step] = rank[step:]
         order = np.lexsort((later, rank))
@@ -60,12 +59,36 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least_pages: int) -
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         length += step
-    # order is the suffix array to depth run; neighbours of equal rank share the run
-    whole = np.zeros(n, bool)
-    whole[: n - run + 1] = page[run - 1 :] == page[: n - run + 1]
-    pairs = np.unique(np.stack((rank[whole], page[whole])), axis=1)
-    often = np.bincount(pairs[0], minlength=int(rank.max()) + 1)
-    return under(np.flatnonzero(whole & (often[rank] >= least_pages)), n, run)
+    return order
+
+
+def common_prefixes(tokens: np.ndarray, ends: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Length, up to most, of the longest common prefix of each suffix and the one before it in order; suffixes stop at ends."""
+    out = np.zeros(len(order), np.int64)
+    alive = np.arange(1, len(order))
+    for k in range(most):
+        a, b = order[alive - 1] + k, order[alive] + k
+        inside = (a < ends[order[alive - 1]]) & (b < ends[order[alive]])
+        alive, a, b = alive[inside], a[inside], b[inside]
+        alive = alive[tokens[a] == tokens[b]]
+        out[alive] = k + 1
+    return out
+
+
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least_pages: int) -> np.ndarray:
+    """Which tokens lie in a substring of at least `run` tokens that occurs on at least least_pages pages; substrings stay within a page."""
+    n = len(tokens)
+    if n < run:
+        return np.zeros(n, bool)
+    order, ends = suffix_array(tokens, run), np.searchsorted(page, page, "right")
+    prefix = common_prefixes(tokens, ends, order, run)
+    # an interval is a row of suffixes each of which shares run tokens with the one before it
+    interval = np.cumsum(prefix < run)
+    whole = order + run <= ends[order]
+    pages = int(page.max()) + 1
+    pairs = np.unique(interval[whole] * pages + page[order[whole]])
+    often = np.bincount(pairs // pages, minlength=int(interval[-1]) + 1)
+    return under(order[whole & (often[interval] >= least_pages)], n, run)
 
 
 def under(starts: np.ndarray, n: int, run: int) -> np.ndarray:
@@ -116,6 +139,37 @@ def often(pairs: np.ndarray, least_pages: int) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].astype(np.uint32).view(np.int32), both[:, 1]
 
 
+def settled(page: list[Block]) -> tuple[int | None, bool]:
+    """The place of the article that holds at least half of what is to be decided (None if none does), and whether anything is left to the array."""
+    main = any(b.place & 1 for b in page)
+    asked = [b for b in page if not main or b.place & 1]
+    chars: dict[int, int] = {}
+    for b in asked:
+        chars[b.place] = chars.get(b.place, 0) + len(b.text)
+    article = max((p for p in chars if p > 1), key=lambda p: (chars[p], -p), default=None)
+    if article is not None and chars[article] * 2 < sum(chars.values()):
+        article = None
+    return article, bool(asked) if article is None else main and len(chars) > 1
+
+
+def kept_blocks(page: list[Block], share: np.ndarray, most_covered: float) -> tuple[list[str], int]:
+    """Texts of the blocks that stay, and how many of the others went as repeated; share: of the words of each block, covered by the array."""
+    article, _ = settled(page)
+    main = any(b.place & 1 for b in page)
+    kept, removed = [], 0
+    for b, covered in zip(page, share, strict=True):
+        links = b.linked * 2 > len(b.text)
+        if article is not None and b.place == article:
+            kept.append(b.text)
+        elif (main and not b.place & 1) or (article is not None and not main) or (links and not b.place):
+            continue
+        elif covered > (0 if links else most_covered):
+            removed += 1
+        else:
+            kept.append(b.text)
+    return kept, removed
+
+
 def main_texts(pages: list[list[Block]], run: int, least_pages: int, most_covered: float, common: np.ndarray | None = None, salt: int = 0) -> list[tuple[str, int]]:
     """(text, number of blocks removed as repeated) of each page of one host; common: names, under salt, of runs known to be repeated."""
     flat = [b.text for p in pages for b in p]
@@ -144,16 +198,9 @@ def main_texts(pages: list[list[Block]], run: int, least_pages: int, most_covere
     share = np.bincount(row, covered, minlength=len(flat)) / np.maximum(total, 1)
     out, k = [], 0
     for p in pages:
-        inside = max((b.zone for b in p), default=0)
-        kept, removed = [], 0
-        for b in p:
-            if b.zone == inside:
-                if inside < ARTICLE and share[k] > most_covered:
-                    removed += 1
-                elif inside or b.linked * 2 <= len(b.text):
-                    kept.append(b.text)
-            k += 1
+        kept, removed = kept_blocks(p, share[k : k + len(p)], most_covered)
         out.append(("\n".join(kept), removed))
+        k += len(p)
     return out
 
 
@@ -166,8 +213,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                found = [blocks(x or "", until=ARTICLE) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pc.utf8_length(pc.fill_null(part.column(1), "")).cast(pa.int64()), pa.array([bool(x) and x[-1].zone < ARTICLE for x in found], pa.bool_())], ["host", "chars", "open"])
+                found = [settled(blocks(x or ""))[1] for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.utf8_length(pc.fill_null(part.column(1), "")).cast(pa.int64()), pa.array(found, pa.bool_())], ["host", "chars", "open"])
 
     counts = rows.select("host", "html").mapInArrow(look, "host string, chars bigint, open boolean").groupBy("host").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.max("open").alias("open"))
     # at most one host for each chunk_pages pages
@@ -183,8 +230,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 part = batch.slice(a, 512)
                 found = [blocks(x or "") for x in part.column(6).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:6], pa.array(["\n".join(b.text for b in x) for x in found], pa.string()), pa.array([[b.zone for b in x] for x in found], pa.list_(pa.int32())), pa.array([[b.linked for b in x] for x in found], pa.list_(pa.int32())), pa.nulls(part.num_rows, pa.binary())],
-                    ["id", "url", "place", "salt", "part", "order", "blocks", "zones", "linked", "runs"],
+                    [*part.columns[:6], pa.array(["\n".join(b.text for b in x) for x in found], pa.string()), pa.array([[b.place for b in x] for x in found], pa.list_(pa.int32())), pa.array([[b.linked for b in x] for x in found], pa.list_(pa.int32())), pa.nulls(part.num_rows, pa.binary())],
+                    ["id", "url", "place", "salt", "part", "order", "blocks", "places", "linked", "runs"],
                 )
 
     def list_runs(batches, buckets):
@@ -226,7 +273,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield done()
 
     columns = ["id", "url", "place", "salt", "part", "order"]
-    dealt = placed.select(*columns, "html").mapInArrow(parse, f"id {id_type}, url string, place int, salt bigint, part bigint, order bigint, blocks string, zones array<int>, linked array<int>, runs binary")
+    dealt = placed.select(*columns, "html").mapInArrow(parse, f"id {id_type}, url string, place int, salt bigint, part bigint, order bigint, blocks string, places array<int>, linked array<int>, runs binary")
     if chars:
         buckets = -(-chars // BUCKET_CHARS)
         listed = placed.where("open").select("place", "salt", "html").mapInArrow(lambda x: list_runs(x, buckets), "bucket bigint, pairs binary")
@@ -239,7 +286,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         held: list[tuple] = []
 
         def done():
-            pages_of = [[Block(*b) for b in zip(r["blocks"].split("\n"), r["zones"], r["linked"], strict=True)] if r["blocks"] else [] for r in held]
+            pages_of = [[Block(*b) for b in zip(r["blocks"].split("\n"), r["places"], r["linked"], strict=True)] if r["blocks"] else [] for r in held]
             texts = main_texts(pages_of, run, least_pages, most_covered, common, held[0]["salt"])
             return pa.RecordBatch.from_arrays(
                 [pa.array([r["id"] for r in held], id_arrow), pa.array([r["url"] for r in held], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([k for _, k in texts], pa.int64())],

@@ -1,4 +1,10 @@
-"""Blocks of text in a page, with the zone of each: inside the article, or not told by markup."""
+"""Blocks of text in a page, with the place of each: in a main element, in an article, or in neither.
+
+Left out are elements that the HTML standard sets apart from the content (nav, aside, footer, form, dialog, menu, a header
+outside of article and main, landmark roles, hidden ones, and an article within an article, which stands for a reader's comment), and
+those with a class or id all of whose parts are words for such elements (`ad`, `cookie-notice`, `comment-list`).
+A word among others (`share-price`, `form-of-address`) sets nothing apart.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +19,13 @@ RAW = set("script style noscript template svg math iframe object canvas audio vi
 DROPPED = set("nav aside footer form button dialog menu head".split())
 SCOPES = set("article aside body blockquote div dd dl fieldset figure footer form header html li main nav ol section table tbody td th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"tr", "thead"}}
-#: Parts of class names and ids that mark what is not the article.
-MARKS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer sidebar rail menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager skip form search".split())
-HEADERS = set("header topbar".split())
-NEGATIONS = set("has with no without article entry post story".split())
-ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar note".split())
-CONTENT = set("content articlebody post entry story".split())
+#: Words of class names and ids for what is not the article.
+MARKS = set("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promotions cookie cookies consent gdpr notice notices alert disclaimer sidebar menu nav navbar navigation topnav breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager search".split())
+#: Words that may stand beside these.
+BESIDE = set("area banner bar block blocks body bottom box button buttons container content form global group icons inner item items left link links list main module outer page panel post posts primary right row secondary section side site sticky thread title top unit wrap wrapper".split())
+#: Class names of a page's head, which count outside of article and main.
+HEADS = set("header topbar site-header page-header".split())
+ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
@@ -26,17 +33,17 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Block(NamedTuple):
-    """zone: 2 in an article element, 1 in a main or content element, 0 elsewhere."""
+    """place: 0 outside of main and article, else 1 in a main element plus twice the number of the article in the page, from 1; linked: characters within links."""
 
     text: str
-    zone: int
+    place: int
     linked: int
 
 
 class Open(NamedTuple):
     name: str
     dropped: bool
-    zone: int
+    place: int
     link: bool
 
 
@@ -44,8 +51,8 @@ def attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
-def marked(name: str, own: dict[str, str]) -> bool:
-    """Whether class, id, role or a hidden state set an element apart from the article."""
+def marked(name: str, own: dict[str, str], place: int) -> bool:
+    """Whether class, id, role or a hidden state set an element at a place apart from the article."""
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
         return True
     if own.get("role", "").lower() in ROLES:
@@ -53,27 +60,25 @@ def marked(name: str, own: dict[str, str]) -> bool:
     if name in ("html", "body", "main"):
         return False
     for token in f"{own.get('class', '')} {own.get('id', '')}".split():
-        parts = {p.lower() for p in PART.findall(token)}
-        if name == "article" and not parts & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}:
-            continue
-        if (parts & MARKS and not parts & {"has", "with", "no", "without"}) or (parts & HEADERS and not parts & NEGATIONS):
+        parts = {p.lower() for p in PART.findall(token) if len(p) > 1 and not p.isdigit()}
+        if (parts & MARKS and parts <= MARKS | BESIDE) or (not place and token.lower() in HEADS):
             return True
     return False
 
 
-def blocks(page: str, until: int = 3) -> list[Block]:
-    """Text blocks in page order, up to the first of zone `until`; what lies in a dropped element is left out."""
+def blocks(page: str) -> list[Block]:
+    """Text blocks in page order; what lies in a dropped element is left out."""
     found: list[Block] = []
     stack = [Open("", False, 0, False)]
     text: list[str] = []
     linked = 0
-    at = 0
+    at = articles = 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
-            found.append(Block(joined, stack[-1].zone, linked))
+            found.append(Block(joined, stack[-1].place, linked))
         text.clear()
         linked = 0
 
@@ -101,8 +106,6 @@ def blocks(page: str, until: int = 3) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
-            if found and found[-1].zone >= until:
-                return found
         elif name == "br":
             text.append(" ")
         if m[1]:
@@ -122,9 +125,14 @@ def blocks(page: str, until: int = 3) -> list[Block]:
             close(CLOSES[name], {"ul", "ol", "dl", "table", "select", "menu"})
         top = stack[-1]
         own = attributes(m[3]) if m[3].strip() else {}
-        dropped = top.dropped or name in DROPPED or (bool(own) and marked(name, own)) or (name == "header" and top.zone == 0)
-        zone = 2 if name == "article" else 1 if name == "main" or own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody" or CONTENT & {p.lower() for p in PART.findall(own.get("class", "") + " " + own.get("id", ""))} else 0
-        stack.append(Open(name, dropped, max(top.zone, zone), top.link or name == "a"))
+        dropped = top.dropped or name in DROPPED or (bool(own) and marked(name, own, top.place)) or (name == "header" and not top.place) or (name == "article" and top.place > 1)
+        place = top.place
+        if name == "article" and not dropped:
+            articles += 1
+            place += 2 * articles
+        elif name == "main" or own.get("role") == "main":
+            place |= 1
+        stack.append(Open(name, dropped, place, top.link or name == "a"))
     add(page[at:])
     flush()
     return found

@@ -238,12 +238,29 @@ PAGE = """<html><head><title>t</title></head><body class="has-sidebar"><header>S
 
 def test_main_text_of_a_page():
     found = html_blocks.blocks(PAGE)
-    assert [b.text for b in found if b.zone == 2] == ["Title & more", "One twothree four", "Next <tag> x", "i1", "i2"]
-    assert all(b.zone == 2 for b in found)
+    assert [b.text for b in found] == ["Title & more", "One twothree four", "Next <tag> x", "i1", "i2"]
+    assert {b.place for b in found} == {3} and host_suffix.settled(found) == (3, False)
     for cut in range(0, len(PAGE), 7):
         html_blocks.blocks(PAGE[:cut])
 
 
+def text_of(page):
+    return host_suffix.main_texts([html_blocks.blocks(page)], 8, 3, 0.8)[0][0]
+
+
+def test_no_word_within_a_class_name_drops_text():
+    page = "<article><h1>Prices</h1><p class='share-price'>Shares rose</p><p class=form-of-address>Dear Sir</p><div class='research results'>Found</div><p class='ad'>Buy</p><div class=social-share-buttons>f</div></article>"
+    assert text_of(page) == "Prices\nShares rose\nDear Sir\nFound"
+
+
+def test_small_articles_do_not_displace_the_text():
+    story = "The long main story goes on and on for many words here."
+    assert text_of(f"<main><h1>Head</h1><p>{story}</p><article class=card>Read next</article></main>") == f"Head\n{story}\nRead next"
+    assert text_of(f"<div class=story><p>{story}</p></div><article>Read next</article>") == f"{story}\nRead next"
+    assert text_of(f"<div>Latest</div><article><p>{story}</p><article>I agree</article></article>") == story
+    assert text_of("<article><p>One piece of text</p></article><article><p>Two piece of text</p></article><article>Three of them</article>").count("\n") == 2
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
 
@@ -280,13 +297,45 @@ def test_repeated_runs_of_a_large_host_go(spark):
 def test_repeated_runs_within_main_go(spark):
     line = "<p>Subscribe to our wonderful site for the best news every day</p>"
     menu = "<p><a href=x>To page {i}a</a> <a href=y>To page {i}b</a></p>"
-    own = [f"Own words number {i} {chr(97 + i) * 3} come here and stay {i}" for i in range(12)]
-    shape = ["<div>Outside {i}</div><main>{line}<p>{own}</p></main>", "<div class=content>{line}<p>{own}</p></div>", "<main><article>{line}<p>{own}</p></article></main>", menu + "<div>{own}</div>"]
-    rows = [(i, f"http://h{i % 4}/", shape[i % 4].format(i=i, line=line, own=own[i]), None) for i in range(12)]
+    own = [f"Own words number {i} {chr(97 + i) * 3} come here and stay {i} as this is the text that people came to read today" for i in range(15)]
+    shape = ["<div>Outside {i}</div><main>{line}<p>{own}</p></main>", "<div class=content>{line}<p>{own}</p></div>", "<main><article>{line}<p>{own}</p></article></main>", menu + "<div>{own}</div>", "<main><article><p>{own}</p></article>{line}</main>"]
+    rows = [(i, f"http://h{i % 5}/", shape[i % 5].format(i=i, line=line, own=own[i]), None) for i in range(15)]
     for chunk in (2, 256):
         got = {r.page_id: r for r in host_suffix.extract(pages_of(spark, rows), chunk_pages=chunk).collect()}
-        for i in range(12):
-            assert got[i].text == (line[3:-4] + "\n" if i % 4 == 2 else "") + own[i] and got[i].n_repeated == int(i % 4 < 2)
+        for i in range(15):
+            assert got[i].text == (line[3:-4] + "\n" if i % 5 == 2 else "") + own[i] and got[i].n_repeated == int(i % 5 in (0, 1, 4))
+
+
+def test_pages_without_article_against_brute_force(spark, sf_dir):
+    """The query's tables with articles and mains unwrapped: blocks go by the repeated runs that a plain count over whole hosts finds."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = pages.withColumn("html", F.regexp_replace("html", "</?(article|main)[^>]*>", "")).withColumn("url", F.regexp_replace("url", "//[^/]+", "//one.host"))
+    rows = pages.collect()
+    per = {r.page_id: html_blocks.blocks(r.html or "") for r in rows}
+    words = {i: [(k, w) for k, b in enumerate(p) for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", b.text.lower())] for i, p in per.items()}
+    seen: dict = {}
+    for i, w in words.items():
+        name = tuple(x for _, x in w)
+        for a in range(len(w) - 7):
+            seen.setdefault(name[a : a + 8], set()).add(name)
+    got = {r.page_id: r for r in host_suffix.extract(pages, chunk_pages=50).collect()}
+    gone = 0
+    for i, p in per.items():
+        name = [x for _, x in words[i]]
+        hit = [False] * len(name)
+        for a in range(len(name) - 7):
+            if len(seen[tuple(name[a : a + 8])]) >= 3:
+                hit[a : a + 8] = [True] * 8
+        total, covered = [0] * len(p), [0] * len(p)
+        for (k, _), h in zip(words[i], hit, strict=True):
+            total[k] += 1
+            covered[k] += h
+        want = [b.text for k, b in enumerate(p) if b.linked * 2 <= len(b.text) and covered[k] <= 0.8 * total[k]]
+        assert got[i].text == "\n".join(want)
+        gone += got[i].n_repeated
+    assert gone > 5
 
 
 def test_repeated_runs_against_brute_force():
@@ -304,6 +353,8 @@ def test_repeated_runs_against_brute_force():
             if page[i] == page[i + run - 1] and len(seen[tuple(tokens[i : i + run])]) >= least:
                 want[i : i + run] = True
         assert (host_suffix.repeated(np.array(tokens, np.uint64), np.array(page), run, least) == want).all()
+        order = host_suffix.suffix_array(np.array(tokens), 60)
+        assert [tokens[i:] for i in order] == sorted(tokens[i:] for i in range(60))
 
 
 def test_whole_table_of_pages(spark, sf_dir):
