@@ -80,15 +80,13 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least_pages: int) -
     n = len(tokens)
     if n < run:
         return np.zeros(n, bool)
-    order, ends = suffix_array(tokens, run), np.searchsorted(page, page, "right")
-    prefix = common_prefixes(tokens, ends, order, run)
+    ends, pages = np.searchsorted(page, page, "right"), int(page.max()) + 1
+    order = suffix_array(tokens, run)
+    order = order[order + run <= ends[order]]
     # an interval is a row of suffixes each of which shares run tokens with the one before it
-    interval = np.cumsum(prefix < run)
-    whole = order + run <= ends[order]
-    pages = int(page.max()) + 1
-    pairs = np.unique(interval[whole] * pages + page[order[whole]])
-    often = np.bincount(pairs // pages, minlength=int(interval[-1]) + 1)
-    return under(order[whole & (often[interval] >= least_pages)], n, run)
+    interval = np.cumsum(common_prefixes(tokens, ends, order, run) < run)
+    often = np.bincount(np.unique(interval * pages + page[order]) // pages)
+    return under(order[often[interval] >= least_pages], n, run) if len(order) else np.zeros(n, bool)
 
 
 def under(starts: np.ndarray, n: int, run: int) -> np.ndarray:
