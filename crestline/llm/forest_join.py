@@ -1,12 +1,14 @@
-"""Jaccard self-join of word shingles by MinHash labels as in an LSH forest, at one fixed depth.
-
-Each text has a signature of trees x depth minima, the depth minima of a tree being its label there. The
-matched prefix of labels is the longest at which the chance that a pair at the threshold shares one in some tree
-reaches the target recall (`prefix_depth`: 4 of 6 minima as set). No trie is built, and no prefix is shortened
-for a group of its own: a forest does that to find the nearest few of a query, while a join at one threshold asks the same
-recall of every pair, so the same depth. These are fixed bands, 14 of 4 minima as set; the minima behind
-a prefix serve the sketch only. Texts under one prefix are compared by their signatures,
-and only a spanning forest of the likely pairs leaves a task; its connected components
+"""Jaccard self-join of word shingles by a MinHash LSH forest.
+
+Each text has a signature of trees x depth minima, the depth minima of a tree being its label there. The labels of a
+tree make a prefix trie, kept as its leaves in sorted order. Texts meet at the nodes of the trie, from whole labels on: a text whose
+sub-trie still holds texts outside its own family goes on with a prefix shorter by one minimum, one that has met all of them
+stops. Shortening ends at the depth at which the chance that a pair at the threshold meets in some tree
+reaches the target recall (`prefix_depth`: 4 of 6 minima as set). So every pair of the recall is met, while the members of a
+large family are compared at the first node that holds them and not again below it. Sub-tries are dealt to
+tasks by the shortest prefix, sorted by the rest of their labels: neighbours there share the longest prefixes, and are compared first.
+
+Texts that meet are compared by their signatures, and only a spanning forest of the likely pairs leaves a task; its connected components
 are families. Within a family every pair is then verified exactly on the shingle
 sets, block by block, and counted where it is found: pairs are never emitted.
 
@@ -45,19 +47,23 @@ def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int
     raise ValueError("more trees are needed for this recall")
 
 
-def labels(signatures: np.ndarray, trees: int, depth: int, prefix: int) -> np.ndarray:
-    """One 64-bit number for each text and tree, equal where the prefixes are."""
-    out = np.zeros((len(signatures), trees), np.uint64)
+def labels(signatures: np.ndarray, trees: int, depth: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text and tree, a 64-bit number that is equal where the first `prefix` minima are, and the further minima of
+    the label, 16 bits each with the earlier ones above."""
+    top = np.zeros((len(signatures), trees), np.uint64)
+    rest = np.zeros((len(signatures), trees), np.uint64)
     for t in range(trees):
         h = np.full(len(signatures), np.uint64(t + 1))
         for d in range(prefix):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, t * depth + d])
-        out[:, t] = h
-    return out
+        top[:, t] = h
+        for d in range(prefix, depth):
+            rest[:, t] = rest[:, t] << np.uint64(16) | signatures[:, t * depth + d].astype(np.uint64) & np.uint64(0xFFFF)
+    return top, rest
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int, prefix: int, size: int) -> DataFrame:
-    """id, name (of the text, only of rows without id), key (of the shingle set, null without words), shingles (their number), labels, and sketch (a byte of each minimum)."""
+    """id, name (of the text, only of rows without id), key (of the shingle set, null without words), shingles (their number), labels (prefix and rest by tree), and sketch (a byte of each minimum)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("name", F.when(F.col("id").isNull(), F.xxhash64("text")))
 
@@ -68,16 +74,17 @@ def sign(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int, pr
                 hashes, borders = shingle_sets(part.column(1), size)
                 counts = np.diff(borders)
                 minima = min_hashes(hashes, borders, trees * depth)
-                under = labels(minima, trees, depth, prefix).view(np.int64)
+                top, rest = (pa.array(x.ravel().view(np.int64)) for x in labels(minima, trees, depth, prefix))
+                under = pa.ListArray.from_arrays(pa.array(np.arange(len(minima) + 1, dtype=np.int32) * trees), pa.StructArray.from_arrays([top, rest], ["label", "rest"]))
                 sketch = (minima & np.uint32(255)).astype(np.uint8)
                 keys = [k if n else None for k, n in zip(set_keys(hashes, borders), counts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(list(under), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    [part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), under, pa.array([x.tobytes() for x in sketch], pa.binary())],
                     ["id", "name", "key", "shingles", "labels", "sketch"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, name bigint, key binary, shingles bigint, labels array<bigint>, sketch binary")
+    return rows.mapInArrow(run, f"id {kind}, name bigint, key binary, shingles bigint, labels array<struct<label: bigint, rest: bigint>>, sketch binary")
 
 
 def whole_groups(batches, keys: list[str]):
@@ -124,40 +131,50 @@ def roots_of(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def likely_edges(table: pa.Table, starts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the likely pairs of each group, as row numbers."""
+def likely_edges(table: pa.Table, starts: np.ndarray, least: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the likely pairs of each sub-trie, as row numbers; rows are sorted by the rest of their labels, of levels minima."""
     n = table.num_rows
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
+    rest = table.column("rest").to_numpy().view(np.uint64)
     sizes = np.diff(np.concatenate((starts, [n])))
-    first = np.repeat(starts, sizes)
-    with_first = (sketch == sketch[first]).mean(1) >= least
-    u, v = [first[with_first & (first != np.arange(n))]], [np.flatnonzero(with_first & (first != np.arange(n)))]
-    odd = np.add.reduceat(~with_first, starts) > 0
+    inner = np.ones(n, bool)
+    inner[starts] = False
+    beside = inner.copy()
+    beside[1:] &= (sketch[1:] == sketch[:-1]).mean(1) >= least
+    u, v = [np.flatnonzero(beside) - 1], [np.flatnonzero(beside)]
+    odd = (np.add.reduceat(inner & ~beside, starts) > 0) & (sizes > 2)
     for a, size in zip(starts[odd], sizes[odd], strict=True):
-        if size < 3:
-            continue
-        own = sketch[a : a + size]
-        near = np.zeros((size, size), bool)
-        for i in range(size):
-            near[i] = (own == own[i]).mean(1) >= least
-        root = roots_of(near | near.T)
-        far = np.flatnonzero(root != np.arange(size))
-        u.append(a + root[far])
-        v.append(a + far)
+        own, tails = sketch[a : a + size], rest[a : a + size]
+        family = np.cumsum(~beside[a : a + size])
+        for level in range(levels + 1):
+            ends = np.append(np.flatnonzero(np.diff(tails)) + 1, size)
+            for low, high in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
+                for i in range(low, high):
+                    mine = family[low:high]
+                    if (mine == mine[0]).all():
+                        break
+                    met = np.flatnonzero((mine != family[i]) & ((own[low:high] == own[i]).mean(1) >= least))
+                    for j in met[np.unique(mine[met], return_index=True)[1]] if len(met) else ():
+                        u.append(np.array([a + i]))
+                        v.append(np.array([a + low + j]))
+                        family[family == family[low + j]] = family[i]
+            if (family == family[0]).all():
+                break
+            tails = tails >> np.uint64(16)
     return np.concatenate(u), np.concatenate(v)
 
 
-def families(reps: DataFrame, least: float, block_rows: int) -> DataFrame:
+def families(reps: DataFrame, least: float, block_rows: int, levels: int) -> DataFrame:
     """(key, family) of the representatives that may have a link."""
-    under = reps.select("key", F.explode("labels").alias("label"))
+    under = reps.select("key", F.inline("labels"))
     sizes = under.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
-    shared = under.join(sizes, "label").groupBy("key").agg(F.collect_list(F.struct("label", "n")).alias("under"))
-    spread = shared.join(reps.select("key", "sketch"), "key").select("key", "sketch", F.explode("under").alias("x")).select("key", "sketch", "x.label", F.ceil(F.col("x.n") / block_rows).alias("blocks"))
-    dealt = deal(spread, "label", [])
+    shared = under.join(sizes, "label").groupBy("key").agg(F.collect_list(F.struct("label", "rest", "n")).alias("under"))
+    spread = shared.join(reps.select("key", "sketch"), "key").select("key", "sketch", F.explode("under").alias("x")).select("key", "sketch", "x.label", "x.rest", F.ceil(F.col("x.n") / block_rows).alias("blocks"))
+    dealt = deal(spread, "label", ["rest"])
 
     def run(batches):
         for table, starts in whole_groups(batches, ["label", "i", "j"]):
-            u, v = likely_edges(table, starts, least)
+            u, v = likely_edges(table, starts, least, levels)
             keys = table.column("key").combine_chunks()
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(u)).cast(pa.binary()), keys.take(pa.array(v)).cast(pa.binary())], ["u", "v"])
 
@@ -255,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # labels and sketch depend on the key alone, so any copy's will do
     reps = cut(worded.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.min("name").alias("name"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")))
     least = max(0.0, threshold - 4.5 * (threshold * (1 - threshold) / (trees * depth)) ** 0.5)
-    family = cut(families(reps, least, block_rows))
+    family = cut(families(reps, least, block_rows, depth - prefix))
     in_family = reps.select("key", "id", "name", "copies", "shingles").join(family, "key")
     widths = in_family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("shingles") / block_shingles)).alias("blocks"))
     members = in_family.join(widths, "family")

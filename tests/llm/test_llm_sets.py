@@ -100,6 +100,30 @@ def test_prefix_depth_meets_the_recall():
     assert 1 - (1 - 0.8**d) ** 14 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 14
 
 
+def test_forest_walk_joins_what_all_pairs_join():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(14)
+    for _ in range(40):
+        n, least = int(draw.integers(1, 40)), 0.6
+        seeds = draw.integers(0, 256, (3, 20))
+        sketch = seeds[draw.integers(0, 3, n)].copy()
+        changed = draw.random((n, 20)) < draw.random() * 0.6
+        sketch[changed] = draw.integers(0, 256, int(changed.sum()))
+        rest = draw.integers(0, 3, n).astype(np.uint64) << np.uint64(16) | draw.integers(0, 2, n).astype(np.uint64)
+        group = np.sort(draw.integers(0, 3, n))
+        order = np.lexsort((rest, group))
+        sketch, rest = sketch[order].astype(np.uint8), rest[order]
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        table = pa.table({"sketch": pa.array([x.tobytes() for x in sketch], pa.binary()), "rest": pa.array(rest.view(np.int64))})
+        u, v = forest_join.likely_edges(table, starts, least, 2)
+        near = ((sketch[:, None] == sketch[None]).mean(2) >= least) & (group[:, None] == group[None])
+        tree = np.zeros((n, n), bool)
+        tree[u, v] = tree[v, u] = True
+        assert (forest_join.roots_of(tree) == forest_join.roots_of(near & ~np.eye(n, dtype=bool))).all() and len(u) < n
+        assert near[u, v].all()
+
+
 def test_near_copies_without_ids_are_linked(spark):
     def text(i, last):
         return " ".join(f"w{i}x{k}" for k in range(60)) + f" {last}"
