@@ -13,6 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        # only where the cluster names none, as in tests on one machine
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        # on one machine its own folder will do
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="crestline-"))
     return df.checkpoint(eager=True)
