@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from crestline.llm import decontaminate, forest_join, pfair, pii, quality
 from crestline.llm.cut import cut
-from crestline.llm.queries import MIX_DEFAULT, MIX_WEIGHTS, PII_KEY, id_rest, table
+from crestline.llm.queries import MIX_DEFAULT, MIX_WEIGHTS, id_rest, pii_key, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars follows the text."""
-    done = pii.pseudonymise(docs, PII_KEY, kinds_col="_kinds").drop("_kinds")
+    done = pii.pseudonymise(docs, pii_key(spark), kinds_col="_kinds").drop("_kinds")
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in done.columns else done
 
 

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where the cluster names none, as in tests on one machine, a temporary one."""
+    """The cluster's checkpoint folder; where none is named, on one machine a temporary one, and on a cluster an error."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crestline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="crestline-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
