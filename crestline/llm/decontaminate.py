@@ -10,9 +10,12 @@ budget of a segment is one edit in `per_edit` characters. An item of fewer than
 sought whole and without edits, between word borders, if it has `least_short` letters; letters of scripts
 that write words without spaces count twice, and have a border on each side.
 
-The benchmark is a stated query set: it is taken in blocks of about `block_bytes`, and
-each block's index is sent to the executors, so what is broadcast has that bound whatever the
-size of the benchmark. Each document is read whole and on its own, once a block.
+The benchmark is a stated query set: it is taken in blocks of about `block_bytes` of text. What is sent to the
+executors is a block's texts and nothing else, so that size bounds the broadcast, and each Python process makes the index of
+one block at a time from them (some 45 bytes a character). Each document is read whole and on its own, once a block; its
+pairs of a hit and a place in the benchmark are worked on PAIRS at a time, each lot with the hits that a segment begun in it may
+reach, so that memory does not grow with texts or items that repeat the same q-grams. Of the places of a segment
+the one with the most hits is verified first, and the others only while edits remain.
 
 Defined results: null or empty texts match nothing, nor do items of fewer than
 `least_short` letters, as these are words of any text; repeated rows match each by itself; repeated items
@@ -32,6 +35,8 @@ from crestline.llm.arrow_text import row_spans
 
 SPACE = 32
 SPAN_BYTES = 2_000_000
+#: Pairs of a hit and a place in the benchmark that are held at once.
+PAIRS = 1 << 20
 #: Scripts without spaces between words: Thai to Lao, Burmese, Khmer, Han with kana, and further Han.
 UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -127,8 +132,8 @@ class Index:
         place = np.concatenate([np.arange(n) for n in lengths]) if lengths else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.keys, first, often = np.unique(flat[order], return_index=True, return_counts=True)
-        self.first, self.often, self.item, self.place = first, often, item[order], place[order]
-        bits = max(16, int(np.ceil(np.log2(max(1, len(self.keys)) * 32))))
+        self.first, self.often, self.item, self.place = (x.astype(np.int32) for x in (first, often, item[order], place[order]))
+        bits = max(16, int(np.ceil(np.log2(max(1, len(self.keys)) * 16))))
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.keys >> self.shift).astype(np.int64)] = True
@@ -142,6 +147,7 @@ class Index:
         self.most = max((self.budget(w) for s in self.segments for _, w in s), default=0)
         self.least = min((self.bound(w) for s in self.segments for _, w in s), default=1)
         self.budgets = {w: self.budget(w) for s in self.segments for _, w in s}
+        self.longest = max(map(len, self.codes), default=0)
 
     def budget(self, m: int) -> int:
         """Edits allowed in a segment of m characters, so that at least one q-gram must be shared."""
@@ -206,7 +212,7 @@ def whole_found(codes: np.ndarray, borders: np.ndarray, places: np.ndarray, inde
 
 
 def parts_found(codes: np.ndarray, borders: np.ndarray, places: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int]]:
-    """What search tells of items that are sought in segments."""
+    """What search tells of items that are sought in segments; start and end span the best place of each segment found, the first of equals."""
     if len(codes) < index.q or not len(index.keys):
         return []
     hashes = gram_hashes(codes, index.q)
@@ -222,13 +228,34 @@ def parts_found(codes: np.ndarray, borders: np.ndarray, places: np.ndarray, inde
     at, found, row = at[crowd >= index.least], found[crowd >= index.least], row[crowd >= index.least]
     if not len(at):
         return []
+    matches: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
+    done: set[int] = set()
+    weight = np.cumsum(index.often[found], dtype=np.int64)
+    start = 0
+    while start < len(at):
+        stop = max(start + 1, int(np.searchsorted(weight, (weight[start - 1] if start else 0) + PAIRS, "right")))
+        reach = int(np.searchsorted(at, at[stop - 1] + near, "right"))
+        wanted = candidates(at[start:reach], found[start:reach], row[start:reach], index, np.array(sorted(done), np.int64))
+        verify(wanted, codes, borders, places, index, near, matches)
+        for (r, i), m in matches.items():
+            if len(m) == len(index.segments[i]) and not any(e for e, _, _ in m.values()):
+                done.add(r * len(index.ids) + i)
+        start = stop
+    return [(r, i, len(m), min(x[0] for x in m.values()), min(x[1] for x in m.values()), max(x[2] for x in m.values())) for (r, i), m in sorted(matches.items())]
+
+
+def candidates(at: np.ndarray, found: np.ndarray, row: np.ndarray, index: Index, done: np.ndarray) -> dict[tuple[int, int, int], list[tuple[int, int]]]:
+    """For each (row, item, segment) that may be in a text, the (less hits, lowest diagonal) of the bands that reach its bound; done: rows and items that need no more."""
     often = index.often[found]
     hit = np.repeat(np.arange(len(at)), often)
     post = np.repeat(index.first[found], often) + np.arange(len(hit)) - np.repeat(np.cumsum(often) - often, often)
-    item, inside = index.item[post], index.place[post]
-    step = index.most + 1
-    diagonal = at[hit] - inside + max(len(c) for c in index.codes)
-    band = diagonal // step
+    item = index.item[post].astype(np.int64)
+    left = ~np.isin(row[hit] * len(index.ids) + item, done)
+    hit, post, item = hit[left], post[left], item[left]
+    if not len(hit):
+        return {}
+    inside, step = index.place[post].astype(np.int64), index.most + 1
+    band = (at[hit] - inside + index.longest) // step
     bands = int(band.max()) + 2
     # each hit counts in the band that starts at its own step and in the one before: bands are two steps wide
     base = (row[hit] * len(index.ids) + item) * bands + band
@@ -238,73 +265,91 @@ def parts_found(codes: np.ndarray, borders: np.ndarray, places: np.ndarray, inde
     starts = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(sorted_key)])))
     kept = sizes >= index.least
-    tasks: dict[int, set] = {}
+    out: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     for a, size in zip(starts[kept], sizes[kept], strict=True):
         own = order[a : a + size] % len(base)
         value = int(sorted_key[a])
-        low = (value % bands - 1) * step - max(len(c) for c in index.codes)
+        low = (value % bands - 1) * step - index.longest
         the_row, the_item = divmod(value // bands, len(index.ids))
         spots = np.sort(inside[own])
         begin, w = index.begins[the_item], index.segments[the_item][0][1]
         held = np.searchsorted(spots, begin + w - index.q, "right") - np.searchsorted(spots, begin)
         for s in np.flatnonzero(held >= index.bound(w)):
-            tasks.setdefault(w, set()).add((int(the_item), int(s), int(the_row), low))
-    matches: dict[tuple[int, int], list] = {}
-    padded = np.concatenate((np.zeros(4 * step + near, np.uint32), codes, np.zeros(4 * step + 2 * near, np.uint32)))
-    shift = 4 * step + near
-    for w, wanted in tasks.items():
-        most = index.budgets[w]
-        spots = sorted(wanted)
-        reach = w + 2 * step + 2 * most
-        for part in range(0, len(spots), 4096):
-            some = spots[part : part + 4096]
-            segment = np.stack([index.codes[i][index.begins[i][s] :][:w] for i, s, _, _ in some])
-            begins = np.array([low + index.begins[i][s] - most for i, s, _, low in some])
-            windows = padded[np.clip(begins + shift, 0, len(padded) - reach)[:, None] + np.arange(reach)]
-            # what lies in another text does not count
-            where = begins[:, None] + np.arange(reach)
-            rows = np.array([r for _, _, r, _ in some])
-            windows = np.where((where >= borders[rows][:, None]) & (where < borders[rows + 1][:, None]), windows, 0)
-            edits = aligned(segment, windows, most)
-            for (the_item, s, r, _), b, e in zip(some, begins, edits, strict=True):
-                if e <= most:
-                    first = min(max(b + most, borders[r]), borders[r + 1] - 1)
-                    last = min(max(b + most + w + step, borders[r]), borders[r + 1] - 1)
-                    matches.setdefault((r, the_item), []).append((s, int(e), int(places[first]), int(places[last])))
-    return [(r, i, len({x[0] for x in m}), min(x[1] for x in m), min(x[2] for x in m), max(x[3] for x in m)) for (r, i), m in sorted(matches.items())]
+            out.setdefault((the_row, the_item, int(s)), []).append((-int(held[s]), low))
+    return out
+
+
+def verify(wanted: dict, codes: np.ndarray, borders: np.ndarray, places: np.ndarray, index: Index, near: int, matches: dict) -> None:
+    """Add to matches the segments that align within their budget, as segment -> (edits, start, end) by row and item."""
+    step, shift = index.most + 1, 4 * (index.most + 1) + near
+    padded = np.concatenate((np.zeros(shift, np.uint32), codes, np.zeros(shift + near, np.uint32)))
+    # first the band with the most hits of each segment, then the others of those that still have edits
+    first = [(*k, min(v)[1]) for k, v in wanted.items()]
+    others = [(*k, low) for k, v in wanted.items() for best in (min(v),) for less, low in v if (less, low) != best]
+    for some in (first, others):
+        by_width: dict[int, list] = {}
+        for r, i, s, low in some:
+            if matches.get((r, i), {}).get(s, (1,))[0]:
+                by_width.setdefault(index.segments[i][0][1], []).append((r, i, s, low))
+        for w, spots in by_width.items():
+            most, wide = index.budgets[w], w + 2 * step + 2 * index.budgets[w]
+            for part in range(0, len(spots), 4096):
+                lot = spots[part : part + 4096]
+                segment = np.stack([index.codes[i][index.begins[i][s] :][:w] for _, i, s, _ in lot])
+                begins = np.array([low + index.begins[i][s] - most for _, i, s, low in lot])
+                windows = padded[np.clip(begins + shift, 0, len(padded) - wide)[:, None] + np.arange(wide)]
+                # what lies in another text does not count
+                where = begins[:, None] + np.arange(wide)
+                rows = np.array([r for r, _, _, _ in lot])
+                windows = np.where((where >= borders[rows][:, None]) & (where < borders[rows + 1][:, None]), windows, 0)
+                edits = aligned(segment, windows, most)
+                for (r, i, s, _), b, e in zip(lot, begins, edits, strict=True):
+                    if e <= most:
+                        low = min(max(b + most, borders[r]), borders[r + 1] - 1)
+                        high = min(max(b + most + w + step, borders[r]), borders[r + 1] - 1)
+                        here = (int(e), int(places[low]), int(places[high]))
+                        own = matches.setdefault((r, i), {})
+                        own[s] = min(own.get(s, here), here)
 
 
 OPTIONS = {"q": 12, "width": 64, "per_edit": 16, "least_chars": 40, "least_short": 12}
 
 
-def sent_indexes(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int, options: dict):
-    """The benchmark in blocks of about block_bytes, each as a broadcast index."""
+@functools.lru_cache(1)
+def _index(block: tuple, options: tuple) -> Index:
+    return Index(list(block), **dict(options))
+
+
+def sent_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int):
+    """The benchmark in broadcast blocks of about block_bytes, each as a tuple of (item, text)."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-size // block_bytes) or 1
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         rows = part.distinct().orderBy("item", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r.item, r.text) for r in rows], **OPTIONS | options))
+        yield benchmark.sparkSession.sparkContext.broadcast(tuple((r.item, r.text) for r in rows))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000, **options) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000, **options) -> DataFrame:
     """A row for each document and item found in it: id, item id, n_segments found, edits (fewest in a segment), and
     start and end, about where in the text the passage lies. options: q, width, per_edit, least_chars, least_short."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
     result = None
-    for sent in sent_indexes(benchmark, item_col, item_text_col, block_bytes, options):
+    chosen = tuple(sorted((OPTIONS | options).items()))
+    for sent in sent_blocks(benchmark, item_col, item_text_col, block_bytes):
 
         def run(batches, sent=sent):
+            index = _index(sent.value, chosen)
             for batch in batches:
                 for a, b in row_spans(batch.column(1), SPAN_BYTES):
                     some = batch.slice(a, b - a)
-                    got = search(some.column(1).to_pylist(), sent.value)
+                    got = search(some.column(1).to_pylist(), index)
                     columns = list(zip(*got, strict=True)) if got else [()] * 6
                     yield pa.RecordBatch.from_arrays(
-                        [some.column(0).take(pa.array(columns[0], pa.int64())), pa.array([sent.value.ids[i] for i in columns[1]], item_type), *(pa.array(c, pa.int64()) for c in columns[2:])],
+                        [some.column(0).take(pa.array(columns[0], pa.int64())), pa.array([index.ids[i] for i in columns[1]], item_type), *(pa.array(c, pa.int64()) for c in columns[2:])],
                         ["id", "item", "n_segments", "edits", "start", "end"],
                     )
 
@@ -313,17 +358,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     return result.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_segments", "edits", "start", "end")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16_000_000, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000, **options) -> DataFrame:
     """The rows of docs in which nothing of the benchmark is found, each judged where it is: no shuffle."""
-    for sent in sent_indexes(benchmark, item_col, item_text_col, block_bytes, options):
+    chosen = tuple(sorted((OPTIONS | options).items()))
+    for sent in sent_blocks(benchmark, item_col, item_text_col, block_bytes):
         place = docs.columns.index(text_col)
 
         def run(batches, sent=sent, place=place):
+            index = _index(sent.value, chosen)
             for batch in batches:
                 for a, b in row_spans(batch.column(place), SPAN_BYTES):
                     some = batch.slice(a, b - a)
                     kept = np.ones(some.num_rows, bool)
-                    kept[[r[0] for r in search(some.column(place).to_pylist(), sent.value)]] = False
+                    kept[[r[0] for r in search(some.column(place).to_pylist(), index)]] = False
                     yield some.filter(pa.array(kept))
 
         docs = docs.mapInArrow(run, docs.schema)
