@@ -125,11 +125,23 @@ class Index:
                     held.setdefault(int(gram_hashes(c[:n], n)[0]), []).append((i, c))
             self.short[n] = (np.array(sorted(held), np.uint64), [held[k] for k in sorted(held)])
         self.ids += [i for i, _ in short]
-        hashes = [gram_hashes(c, q) for c in self.codes]
-        lengths = [len(h) for h in hashes]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.concatenate([np.arange(n) for n in lengths]) if lengths else np.zeros(0, np.int64)
+        self.segments: list[list[tuple[int, int]]] = []
+        #: How many segments of the item read like each of these.
+        self.copies: list[list[int]] = []
+        grams, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, c in enumerate(self.codes):
+            n, w = len(c), min(width, len(c))
+            alike: dict[bytes, list[int]] = {}
+            for b in sorted({*range(0, n - w + 1, max(1, w // 8)), n - w}):
+                alike.setdefault(c[b : b + w].tobytes(), []).append(b)
+            self.segments.append([(x[0], w) for x in alike.values()])
+            self.copies.append([len(x) for x in alike.values()])
+            # only places within these segments are looked up
+            wanted = np.unique(np.concatenate([np.arange(b, b + w - q + 1) for b, w in self.segments[-1]]))
+            grams.append(gram_hashes(c, q)[wanted])
+            item.append(np.full(len(wanted), i))
+            place.append(wanted)
+        flat, item, place = np.concatenate(grams), np.concatenate(item), np.concatenate(place)
         order = np.argsort(flat, kind="stable")
         self.keys, first, often = np.unique(flat[order], return_index=True, return_counts=True)
         self.first, self.often, self.item, self.place = (x.astype(np.int32) for x in (first, often, item[order], place[order]))
@@ -137,11 +149,6 @@ class Index:
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.keys >> self.shift).astype(np.int64)] = True
-        self.segments: list[list[tuple[int, int]]] = []
-        for c in self.codes:
-            n, w = len(c), min(width, len(c))
-            begins = sorted({*range(0, n - w + 1, max(1, w // 8)), n - w})
-            self.segments.append([(b, w) for b in begins])
         self.begins = [np.array([b for b, _ in s]) for s in self.segments]
         self.per_edit = per_edit
         self.most = max((self.budget(w) for s in self.segments for _, w in s), default=0)
@@ -173,6 +180,15 @@ def aligned(segment: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
     return cost.min(1)
 
 
+def window_names(segment: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each segment with its window."""
+    both = np.concatenate((segment, windows), 1)
+    draw = np.random.default_rng(both.shape[1]).integers(0, 1 << 63, both.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    x = both.astype(np.uint64)
+    x = (x ^ (x << np.uint64(21)) ^ (x << np.uint64(42))) * draw
+    return ((x ^ (x >> np.uint64(29))) * MULTIPLIER).sum(1, dtype=np.uint64)
+
+
 def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, segments, fewest edits, start, end) for each item found in a text; start and end are places in the text."""
     if not texts or not index.ids:
@@ -241,7 +257,7 @@ def parts_found(codes: np.ndarray, borders: np.ndarray, places: np.ndarray, inde
             if len(m) == len(index.segments[i]) and not any(e for e, _, _ in m.values()):
                 done.add(r * len(index.ids) + i)
         start = stop
-    return [(r, i, len(m), min(x[0] for x in m.values()), min(x[1] for x in m.values()), max(x[2] for x in m.values())) for (r, i), m in sorted(matches.items())]
+    return [(r, i, sum(index.copies[i][s] for s in m), min(x[0] for x in m.values()), min(x[1] for x in m.values()), max(x[2] for x in m.values())) for (r, i), m in sorted(matches.items())]
 
 
 def candidates(at: np.ndarray, found: np.ndarray, row: np.ndarray, index: Index, done: np.ndarray) -> dict[tuple[int, int, int], list[tuple[int, int]]]:
@@ -302,7 +318,10 @@ def verify(wanted: dict, codes: np.ndarray, borders: np.ndarray, places: np.ndar
                 where = begins[:, None] + np.arange(wide)
                 rows = np.array([r for r, _, _, _ in lot])
                 windows = np.where((where >= borders[rows][:, None]) & (where < borders[rows + 1][:, None]), windows, 0)
-                edits = aligned(segment, windows, most)
+                # alike segments and windows, as repetitive texts have them, are aligned once
+                names = window_names(segment, windows)
+                _, one, back = np.unique(names, return_index=True, return_inverse=True)
+                edits = aligned(segment[one], windows[one], most)[back]
                 for (r, i, s, _), b, e in zip(lot, begins, edits, strict=True):
                     if e <= most:
                         low = min(max(b + most, borders[r]), borders[r + 1] - 1)

@@ -182,6 +182,84 @@ def test_benchmark_passages_are_found(spark, real, sf_dir):
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(texts)
 
 
+def plain_fold(text):
+    return re.sub(r"\s+", " ", "".join(c.lower()[0] if c.isalnum() else " " for c in text or "")).strip()
+
+
+def fewest_edits(segments, text):
+    """Least edits of each segment (rows of equal length) to any part of text, by the full table of Sellers."""
+    m = segments.shape[1]
+    down = np.arange(m + 1)
+    column = np.tile(down, (len(segments), 1))
+    best = column[:, -1].copy()
+    for c in np.frombuffer(text.encode("utf-32-le"), np.uint32):
+        new = column + 1
+        new[:, 0] = 0
+        new[:, 1:] = np.minimum(new[:, 1:], column[:, :-1] + (segments != c))
+        column = np.minimum.accumulate(new - down, 1) + down
+        np.minimum(best, column[:, -1], out=best)
+    return best
+
+
+def plain_search(docs, items, width=64, per_edit=16, q=12, least=40):
+    """What decontamination finds, by all edit tables: doc, item, number of segments, fewest edits."""
+    out = set()
+    for i, t in items:
+        item = plain_fold(t)
+        if len(item) < least:
+            out |= {(d, i, 1, 0) for d, x in docs if len(item) >= 12 and f" {item} " in f" {plain_fold(x)} "}
+            continue
+        w = min(width, len(item))
+        begins = sorted({*range(0, len(item) - w + 1, w // 8), len(item) - w})
+        segments = np.array([[ord(c) for c in item[b : b + w]] for b in begins])
+        most = min(w // per_edit, (w - q) // q)
+        for d, x in docs:
+            edits = fewest_edits(segments, plain_fold(x))
+            if (edits <= most).any():
+                out.add((d, i, int((edits <= most).sum()), int(edits.min())))
+    return out
+
+
+def test_decontamination_against_all_edit_tables(spark):
+    draw = random.Random(21)
+    line = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 8))) for _ in range(n))
+    items = [(i, line(draw.choice([6, 12, 25, 40]))) for i in range(6)] + [(6, "ab " * 30), (7, line(25)), (8, "short one here")]
+    docs = []
+    for n in range(60):
+        _, t = draw.choice(items)
+        a = draw.randrange(max(1, len(t) - 64))
+        part = t[a : a + draw.choice([40, 64, 71, 90, 200])]
+        docs.append((n, line(draw.randrange(20)) + " " + edited(part, draw.choice([9, 12, 15, 18, 25, 60, 1000]), draw) + " " + line(draw.randrange(20))))
+    docs += [(60, "ab " * 60), (61, None), (62, "")]
+    want = plain_search(docs, items)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_segments, r.edits) for r in decontaminate.contaminated(table, benchmark).collect()}
+    assert got == want and 20 < len(want) < 62
+
+
+def test_decontamination_query_against_all_edit_tables(spark, sf_dir, real):
+    """Every third item of the benchmark, and those that the query found, over the shorter texts of the table."""
+    bench = duckdb.connect().execute(f"SELECT item_id, text FROM read_parquet('{sf_dir}/benchmark.parquet') ORDER BY item_id").fetchall()
+    short = [(i, t) for i, t in real if len(t or "") < 700]
+    got = {(r.doc_id, r.item_id, r.n_segments, r.edits) for r in queries.op1_qgram_decontamination(spark, sf_dir).collect() if r.doc_id in dict(short)}
+    seen = {i for _, i, _, _ in got}
+    items = [x for k, x in enumerate(bench) if k % 10 == 0 or x[0] in seen]
+    assert got - {x for x in got if x[1] not in dict(items)} == plain_search(short, items)
+
+
+@pytest.mark.parametrize("n", [100_000])
+def test_repetitive_texts_take_bounded_memory(n):
+    import tracemalloc
+
+    index = decontaminate.Index([(1, "ab " * 200), (2, "which of the " * 100)], **decontaminate.OPTIONS)
+    tracemalloc.start()
+    found = decontaminate.search(["ab " * n, "which of the following " * (n // 8)], index)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r, i) for r, i, *_ in found] == [(0, 0)] and most < 500_000_000
+
+
 def test_short_passages_and_short_items_are_found(spark):
     draw = random.Random(12)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 9)))
