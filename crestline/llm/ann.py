@@ -9,8 +9,9 @@ a list, and the best `rerank` of each chunk are scored exactly on the original v
 Centres and codebooks are fitted on a sample of at most `most_sample` vectors (those
 with the smallest hash); every vector is coded. How many lists a query visits is
 the least number that holds `recall` of the true neighbours within the sample, so vectors without
-clusters are scanned whole; a query goes on to further lists until those it visits hold k candidates. Large lists are scanned in chunks; queries visit each
-chunk as rows, so nothing grows on the driver or in a broadcast.
+clusters are scanned whole; a query goes on to further lists until those it visits hold k candidates. Lists beyond `chunk_bytes` of vectors are scanned in chunks; queries visit each
+chunk as rows, so nothing grows on the driver or in a broadcast. A task keeps the k best of each query over all chunks that it scans,
+and sends these on.
 
 Defined results: a vector that is null or zero, holds a null or non-finite component, or differs
 from the commonest number of dimensions takes no part, nor does a row without id;
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CODES = 16
+#: Rows of a chunk for which `rerank` are scored exactly; larger chunks have so many more scored.
+RERANK_ROWS = 2048
 
 
 @dataclass(frozen=True)
@@ -147,22 +150,33 @@ def best(chunk: dict, ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k
     small, few = (np.ldexp(x, -np.frexp(np.abs(x).max(axis, keepdims=True))[1]) for x, axis in ((queries, 1), (books, None)))
     rough = scan(query_tables(small, few), chunk["codes"])
     rough[ids[:, None] == chunk["ids"][None]] = -np.inf
-    some = min(rerank, rough.shape[1])
+    some = min(max(rerank, rough.shape[1] * rerank // RERANK_ROWS), rough.shape[1])
     picked = np.argpartition(-rough, some - 1, 1)[:, :some] if some < rough.shape[1] else np.tile(np.arange(some), (len(ids), 1))
     for q in range(len(ids)):
         mine = picked[q][np.isfinite(rough[q, picked[q]])]
-        exact = chunk["vectors"][mine] @ queries[q]
+        # summed row by row: equal vectors have equal scores wherever they lie
+        exact = (chunk["vectors"][mine] * queries[q]).sum(1)
         order = np.lexsort((chunk["ids"][mine], -exact))[:k]
         yield chunk["ids"][mine][order], exact[order]
 
 
+def top(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best of each query, by query and then nearest first."""
+    query, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[place < k], ids[place < k], score[place < k]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     return rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
 
 
-def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, rerank: int = 100, recall: float = 0.98, list_rows: int = 2048, most_lists: int = 4096, most_sample: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, rerank: int = 100, recall: float = 0.98, list_rows: int = 2048, most_lists: int = 4096, most_sample: int = 20_000, chunk_bytes: int = 64_000_000, most_held: int = 500_000) -> DataFrame:
     """(query_id, rank, id, score) of the k nearest found for each row of vectors where is_query (over the column id) holds."""
     rows = usable(vectors, id_col, vector_col)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
@@ -177,7 +191,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     n_lists = max(1, min(most_lists, -(-count // list_rows)))
     model = fit_arrays(sample, n_lists, k=k, recall=recall)
     n_lists = len(model.centres)
-    chunks = max(1, -(-count // (n_lists * list_rows)))
+    chunks = max(1, -(-count * 8 * dims // (n_lists * chunk_bytes)))
     widths = np.zeros(n_lists, np.int64)
 
     def count_lists(batches):
@@ -230,6 +244,14 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
 
     def answer(batches):
         now, parts, chunk = None, [], None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_held = 0
+
+        def sent(query, ids, score):
+            first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+            ends = pa.array(np.append(first, len(query)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(query[first]), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(score))], ["query_id", "ids", "scores"])
+
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
             starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))) if len(keys) else []
@@ -255,10 +277,19 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                     ids = some.column(3).to_numpy()
                     queries = np.frombuffer(b"".join(some.column(4).to_pylist())).reshape(len(ids), dims)
                     found = list(best(chunk, ids, queries, model.books, k, rerank))
-                    yield pa.RecordBatch.from_arrays([some.column(3), pa.array([x[0].tolist() for x in found], pa.list_(pa.int64())), pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
+                    held += [(np.full(len(x), q), x, y) for q, (x, y) in zip(ids, found, strict=True)]
+                    n_held += sum(len(x) for x, _ in found)
+                    if n_held > most_held:
+                        best_now = top(held, k)
+                        held, n_held = [best_now], len(best_now[0])
+                        if n_held > most_held // 2:
+                            yield sent(*best_now)
+                            held, n_held = [], 0
+        if n_held:
+            yield sent(*top(held, k))
 
     found = dealt.mapInArrow(answer, "query_id bigint, ids array<bigint>, scores array<double>")
-    # each chunk sends k at most, so a query's row is bounded by the chunks it visits
+    # each task sends k at most, or as often as it holds its most, so a query's row is bounded by the tasks
     pairs = F.transform(F.arrays_zip("ids", "scores"), lambda p: F.struct((-p["scores"]).alias("s"), p["ids"].alias("i")))
-    top = found.select("query_id", pairs.alias("p")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
-    return top.select("query_id", F.posexplode("p").alias("r", "x")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.i").alias(id_col), (-F.col("x.s")).alias("score"))
+    merged = found.select("query_id", pairs.alias("p")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
+    return merged.select("query_id", F.posexplode("p").alias("r", "x")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.i").alias(id_col), (-F.col("x.s")).alias("score"))

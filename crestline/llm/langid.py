@@ -1,15 +1,15 @@
 """Language identification with segmentation-marginalised unigrams.
 
-The vocabulary is a fixed public one: its pieces of letters, in lower case, a mark
+The vocabulary is a fixed public one: its pieces of letters, in lower case and those that become alike taken for one, a mark
 before those that begin a word. A language gives each piece a probability. The probability of
 a word is the sum over all ways to cut it into pieces, which a forward pass
 yields; a text's score is the sum over its words of their logs, plus the log share of the language
-among the documents learned from. Probabilities are learned from all documents of a language by one
-expectation step (forward and backward passes under equal piece probabilities): counts
-of pieces are added up per task and then by Spark, so what comes to the driver is one number for each
+among the documents learned from. Words of all documents are counted by language, in Spark; probabilities are then
+learned from these counts by expectation and maximisation, from equal piece probabilities on, until the likelihood rests: each
+round adds up expected counts of pieces (forward and backward passes) per task and then by Spark, so what comes to the driver is one number for each
 language and piece. Passes run over the distinct words of a batch at once.
 
-Defined results: a null text, or one without a letter, is `und` with score 0;
+Defined results: a word is a run of letters (`str.isalpha`), of any length; a null text, or one without a letter, is `und` with score 0;
 documents with null lang teach nothing; with no language learned every text is
 `und`; ties go to the first language by name; repeated rows count each time; letters outside the
 vocabulary have a small fixed probability; an empty table gives an empty result.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crestline.llm.arrow_text import row_spans
+from crestline.llm.cut import cut
 from crestline.llm.token_counts import vocabulary_path
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that count as word characters for `re` but are neither letters nor decimal digits, such as superscripts and fractions.
+NUMBERS = "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
 MARK = "▁"
 SPAN_BYTES = 4_000_000
-STRETCH = 48
+#: Places that the tables of a pass hold at once, over all languages or piece lengths.
+MOST_CELLS = 4_000_000
 #: Index of the piece for any other letter, and of no piece.
 OTHER, NONE = 0, 1
 
@@ -91,15 +96,15 @@ def trie(vocabulary: str) -> Trie:
     return Trie(sorted(found | {MARK}))
 
 
-def by_length(words: list[str], rows: int = 20_000):
-    """Places of words and their code points with the mark before, as tables of words of like length."""
+def by_length(words: list[str], most_cells: int, rows: int = 20_000):
+    """Places of words and their code points with the mark before, as tables of words of like length, of about most_cells or one word."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     start = 0
     while start < len(order):
         first = len(words[order[start]])
         stop = start
         cells = 0
-        while stop < len(order) and stop - start < rows and len(words[order[stop]]) <= first + 3 + first // 8 and cells < 2_000_000:
+        while stop < len(order) and stop - start < rows and len(words[order[stop]]) <= first + 3 + first // 8 and cells < most_cells:
             cells += len(words[order[stop]]) + 1
             stop += 1
         some = order[start:stop]
@@ -125,7 +130,7 @@ def walk(t: Trie, codes: np.ndarray, letters: np.ndarray, i: int):
 def log_words(t: Trie, probabilities: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word by column of probabilities (pieces by languages), over all segmentations."""
     out = np.zeros((len(words), probabilities.shape[1]))
-    for some, codes, sizes in by_length(words):
+    for some, codes, sizes in by_length(words, MOST_CELLS // max(1, probabilities.shape[1])):
         n, width = codes.shape
         letters = t.letter[codes]
         forward = np.zeros((width + 1, n, probabilities.shape[1]))
@@ -147,36 +152,51 @@ def log_words(t: Trie, probabilities: np.ndarray, words: list[str]) -> np.ndarra
     return out
 
 
-def expected_pieces(t: Trie, counts: Counter) -> np.ndarray:
-    """Expected number of uses of each piece in words with their counts, all pieces being equally likely."""
-    total = np.zeros(t.size)
-    stretched: Counter = Counter()
-    for word, n in counts.items():
-        for a in range(0, len(word), STRETCH):
-            stretched[word[a : a + STRETCH]] += n
-    words = list(stretched)
-    weight = np.array([stretched[w] for w in words], float)
+def flat_pieces(t: Trie) -> np.ndarray:
+    """Equal probabilities of all pieces, and a small one of any other letter."""
     flat = np.full(t.size, 1 / t.size)
     flat[NONE], flat[OTHER] = 0, 1e-6
-    for some, codes, sizes in by_length(words, 8_000):
+    return flat
+
+
+def expected_pieces(t: Trie, words: list[str], weight: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected number of uses of each piece in words that occur weight times, under the probabilities p, and the log likelihood of all words.
+
+    Sums are scaled at every 16th place, so words may be of any length: the true forward sum of place j is forward[j] times the
+    scales at places up to j, the backward sum has those at places from j on."""
+    total, likelihood = np.zeros(t.size), 0.0
+    for some, codes, sizes in by_length(words, MOST_CELLS // t.longest):
         n, width = codes.shape
         letters = t.letter[codes]
         found = [list(walk(t, codes, letters, i)) for i in range(width)]
         forward, backward = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+        ahead, behind = np.zeros((width + 1, n)), np.zeros((width + 1, n))
         forward[0] = 1
         for i in range(width):
+            if i % 16 == 0 and i:
+                scale = np.maximum(forward[i : i + t.longest + 1].max(0), 1e-300)
+                forward[i : i + t.longest + 1] /= scale
+                ahead[i:] += np.log(scale)
             for k, piece in found[i]:
-                forward[i + k] += forward[i] * flat[piece]
+                forward[i + k] += forward[i] * p[piece]
         backward[sizes, np.arange(n)] = 1
         for i in reversed(range(width)):
+            if i % 16 == 0 and i + 1 < width:
+                part = backward[i + 1 : i + t.longest + 2]
+                scale = part.max(0)
+                scale = np.where(scale > 0, scale, 1)
+                part /= scale
+                behind[: i + 1 + len(part)] += np.log(scale)
             for k, piece in found[i]:
-                backward[i] += backward[i + k] * flat[piece] * (i + k <= sizes)
-        share = weight[some] / np.maximum(backward[0], 1e-300)
+                backward[i] += backward[i + k] * p[piece] * (i + k <= sizes)
+        whole = np.log(np.maximum(backward[0], 1e-300)) + behind[0]
+        likelihood += float((whole * weight[some]).sum())
         for i in range(width):
             for k, piece in found[i]:
-                total += np.bincount(piece, forward[i] * flat[piece] * backward[i + k] * share, t.size)
+                share = forward[i] * p[piece] * backward[i + k] * np.exp(np.minimum(ahead[i] + behind[i + k] - whole, 700))
+                total += np.bincount(piece, share * weight[some], t.size)
     total[NONE] = 0
-    return total
+    return total, likelihood
 
 
 @dataclass(frozen=True)
@@ -188,52 +208,83 @@ class LanguageModel:
     prior: np.ndarray
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", vocabulary: str = DEFAULT_VOCABULARY, smoothing: float = 0.1) -> LanguageModel:
-    """Learn from every row whose lang is not null."""
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+def count_words(rows: DataFrame, most_words: int = 400_000) -> DataFrame:
+    """(lang, word, n) of rows (lang, text), and a row with a null word for the number of documents of each language."""
 
     def run(batches):
         held: dict[str, Counter] = {}
-        documents: Counter = Counter()
 
         def flush():
-            t = trie(vocabulary)
             for lang, counts in held.items():
-                expected = expected_pieces(t, counts)
-                some = np.flatnonzero(expected)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(expected[some])], ["lang", "piece", "n"])
-            if documents:
-                yield pa.RecordBatch.from_arrays([pa.array(list(documents), pa.string()), pa.array([-1] * len(documents), pa.int32()), pa.array([float(v) for v in documents.values()])], ["lang", "piece", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
             held.clear()
-            documents.clear()
 
         for batch in batches:
             for a, b in row_spans(batch.column(1), SPAN_BYTES):
                 part = batch.slice(a, b - a)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    documents[lang] += 1
-                    held.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
-                if sum(map(len, held.values())) > 400_000:
+                    counts = held.setdefault(lang, Counter())
+                    counts[None] += 1
+                    counts.update(WORD.findall((text or "").lower()))
+                if sum(map(len, held.values())) > most_words:
                     yield from flush()
         yield from flush()
 
-    sums = rows.mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    # one row for each language and piece of the fixed vocabulary
-    got = sums.collect()
-    names = sorted({r.lang for r in got})
-    place = {lang: i for i, lang in enumerate(names)}
-    t = trie(vocabulary)
-    counts, documents = np.zeros((t.size, len(names))), np.zeros(len(names))
-    for r in got:
-        if r.piece < 0:
-            documents[place[r.lang]] += r.n
-        else:
-            counts[r.piece, place[r.lang]] += r.n
-    counts += smoothing
+    return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def maximised(counts: np.ndarray, smoothing: float) -> np.ndarray:
+    """Probabilities from expected counts (pieces by languages)."""
+    counts = counts + smoothing
     counts[NONE] = 0
-    probabilities = counts / counts.sum(0)
-    probabilities[OTHER] = np.minimum(probabilities[OTHER], 1e-5)
-    return LanguageModel(names, probabilities, np.log(documents / documents.sum()))
+    found = counts / counts.sum(0)
+    found[OTHER] = np.minimum(found[OTHER], 1e-5)
+    return found
+
+
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", vocabulary: str = DEFAULT_VOCABULARY, smoothing: float = 0.1, rounds: int = 8, rest: float = 2e-3, history: list[float] | None = None) -> LanguageModel:
+    """Learn from every row whose lang is not null, in rounds until the log likelihood gains less than a share of rest;
+    the likelihood at the start of each round is added to history."""
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    counted = cut(count_words(rows))
+    documents = {r.lang: r.n for r in counted.where("word is null").collect()}
+    names = sorted(documents)
+    place = {lang: i for i, lang in enumerate(names)}
+    words, t = counted.where("word is not null"), trie(vocabulary)
+    probabilities = np.tile(flat_pieces(t)[:, None], (1, len(names)))
+    before = None
+    for _ in range(rounds if names else 0):
+
+        def run(batches, now=probabilities):
+            t = trie(vocabulary)
+            sums, logs = np.zeros((t.size, len(names))), 0.0
+            for batch in batches:
+                for a in range(0, batch.num_rows, 100_000):
+                    part = batch.slice(a, 100_000)
+                    langs = np.array([place[x] for x in part.column(0).to_pylist()])
+                    own, n = part.column(1), part.column(2).to_numpy().astype(float)
+                    for k in np.unique(langs):
+                        at = np.flatnonzero(langs == k)
+                        expected, log = expected_pieces(t, own.take(pa.array(at)).to_pylist(), n[at], now[:, k])
+                        sums[:, k] += expected
+                        logs += log
+            piece, lang = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(piece, -1), pa.int32()), pa.array(np.append(lang, -1), pa.int32()), pa.array(np.append(sums[piece, lang], logs))], ["piece", "lang", "n"])
+
+        # one row for each language and piece of the fixed vocabulary
+        got = words.mapInArrow(run, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        piece, lang, n = (c.to_numpy() for c in got.columns)
+        likelihood = float(n[piece < 0].sum())
+        if history is not None:
+            history.append(likelihood)
+        counts = np.zeros_like(probabilities)
+        counts[piece[piece >= 0], lang[piece >= 0]] = n[piece >= 0]
+        probabilities = maximised(counts, smoothing)
+        if before is not None and likelihood - before <= rest * abs(likelihood):
+            break
+        before = likelihood
+    shares = np.array([documents[x] for x in names], float)
+    return LanguageModel(names, probabilities, np.log(shares / shares.sum()))
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, most_words: int = 500_000) -> DataFrame:

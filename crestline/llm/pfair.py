@@ -12,7 +12,8 @@ or repeated.
 Rows are numbered without gathering a source: each falls in one of `cells` hash cells, is
 numbered within its cell, and cells are added up from their counts. Schedules are broadcast;
 their size is the number of sources times the sum of weights times the number of
-supplies (at most two a source and one), and `most_entries` checks it.
+supplies (at most two a source and one), and `most_entries` checks it. Each supply is worked out in a task of its own,
+slot by slot among all sources: some thousands of sources, with weights in the tens, are what this is made for.
 
 Defined results: rows with a null source form a source of their own with the default
 weight; ties and repeated rows are told apart arbitrarily but get one place each; texts
@@ -64,6 +65,8 @@ def schedule(supply: DataFrame) -> DataFrame:
     edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), turns)))
     kinds = one.select("all", F.posexplode(F.arrays_zip(F.slice(edges, F.lit(1), F.size(edges) - 1).alias("a"), F.slice(edges, F.lit(2), F.size(edges)).alias("b"))).alias("kind", "edge"))
     kinds = kinds.select("all", "kind", F.col("edge.a").alias("first"), F.col("edge.b").alias("last"))
+    # one kind's slots take far longer than its row is large, so tasks are counted, not sized
+    kinds = kinds.repartition(supply.sparkSession.sparkContext.defaultParallelism, "kind")
     due = kinds.withColumn("m", F.transform("all", lambda s: F.greatest(F.lit(0).cast("long"), F.least(s["w"], s["n"] - s["w"] * F.col("first")))))
     due = due.withColumn("width", F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x))
     # the state: blocks done by source, and the source placed in each slot so far
@@ -76,8 +79,9 @@ def schedule(supply: DataFrame) -> DataFrame:
         ).order
     """.replace("floor(state.done[i] * width / m[i])", "(state.done[i] * width) div m[i]").replace("ceil((state.done[i] + 1) * width / m[i])", "((state.done[i] + 1) * width + m[i] - 1) div m[i]")
     placed = due.where("width > 0").withColumn("order", F.expr(step))
-    before = Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)  # over the few kinds of frames
-    placed = placed.withColumn("start", F.coalesce(F.sum(F.expr("width * (last - first)")).over(before), F.lit(0)))
+    before = Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)  # over two numbers a kind
+    starts = due.where("width > 0").select("kind", F.coalesce(F.sum(F.expr("width * (last - first)")).over(before), F.lit(0)).alias("start"))
+    placed = placed.join(starts, "kind")
     each = placed.select("first", "last", "start", "width", "m", "order", F.posexplode("all").alias("i", "s")).withColumn("mine", F.expr("m[i]")).where("mine > 0")
     return each.select(
         F.col("s.source").alias("source"),

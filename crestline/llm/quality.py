@@ -4,13 +4,14 @@ A text is described by numbers that do not depend on its length: shares of ASCII
 characters, of hashed byte pairs, and a few shares over words and lines. Weights are
 learned on the driver from preference pairs (a document of label 1 over one of label
 0) by logistic loss on the difference of their features. The documents fitted on are
-a sample of at most `most_rows` labelled rows, those with the smallest hash. The
+a sample of at most `most_rows` labelled ones, those with the smallest hash, in the order of their ids, so
+that neither files nor tasks have an influence on the model. The
 threshold is the quantile of the learned scores that leaves the labelled share of
 good documents above it; score = sigmoid(utility - threshold).
 
 Defined results: a null text counts as empty and gets a score like any other; a
 repeated row is scored each time; a label that is null or belongs to no document is
-left out; without both labels in the sample every score is the share of good labels
+left out; of documents that repeat an id the one with the least features is learned from; without both labels in the sample every score is the share of good labels
 (0.5 with none); an empty table gives an empty result.
 """
 
@@ -43,7 +44,8 @@ class RankModel:
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.base is not None:
             return np.full(len(features), self.base)
-        utility = ((features - self.center) / self.scale) @ self.weights
+        # summed row by row, so that a score does not depend on its neighbours
+        utility = ((features - self.center) / self.scale * self.weights).sum(1)
         return 1 / (1 + np.exp(-np.clip(utility - self.threshold, -500, 500)))
 
 
@@ -97,15 +99,19 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, *, most_pairs: int = 20_000, penalty
     return RankModel(center, scale, weights, float((utility[k - 1] + utility[k]) / 2))
 
 
-def _featured(docs: DataFrame, text_col: str, extra: str, extra_type: str) -> DataFrame:
+def _featured(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with x, the features as bytes, in place of text_col, which comes last."""
+    kept = docs.drop(text_col)
+
     def run(batches):
         for batch in batches:
-            for a, b in row_spans(batch.column(1), SPAN_BYTES):
+            for a, b in row_spans(batch.column(batch.num_columns - 1), SPAN_BYTES):
                 part = batch.slice(a, b - a)
-                packed = [x.astype(np.float32).tobytes() for x in features(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["extra", "x"])
+                packed = [x.astype(np.float32).tobytes() for x in features(part.column(part.num_columns - 1))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(packed, pa.binary())], [*part.schema.names[:-1], "x"])
 
-    return docs.select(F.col(extra), F.col(text_col)).mapInArrow(run, f"extra {extra_type}, x binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return docs.select(*kept.columns, text_col).mapInArrow(run, f"{schema}, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 8192, **options) -> RankModel:
@@ -116,11 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_c
     chosen = known.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most_rows)
     # most_rows bounds what is broadcast here and what comes to the driver
     joined = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), id_col)
-    got = _featured(joined, "_text", "_y", "int").collect()
+    got = _featured(joined.select(id_col, "_y", "_text"), "_text").groupBy(id_col).agg(F.first("_y").alias("_y"), F.min("x").alias("x")).collect()
+    got.sort(key=lambda r: r[id_col])
     x = np.array([np.frombuffer(r.x, np.float32) for r in got], float).reshape(-1, N_FEATURES)
-    y = np.array([r.extra for r in got], int)
-    order = np.lexsort((*x.T[:8], y))  # the order in which tasks answered has no influence
-    return fit_pairs(x[order], y[order], **options)
+    return fit_pairs(x, np.array([r["_y"] for r in got], int), **options)
 
 
 def score(docs: DataFrame, model: RankModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def count_texts(texts: list[str | None], vocabulary: str, piece_chars: int = PIE
         for piece in pieces(text, piece_chars) if text else ():
             waiting.append(piece)
             owners.append(row)
-            held += len(piece)
+            held += len(piece) if piece.isascii() else len(piece.encode())
             if held >= call_bytes:
                 flush()
                 held = 0
@@ -95,7 +96,7 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(start, 1024)
                 texts = part.column(1).to_pylist()
                 tokens = pa.array(count_texts(texts, vocabulary, piece_chars, call_bytes), pa.int64())
-                sizes = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
+                sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, tokens], ["_id", "n_bytes", "n_tokens"])
 
     counted = rows.mapInArrow(count, f"_id {kind}, n_bytes bigint, n_tokens bigint")

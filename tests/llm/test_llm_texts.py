@@ -39,6 +39,14 @@ def test_token_counts_equal_the_library(spark, real):
     assert token_counts.token_counts(docs_of(spark, [])).count() == 0
 
 
+def test_token_query_equals_the_library(spark, sf_dir, real):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(token_counts.vocabulary_path("byte_bpe_50k.json"))
+    rows = {r.doc_id: r for r in queries.op9_token_counts(spark, sf_dir).collect()}
+    assert {i: (r.n_bytes, r.n_tokens, r.over_limit) for i, r in rows.items()} == {i: (len((t or "").encode()), n, n > 512) for i, t, _ in real for n in [len(own.encode(t or "", add_special_tokens=False).ids)]}
+
+
 def test_pieces_join_to_the_text():
     for t in ["ab cd " * 30, "x" * 500, "a\n\n b  c" * 40]:
         parts = list(token_counts.pieces(t, 16))
@@ -73,12 +81,62 @@ def test_forward_pass_sums_all_segmentations():
 
 
 def test_expected_pieces_add_up_to_letters():
-    from collections import Counter
-
     t = langid.Trie(sorted({"▁", "▁a", "a", "b", "ab"}))
-    found = langid.expected_pieces(t, Counter({"ab": 3, "ba": 1}))
+    found, _ = langid.expected_pieces(t, ["ab", "ba", "ab" * 500], np.array([3.0, 1.0, 2.0]), langid.flat_pieces(t))
     length = np.array([1, 0] + [len(x) for x in sorted({"▁", "▁a", "a", "b", "ab"})])
-    assert abs((found * length).sum() - 4 * 3) < 1e-6
+    assert abs((found * length).sum() - 4 * 3 - 2 * 1001) < 1e-6
+
+
+def test_expected_pieces_against_all_segmentations():
+    pieces = sorted({"▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"})
+    t = langid.Trie(pieces)
+    p = np.random.default_rng(2).uniform(0.01, 0.3, t.size)
+    p[langid.NONE] = 0
+    index = {s: i for i, s in enumerate(pieces, 2)}
+
+    def ways(s):
+        if not s:
+            yield ()
+        for n in range(1, len(s) + 1):
+            i = index.get(s[:n], langid.OTHER if n == 1 else langid.NONE)
+            if i != langid.NONE:
+                for w in ways(s[n:]):
+                    yield (i, *w)
+
+    want, logs = np.zeros(t.size), 0.0
+    words, weight = ["a", "ab", "babab", "abzba", "abababababababababab"], np.array([1.0, 2.0, 0.5, 3.0, 1.5])
+    for w, n in zip(words, weight, strict=True):
+        every = list(ways("▁" + w))
+        chance = np.array([p[list(x)].prod() for x in every])
+        logs += n * np.log(chance.sum())
+        for x, c in zip(every, chance / chance.sum() * n, strict=True):
+            np.add.at(want, list(x), c)
+    got, likelihood = langid.expected_pieces(t, words, weight, p)
+    assert np.allclose(got, want) and abs(likelihood - logs) < 1e-9
+
+
+def test_learning_raises_the_likelihood(spark, sf_dir):
+    history: list = []
+    model = langid.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), rounds=5, rest=0, history=history)
+    assert len(history) == 5 and all(a < b for a, b in zip(history, history[1:], strict=False))
+    assert np.allclose(model.probabilities.sum(0), 1, atol=1e-4)
+
+
+def test_language_query_against_single_words(spark, sf_dir, real):
+    """The query's predictions follow from the model by adding up each word's own forward pass."""
+    from pyspark.sql import functions as F
+
+    model = langid.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").where(queries.id_rest("doc_id", 4) != 2))
+    rows = {r.doc_id: r for r in queries.op6_marginal_unigram_langid(spark, sf_dir).select("doc_id", "lang_pred", F.round("score", 9).alias("score")).collect()}
+    t = langid.trie(langid.DEFAULT_VOCABULARY)
+    for i, text, _ in real[:60]:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words:
+            assert rows[i].lang_pred == "und"
+            continue
+        logs = model.prior + sum(langid.log_words(t, model.probabilities, [w])[0] for w in words)
+        share = np.exp(logs - logs.max())
+        assert rows[i].lang_pred == model.names[int(logs.argmax())] and abs(rows[i].score - 1 / share.sum()) < 1e-6
 
 
 def test_languages_of_odd_rows(spark):
@@ -87,6 +145,8 @@ def test_languages_of_odd_rows(spark):
     rows = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     assert (rows[0].lang_pred, rows[1].lang_pred) == ("en", "de")
     assert [rows[i].lang_pred for i in (2, 3, 4, 5)] == ["und"] * 4 and len(rows) == len(ODD) + 2
+    numbers = docs_of(spark, ["\u00b2 \u00bd 12 \u2167 \u0663", "\u6f22" * 1000])
+    assert [r.lang_pred for r in langid.identify(numbers, model).orderBy("doc_id").collect()] == ["und", "de"]
     assert langid.identify(docs, langid.fit(docs_of(spark, []))).where("lang_pred <> 'und'").isEmpty()
 
 
@@ -97,6 +157,34 @@ def test_quality(spark, sf_dir):
     assert np.mean([a == b for a, b in held]) > 0.9
 
 
+def test_quality_does_not_depend_on_the_layout(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = quality.fit(docs, labels), quality.fit(docs.union(docs).repartition(7, "text"), labels.repartition(3))
+    assert (a.weights == b.weights).all() and a.threshold == b.threshold
+    scores = [dict(quality.score(d.select("doc_id", "text"), a).select("doc_id", "score").toPandas().itertuples(index=False, name=None)) for d in (docs, docs.repartition(5, "text"))]
+    assert scores[0] == scores[1]
+
+
+def test_quality_query_against_plain_features(spark, sf_dir, real):
+    """Scores follow from the weights by features counted character by character."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels, learn=queries.id_rest("doc_id", 3) != 1)
+    rows = {r.doc_id: r for r in queries.op4_pairwise_quality(spark, sf_dir).collect()}
+    for i, text, _ in real[:80]:
+        raw = [min(c, 127) for c in (text or "").encode()]
+        counts = [0.0] * quality.N_FEATURES
+        for k, c in enumerate(raw):
+            counts[c] += 1
+            if k:
+                counts[128 + (raw[k - 1] * 131 + c * 31) % quality.PAIR_BUCKETS] += 1
+        x = np.sqrt(np.array(counts) / max(1, len(raw)))
+        words, lines = (text or "").split(), (text or "").split("\n")
+        full = [y for y in lines if y]
+        x[-6:] = np.log1p(len(words)) / 10, np.log1p(len(text or "") / max(1, len(words))) / 3, len(set(words)) / max(1, len(words)), 1 - len(set(full)) / max(1, len(full)), np.log1p(len(words) / max(1, len(lines))) / 5, not words
+        score = 1 / (1 + np.exp(-((x - model.center) / model.scale @ model.weights - model.threshold)))
+        assert abs(rows[i].score - score) < 1e-6 and rows[i].predicted == int(rows[i].score >= 0.5)
+
+
 def test_quality_of_odd_rows(spark):
     docs = docs_of(spark, ODD).withColumnRenamed("source", "score")
     model = quality.RankModel(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES), np.ones(quality.N_FEATURES), 0.0)
