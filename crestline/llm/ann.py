@@ -4,7 +4,8 @@ Vectors fall into lists around centres; what is left of a vector is coded with f
 each pair of dimensions. Codes and codebooks minimise a loss in which the error parallel to the vector
 counts more than the rest of it, as that error moves large inner products. A query's
 table holds its product with every code; a scan adds up table entries for all codes of
-a list, and the best `rerank` of each chunk are scored exactly on the original vectors.
+a list, and the best of each chunk are scored exactly on the original vectors: `rerank` at least, and the share
+of a list's rows that the scan must rank to hold `recall` of the true neighbours within the sample.
 
 Centres and codebooks are fitted on a sample of at most `most_sample` vectors (those
 with the smallest hash); every vector is coded. How many lists a query visits is
@@ -29,18 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CODES = 16
-#: Rows of a chunk for which `rerank` are scored exactly; larger chunks have so many more scored.
-RERANK_ROWS = 2048
 
 
 @dataclass(frozen=True)
 class Quantiser:
-    """centres: lists by dimensions; books: pairs of dimensions by 16 by 2; probes: lists for a query."""
+    """centres: lists by dimensions; books: pairs of dimensions by 16 by 2; probes: lists for a query; share: of a list's rows, scored exactly."""
 
     centres: np.ndarray
     books: np.ndarray
     weight: float
     probes: int
+    share: float
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.centres.T - 0.5 * (self.centres**2).sum(1)).argmax(1)
@@ -117,7 +117,19 @@ def fit_arrays(x: np.ndarray, n_lists: int, *, k: int = 20, recall: float = 0.98
     rank = np.argsort(np.argsort(-(asked @ centres.T), 1), 1)
     seen = rank[np.arange(len(asked))[:, None], at[near]]
     probes = next((p for p in range(1, n_lists + 1) if not seen.size or (seen < p).mean() >= recall), n_lists)
-    return Quantiser(centres, books, weight, probes)
+    # where the scan ranks the true neighbours that lie in visited lists, as shares of these lists
+    codes = encode(rest, direction, books, weight)
+    decoded = books[np.arange(rest.shape[1]), codes].reshape(n, -1)[:, :dims]
+    sizes, ranks = np.bincount(at, minlength=n_lists), []
+    for q, own, inside in zip(asked, near, seen < probes, strict=True):
+        order = np.argsort(-(decoded @ q), kind="stable")
+        by_list = order[np.argsort(at[order], kind="stable")]
+        place = np.empty(n)
+        place[by_list] = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ranks.append(((place[own] + 1) / sizes[at[own]])[inside])
+    ranks = np.concatenate(ranks)
+    share = float(np.quantile(ranks, recall, method="higher")) if len(ranks) else 1.0
+    return Quantiser(centres, books, weight, probes, share)
 
 
 def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -144,13 +156,13 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return (codes[:, 0::2] * CODES + codes[:, 1::2]).astype(np.uint8)
 
 
-def best(chunk: dict, ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int):
+def best(chunk: dict, ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int, share: float):
     """The k best ids of a chunk and their exact scores for each query."""
     # powers of two keep the order of a query's sums, and all of them finite
     small, few = (np.ldexp(x, -np.frexp(np.abs(x).max(axis, keepdims=True))[1]) for x, axis in ((queries, 1), (books, None)))
     rough = scan(query_tables(small, few), chunk["codes"])
     rough[ids[:, None] == chunk["ids"][None]] = -np.inf
-    some = min(max(rerank, rough.shape[1] * rerank // RERANK_ROWS), rough.shape[1])
+    some = min(max(rerank, int(np.ceil(share * rough.shape[1]))), rough.shape[1])
     picked = np.argpartition(-rough, some - 1, 1)[:, :some] if some < rough.shape[1] else np.tile(np.arange(some), (len(ids), 1))
     for q in range(len(ids)):
         mine = picked[q][np.isfinite(rough[q, picked[q]])]
@@ -276,7 +288,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                     some = part.slice(c, 128)
                     ids = some.column(3).to_numpy()
                     queries = np.frombuffer(b"".join(some.column(4).to_pylist())).reshape(len(ids), dims)
-                    found = list(best(chunk, ids, queries, model.books, k, rerank))
+                    found = list(best(chunk, ids, queries, model.books, k, rerank, model.share))
                     held += [(np.full(len(x), q), x, y) for q, (x, y) in zip(ids, found, strict=True)]
                     n_held += sum(len(x) for x, _ in found)
                     if n_held > most_held:
