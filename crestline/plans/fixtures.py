@@ -67,7 +67,7 @@ CTE = {
     "seeds3": f"""seed_means AS (SELECT CAST(label * 4 + CAST(embedding[1] > 0 AS INT) * 2 + CAST(embedding[2] > 0 AS INT) AS BIGINT) AS node,
         round(avg(CAST(embedding[1] AS DOUBLE)), 9) AS x, round(avg(CAST(embedding[2] AS DOUBLE)), 9) AS y, round(avg(CAST(embedding[3] AS DOUBLE)), 9) AS z FROM embeddings GROUP BY 1),
         seeds AS (SELECT node, x, y, z, {SIG}::DOUBLE AS sig, 1.0::DOUBLE / (SELECT count(*) FROM seed_means) AS pi FROM seed_means)""",
-    "near": """ranked AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2,
+    "near": """ranked AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2,
         row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) AS rank FROM p2 a JOIN p2 b ON a.id <> b.id)""",
     "edges": "edges AS (SELECT src, dst FROM ranked WHERE rank <= 3)",
     "flat": "flat AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges)",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from crestline.plans.fixtures import ALPHA, AREA, KSIG, SIG, ctes
+from crestline.plans.oracles_graph import ORACLES as GRAPHS
 
 DOWN = "(p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)"
 PDF = f"pow(2 * pi() * s.sig, -1.0) * exp(-({DOWN}) / (2 * s.sig))"
@@ -54,7 +55,7 @@ ORACLES: dict[str, str] = {
         g AS (SELECT *, {gradient('v', 'ix', 'iy')} AS g_ix, {gradient('v', 'iy', 'ix')} AS g_iy FROM v)
         SELECT ix, iy, round(v, 6) AS v, round(g_ix, 6) AS g_ix, round(g_iy, 6) AS g_iy, round({gradient('g_ix', 'ix', 'iy')}, 6) AS h_ix_ix, round({gradient('g_ix', 'iy', 'ix')}, 6) AS h_ix_iy,
         round({gradient('g_iy', 'ix', 'iy')}, 6) AS h_iy_ix, round({gradient('g_iy', 'iy', 'ix')}, 6) AS h_iy_iy FROM g""",
-    "short_numbers": "SELECT p_partkey AS id, round(CAST(p_retailprice AS DOUBLE), 1) AS short FROM part",
+    "short_numbers": "SELECT p_partkey AS id, CAST(round(CAST(p_retailprice AS DOUBLE), 1) AS VARCHAR) AS short FROM part",
     "vector_algebra": f"""{ctes('p3')} SELECT id, round(x * y + y * z + z * x, 6) AS dot, round(sqrt(x * x + y * y + z * z), 6) AS length,
         round(sqrt((y - x) * (y - x) + (z - y) * (z - y) + (x - z) * (x - z)), 6) AS distance, round(x / sqrt(x * x + y * y + z * z), 6) AS unit_x, round(y - x, 6) AS step_x, round(z + 2 * x, 6) AS sum_z FROM p3""",
     "segment_distance": f"""{ctes('parts')}, f AS (SELECT id, x, y, 1.0 + 49.0 * {T3} AS fx, 900.0 + 1100.0 * {T3} AS fy FROM parts)
@@ -190,3 +191,5 @@ ORACLES: dict[str, str] = {
         SELECT p.id, o.id FROM s JOIN p2 p ON p.id = s.src JOIN p2 o ON o.id <> p.id WHERE pow(((o.x - p.x) * ux + (o.y - p.y) * uy) / small, 2) + pow(((o.x - p.x) * uy - (o.y - p.y) * ux) / big, 2) <= 1""",
     "edge_text_round_trip": f"{GRAPH} SELECT src, dst FROM edges",
 }
+
+ORACLES |= GRAPHS

@@ -69,7 +69,7 @@ def grid_hessian(spark, d):
 
 @query
 def short_numbers(spark, d):
-    return parts(spark, d).select("id", F.round("y", 1).alias("short"))
+    return parts(spark, d).select("id", g.short_number(F.col("y"), 1).alias("short"))
 
 
 @query
