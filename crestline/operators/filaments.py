@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, distance, segment_distance
-from crestline.operators import dense, graph
+from crestline.operators import dense
 from crestline.operators.graph import canonical, components, degree, edge_weights, ends, hop_distances, induced, numbered, path_lengths
 from crestline.operators.mixture import responsibilities
 from crestline.operators.spatial import knn_join
-from crestline.operators.state import cut
+from crestline.operators.state import cut, limits
 
 DIMS = ("x", "y")
 
@@ -93,9 +93,10 @@ def _described(src: list, dst: list, ids: list, w: list, degrees: dict, place: d
 
 
 def _small_chains(nodes: DataFrame, weighted: DataFrame, dims: Sequence[str]) -> DataFrame | None:
-    """The filaments of a graph of at most SMALL_EDGES edges (edge_id, src, dst, w), worked out at once; None for a larger one."""
-    rows = ends(nodes, weighted, dims).limit(graph.SMALL_EDGES + 1).collect()
-    if len(rows) > graph.SMALL_EDGES:
+    """The filaments of a graph of edges (edge_id, src, dst, w) that limits().edges lets be held, worked out at once; None for a larger one."""
+    most = limits().edges
+    rows = ends(nodes, weighted, dims).limit(most + 1).collect() if most >= 0 else []
+    if len(rows) > most:
         return None
     degrees: dict = {}
     place: dict = {}
@@ -116,11 +117,17 @@ def _small_chains(nodes: DataFrame, weighted: DataFrame, dims: Sequence[str]) ->
     return nodes.sparkSession.createDataFrame([(i, *f) for i, f in enumerate(found)], "fil_id bigint, type int, length double, curvature double, nodes array<bigint>, edges array<bigint>")
 
 
-def find_filaments(nodes: DataFrame, edges: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+def find_filaments(nodes: DataFrame, edges: DataFrame, dims: Sequence[str] = DIMS, *, between: bool = True) -> DataFrame:
     """(fil_id, type, length, curvature, nodes, edges): chains of degree-2 nodes between other nodes, as whole paths. Curvature is
     1 - chord / length. fil_id counts from 0 over loops, then paths with an end, then those between bifurcations, by their nodes.
+    Without `between` those between bifurcations are left out; the others keep their numbers.
 
     Chains are found as components of the degree-2 nodes, and each is put in order in a group of its own."""
+    found = _filaments(nodes, edges, dims)
+    return found if between else found.where("type <> 3")
+
+
+def _filaments(nodes: DataFrame, edges: DataFrame, dims: Sequence[str]) -> DataFrame:
     flat = edges if "edge_id" in edges.columns else numbered(edges)
     weighted = edge_weights(nodes, flat.select("edge_id", "src", "dst"), dims)
     held = _small_chains(nodes, weighted, dims)

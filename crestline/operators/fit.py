@@ -2,7 +2,7 @@
 
 The model (nodes, edges) is small: it lives on the driver and goes to the tasks with
 their function, as in other mixture fits on Spark. Points stay where they are (unless
-there are at most SMALL_POINTS of them, where the driver makes the rounds); in each round a task reads its points once, compares them with the nodes of near cells
+there are at most limits().points of them, where the driver makes the rounds); in each round a task reads its points once, compares them with the nodes of near cells
 only, and sends back one row of sums for each node it met. So a round is a single pass
 with one small shuffle, whatever the number of points. The number of nodes is checked against
 MOST_NODES.
@@ -23,14 +23,12 @@ from crestline.functions.stats import bandwidth
 from crestline.operators import dense
 from crestline.operators.graph import prune
 from crestline.operators.mixture import box_area
-from crestline.operators.state import cut
-from crestline.operators.topology import LOCAL_NODES, TOPOLOGIES, subsamples
+from crestline.operators.state import cut, limits
+from crestline.operators.topology import TOPOLOGIES, subsamples
 
 DIMS = ("x", "y")
 #: Nodes of a model: its table is sent with each task (under 10 MB) and solved on the driver.
 MOST_NODES = 100_000
-#: Points, a few MB, over which the driver makes the rounds of a fit itself; the same sums over more are a pass of Spark.
-SMALL_POINTS = 200_000
 #: Topologies of node sets held in one place.
 DIRECT = {"mst": dense.spanning_tree, "relative_neighbours": dense.relative_neighbour_pairs, "delaunay": dense.delaunay_pairs}
 
@@ -39,7 +37,7 @@ DIRECT = {"mst": dense.spanning_tree, "relative_neighbours": dense.relative_neig
 class FitParameters:
     """What a fit needs; the defaults are the usual ones."""
 
-    topology: str = "mst"
+    topology: str | Callable[[DataFrame], DataFrame] = "mst"
     a0: float = 0.1
     lam: float = 1.0
     lam_sig: float = 5.0
@@ -102,7 +100,7 @@ class GraphModel:
 def local_edges(name_or_build: str | Callable, ids: np.ndarray, x: np.ndarray, dims: Sequence[str], spark) -> np.ndarray:
     """Edges of a topology as places in ids. Trees and proximity graphs of a model are worked out at once on the driver;
     any other builder is called with a table of the nodes."""
-    if name_or_build in DIRECT:
+    if isinstance(name_or_build, str) and name_or_build in DIRECT:
         return DIRECT[name_or_build](x)
     build = TOPOLOGIES[name_or_build] if isinstance(name_or_build, str) else name_or_build
     table = spark.createDataFrame([(int(i), *map(float, r)) for i, r in zip(ids, x, strict=True)], f"node bigint, {', '.join(f'{d} double' for d in dims)}")
@@ -285,7 +283,7 @@ def rounds(sums_of: Callable, edges_of: Callable, ids: np.ndarray, x: np.ndarray
     return GraphModel(ids, x, sig, pi, edges, alpha, area, par.background, tuple(dims), tuple(movements), tuple(objectives), before)
 
 
-def fit_graph(points: DataFrame, nodes: DataFrame, par: FitParameters, *, dims: Sequence[str] = DIMS, with_objective: bool = False, small_points: int = SMALL_POINTS) -> GraphModel:
+def fit_graph(points: DataFrame, nodes: DataFrame, par: FitParameters, *, dims: Sequence[str] = DIMS, with_objective: bool = False, small_points: int | None = None) -> GraphModel:
     """Fit nodes(node, x, y[, z][, sig][, pi]) to points. Stops when no node moves more than eps, or the objective settles,
     or after max_rounds. The result keeps movements (and objectives, if asked for) of each round."""
     if par.covariance != "spherical":
@@ -311,8 +309,9 @@ def fit_graph(points: DataFrame, nodes: DataFrame, par: FitParameters, *, dims:
 
     lam = par.lam if per_node else par.lam / start
     try:
-        some = held.select(*dims).limit(small_points + 1).toArrow()
-        if some.num_rows <= small_points:
+        most = limits().points if small_points is None else small_points
+        some = held.select(*dims).limit(max(most, 0) + 1).toArrow()
+        if some.num_rows <= most:
             sums_of = local_sums(finite_rows([some.column(c).to_numpy().astype(float) for c in dims]), par)
         else:
             sums_of = distributed_sums(held, par, dims)
@@ -325,7 +324,8 @@ def fit_from_points(points: DataFrame, par: FitParameters, dims: Sequence[str] =
     """Fit with the points themselves as nodes, after dropping those in the outer onion layers of their graph where denoising is above 0."""
     nodes = points.select(F.col("id").alias("node"), *dims)
     if par.denoising > 0:
-        nodes = prune(nodes, TOPOLOGIES[par.topology](nodes), par.denoising).select("node", *dims)
+        build = TOPOLOGIES[par.topology] if isinstance(par.topology, str) else par.topology
+        nodes = prune(nodes, build(nodes), par.denoising).select("node", *dims)
     nodes = nodes.persist()
     try:
         return fit_graph(nodes.withColumnRenamed("node", "id"), nodes, par, dims=dims)
@@ -350,16 +350,16 @@ def fit_sample(ids: np.ndarray, x: np.ndarray, par: FitParameters, dims: Sequenc
     return rounds(local_sums(x, par), DIRECT[par.topology], ids, x, np.full(k, par.sig), pi, par.lam / par.sig, area, par, dims)
 
 
-def bootstrap_fits(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS, local_points: int = LOCAL_NODES) -> tuple[DataFrame, DataFrame]:
+def bootstrap_fits(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS, local_points: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rep, node, x, ...) and (rep, src, dst) of fits to par.reps samples of int(N share) points. An error in a replica is raised, not hidden.
-    Samples of at most local_points points are fitted in parallel, one in a task; larger ones one after another, each distributed."""
+    Samples of at most local_points points (limits().nodes, if not given) are fitted in parallel, one in a task; larger ones one after another, each distributed."""
     spark = points.sparkSession
     size = int(points.count() * par.share)
     place = ", ".join(f"{c} double" for c in dims)
     drawn = subsamples(points.select(F.col("id").cast("long").alias("node"), *[F.col(c).cast("double").alias(c) for c in dims]), par.reps, size, par.seed)
     if par.sig is None:
         par = par.with_bandwidth(points, dims)
-    if size <= local_points and par.topology in DIRECT:
+    if size <= (limits().nodes if local_points is None else local_points) and isinstance(par.topology, str) and par.topology in DIRECT:
 
         def run(table: pa.Table) -> pa.Table:
             order = np.argsort(table.column("node").to_numpy(), kind="stable")

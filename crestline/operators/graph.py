@@ -15,12 +15,9 @@ from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, distance
 from crestline.operators import dense
-from crestline.operators.state import cut
+from crestline.operators.state import cut, limits
 
 DIMS = ("x", "y")
-#: Distinct edges of a graph that the driver may hold, under 5 MB. Loops over such a graph run on it at once, or on copies of it
-#: in the tasks that hold the sources; larger graphs go through rounds of joins.
-SMALL_EDGES = 200_000
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -34,8 +31,8 @@ def numbered(edges: DataFrame) -> DataFrame:
     if held is not None:
         keep = held.start < held.to
         order = np.lexsort((held.to[keep], held.start[keep]))
-        pairs = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(held.ids[held.start[keep][order]], held.ids[held.to[keep][order]], strict=True))]
-        return edges.sparkSession.createDataFrame(pairs, "edge_id bigint, src bigint, dst bigint")
+        found = pa.table({"edge_id": np.arange(len(order)), "src": held.ids[held.start[keep][order]], "dst": held.ids[held.to[keep][order]]})
+        return edges.sparkSession.createDataFrame(found)
     rows = canonical(edges).repartitionByRange("src", "dst").withColumn("_part", F.spark_partition_id())
     rows = cut(rows)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,12 +42,16 @@ def numbered(edges: DataFrame) -> DataFrame:
 
 
 def small(edges: DataFrame) -> dense.Compact | None:
-    """The graph of canonical edges(src, dst[, w]) if it has at most SMALL_EDGES of them."""
-    rows = edges.limit(SMALL_EDGES + 1).collect()
-    if len(rows) > SMALL_EDGES:
+    """The graph of canonical edges(src, dst[, w]) if limits().edges lets it be held. Loops over such a graph run on it at once, or on
+    copies of it in the tasks that hold the sources."""
+    most = limits().edges
+    if most < 0:
         return None
-    pairs = np.array([(r["src"], r["dst"]) for r in rows], np.int64).reshape(-1, 2)
-    return dense.Compact(pairs[:, 0], pairs[:, 1], np.array([r["w"] for r in rows], float) if "w" in edges.columns else None)
+    rows = edges.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return None
+    src, dst = (rows.column(c).to_numpy().astype(np.int64) for c in ("src", "dst"))
+    return dense.Compact(src, dst, rows.column("w").to_numpy().astype(float) if "w" in edges.columns else None)
 
 
 def _walks(sources: DataFrame, held: dense.Compact, by_hops: bool) -> DataFrame:

@@ -54,8 +54,10 @@ def position_uncertainty(nodes: DataFrame, replicas: DataFrame, dims: Sequence[s
     def nearest(table: pa.Table) -> pa.Table:
         there = np.stack([table.column(d).to_numpy() for d in dims], 1)
         best = np.full(len(x), np.inf)
-        for a in range(0, len(there), 1024):
-            best = np.minimum(best, ((x[:, None, :] - there[None, a : a + 1024]) ** 2).sum(2).min(1))
+        step = max(1, 4_000_000 // max(1, len(x)))
+        for a in range(0, len(there), step):
+            d2 = sum((x[:, j, None] - there[None, a : a + step, j]) ** 2 for j in range(len(dims)))
+            best = np.minimum(best, d2.min(1))
         return pa.table({"node": ids, "d2": best})
 
     found = replicas.select("rep", *dims).groupBy("rep").applyInArrow(nearest, "node bigint, d2 double")

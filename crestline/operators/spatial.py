@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, squared_distance
 from crestline.operators import dense
-from crestline.operators.state import cut
+from crestline.operators.state import cut, limits
 
 DIMS = ("x", "y")
-#: Points whose coordinates go along with a task's function, under 1 MB; more are joined by cells.
-SMALL_POINTS = 20_000
 
 
 def _cell(dims: Sequence[str], prefix: str, width) -> list[Column]:
@@ -42,20 +40,24 @@ def _named(rows: DataFrame, id_col: str, dims: Sequence[str], prefix: str, extra
 
 def range_join(left: DataFrame, right: DataFrame, radius: float | str, *, left_id: str = "id", right_id: str = "node", dims: Sequence[str] = DIMS, left_extra: Sequence[str] = (), right_extra: Sequence[str] = ()) -> DataFrame:
     """Pairs of l_id and r_id at distance `radius` or less, with coordinates, extra columns and d2.
-    radius is a number or a column of right; cells are as wide as the largest radius, and each row of right visits
-    the cells around its own."""
+    radius is a number or a column of right. Cells are as wide as the radius, and each row of right visits
+    the cells around its own; rows of right with unlike radii have cells by powers of two of these, so that a
+    wide one does not widen the cells of the others, and rows of left have a cell of each such width."""
     l_rows = _named(left, left_id, dims, "l_", left_extra)
     if isinstance(radius, str):
-        widest = right.agg(F.max(radius).alias("r")).first().r
         r_rows = _named(right, right_id, dims, "r_", [*right_extra, *([] if radius in right_extra else [radius])])
-        limit = F.col(f"r_{radius}") * F.col(f"r_{radius}")
+        own = F.col(f"r_{radius}")
+        limit = own * own
+        # at most some hundred of them, whatever the number of rows
+        r_rows = r_rows.where(own >= 0).withColumn("_w", F.when(own > 0, F.pow(F.lit(2.0), F.ceil(F.log2(own)))).otherwise(1.0))
+        widths = sorted(r["_w"] for r in r_rows.select("_w").distinct().collect()) or [1.0]
     else:
-        widest, limit, r_rows = radius, F.lit(radius * radius), _named(right, right_id, dims, "r_", right_extra)
-    if not widest or widest <= 0:
-        widest = 1.0
-    cells = [f"_c_{d}" for d in dims]
-    l_rows = l_rows.select("*", *_cell(dims, "l_", widest))
-    joined = l_rows.join(_near_cells(r_rows, dims, "r_", widest), cells).drop(*cells)
+        limit, widths = F.lit(radius * radius), [float(radius) if radius > 0 else 1.0]
+        r_rows = _named(right, right_id, dims, "r_", right_extra).withColumn("_w", F.lit(widths[0]))
+    cells = ["_w", *[f"_c_{d}" for d in dims]]
+    l_rows = l_rows.withColumn("_w", F.explode(F.array(*map(F.lit, widths))) if len(widths) > 1 else F.lit(widths[0]))
+    l_rows = l_rows.select("*", *_cell(dims, "l_", F.col("_w")))
+    joined = l_rows.join(_near_cells(r_rows, dims, "r_", F.col("_w")), cells).drop(*cells)
     return joined.withColumn("d2", squared_distance(columns(dims, "l_"), columns(dims, "r_"))).where(F.col("d2") <= limit)
 
 
@@ -79,7 +81,7 @@ def _knn_small(queries: DataFrame, points: DataFrame, k: int, query_id: str, poi
 def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "id", point_id: str = "id", dims: Sequence[str] = DIMS, exclude_self: bool = False, most_rounds: int = 60) -> DataFrame:
     """The k nearest points of each query, ties to the smaller id: q_id, rank (from 1), p_id and d2.
 
-    Up to SMALL_POINTS points go to every task and are compared with all its queries. Beyond, a round looks at the cells around a query; an answer stands when its k-th distance is within the width of
+    Up to limits().neighbours points go to every task and are compared with all its queries. Beyond, a round looks at the cells around a query; an answer stands when its k-th distance is within the width of
     a cell, since nearer points cannot lie further out. Other queries go on with cells twice as wide.
     """
     some = points.agg(F.count("*").alias("n"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("a", F.min), ("b", F.max))]).first()
@@ -99,7 +101,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "
     found = None
     left = _named(queries, query_id, dims, "q_")
     every = _named(points, point_id, dims, "p_")
-    if some.n <= SMALL_POINTS:
+    if some.n <= limits().neighbours:
         return _knn_small(queries, points, wanted, query_id, point_id, dims, exclude_self)
     cells = [f"_c_{d}" for d in dims]
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "p_id"))

@@ -1,14 +1,50 @@
-"""Storage that all executors share, and cutting the lineage of iterative operators there."""
+"""What may be held in one place, storage that all executors share, and cutting the lineage of iterative operators there."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Sizes up to which a loop runs over data held in one place (the driver, or each task); larger data goes through rounds
+    of joins with the same result. Each is a few MB."""
+
+    #: Distinct edges of a graph.
+    edges: int = 200_000
+    #: Points over which the driver makes the rounds of a fit.
+    points: int = 200_000
+    #: Points that go along with a task's function for nearest neighbours.
+    neighbours: int = 20_000
+    #: Nodes of a tree, a proximity graph or a replica in one task.
+    nodes: int = 20_000
+
+
+_limits: ContextVar[Limits] = ContextVar("limits", default=Limits())
+
+
+def limits() -> Limits:
+    return _limits.get()
+
+
+@contextmanager
+def limited(**sizes: int) -> Iterator[None]:
+    """Use other limits while operators are called; `limited(edges=-1, points=-1, neighbours=-1, nodes=-1)` takes the distributed way everywhere."""
+    token = _limits.set(replace(limits(), **sizes))
+    try:
+        yield
+    finally:
+        _limits.reset(token)
+
+
 def shared_path(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where none is named, on one machine a temporary one, and on a cluster an error."""
     context = spark.sparkContext

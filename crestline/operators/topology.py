@@ -7,6 +7,7 @@ names those that a fit may use.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ from crestline.functions.stats import covariance
 from crestline.operators import dense
 from crestline.operators.graph import canonical, components, diameter, edge_weights, ends, giant_component
 from crestline.operators.spatial import knn_join, range_join
-from crestline.operators.state import cut
+from crestline.operators.state import cut, limits
 
 DIMS = ("x", "y")
-#: Points that one task may hold for a tree or a triangulation; beyond it trees grow by joins.
-LOCAL_NODES = 20_000
+#: Nodes of a full graph, whose edges are quadratic in them.
+FULL_NODES = 20_000
 
 
 def knn(nodes: DataFrame, k: int, dims: Sequence[str] = DIMS) -> DataFrame:
@@ -127,8 +128,10 @@ def gradient_graph(nodes: DataFrame, info: str, k1: int, k2: int, dims: Sequence
     return near.withColumn("_o", order).where(F.col("_o") <= k2 - 1).select("src", "dst")
 
 
-def full_graph(nodes: DataFrame) -> DataFrame:
-    """All pairs, the larger node first; quadratic by definition, so for small node sets."""
+def full_graph(nodes: DataFrame, most_nodes: int = FULL_NODES) -> DataFrame:
+    """All pairs, the larger node first; quadratic by definition, so an error beyond most_nodes nodes."""
+    if nodes.limit(most_nodes + 1).count() > most_nodes:
+        raise ValueError(f"more than {most_nodes} nodes make too many pairs")
     a, b = nodes.select(F.col("node").alias("src")), nodes.select(F.col("node").alias("dst"))
     return a.join(b, F.col("src") > F.col("dst"))
 
@@ -149,13 +152,19 @@ def _by_rep(nodes: DataFrame, edges_of: Callable[[np.ndarray], np.ndarray], dims
     return found.withColumnRenamed("rep", rep) if rep else found.drop("rep")
 
 
-def mst(nodes: DataFrame, dims: Sequence[str] = DIMS, rep: str | None = None, local_nodes: int = LOCAL_NODES) -> DataFrame:
+def mst(nodes: DataFrame, dims: Sequence[str] = DIMS, rep: str | None = None, local_nodes: int | None = None) -> DataFrame:
     """Euclidean minimum spanning tree, edges with src < dst, ties by (length, src, dst). With rep, a tree for each replica.
 
-    Up to local_nodes nodes a tree is grown in one task; a larger set grows by rounds of joins."""
+    Up to local_nodes nodes (limits().nodes, if not given) a tree is grown in one task, replicas in parallel; larger sets grow by rounds of joins, replicas one after another."""
+    most = limits().nodes if local_nodes is None else local_nodes
     if rep:
-        return _by_rep(nodes, dense.spanning_tree, dims, rep)
-    if nodes.count() <= local_nodes:
+        sizes = nodes.groupBy(rep).agg(F.count("*").alias("n")).orderBy(rep).collect()
+        if not sizes or max(r.n for r in sizes) <= most:
+            return _by_rep(nodes, dense.spanning_tree, dims, rep)
+        held = cut(nodes)
+        trees = [boruvka(held.where(F.col(rep) == r[rep]).drop(rep), dims).select(F.lit(r[rep]).alias(rep), "src", "dst") for r in sizes]
+        return reduce(DataFrame.unionByName, trees)
+    if nodes.limit(most + 1).count() <= most:
         return _by_rep(nodes, dense.spanning_tree, dims, None)
     return boruvka(nodes, dims)
 
@@ -197,11 +206,26 @@ def boruvka(nodes: DataFrame, dims: Sequence[str] = DIMS, k: int = 8, most_round
 
 
 def subsamples(nodes: DataFrame, reps: int, size: int, seed: int = 0) -> DataFrame:
-    """reps samples of size nodes without replacement: those with the smallest md5 of seed|rep|node. Adds rep, from 0."""
+    """reps samples of size nodes without replacement: those with the smallest md5 of seed|rep|node. Adds rep, from 0.
+
+    md5 is uniform, so all but the few nodes whose digest lies near the wanted share are in or out at sight; only these
+    are ranked, behind the counted number of those below them."""
+    n = nodes.count()
     drawn = nodes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("node").cast("string")))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(key, "node"))
-    return drawn.withColumn("_p", place).where(F.col("_p") <= size).drop("_p")
+    drawn = drawn.withColumn("_k", key)
+    share = min(1.0, size / max(n, 1))
+    margin = 8 * (share * (1 - share) / max(n, 1)) ** 0.5 + 16 / max(n, 1)
+    low, high = share - margin, share + margin
+    first = F.lit(f"{int(low * 16**8):08x}") if low > 0 else F.lit("")
+    last = F.lit(f"{int(high * 16**8):08x}") if high < 1 else F.lit("g")
+    counts = drawn.groupBy("rep").agg(F.count_if(F.col("_k") < first).alias("_sure"), F.count_if(F.col("_k") < last).alias("_most"))
+    if n and low > 0 and not counts.where((F.col("_sure") > size) | (F.col("_most") < min(size, n))).isEmpty():
+        first, last = F.lit(""), F.lit("g")  # as good as impossible
+        counts = counts.withColumn("_sure", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("_k", "node"))
+    border = drawn.where((F.col("_k") >= first) & (F.col("_k") < last)).withColumn("_p", place).join(F.broadcast(counts.select("rep", "_sure")), "rep").where(F.col("_p") + F.col("_sure") <= size)
+    return drawn.where(F.col("_k") < first).drop("_k").unionByName(border.select(*nodes.columns, "rep"))
 
 
 def bootstrap_frequency(nodes: DataFrame, reps: int = 500, share: float = 0.75, seed: int = 0, dims: Sequence[str] = DIMS) -> DataFrame:
@@ -217,14 +241,15 @@ def bootstrap_mst(nodes: DataFrame, reps: int = 100, share: float = 0.75, thresh
     return canonical(often.unionByName(mst(nodes, dims)))
 
 
-def relative_neighbours(nodes: DataFrame, dims: Sequence[str] = DIMS, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """Pairs with no third node strictly nearer to both than they are to each other. Up to local_nodes nodes go to every task, which
+def relative_neighbours(nodes: DataFrame, dims: Sequence[str] = DIMS, local_nodes: int | None = None) -> DataFrame:
+    """Pairs with no third node strictly nearer to both than they are to each other. Up to local_nodes nodes (limits().nodes, if not given) go to every task, which
     looks at its own; beyond, candidate pairs come from the grid."""
-    own = nodes.select(F.col("node").cast("long").alias("node"), *[F.col(d).cast("double").alias(d) for d in dims]).limit(local_nodes + 1).collect()
-    if len(own) <= local_nodes:
-        own.sort(key=lambda r: r["node"])
-        ids = np.array([r["node"] for r in own], np.int64)
-        x = np.array([r[1:] for r in own], float).reshape(-1, len(dims))
+    most = limits().nodes if local_nodes is None else local_nodes
+    own = nodes.select(F.col("node").cast("long").alias("node"), *[F.col(d).cast("double").alias(d) for d in dims]).limit(max(most, 0) + 1).toArrow()
+    if own.num_rows <= most:
+        order = np.argsort(own.column(0).to_numpy(), kind="stable")
+        ids, *x = (c.to_numpy()[order] for c in own.columns)
+        x = np.stack(x, 1)
 
         def run(batches):
             for batch in batches:
@@ -251,7 +276,10 @@ def relative_neighbours(nodes: DataFrame, dims: Sequence[str] = DIMS, local_node
 
 
 def delaunay(nodes: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
-    """Delaunay edges, src < dst, of a planar or spatial set of nodes held in one task (ties of cocircular points are settled by a fixed tiny shift)."""
+    """Delaunay edges, src < dst, of a planar or spatial set of nodes held in one task (ties of cocircular points are settled by a fixed tiny shift); an error beyond limits().nodes."""
+    most = limits().nodes
+    if nodes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} nodes are not triangulated in one task")
     return _by_rep(nodes, dense.delaunay_pairs, dims, None)
 
 
@@ -269,10 +297,10 @@ def remove_short_edges(nodes: DataFrame, edges: DataFrame, length: float, dims:
 def merged_trees(nodes: DataFrame, reps: int, share: float, k: float, seed: int = 0, dims: Sequence[str] = DIMS) -> DataFrame:
     """(src, dst, p): a graph grown from the tree of all nodes by the trees of samples of int(N share) nodes. An edge of a sample's tree that
     exists is counted once; one that is longer than its path in the graph over k counts the edges of that path; any other is added, with no count yet.
-    The outcome depends on the order of edges, (rep, src, dst), so it is folded on the driver over trees of the node set, whose size LOCAL_NODES bounds."""
+    The outcome depends on the order of edges, (rep, src, dst), so it is folded on the driver over trees of the node set, whose size limits().nodes bounds."""
     n = nodes.count()
-    if n > LOCAL_NODES:
-        raise ValueError(f"more than {LOCAL_NODES} nodes are not folded on one machine")
+    if n > limits().nodes:
+        raise ValueError(f"more than {limits().nodes} nodes are not folded on one machine")
     trees = mst(subsamples(nodes, reps, int(n * share), seed), dims, rep="rep")
     samples = [(r.rep, r.src, r.dst) for r in trees.orderBy("rep", "src", "dst").collect()]
     first = [(r.src, r.dst) for r in mst(nodes, dims).orderBy("src", "dst").collect()]

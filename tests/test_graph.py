@@ -1,6 +1,7 @@
 import pytest
 
 from crestline.operators import filaments, graph
+from crestline.operators.state import limited
 
 
 def make(spark, xy, edges):
@@ -17,9 +18,9 @@ TWO_FORKS = ([(0, 0), (1, 0), (2, 0), (3, 0), (1, 1), (2, 1)], [(0, 1), (1, 2),
 
 
 @pytest.fixture(params=["at once", "by joins"])
-def either_way(request, monkeypatch):
-    if request.param == "by joins":
-        monkeypatch.setattr(graph, "SMALL_EDGES", -1)
+def either_way(request):
+    with limited(**({"edges": -1} if request.param == "by joins" else {})):
+        yield
 
 
 def found(nodes, edges):

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import dense, graph, spatial, topology
+from crestline.operators import dense, spatial, topology
+from crestline.operators.state import limited
 
 
 def nodes_of(spark, x):
@@ -40,10 +41,34 @@ def test_tree_is_minimum_and_inside_the_proximity_graphs(spark, cloud):
     assert tree <= rng <= pairs(topology.delaunay(nodes))
 
 
-def test_tree_by_rounds_of_joins_is_the_same(spark, cloud, monkeypatch):
-    monkeypatch.setattr(graph, "SMALL_EDGES", 0)
+def test_tree_by_rounds_of_joins_is_the_same(spark, cloud):
     few = cloud[:40]
-    assert pairs(topology.boruvka(nodes_of(spark, few), k=3)) == kruskal(few)
+    with limited(edges=-1):
+        assert pairs(topology.boruvka(nodes_of(spark, few), k=3)) == kruskal(few)
+
+
+def test_trees_of_large_replicas_grow_by_rounds(spark, cloud):
+    both = nodes_of(spark, cloud[:30]).withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1)))).where("rep = 0 or node < 20")
+    got = {(r.rep, r.src, r.dst) for r in topology.mst(both, rep="rep", local_nodes=5).collect()}
+    assert got == {(r.rep, r.src, r.dst) for r in topology.mst(both, rep="rep").collect()}
+
+
+def test_quadratic_graphs_have_a_bound(spark, cloud):
+    with limited(nodes=50), pytest.raises(ValueError):
+        topology.delaunay(nodes_of(spark, cloud))
+    with pytest.raises(ValueError):
+        topology.full_graph(nodes_of(spark, cloud), most_nodes=100)
+
+
+def test_samples_are_those_of_the_smallest_digests(spark):
+    import hashlib
+
+    nodes = spark.range(3000).withColumnRenamed("id", "node")
+    for size in (0, 10, 1500, 2999, 3000):
+        got = topology.subsamples(nodes, 3, size, seed=4).collect()
+        for rep in range(3):
+            order = sorted(range(3000), key=lambda i: (hashlib.md5(f"4|{rep}|{i}".encode()).hexdigest(), i))
+            assert sorted(r.node for r in got if r.rep == rep) == sorted(order[:size])
 
 
 def test_coincident_points_and_squares_give_trees(spark):
@@ -74,10 +99,10 @@ def test_delaunay_circles_are_empty():
 
 
 @pytest.mark.parametrize("most", [20_000, 0])
-def test_nearest_neighbours_both_ways(spark, cloud, most, monkeypatch):
-    monkeypatch.setattr(spatial, "SMALL_POINTS", most)
+def test_nearest_neighbours_both_ways(spark, cloud, most):
     x = np.concatenate((cloud[:60], [[40.0, -30.0]]))
-    got = {(r.src, r["rank"]): r.dst for r in topology.knn(nodes_of(spark, x), 6).collect()}
+    with limited(neighbours=most):
+        got = {(r.src, r["rank"]): r.dst for r in topology.knn(nodes_of(spark, x), 6).collect()}
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     for i in range(len(x)):
         order = [j for j in np.lexsort((np.arange(len(x)), d[i])) if j != i][:5]
@@ -86,9 +111,9 @@ def test_nearest_neighbours_both_ways(spark, cloud, most, monkeypatch):
 
 def test_range_join_with_radius_of_each_node(spark, cloud):
     points = nodes_of(spark, cloud).withColumnRenamed("node", "id")
-    nodes = nodes_of(spark, cloud[:10]).withColumn("reach", 0.1 + F.col("node") * 0.1)
+    nodes = nodes_of(spark, cloud[:10]).withColumn("reach", F.when(F.col("node") == 9, 50.0).when(F.col("node") == 8, 0.0).otherwise(0.1 + F.col("node") * 0.1))
     got = {(r.l_id, r.r_id) for r in spatial.range_join(points, nodes, "reach").collect()}
-    assert got == {(i, j) for i in range(120) for j in range(10) if math.dist(cloud[i], cloud[j]) <= 0.1 + j * 0.1}
+    assert got == {(i, j) for i in range(120) for j in range(10) if math.dist(cloud[i], cloud[j]) <= (50 if j == 9 else 0 if j == 8 else 0.1 + j * 0.1)}
 
 
 def test_merged_trees_fold(spark, cloud):
