@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import numpy as np
@@ -280,3 +281,83 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, ow
         rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
         kept = rank <= k
         yield a + q[kept], rank[kept], ids[p[kept]], d2[q[kept], p[kept]]
+
+
+class Cells:
+    """Nodes by grid cell, to find those near a batch of points."""
+
+    def __init__(self, x: np.ndarray, sig: np.ndarray, ksig: float):
+        self.x, self.reach2 = x, ksig * ksig * sig
+        self.width = max(float(np.sqrt(self.reach2.max())), 1e-300)
+        self.low = x.min(0)
+        self.table: dict[tuple, list[int]] | None = None
+
+    def _fill(self) -> None:
+        self.table = {}
+        dims = self.x.shape[1]
+        steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * dims, indexing="ij"), -1).reshape(-1, dims)
+        for k, c in enumerate(self._cell(self.x)):
+            for s in steps:
+                self.table.setdefault(tuple(c + s), []).append(k)
+
+    def _cell(self, x: np.ndarray) -> np.ndarray:
+        return np.floor((x - self.low) / self.width).astype(np.int64)
+
+    def pairs(self, points: np.ndarray, most: int = 4_000_000):
+        """(places of points, places of nodes, squared distances) of pairs within reach, in parts of bounded size, no point in two parts;
+        few enough pairs are compared at once."""
+        if len(points) * len(self.x) <= most // 8:
+            d2 = np.zeros((len(points), len(self.x)))
+            for j in range(points.shape[1]):
+                d2 += (points[:, j, None] - self.x[None, :, j]) ** 2
+            p, n = np.nonzero(d2 <= self.reach2)
+            yield p, n, d2[p, n]
+            return
+        if self.table is None:
+            self._fill()
+        cells = self._cell(points)
+        order = np.lexsort(cells.T)
+        ordered = cells[order]
+        starts = np.flatnonzero(np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(1)))) if len(order) else np.zeros(0, np.int64)
+        held: list[tuple] = []
+        size = 0
+        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+            near = self.table.get(tuple(ordered[a]))
+            if not near:
+                continue
+            near = np.array(near)
+            step = max(1, most // len(near))
+            for c in range(a, b, step):
+                some = order[c : min(b, c + step)]
+                d2 = ((points[some][:, None, :] - self.x[near][None]) ** 2).sum(2)
+                p, n = np.nonzero(d2 <= self.reach2[near])
+                held.append((some[p], near[n], d2[p, n]))
+                size += len(p)
+                if size > most:
+                    yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
+                    held, size = [], 0
+        if held:
+            yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
+
+
+def shares(cells: Cells, points: np.ndarray, sig: np.ndarray, pi: np.ndarray, floor: float):
+    """For parts of the points: places of points and nodes, r of each pair."""
+    d = points.shape[1]
+    for p, k, d2 in cells.pairs(points):
+        weight = pi[k] * (2 * math.pi * sig[k]) ** (-d / 2) * np.exp(-d2 / (2 * sig[k]))
+        whole = np.bincount(p, weight, len(points)) + floor
+        yield p, k, weight / np.maximum(whole[p], 1e-300)
+
+
+def segment_distances(x: np.ndarray, start: np.ndarray, stop: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
+    """Distance of each of x to the nearest of the segments from start to stop."""
+    way = stop - start
+    size = np.maximum((way**2).sum(1), 1e-300)
+    best = np.full(len(x), np.inf)
+    step = max(1, cells // max(1, len(x)))
+    for a in range(0, len(start), step):
+        b = slice(a, a + step)
+        t = np.clip(((x[:, None, :] - start[None, b]) * way[None, b]).sum(2) / size[b], 0, 1)
+        d2 = ((x[:, None, :] - start[None, b] - t[:, :, None] * way[None, b]) ** 2).sum(2)
+        best = np.minimum(best, d2.min(1))
+    return np.sqrt(best)

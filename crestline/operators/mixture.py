@@ -2,24 +2,100 @@
 
 nodes(node, x, y[, z], sig, pi): sig is the variance of a node, pi its weight.
 points(id, x, y[, z]). A responsibility table is resp(id, node, r).
+
+Nodes are few beside the points. Up to SMALL_NODES of them, a few MB, go along with the task's function, and what a point needs of them is
+worked out where the point is, a block of points by all nodes (or those of near cells) at a time: nothing is shuffled by point. Points
+with a null or non-finite coordinate are near no node, and their sums are null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import mul
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.functions.geometry import columns, log_spherical_pdf, spherical_pdf, squared_distance
+from crestline.functions.geometry import columns, spherical_pdf, squared_distance
 from crestline.functions.stats import covariance
+from crestline.operators.dense import Cells, shares
 from crestline.operators.spatial import knn_join, range_join
 
 DIMS = ("x", "y")
-#: Nodes whose table is sent to every executor; a larger table is joined.
+#: Nodes whose table is sent to every executor; a larger table is joined where sums have a cutoff, and an error where they have none.
 SMALL_NODES = 100_000
+#: Pairs of a point and a node that a task works on at once.
+CELLS = 2_000_000
+
+
+@dataclass(frozen=True)
+class Held:
+    """Nodes as arrays, in the order of their numbers."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    extra: dict[str, np.ndarray]
+
+
+def held_nodes(nodes: DataFrame, dims: Sequence[str], extra: Sequence[str] = ("sig", "pi"), most: int = SMALL_NODES) -> Held | None:
+    """The nodes if there are at most `most`."""
+    wanted = [F.col("node").cast("long"), *[F.col(c).cast("double").alias(c) for c in (*dims, *extra)]]
+    table = nodes.select(*wanted).limit(max(most, 0) + 1).toArrow()
+    if table.num_rows > most:
+        return None
+    order = np.argsort(table.column(0).to_numpy(), kind="stable")
+    ids, *values = (c.to_numpy()[order] for c in table.columns)
+    return Held(ids, np.stack(values[: len(dims)], 1).astype(float), dict(zip(extra, values[len(dims) :], strict=True)))
+
+
+def all_held(nodes: DataFrame, dims: Sequence[str], extra: Sequence[str] = ("sig", "pi")) -> Held:
+    held = held_nodes(nodes, dims, extra)
+    if held is None:
+        raise ValueError(f"sums without cutoff take at most {SMALL_NODES} nodes")
+    return held
+
+
+def by_point(points: DataFrame, dims: Sequence[str], schema: str, work: Callable[[pa.Array, np.ndarray], Iterator[list]], width: int) -> DataFrame:
+    """Rows of work(ids, coordinates) over blocks of points so that a block has CELLS pairs with width nodes; each result is a list of columns of schema after the id's."""
+    kind = points.schema["id"].dataType.simpleString()
+    names = ["id", *[c.split()[0] for c in schema.split(", ")]]
+    step = max(1, CELLS // max(1, width))
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns[1:]], 1)
+                for columns_of in work(part.column(0), x):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, from_pandas=True) for c in columns_of], names)
+
+    return points.select("id", *[F.col(d).cast("double").alias(d) for d in dims]).mapInArrow(run, f"id {kind}, {schema}")
+
+
+def squared(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Squared distances, points by nodes."""
+    return sum((x[:, j, None] - nodes[None, :, j]) ** 2 for j in range(x.shape[1]))
+
+
+def log_densities(d2: np.ndarray, sig: np.ndarray, d: int) -> np.ndarray:
+    return -d2 / (2 * sig) - d / 2 * np.log(2 * np.pi * sig)
+
+
+def softmax(e: np.ndarray) -> np.ndarray:
+    """Shares of exp(e) by row."""
+    p = np.exp(e - e.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def spread(ids: pa.Array, nodes: np.ndarray, values: np.ndarray) -> list:
+    """Columns id, node and value of a table of points by nodes; rows of a null value are left out."""
+    n, k = values.shape
+    kept = np.flatnonzero(~np.isnan(values.ravel()))
+    return [ids.take(pa.array(kept // k)), nodes[kept % k], values.ravel()[kept]]
 
 
 def near_pairs(points: DataFrame, nodes: DataFrame, ksig: float = 7.0, dims: Sequence[str] = DIMS) -> DataFrame:
@@ -29,23 +105,31 @@ def near_pairs(points: DataFrame, nodes: DataFrame, ksig: float = 7.0, dims: Seq
     return found.select(F.col("l_id").alias("id"), F.col("r_id").alias("node"), "d2", F.col("r_sig").alias("sig"), F.col("r_pi").alias("pi"))
 
 
-def all_pairs(points: DataFrame, nodes: DataFrame, dims: Sequence[str] = DIMS, extra: Sequence[str] = ("sig", "pi")) -> DataFrame:
-    """(id, node, d2, ...) of every point and every node, for sums that have no cutoff; nodes are few and their number is checked."""
-    n = nodes.count()
-    if n > SMALL_NODES:
-        raise ValueError(f"{n} nodes: sums without cutoff take at most {SMALL_NODES}")
-    small = nodes.select("node", *[F.col(d).alias(f"n_{d}") for d in dims], *extra)
-    both = points.crossJoin(F.broadcast(small))
-    return both.select("id", "node", squared_distance(columns(dims), columns(dims, "n_")).alias("d2"), *extra)
-
-
-def responsibilities(points: DataFrame, nodes: DataFrame, *, ksig: float = 7.0, alpha: float = 0.0, area: float = 1.0, background: bool = False, dims: Sequence[str] = DIMS) -> DataFrame:
+def responsibilities(points: DataFrame, nodes: DataFrame, *, ksig: float = 7.0, alpha: float = 0.0, area: float = 1.0, background: bool = False, dims: Sequence[str] = DIMS, small_nodes: int = SMALL_NODES) -> DataFrame:
     """(id, node, r): share of each node in a point, its weight times density over the row's total; with a background, alpha / area
-    takes part, and its share is on rows of node -1 (1 for a point that is near no node). Points without either give no row."""
+    takes part, and its share is on rows of node -1 (1 for a point that is near no node). Points without either give no row.
+    More than small_nodes nodes are joined to the points by cells."""
+    held = held_nodes(nodes, dims, most=small_nodes)
+    floor = alpha / area if background else 0.0
+    if held is not None and len(held.ids):
+        sig, pi = held.extra["sig"], held.extra["pi"]
+
+        def work(ids, x):
+            cells = Cells(held.x, sig, ksig)
+            usable = np.flatnonzero(np.isfinite(x).all(1))
+            inside = np.zeros(len(x))
+            for p, k, r in shares(cells, x[usable], sig, pi, floor):
+                inside[usable] += np.bincount(p, r, len(usable))
+                some = r > 0 if floor > 0 else np.ones(len(r), bool)
+                yield [ids.take(pa.array(usable[p[some]])), held.ids[k[some]], r[some]]
+            if background:
+                yield [ids, np.full(len(x), -1), np.maximum(0.0, 1 - inside)]
+
+        return by_point(points, dims, "node bigint, r double", work, 16)
     pairs = near_pairs(points, nodes, ksig, dims).withColumn("p", F.col("pi") * spherical_pdf(F.col("d2"), F.col("sig"), len(dims)))
     rows = pairs.select("id", "node", "p")
     if background:
-        rows = rows.unionByName(points.select("id", F.lit(-1).cast("long").alias("node"), F.lit(alpha / area).alias("p")))
+        rows = rows.unionByName(points.select("id", F.lit(-1).cast("long").alias("node"), F.lit(floor).alias("p")))
     return row_normalise(rows, "id", "p", "r").select("id", "node", "r")
 
 
@@ -57,42 +141,40 @@ def row_normalise(rows: DataFrame, row: str, value: str, into: str, constant: fl
 
 def softmax_responsibility(points: DataFrame, nodes: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """(id, node, r): softmax of -d2 / 2 sig over all nodes, without weights or cutoff."""
-    pairs = all_pairs(points, nodes, dims).withColumn("e", -F.col("d2") / (2 * F.col("sig")))
-    top = F.max("e").over(Window.partitionBy("id"))
-    return row_normalise(pairs.withColumn("p", F.exp(F.col("e") - top)), "id", "p", "r").select("id", "node", "r")
+    held = all_held(nodes, dims, ["sig"])
+
+    def work(ids, x):
+        yield spread(ids, held.ids, softmax(-squared(x, held.x) / (2 * held.extra["sig"])))
+
+    return by_point(points, dims, "node bigint, r double", work, len(held.ids))
 
 
 def densities(points: DataFrame, nodes: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """(id, node, p): density of each node's Gaussian at each point."""
-    return all_pairs(points, nodes, dims).select("id", "node", spherical_pdf(F.col("d2"), F.col("sig"), len(dims)).alias("p"))
+    if nodes.limit(SMALL_NODES + 1).count() > SMALL_NODES:
+        raise ValueError(f"sums without cutoff take at most {SMALL_NODES} nodes")
+    few = nodes.select("node", *[F.col(d).alias(f"n_{d}") for d in dims], "sig")
+    both = points.crossJoin(F.broadcast(few))
+    return both.select("id", "node", spherical_pdf(squared_distance(columns(dims), columns(dims, "n_")), F.col("sig"), len(dims)).alias("p"))
 
 
 def full_covariance_responsibilities(points: DataFrame, nodes: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
-    """(id, node, r) with a full covariance for each node (columns c_xx, c_xy, ...), equal weights and no background; two or three dimensions."""
+    """(id, node, r) with a full covariance for each node (columns c_xx, c_xy, ...), equal weights and no background."""
     names = [f"c_{a}{b}" for i, a in enumerate(dims) for b in dims[i:]]
-    n = nodes.count()
-    if n > SMALL_NODES:
-        raise ValueError(f"{n} nodes: sums without cutoff take at most {SMALL_NODES}")
-    small = nodes.select("node", *[F.col(d).alias(f"n_{d}") for d in dims], *names)
-    both = points.crossJoin(F.broadcast(small))
-    c = {}
-    for i, a in enumerate(dims):
-        for b in dims[i:]:
-            c[a, b] = c[b, a] = F.col(f"c_{a}{b}")
-    v = [F.col(d) - F.col(f"n_{d}") for d in dims]
-    if len(dims) == 2:
-        x, y = dims
-        det = c[x, x] * c[y, y] - c[x, y] * c[x, y]
-        q = (c[y, y] * v[0] * v[0] - 2 * c[x, y] * v[0] * v[1] + c[x, x] * v[1] * v[1]) / det
-    else:
-        x, y, z = dims
-        xx, yy, zz = c[y, y] * c[z, z] - c[y, z] * c[y, z], c[x, x] * c[z, z] - c[x, z] * c[x, z], c[x, x] * c[y, y] - c[x, y] * c[x, y]
-        xy, xz, yz = c[x, z] * c[y, z] - c[x, y] * c[z, z], c[x, y] * c[y, z] - c[x, z] * c[y, y], c[x, y] * c[x, z] - c[x, x] * c[y, z]
-        det = c[x, x] * xx + c[x, y] * xy + c[x, z] * xz
-        q = (xx * v[0] * v[0] + yy * v[1] * v[1] + zz * v[2] * v[2] + 2 * (xy * v[0] * v[1] + xz * v[0] * v[2] + yz * v[1] * v[2])) / det
-    pairs = both.select("id", "node", (-(q + F.log(det)) / 2).alias("e"))
-    top = F.max("e").over(Window.partitionBy("id"))
-    return row_normalise(pairs.withColumn("p", F.exp(F.col("e") - top)), "id", "p", "r").select("id", "node", "r")
+    held = all_held(nodes, dims, names)
+    k, d = held.x.shape
+    c = np.zeros((k, d, d))
+    for n in names:
+        i, j = dims.index(n[2]), dims.index(n[3])
+        c[:, i, j] = c[:, j, i] = held.extra[n]
+    turned, log_size = np.linalg.inv(c), np.linalg.slogdet(c)[1]
+
+    def work(ids, x):
+        far = x[:, None, :] - held.x[None]
+        q = np.einsum("pkd,kde,pke->pk", far, turned, far, optimize=True)
+        yield spread(ids, held.ids, softmax(-(q + log_size) / 2))
+
+    return by_point(points, dims, "node bigint, r double", work, len(held.ids) * len(dims))
 
 
 def node_sums(points: DataFrame, resp: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
@@ -143,13 +225,23 @@ def smoothed_variance(nodes: DataFrame, edges: DataFrame, lam_sig: float, dims:
     return nodes.join(near, "node", "left").select("node", F.greatest(drawn, F.lit(float(floor))).alias("sig"))
 
 
+def log_likelihoods(x: np.ndarray, held: Held, floor: float = 0.0) -> np.ndarray:
+    """Log of the mixture's density at each of x, with floor (background density) added once."""
+    e = np.log(held.extra["pi"]) + log_densities(squared(x, held.x), held.extra["sig"], x.shape[1])
+    top = e.max(1)
+    if floor > 0:
+        top = np.maximum(top, np.log(floor))
+    return top + np.log(np.exp(e - top[:, None]).sum(1) + (floor * np.exp(-top) if floor > 0 else 0.0))
+
+
 def log_likelihood_rows(points: DataFrame, nodes: DataFrame, dims: Sequence[str] = DIMS, floor: float = 0.0) -> DataFrame:
     """(id, ll): log of the mixture's density at each point, with floor (background density) added once."""
-    pairs = all_pairs(points, nodes, dims).withColumn("e", F.log("pi") + log_spherical_pdf(F.col("d2"), F.col("sig"), len(dims)))
-    if floor > 0:
-        return pairs.groupBy("id").agg(F.log(F.sum(F.exp("e")) + floor).alias("ll"))
-    top = F.max("e").over(Window.partitionBy("id"))
-    return pairs.withColumn("top", top).groupBy("id").agg((F.first("top") + F.log(F.sum(F.exp(F.col("e") - F.col("top"))))).alias("ll"))
+    held = all_held(nodes, dims)
+
+    def work(ids, x):
+        yield [ids, log_likelihoods(x, held, floor)]
+
+    return by_point(points, dims, "ll double", work, len(held.ids))
 
 
 def log_likelihood(points: DataFrame, nodes: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
@@ -169,14 +261,28 @@ def objective(points: DataFrame, nodes: DataFrame, edges: DataFrame, lam: float,
 
 def local_objective(points: DataFrame, nodes: DataFrame, dims: Sequence[str] = DIMS, h: float = 1.0) -> DataFrame:
     """(node, value): sum over points of the log density, weighted by a Gaussian of variance h * h around the node."""
-    rows = log_likelihood_rows(points, nodes, dims)
-    near = all_pairs(points, nodes, dims).withColumn("k", spherical_pdf(F.col("d2"), F.lit(h * h), len(dims)))
-    return near.join(rows, "id").groupBy("node").agg(F.sum(F.col("k") * F.col("ll")).alias("value"))
+    held = all_held(nodes, dims)
+    d = len(dims)
+    step = max(1, CELLS // max(1, len(held.ids)))
+
+    def run(batches):
+        sums = np.zeros(len(held.ids))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.slice(a, step).columns], 1)
+                x = x[np.isfinite(x).all(1)]
+                kernel = np.exp(log_densities(squared(x, held.x), np.full(len(held.ids), h * h), d))
+                sums += (kernel * log_likelihoods(x, held)[:, None]).sum(0) if len(x) else 0
+        yield pa.RecordBatch.from_arrays([pa.array(held.ids), pa.array(sums)], ["node", "value"])
+
+    # a task sends one sum for each node
+    part = points.select(*[F.col(c).cast("double").alias(c) for c in dims]).mapInArrow(run, "node bigint, value double")
+    return part.groupBy("node").agg(F.sum("value").alias("value"))
 
 
 def mixture_density(points: DataFrame, nodes: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """(id, density): the mixture's density at each point, scaled so that the sum over points is the number of nodes."""
-    own = all_pairs(points, nodes, dims).groupBy("id").agg(F.sum(F.col("pi") * spherical_pdf(F.col("d2"), F.col("sig"), len(dims))).alias("p"))
+    own = log_likelihood_rows(points, nodes, dims).select("id", F.exp("ll").alias("p"))
     scale = own.agg(F.sum("p").alias("s")).join(nodes.agg(F.count("*").alias("k")))
     return own.join(F.broadcast(scale)).select("id", (F.col("p") / F.col("s") * F.col("k")).alias("density"))
 

@@ -172,3 +172,16 @@ ORACLES: dict[str, str] = {
     "described_filaments": f"""{MODEL}, {FILAMENTS}, {labels(7.0, '0')}, {RESIDUALS}, held AS (SELECT label, count(*) AS n FROM residual GROUP BY label)
         SELECT fil_id, CAST(type AS INT) AS type, round(len, 6) AS length, CAST(coalesce(n, 0) AS INT) AS n_points, CAST(coalesce(n, 0) AS INT) AS n_residuals, CAST(len(path) AS INT) AS n_nodes FROM fils LEFT JOIN held ON label = fil_id""",
 }
+
+ORACLES["parameter_table"] = f"""{ctes('parts')}, s AS (SELECT count(*) AS n, least(stddev_pop(x), stddev_pop(y)) AS m FROM parts), h AS (SELECT 0.1 * pow(1 / 4.0, 1 / 6.0) * pow(n, -1 / 6.0) * m AS h FROM s)
+    SELECT name, value FROM (VALUES ('lam', 5.0::DOUBLE), ('lam_sig', 5.0), ('lam_pi', 1.0), ('max_rounds', 10.0), ('reps', 100.0), ('share', 0.75), ('ksig', 7.0), ('alpha', {ALPHA})) v(name, value) UNION ALL SELECT 'sig', round(h * h, 6) FROM h"""
+ORACLES["npy_round_trip"] = f"{ctes('p2')} SELECT row_number() OVER (ORDER BY id) - 1 AS id, round(x, 6) AS x, round(y, 6) AS y FROM p2"
+ORACLES["filament_objects"] = f"{MODEL}, {FILAMENTS} SELECT fil_id, CAST(type AS INT) AS type, round(len, 6) AS length, CAST(len(path) AS INT) AS n_nodes, CAST(len(path) - 1 AS INT) AS n_edges FROM fils"
+ORACLES["filament_residuals_by_join"] = ORACLES["filament_residuals"]
+ORACLES["position_solve"] = f"""{SEEDED}, t0 AS (SELECT 0 AS rep, node AS id, x, y FROM seeds), {prim('g0', 't0')}, n0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY node) AS i, node, x, y FROM seeds),
+    e0 AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM g0 JOIN n0 a ON a.node = src JOIN n0 b ON b.node = dst UNION ALL SELECT b.i, a.i FROM g0 JOIN n0 a ON a.node = src JOIN n0 b ON b.node = dst),
+    l0 AS MATERIALIZED (SELECT i, list_concat(list_transform(range(1, (SELECT count(*) FROM n0) + 1), lambda j: CASE WHEN j = n0.i THEN 2.0::DOUBLE * len(around) + 1 WHEN list_contains(around, j) THEN -2.0::DOUBLE ELSE 0.0::DOUBLE END), [x, y]) AS v
+        FROM n0 JOIN (SELECT a, list(b) AS around FROM e0 GROUP BY a) ON a = i), {solved('f0', 'l0')} SELECT node, round(v[-2], 6) AS x, round(v[-1], 6) AS y FROM f0 JOIN n0 USING (i)"""
+for _name in ("onion_layers_by_rounds", "fit_fixed_variance_by_passes", "fit_events_by_passes"):
+    ORACLES[_name] = ORACLES[_name.rsplit("_by_", 1)[0]]
+

@@ -12,6 +12,7 @@ from crestline.functions import stats
 from crestline.operators import filaments as fil
 from crestline.operators import graph, mixture, resample, spatial, topology
 from crestline.operators.fit import FitParameters, bootstrap_fits, fit_graph
+from crestline.operators.state import limited
 from crestline.plans.fixtures import ALPHA, AREA, KSIG, SIG, as_nodes, events, neighbour_edges, p2, p3, parts, seeds, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,3 +598,119 @@ def catalog_round_trip(spark, d):
     found = fil.find_filaments(model.nodes(spark), model.edge_table(spark))
     write_catalog(path, p2(spark, d), model, found, FitParameters(lam=5.0))
     return read_catalog(spark, path)[1].nodes(spark).select("node", r6("x"), r6("y"), r6("sig"), r6("pi"))
+
+
+# the distributed ways of operators that hold small data in one place, with the same results
+
+
+def distributed(name: str, over: str) -> None:
+    """Register the query `name` again under name_over, with nothing held in one place."""
+    once = QUERIES[name]
+
+    def run(spark, d):
+        with limited(edges=-1, points=-1, neighbours=-1, nodes=-1):
+            return once(spark, d)
+
+    run.__doc__ = once.__doc__
+    QUERIES[f"{name}_{over}"] = run
+
+
+for _name in ("knn", "sphere_of_influence", "relative_neighbours"):
+    distributed(_name, "by_cells")
+for _name in ("numbered_edges", "components", "hop_distances", "onion_layers"):
+    distributed(_name, "by_rounds")
+for _name in ("fit_fixed_variance", "fit_events"):
+    distributed(_name, "by_passes")
+
+
+@query
+def path_lengths_by_rounds(spark, d):
+    """From the least node along edges to the nearest neighbours."""
+    nodes = as_nodes(p2(spark, d))
+    with limited(edges=-1):
+        return graph.path_lengths(nodes, neighbour_edges(spark, d), nodes.agg(F.min("node").alias("node"))).select("source", "node", "hops", r6("len"))
+
+
+@query
+def find_filaments_by_rounds(spark, d):
+    nodes, edges = _tree(spark, d)
+    with limited(edges=-1):
+        found = fil.find_filaments(nodes, edges)
+    return found.select("fil_id", "type", r6("length"), r6("curvature"), F.concat_ws(",", F.transform("nodes", lambda v: v.cast("string"))).alias("path"))
+
+
+@query
+def ends_and_loops(spark, d):
+    """The filaments that do not run between bifurcations."""
+    nodes, edges = _tree(spark, d)
+    return fil.find_filaments(nodes, edges, between=False).select("fil_id", "type", r6("length"))
+
+
+@query
+def e_step_by_join(spark, d):
+    """Responsibilities where nodes are too many to be held."""
+    return mixture.responsibilities(p2(spark, d), seeds(spark, d), ksig=KSIG, alpha=ALPHA, area=AREA, background=True, small_nodes=-1).select("id", "node", r6("r"))
+
+
+@query
+def filament_residuals_by_join(spark, d):
+    model = _model(spark, d)
+    nodes, edges = model.nodes(spark), model.edge_table(spark)
+    found = fil.find_filaments(nodes, edges)
+    labels = fil.assign_labels(p2(spark, d), nodes, found, ksig=7.0)
+    with limited(edges=-1):
+        return fil.filament_residuals(p2(spark, d), nodes, edges, found, labels).select("id", "label", r6("residual"))
+
+
+@query
+def filament_objects(spark, d):
+    """Filaments of the model as objects on the driver and back as a table."""
+    model = _model(spark, d)
+    found = fil.to_table(spark, fil.to_objects(fil.find_filaments(model.nodes(spark), model.edge_table(spark))))
+    return found.select("fil_id", "type", r6("length"), F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"))
+
+
+@query
+def npy_round_trip(spark, d):
+    """Points written as a .npy file in the shared folder and read from there."""
+    import io
+    import uuid
+
+    import numpy as np
+
+    from crestline.operators.state import shared_path
+    from crestline.sources.points import read_npy
+
+    rows = p2(spark, d).orderBy("id").toArrow()
+    path = f"{shared_path(spark)}/points-{uuid.uuid4().hex}.npy"
+    held = io.BytesIO()
+    np.save(held, np.stack([rows.column(c).to_numpy() for c in "xy"], 1))
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    out = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(there)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    return read_npy(spark, path).select("id", r6("x"), r6("y"))
+
+
+@query
+def parameter_table(spark, d):
+    """Parameters of a fit, changed and shown line by line, with the bandwidth of the parts."""
+    par = FitParameters().changed(lam=5.0, background=True, alpha=ALPHA).with_bandwidth(parts(spark, d))
+    lines = [line.split(" = ", 1) for line in par.show().splitlines()]
+    wanted = {"lam", "lam_sig", "lam_pi", "max_rounds", "reps", "share", "ksig", "alpha", "sig"}
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in lines if k in wanted], "name string, value double")
+
+
+@query
+def position_solve(spark, d):
+    """Positions that solve (lam L + diag) F = right over the tree of the seeds, with unit weights."""
+    import numpy as np
+
+    from crestline.operators import dense
+
+    nodes = seeds(spark, d).orderBy("node").toArrow()
+    x = np.stack([nodes.column(c).to_numpy() for c in "xy"], 1)
+    edges = dense.spanning_tree(x)
+    out = dense.laplacian_solve(len(x), edges[:, 0], edges[:, 1], np.ones(len(x)), 2.0, x)
+    return spark.createDataFrame([(int(n), float(a), float(b)) for n, (a, b) in zip(nodes.column("node").to_numpy(), out, strict=True)], "node bigint, x double, y double").select("node", r6("x"), r6("y"))

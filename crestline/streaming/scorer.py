@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.operators.fit import Cells, GraphModel, shares
+from crestline.operators.dense import Cells, shares
+from crestline.operators.fit import GraphModel
 
 
 def score(points: DataFrame, model: GraphModel, ksig: float = 7.0) -> DataFrame:

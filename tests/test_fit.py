@@ -3,8 +3,8 @@ import math
 import numpy as np
 import pytest
 
-from crestline.operators import dense, filaments, mixture
-from crestline.operators.fit import FitParameters, bootstrap_fits, fit_graph
+from crestline.operators import dense, filaments, mixture, topology
+from crestline.operators.fit import FitParameters, bootstrap_fits, fit_from_points, fit_graph
 from crestline.sources.catalog import read_catalog, write_catalog
 from crestline.sources.edge_text import read_edges, write_edges
 from crestline.sources.points import read_npy
@@ -83,6 +83,25 @@ def test_replicas_in_tasks_equal_replicas_one_by_one(toy):
     assert {tuple(sorted(r)) for r in here[1].collect()} == {tuple(sorted(r)) for r in there[1].collect()}
 
 
+def test_any_builder_may_be_the_topology(toy):
+    points = toy[0].where("id < 120")
+    par = FitParameters(max_rounds=2, denoising=1, sig=0.05, reps=1, topology=lambda nodes: topology.mst(nodes))
+    a, b = fit_from_points(points, par), fit_from_points(points, par.changed(topology="mst"))
+    assert np.allclose(a.positions, b.positions) and a.edges.tolist() == b.edges.tolist()
+    assert bootstrap_fits(points, par)[0].count() == bootstrap_fits(points, par.changed(topology="mst"))[0].count()
+
+
+def test_sums_by_point_equal_the_join(toy, model, spark):
+    nodes = model.nodes(spark)
+    odd = toy[0].unionByName(spark.createDataFrame([(10_000, None, 1.0), (10_001, float("nan"), 1.0)], "id bigint, x double, y double"))
+    for background in (False, True):
+        ways = [mixture.responsibilities(toy[0], nodes, alpha=0.2, area=model.area, background=background, small_nodes=n) for n in (100, -1)]
+        a, b = ({(r.id, r.node): r.r for r in w.collect()} for w in ways)
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert mixture.log_likelihood_rows(odd, nodes).where("ll is null").count() == 2
+    assert mixture.responsibilities(odd, nodes).where("id >= 10000").isEmpty()
+
+
 def test_responsibilities_sum_to_one(toy, model, spark):
     resp = mixture.responsibilities(toy[0], model.nodes(spark), alpha=model.alpha, area=model.area, background=True)
     sums = [r[1] for r in resp.groupBy("id").sum("r").collect()]
