@@ -288,9 +288,10 @@ def bootstrap_fits(points: DataFrame, par: FitParameters, dims: Sequence[str] =
     """(rep, node, x, ...) and (rep, src, dst) of fits to par.reps samples of int(N share) points. An error in a replica is raised, not hidden.
     Samples of at most local_points points (limits().nodes, if not given) are fitted in parallel, one in a task; larger ones one after another, each distributed."""
     spark = points.sparkSession
-    size = int(points.count() * par.share)
+    count = points.count()
+    size = int(count * par.share)
     place = ", ".join(f"{c} double" for c in dims)
-    drawn = subsamples(points.select(F.col("id").cast("long").alias("node"), *[F.col(c).cast("double").alias(c) for c in dims]), par.reps, size, par.seed)
+    drawn = subsamples(points.select(F.col("id").cast("long").alias("node"), *[F.col(c).cast("double").alias(c) for c in dims]), par.reps, size, par.seed, count)
     if par.sig is None:
         par = par.with_bandwidth(points, dims)
     if size <= (limits().nodes if local_points is None else local_points) and isinstance(par.topology, str) and par.topology in DIRECT:

@@ -152,11 +152,14 @@ def _by_rep(nodes: DataFrame, edges_of: Callable[[np.ndarray], np.ndarray], dims
     return found.withColumnRenamed("rep", rep) if rep else found.drop("rep")
 
 
-def mst(nodes: DataFrame, dims: Sequence[str] = DIMS, rep: str | None = None, local_nodes: int | None = None) -> DataFrame:
+def mst(nodes: DataFrame, dims: Sequence[str] = DIMS, rep: str | None = None, local_nodes: int | None = None, rep_nodes: int | None = None) -> DataFrame:
     """Euclidean minimum spanning tree, edges with src < dst, ties by (length, src, dst). With rep, a tree for each replica.
 
-    Up to local_nodes nodes (limits().nodes, if not given) a tree is grown in one task, replicas in parallel; larger sets grow by rounds of joins, replicas one after another."""
+    Up to local_nodes nodes (limits().nodes, if not given) a tree is grown in one task, replicas in parallel; larger sets grow by rounds of joins, replicas one after another.
+    rep_nodes: the nodes of a replica, where that is known."""
     most = limits().nodes if local_nodes is None else local_nodes
+    if rep and rep_nodes is not None and rep_nodes <= most:
+        return _by_rep(nodes, dense.spanning_tree, dims, rep)
     if rep:
         sizes = nodes.groupBy(rep).agg(F.count("*").alias("n")).orderBy(rep).collect()
         if not sizes or max(r.n for r in sizes) <= most:
@@ -205,12 +208,12 @@ def boruvka(nodes: DataFrame, dims: Sequence[str] = DIMS, k: int = 8, most_round
     raise RuntimeError("the tree did not close")
 
 
-def subsamples(nodes: DataFrame, reps: int, size: int, seed: int = 0) -> DataFrame:
+def subsamples(nodes: DataFrame, reps: int, size: int, seed: int = 0, n: int | None = None) -> DataFrame:
     """reps samples of size nodes without replacement: those with the smallest md5 of seed|rep|node. Adds rep, from 0.
 
     md5 is uniform, so all but the few nodes whose digest lies near the wanted share are in or out at sight; only these
-    are ranked, behind the counted number of those below them."""
-    n = nodes.count()
+    are ranked, behind the counted number of those below them. n: the number of nodes, where it is known."""
+    n = nodes.count() if n is None else n
     drawn = nodes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("node").cast("string")))
     drawn = drawn.withColumn("_k", key)
@@ -219,19 +222,23 @@ def subsamples(nodes: DataFrame, reps: int, size: int, seed: int = 0) -> DataFra
     low, high = share - margin, share + margin
     first = F.lit(f"{int(low * 16**8):08x}") if low > 0 else F.lit("")
     last = F.lit(f"{int(high * 16**8):08x}") if high < 1 else F.lit("g")
-    counts = drawn.groupBy("rep").agg(F.count_if(F.col("_k") < first).alias("_sure"), F.count_if(F.col("_k") < last).alias("_most"))
-    if n and low > 0 and not counts.where((F.col("_sure") > size) | (F.col("_most") < min(size, n))).isEmpty():
-        first, last = F.lit(""), F.lit("g")  # as good as impossible
-        counts = counts.withColumn("_sure", F.lit(0))
+    sure = {}
+    if n and low > 0:
+        counts = drawn.groupBy("rep").agg(F.count_if(F.col("_k") < first).alias("sure"), F.count_if(F.col("_k") < last).alias("most")).collect()
+        sure = {r.rep: r.sure for r in counts}
+        if any(r.sure > size or r.most < min(size, n) for r in counts):  # as good as impossible
+            first, last, sure = F.lit(""), F.lit("g"), {}
     place = F.row_number().over(Window.partitionBy("rep").orderBy("_k", "node"))
-    border = drawn.where((F.col("_k") >= first) & (F.col("_k") < last)).withColumn("_p", place).join(F.broadcast(counts.select("rep", "_sure")), "rep").where(F.col("_p") + F.col("_sure") <= size)
-    return drawn.where(F.col("_k") < first).drop("_k").unionByName(border.select(*nodes.columns, "rep"))
+    left = F.lit(size) - (F.element_at(F.array(*[F.lit(sure.get(i, 0)) for i in range(reps)]), F.col("rep") + 1) if sure else F.lit(0))
+    border = drawn.where((F.col("_k") >= first) & (F.col("_k") < last)).withColumn("_p", place).where(F.col("_p") <= left).drop("_p", "_k")
+    return drawn.where(F.col("_k") < first).drop("_k").unionByName(border) if sure else border
 
 
 def bootstrap_frequency(nodes: DataFrame, reps: int = 500, share: float = 0.75, seed: int = 0, dims: Sequence[str] = DIMS) -> DataFrame:
     """(src, dst, freq): how often an edge lies in the trees of reps samples of min(int(N share) + 1, N) nodes."""
     n = nodes.count()
-    trees = mst(subsamples(nodes, reps, min(int(n * share) + 1, n), seed), dims, rep="rep")
+    size = min(int(n * share) + 1, n)
+    trees = mst(subsamples(nodes, reps, size, seed, n), dims, rep="rep", rep_nodes=size)
     return trees.groupBy("src", "dst").agg((F.count("*") / reps).alias("freq"))
 
 
@@ -301,7 +308,7 @@ def merged_trees(nodes: DataFrame, reps: int, share: float, k: float, seed: int
     n = nodes.count()
     if n > limits().nodes:
         raise ValueError(f"more than {limits().nodes} nodes are not folded on one machine")
-    trees = mst(subsamples(nodes, reps, int(n * share), seed), dims, rep="rep")
+    trees = mst(subsamples(nodes, reps, int(n * share), seed, n), dims, rep="rep", rep_nodes=int(n * share))
     samples = [(r.rep, r.src, r.dst) for r in trees.orderBy("rep", "src", "dst").collect()]
     first = [(r.src, r.dst) for r in mst(nodes, dims).orderBy("src", "dst").collect()]
     place = {r["node"]: np.array([r[d] for d in dims], float) for r in nodes.select("node", *dims).collect()}

@@ -526,8 +526,8 @@ def connectivity_events(spark, d):
 
 
 def _replicas(spark, d):
-    nodes = topology.subsamples(as_nodes(p2(spark, d)), 10, int(p2(spark, d).count() * 0.75)).persist()
-    return nodes, topology.mst(nodes, rep="rep")
+    n = p2(spark, d).count()
+    return topology.subsamples(as_nodes(p2(spark, d)), 10, int(n * 0.75), n=n).persist()
 
 
 @query
@@ -545,7 +545,7 @@ def edge_samples(spark, d):
 @query
 def probability_map(spark, d):
     """Edges of a replica are those of the neighbour graph between its points."""
-    nodes, _ = _replicas(spark, d)
+    nodes = _replicas(spark, d)
     flat = graph.canonical(neighbour_edges(spark, d))
     a, b = (nodes.select("rep", F.col("node").alias(c)) for c in ("src", "dst"))
     edges = flat.join(a, "src").join(b, ["rep", "dst"])
@@ -554,7 +554,7 @@ def probability_map(spark, d):
 
 @query
 def position_uncertainty(spark, d):
-    return resample.position_uncertainty(seeds(spark, d), _replicas(spark, d)[0]).select("node", r6("rho"))
+    return resample.position_uncertainty(seeds(spark, d), _replicas(spark, d)).select("node", r6("rho"))
 
 
 @query
