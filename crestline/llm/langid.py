@@ -34,8 +34,8 @@ from crestline.llm.token_counts import vocabulary_path
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 #: Characters that count as word characters for `re` but are neither letters nor decimal digits, such as superscripts and fractions.
-NUMBERS = "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+NUMBERS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 SPAN_BYTES = 4_000_000
 #: Places that the tables of a pass hold at once, over all languages or piece lengths.
@@ -44,6 +44,14 @@ MOST_CELLS = 4_000_000
 OTHER, NONE = 0, 1
 
 
+def letter_runs(text: str | None) -> list[str]:
+    """The words of a text, in lower case."""
+    found = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in ([w] if w.isalpha() else NUMBERS.sub(" ", w).split())]
+
+
 class Trie:
     """Pieces as a table of steps: state, letter -> state; state 0 is dead, 1 the root."""
 
@@ -225,7 +233,7 @@ def count_words(rows: DataFrame, most_words: int = 400_000) -> DataFrame:
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     counts = held.setdefault(lang, Counter())
                     counts[None] += 1
-                    counts.update(WORD.findall((text or "").lower()))
+                    counts.update(letter_runs(text))
                 if sum(map(len, held.values())) > most_words:
                     yield from flush()
         yield from flush()
@@ -298,7 +306,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
         for batch in batches:
             for a, b in row_spans(batch.column(1), SPAN_BYTES):
                 part = batch.slice(a, b - a)
-                texts = [WORD.findall((x or "").lower()) for x in part.column(1).to_pylist()]
+                texts = [letter_runs(x) for x in part.column(1).to_pylist()]
                 if len(known) > most_words:
                     known, table = {}, table[:0]
                 new = list({w for x in texts for w in x if w not in known}) if model.names else []
