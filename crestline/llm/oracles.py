@@ -63,3 +63,23 @@ SELECT d.doc_id, d.source, d.weight, CAST(d.block AS BIGINT) AS block, CAST(star
     CAST(start + (d.block // d.weight - a) * width + due AS BIGINT) AS deadline, CAST(start + (d.block // d.weight - a) * width + place AS BIGINT) AS position
 FROM ranked d JOIN slots s ON s.source IS NOT DISTINCT FROM d.source AND s.k = d.block % d.weight AND d.block // d.weight >= s.a AND d.block // d.weight < s.b
 """
+
+
+#: op11: shares of all kept terms in every group, and sums over all of them.
+DIVERGENCE = r"""
+WITH said AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+uses AS (SELECT lang, source, r, unnest(w) AS term FROM said),
+kept AS (SELECT lang, term, count(*) AS n FROM uses GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kept GROUP BY lang),
+pools AS (SELECT DISTINCT lang, source FROM said),
+own AS (SELECT u.lang, u.source, u.term, count(*) AS n FROM uses u JOIN kept k ON k.lang = u.lang AND k.term = u.term GROUP BY ALL),
+totals AS (SELECT g.lang, g.source, coalesce(sum(o.n), 0)::BIGINT AS n FROM pools g LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source GROUP BY ALL),
+shares AS (SELECT k.lang, t.source, k.term, coalesce(o.n, 0) AS n, 1 + 1000000000::BIGINT * (coalesce(o.n, 0) + 2) // (t.n + 2 * l.v) AS p, 1 + 1000000000::BIGINT * (k.n + 2) // (l.n + 2 * l.v) AS q
+    FROM kept k JOIN langs l ON l.lang = k.lang JOIN totals t ON t.lang = k.lang LEFT JOIN own o ON o.lang = k.lang AND o.term = k.term AND o.source = t.source),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+    FROM pools a JOIN pools b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
