@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import ann, chat, decontaminate, divergence, forest_join, host_suffix, langid, oracles, pfair, pii, quality, runs, token_counts
+from crestline.llm import ann, chat, decontaminate, divergence, forest_join, hmm, host_suffix, langid, oracles, pfair, pii, quality, runs, token_counts
 
 #: Demonstration key, for sessions that set none in spark.crestline.pii.key.
 PII_KEY = b"crestline demonstration key"
@@ -90,9 +90,14 @@ def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(runs.plant(table(spark, sf_dir, "documents"))))
 
 
+def op13_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hmm.score_texts(table(spark, sf_dir, "documents"), id_rest("doc_id", 7) != 2)
+    return found.withColumn("learn", ~F.col("learn")).withColumnRenamed("learn", "held_out")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_qgram_decontamination, op2_minhash_forest_join, op3_host_suffix_text, op4_pairwise_quality, op5_prefix_target_chat, op6_marginal_unigram_langid, op7_feistel_pii, op8_pfair_mix, op9_token_counts, op10_anisotropic_search, op11_source_divergence, op12_lyndon_runs)
+    for f in (op1_qgram_decontamination, op2_minhash_forest_join, op3_host_suffix_text, op4_pairwise_quality, op5_prefix_target_chat, op6_marginal_unigram_langid, op7_feistel_pii, op8_pfair_mix, op9_token_counts, op10_anisotropic_search, op11_source_divergence, op12_lyndon_runs, op13_hidden_markov_scores)
 }
 
 #: The others learn, hash or decode; tests hold them against brute force, round trips or held-out rows.
