@@ -75,7 +75,8 @@ def term_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
                     yield from flush()
         yield from flush()
 
-    counted = rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
+    # tasks have added up what they can, so rows go to where they are summed as they are
+    counted = rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "source", "term")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -181,11 +182,10 @@ def pair_sums(arrays: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, *, least_docs: int = 10, k: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` ranks the other sources of the language by how far they differ, part `term` the k terms that stand out most."""
     counts = term_counts(docs, text_col=text_col, lang_col=lang_col, source_col=source_col)
-    terms = counts.where("term is not null")
-    kept = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least_docs).drop("docs")
-    both = terms.select("lang", "source", "term", "n").join(kept, ["lang", "term"])
-    groups = counts.where("term is null").select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("n_lang"))
-    table = cut(both.select(*groups.columns).unionByName(groups))
+    # the rows of a term are as many as its sources
+    within = Window.partitionBy("lang", "term")
+    counts = counts.withColumn("n_lang", F.sum("n").over(within)).withColumn("docs", F.sum("docs").over(within))
+    table = cut(counts.where((F.col("docs") >= least_docs) | F.col("term").isNull()).drop("docs"))
     own = table.where("term is not null")
     per_lang = own.groupBy("lang", "term").agg(F.first("n_lang").alias("n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("total_lang"))
     totals = table.groupBy("lang", "source").agg(F.sum("n").alias("total"))
