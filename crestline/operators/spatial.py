@@ -8,16 +8,15 @@ handling where cells are crowded), and the distance is a residual test.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, squared_distance
-from crestline.operators import dense
-from crestline.operators.state import cut, limits
+from crestline.operators import dense, pyramid
+from crestline.operators.state import limits
 
 DIMS = ("x", "y")
 
@@ -78,50 +77,19 @@ def _knn_small(queries: DataFrame, points: DataFrame, k: int, query_id: str, poi
     return rows.mapInArrow(run, "q_id bigint, rank int, p_id bigint, d2 double")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "id", point_id: str = "id", dims: Sequence[str] = DIMS, exclude_self: bool = False, most_rounds: int = 60) -> DataFrame:
+def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "id", point_id: str = "id", dims: Sequence[str] = DIMS, exclude_self: bool = False, looked: list[int] | None = None) -> DataFrame:
     """The k nearest points of each query, ties to the smaller id: q_id, rank (from 1), p_id and d2.
 
-    Up to limits().neighbours points go to every task and are compared with all its queries. Beyond, a round looks at the cells around a query; an answer stands when its k-th distance is within the width of
-    a cell, since nearer points cannot lie further out. Other queries go on with cells twice as wide.
+    Up to limits().neighbours points go to every task and are compared with all its queries. Beyond, both lie in cells that follow their density, and
+    those cells meet that may hold a neighbour; the number of compared pairs is added to looked.
     """
-    some = points.agg(F.count("*").alias("n"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("a", F.min), ("b", F.max))]).first()
-    out = "q_id bigint, rank int, p_id bigint, d2 double"
-    if not some.n:
-        return points.sparkSession.createDataFrame([], out)
-    sides = [some[f"b_{d}"] - some[f"a_{d}"] for d in dims]
-    whole = max(max(sides), 1e-9)
-    wanted = min(k, some.n - (1 if exclude_self else 0))
-    ends = queries.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("a", F.min), ("b", F.max))]).first()
-    if ends[0] is None or wanted < 1:
-        return points.sparkSession.createDataFrame([], out)
-    # beyond this width every point lies in a cell beside that of any query
-    reach = max(max(some[f"b_{d}"], ends[f"b_{d}"]) - min(some[f"a_{d}"], ends[f"a_{d}"]) for d in dims) + 1e-9
-    area = reduce(lambda a, b: a * b, [max(s, whole * 1e-6) for s in sides])
-    width = max((area * max(k, 2) / some.n) ** (1 / len(dims)), reach / 2**50)
-    found = None
-    left = _named(queries, query_id, dims, "q_")
-    every = _named(points, point_id, dims, "p_")
-    if some.n <= limits().neighbours:
+    n = points.count()
+    wanted = min(k, n - (1 if exclude_self else 0))
+    if wanted < 1:
+        return points.sparkSession.createDataFrame([], "q_id bigint, rank int, p_id bigint, d2 double")
+    if n <= limits().neighbours:
         return _knn_small(queries, points, wanted, query_id, point_id, dims, exclude_self)
-    cells = [f"_c_{d}" for d in dims]
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "p_id"))
-    for _ in range(most_rounds):
-        last = width >= reach
-        pairs = _near_cells(left, dims, "q_", width).join(every.select("*", *_cell(dims, "p_", width)), cells)
-        pairs = pairs.select("q_id", *[f"q_{d}" for d in dims], "p_id", squared_distance(columns(dims, "q_"), columns(dims, "p_")).alias("d2"))
-        if exclude_self:
-            pairs = pairs.where("q_id <> p_id")
-        top = pairs.withColumn("rank", rank).where(F.col("rank") <= wanted)
-        if last:
-            settled, left = top, None
-        else:
-            top = cut(top)
-            done = top.where((F.col("rank") == wanted) & (F.col("d2") <= width * width)).select("q_id")
-            settled = top.join(done, "q_id", "left_semi")
-            left = cut(left.join(done, "q_id", "left_anti"))
-        settled = settled.select("q_id", F.col("rank").cast("int").alias("rank"), "p_id", "d2")
-        found = settled if found is None else found.unionByName(settled)
-        if left is None or left.isEmpty():
-            return found
-        width *= 2
-    raise RuntimeError("nearest neighbours did not settle")
+    need = wanted + exclude_self
+    placed = pyramid.plant(points, n, id_col=point_id, dims=dims, leaf=pyramid.leaf_size(need), need=need)
+    asked = placed if queries is points and query_id == point_id else pyramid.plant(queries, queries.count(), id_col=query_id, dims=dims)
+    return pyramid.nearest(asked, placed, wanted, exclude_self=exclude_self, looked=looked)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, eigenvalues_2d, squared_distance
 from crestline.functions.stats import covariance
-from crestline.operators import dense
+from crestline.operators import dense, pyramid
 from crestline.operators.graph import canonical, components, diameter, edge_weights, ends, giant_component
 from crestline.operators.spatial import knn_join, range_join
 from crestline.operators.state import cut, limits
@@ -172,39 +172,40 @@ def mst(nodes: DataFrame, dims: Sequence[str] = DIMS, rep: str | None = None, lo
     return boruvka(nodes, dims)
 
 
-def boruvka(nodes: DataFrame, dims: Sequence[str] = DIMS, k: int = 8, most_rounds: int = 64) -> DataFrame:
-    """The same tree by rounds: each component takes its shortest way out, among the k nearest neighbours of its nodes.
-    A way out counts only if no node of the component can have a shorter one beyond its listed neighbours; components without a
-    certain way out make k double."""
+def boruvka(nodes: DataFrame, dims: Sequence[str] = DIMS, k: int = 8, most_rounds: int = 64, looked: list[int] | None = None) -> DataFrame:
+    """The same tree by rounds: each component takes its shortest way out. It is among the k nearest neighbours of its nodes, unless some node
+    has all its neighbours inside and might have a nearer foreign one beyond them; such nodes descend through cells for it, past those that hold
+    their own component only. The numbers of compared pairs are added to looked."""
     n = nodes.count()
     if n < 2:
         return nodes.sparkSession.createDataFrame([], "src bigint, dst bigint")
-    near = cut(knn(nodes, min(k, n - 1) + 1, dims))
-    label = cut(nodes.select(F.col("node").cast("long").alias("node"), F.col("node").cast("long").alias("comp")))
+    k = min(k, n - 1)
+    placed = pyramid.plant(nodes, n, id_col="node", dims=dims, leaf=pyramid.leaf_size(k + 1), need=k + 1)
+    near = cut(pyramid.nearest(placed, placed, k, exclude_self=True, looked=looked).select(F.col("q_id").alias("src"), F.col("p_id").alias("dst"), "d2"))
+    label = cut(placed.rows.select("id", F.col("id").alias("comp")))
     tree = None
     for _ in range(most_rounds):
-        named = label.withColumnRenamed("node", "src")
-        listed = near.groupBy("src").agg(F.max("d2").alias("known"), F.count("*").alias("c"))
-        known = F.when(F.col("c") >= n - 1, F.lit(float("inf"))).otherwise(F.col("known"))
+        named, other = label.withColumnRenamed("id", "src"), label.select(F.col("id").alias("dst"), F.col("comp").alias("other"))
+        seen = cut(near.join(named, "src").join(other, "dst").withColumn("out", F.col("comp") != F.col("other")))
+        edge = F.struct("d2", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
         # both ends see an edge, so that components agree on the order of edges
-        seen = near.select("src", "dst", "d2").unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2"))
-        ways = seen.join(named, "src").join(label.select(F.col("node").alias("dst"), F.col("comp").alias("other")), "dst").where("comp <> other")
-        best = ways.groupBy("comp").agg(F.min(F.struct("d2", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))).alias("e"))
-        # a node whose whole list lies inside might have an unlisted way out no shorter than its list reaches
-        inside = listed.select("src", known.alias("known")).join(ways.select("src").distinct(), "src", "left_anti").join(named, "src")
-        sure = inside.groupBy("comp").agg(F.min("known").alias("sure"))
-        certain = best.join(sure, "comp", "left").where("e.d2 <= coalesce(sure, double('infinity'))")
-        new = cut(certain.select("e.src", "e.dst").distinct())
-        if new.isEmpty():
-            if k >= n - 1:
-                return tree
-            k = min(2 * k, n - 1)
-            near = cut(knn(nodes, k + 1, dims))
-            continue
-        tree = new if tree is None else cut(tree.unionByName(new).distinct())
-        label = cut(components(nodes.select(F.col("node").cast("long").alias("node")), tree))
-        if label.select("comp").distinct().count() == 1:
-            return tree
+        ways = seen.where("out").select("comp", edge.alias("e")).unionByName(seen.where("out").select(F.col("other").alias("comp"), edge.alias("e")))
+        best = ways.groupBy("comp").agg(F.min("e").alias("e"))
+        inside = seen.groupBy("src", "comp").agg(F.max("d2").alias("known"), F.max("out").alias("out")).where("not out").drop("out")
+        seekers = cut(inside.join(best.select("comp", F.col("e.d2").alias("bound")), "comp", "left").where("bound is null or known <= bound").select(F.col("src").alias("id"), F.coalesce("bound", F.lit(float("inf"))).alias("bound")))
+        new = best
+        if not seekers.isEmpty():
+            found = pyramid.ways_out(placed, label, seekers, looked=looked)
+            new = new.unionByName(found.select("comp", F.struct("d2", "src", "dst").alias("e"))).groupBy("comp").agg(F.min("e").alias("e"))
+        new = cut(new.select("e.src", "e.dst").distinct())
+        tree = new if tree is None else tree.unionByName(new)
+        # components hang together by their new edges; their nodes follow in one join
+        comps = label.select(F.col("comp").alias("node")).distinct()
+        links = new.join(named.withColumnRenamed("comp", "a"), "src").join(other.withColumnRenamed("other", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        merged = cut(components(comps, links))
+        label = cut(label.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("joined")), "comp").select("id", F.col("joined").alias("comp")))
+        if merged.select("comp").distinct().limit(2).count() == 1:
+            return tree.distinct()
     raise RuntimeError("the tree did not close")
 
 

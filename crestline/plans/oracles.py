@@ -74,7 +74,8 @@ ORACLES: dict[str, str] = {
     "knn_graph": f"{ctes('p2', 'near')} SELECT src, dst FROM ranked WHERE rank <= 9",
     "reciprocal_knn_graph": f"{ctes('p2', 'near')} SELECT a.src, a.dst FROM ranked a JOIN ranked b ON a.src = b.dst AND a.dst = b.src WHERE a.rank <= 14 AND b.rank <= 14",
     "fixed_length_graph": f"{ctes('p2', 'near')} SELECT src, dst FROM ranked WHERE d2 <= 0.02::DOUBLE * 0.02::DOUBLE",
-    "sphere_of_influence": f"{ctes('p2', 'near')} SELECT a.src, a.dst FROM ranked a JOIN ranked n ON n.src = a.src AND n.rank = 1 WHERE a.d2 > 0 AND a.d2 < sqrt(n.d2) * 2 * (sqrt(n.d2) * 2)",
+    "sphere_of_influence": f"""{ctes('p2', 'near')}, least AS (SELECT src, dst, d2, sqrt(min(d2) OVER (PARTITION BY src)) * 2 AS reach FROM ranked)
+        SELECT src, dst FROM least WHERE d2 > 0 AND d2 < reach * reach""",
     "gradient_graph": f"""{ctes('p2', 'near')}, o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CAST(embedding[3] AS DOUBLE) DESC, rank) AS o
         FROM ranked JOIN embeddings ON vec_id = dst WHERE rank <= 9) SELECT src, dst FROM o WHERE o <= 3""",
     "full_graph": f"{ctes('seeds')} SELECT a.node AS src, b.node AS dst FROM seeds a JOIN seeds b ON a.node > b.node",
