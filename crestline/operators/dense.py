@@ -157,23 +157,27 @@ def fewest_hops(around: dict, a, b) -> list[tuple]:
 
 
 def laplacian_solve(n: int, src: np.ndarray, dst: np.ndarray, ridge: np.ndarray, lam: float, right: np.ndarray, most_dense: int = 3000) -> np.ndarray:
-    """Solve (lam L + diag(ridge)) F = right for all columns at once; L is the Laplacian with the multiplicity of the edges. Conjugate
-    gradients with a diagonal preconditioner beyond most_dense nodes."""
+    """Solve (lam L + diag(ridge)) F = right for all columns at once; L is the Laplacian with the multiplicity of the edges."""
+    degree = np.bincount(src, minlength=n) + np.bincount(dst, minlength=n)
+    return weighted_solve(lam * degree + ridge, src, dst, np.full(len(src), lam), right, most_dense)
+
+
+def weighted_solve(diagonal: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, right: np.ndarray, most_dense: int = 3000) -> np.ndarray:
+    """Solve for a matrix with the given diagonal and -w for each listed edge, both ways. Beyond most_dense nodes by conjugate gradients with a
+    diagonal preconditioner; an error if they do not settle."""
+    n = len(diagonal)
     if n <= most_dense:
         left = np.zeros((n, n))
-        np.add.at(left, (src, src), lam)
-        np.add.at(left, (dst, dst), lam)
-        np.add.at(left, (src, dst), -lam)
-        np.add.at(left, (dst, src), -lam)
-        left[np.arange(n), np.arange(n)] += ridge
+        np.subtract.at(left, (src, dst), w)
+        np.subtract.at(left, (dst, src), w)
+        left[np.arange(n), np.arange(n)] += diagonal
         return np.linalg.solve(left, right)
-    degree = np.bincount(src, minlength=n) + np.bincount(dst, minlength=n)
-    diagonal = (lam * degree + ridge)[:, None]
+    diagonal = diagonal[:, None]
 
     def times(v):
         out = diagonal * v
-        np.subtract.at(out, src, lam * v[dst])
-        np.subtract.at(out, dst, lam * v[src])
+        for j in range(v.shape[1]):
+            out[:, j] -= np.bincount(src, w * v[dst, j], n) + np.bincount(dst, w * v[src, j], n)
         return out
 
     x = right / diagonal
@@ -182,14 +186,14 @@ def laplacian_solve(n: int, src: np.ndarray, dst: np.ndarray, ridge: np.ndarray,
     p, rz = z.copy(), (r * z).sum(0)
     for _ in range(20 * n):
         if np.abs(r).max() <= 1e-12 * max(1.0, np.abs(right).max()):
-            break
+            return x
         ap = times(p)
         step = rz / np.maximum((p * ap).sum(0), 1e-300)
         x, r = x + step * p, r - step * ap
         z = r / diagonal
         new = (r * z).sum(0)
         p, rz = z + new / np.maximum(rz, 1e-300) * p, new
-    return x
+    raise RuntimeError(f"the system did not settle: residual {np.abs(r).max()}")
 
 
 class Compact:
