@@ -4,14 +4,15 @@ The model (nodes, edges) is small: it lives on the driver and goes to the tasks
 their function, as in other mixture fits on Spark. Points stay where they are (unless
 there are at most limits().points of them, where the driver makes the rounds); in each round a task reads its points once, compares them with the nodes of near cells
 only, and sends back one row of sums for each node it met. So a round is a single pass
-with one small shuffle, whatever the number of points. The number of nodes is checked against
-MOST_NODES.
+with one small shuffle, whatever the number of points. Models of more than
+MOST_NODES nodes, such as those with the points themselves as nodes, are tables (operators/fit_tables.py).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from crestline.functions.stats import bandwidth
 from crestline.operators import dense
 from crestline.operators.dense import Cells, shares
+from crestline.operators.fit_tables import TableModel, fit_tables
 from crestline.operators.graph import prune
 from crestline.operators.mixture import box_area
 from crestline.operators.state import cut, limits
@@ -254,17 +256,18 @@ def fit_graph(points: DataFrame, nodes: DataFrame, par: FitParameters, *, dims:
         held.unpersist()
 
 
-def fit_from_points(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS) -> GraphModel:
-    """Fit with the points themselves as nodes, after dropping those in the outer onion layers of their graph where denoising is above 0."""
+def fit_from_points(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS, most_nodes: int = MOST_NODES) -> GraphModel | TableModel:
+    """Fit with the points themselves as nodes, after dropping those in the outer onion layers of their graph where denoising is above 0. A model of
+    more than most_nodes nodes is a table."""
     nodes = points.select(F.col("id").alias("node"), *dims)
     if par.denoising > 0:
         build = TOPOLOGIES[par.topology] if isinstance(par.topology, str) else par.topology
         nodes = prune(nodes, build(nodes), par.denoising).select("node", *dims)
-    nodes = nodes.persist()
-    try:
-        return fit_graph(nodes.withColumnRenamed("node", "id"), nodes, par, dims=dims)
-    finally:
-        nodes.unpersist()
+    nodes = cut(nodes)
+    own = nodes.withColumnRenamed("node", "id")
+    if nodes.limit(max(most_nodes, 0) + 1).count() > most_nodes:
+        return fit_tables(own, nodes, par, dims=dims)
+    return fit_graph(own, nodes, par, dims=dims)
 
 
 def fit_sample(ids: np.ndarray, x: np.ndarray, par: FitParameters, dims: Sequence[str]) -> GraphModel:
@@ -284,7 +287,7 @@ def fit_sample(ids: np.ndarray, x: np.ndarray, par: FitParameters, dims: Sequenc
     return rounds(local_sums(x, par), DIRECT[par.topology], ids, x, np.full(k, par.sig), pi, par.lam / par.sig, area, par, dims)
 
 
-def bootstrap_fits(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS, local_points: int | None = None) -> tuple[DataFrame, DataFrame]:
+def bootstrap_fits(points: DataFrame, par: FitParameters, dims: Sequence[str] = DIMS, local_points: int | None = None, most_nodes: int = MOST_NODES) -> tuple[DataFrame, DataFrame]:
     """(rep, node, x, ...) and (rep, src, dst) of fits to par.reps samples of int(N share) points. An error in a replica is raised, not hidden.
     Samples of at most local_points points (limits().nodes, if not given) are fitted in parallel, one in a task; larger ones one after another, each distributed."""
     spark = points.sparkSession
@@ -314,10 +317,7 @@ def bootstrap_fits(points: DataFrame, par: FitParameters, dims: Sequence[str] =
         both = cut(drawn.select("rep", "node", *dims).groupBy("rep").applyInArrow(run, f"rep int, node bigint, {place}, src bigint, dst bigint"))
         return both.where("node is not null").select("rep", "node", *dims), both.where("node is null").select("rep", "src", "dst")
     drawn = cut(drawn)
-    nodes: list[tuple] = []
-    edges: list[tuple] = []
-    for rep in range(par.reps):
-        model = fit_from_points(drawn.where(F.col("rep") == rep).select(F.col("node").alias("id"), *dims), par, dims)
-        nodes += [(rep, int(i), *map(float, x)) for i, x in zip(model.ids, model.positions, strict=True)]
-        edges += [(rep, int(model.ids[a]), int(model.ids[b])) for a, b in model.edges]
-    return spark.createDataFrame(nodes, f"rep int, node bigint, {place}"), spark.createDataFrame(edges, "rep int, src bigint, dst bigint")
+    models = [fit_from_points(drawn.where(F.col("rep") == rep).select(F.col("node").alias("id"), *dims), par, dims, most_nodes) for rep in range(par.reps)]
+    nodes = [m.nodes(spark).select(F.lit(rep).alias("rep"), "node", *dims) for rep, m in enumerate(models)]
+    edges = [(m.edge_rows if isinstance(m, TableModel) else m.edge_table(spark)).select(F.lit(rep).alias("rep"), "src", "dst") for rep, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)

@@ -33,7 +33,12 @@ def numbered(edges: DataFrame) -> DataFrame:
         order = np.lexsort((held.to[keep], held.start[keep]))
         found = pa.table({"edge_id": np.arange(len(order)), "src": held.ids[held.start[keep][order]], "dst": held.ids[held.to[keep][order]]})
         return edges.sparkSession.createDataFrame(found)
-    rows = canonical(edges).repartitionByRange("src", "dst").withColumn("_part", F.spark_partition_id())
+    return numbered_rows(canonical(edges))
+
+
+def numbered_rows(edges: DataFrame) -> DataFrame:
+    """All rows of edges(src, dst) with edge_id from 0 in the order of (src, dst), counted by ranges."""
+    rows = edges.repartitionByRange("src", "dst").withColumn("_part", F.spark_partition_id())
     rows = cut(rows)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))

@@ -295,6 +295,7 @@ def neighbour_covariance(points: DataFrame, centres: DataFrame, k: int, dims: Se
 
 
 def box_area(points: DataFrame, dims: Sequence[str] = DIMS) -> float:
-    """Area (volume) of the bounding box."""
-    box = points.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
+    """Area (volume) of the bounding box of the points with finite coordinates."""
+    finite = " and ".join(f"{d} is not null and not isnan({d}) and abs({d}) < double('infinity')" for d in dims)
+    box = points.where(finite).agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
     return reduce(mul, [box[d] for d in dims])

@@ -36,8 +36,18 @@ def solved(name: str, rows: str) -> str:
     {name} AS MATERIALIZED (SELECT i, v FROM {name}_steps WHERE k = (SELECT count(*) FROM {rows}))"""
 
 
-def fit(points: str, nodes: str, rounds: int, *, lam: float, sig: float, alpha: float, ksig: float, lam_sig: float = 5.0, lam_pi: float = 1.0, fixed: bool = False) -> str:
-    """A fit of nodes(node, x, y) to points(id, x, y) over the tree: m{rounds}(i, node, x, y, sig, pi), s{rounds}(alpha, area) and g{rounds}(src, dst)."""
+def settled(name: str, rows: str, ways: str, lam: float | str, steps: int) -> str:
+    """Jacobi's iteration for rows(i, d, x, y), d the ridge, over ways(a, b) in both directions: name(i, v), v the list of both sides. It needs no
+    matrix, so it suits many nodes; steps must let it rest."""
+    return f"""{name}_rows AS MATERIALIZED (SELECT i, d + {lam}::DOUBLE * count(*) AS d, x, y FROM {rows} JOIN {ways} ON a = i GROUP BY i, d, x, y),
+    {name}_steps(k, i, x, y) AS (SELECT 0, i, x / d, y / d FROM {name}_rows UNION ALL
+        SELECT s.k + 1, r.i, (r.x + {lam}::DOUBLE * sum(s.x)) / r.d, (r.y + {lam}::DOUBLE * sum(s.y)) / r.d FROM {name}_steps s JOIN {ways} w ON w.b = s.i JOIN {name}_rows r ON r.i = w.a WHERE s.k < {steps} GROUP BY s.k, r.i, r.x, r.y, r.d),
+    {name} AS MATERIALIZED (SELECT i, [x, y] AS v FROM {name}_steps WHERE k = {steps})"""
+
+
+def fit(points: str, nodes: str, rounds: int, *, lam: float | str, sig: float | str, alpha: float, ksig: float, lam_sig: float = 5.0, lam_pi: float = 1.0, fixed: bool = False, steps: int | None = None) -> str:
+    """A fit of nodes(node, x, y) to points(id, x, y) over the tree: m{rounds}(i, node, x, y, sig, pi), s{rounds}(alpha, area) and g{rounds}(src, dst). Systems are
+    eliminated, or iterated if steps are given."""
     out = [
         f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY node) AS i, node, x, y, {sig}::DOUBLE AS sig, (1 - {alpha}) / (SELECT count(*) FROM {nodes}) AS pi FROM {nodes})",
         f"s0 AS MATERIALIZED (SELECT {alpha}::DOUBLE AS alpha, (max(x) - min(x)) * (max(y) - min(y)) AS area, count(*) AS n FROM {points})",
@@ -51,9 +61,9 @@ def fit(points: str, nodes: str, rounds: int, *, lam: float, sig: float, alpha:
             f"""n{t} AS MATERIALIZED (SELECT m.*, coalesce(sum(r), 0) AS n, greatest(coalesce(sum(r), 0), 1e-6) AS wt, coalesce(sum(r * dx), 0) AS fx, coalesce(sum(r * dy), 0) AS fy, coalesce(sum(r * dx * dx), 0) AS sx, coalesce(sum(r * dy * dy), 0) AS sy
                 FROM m{t} m LEFT JOIN r{t} ON r{t}.i = m.i GROUP BY ALL)""",
             f"e{t} AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM g{t} JOIN m{t} a ON a.node = src JOIN m{t} b ON b.node = dst UNION ALL SELECT b.i, a.i FROM g{t} JOIN m{t} a ON a.node = src JOIN m{t} b ON b.node = dst)",
-            f"""l{t} AS MATERIALIZED (SELECT n.i, list_concat(list_transform(range(1, (SELECT count(*) FROM m{t}) + 1), lambda j: CASE WHEN j = n.i THEN {lam}::DOUBLE * len(around) + n.wt / n.sig WHEN list_contains(around, j) THEN -{lam}::DOUBLE ELSE 0.0::DOUBLE END),
+            f"l{t} AS MATERIALIZED (SELECT i, wt / sig AS d, (fx + n * x) / sig AS x, (fy + n * y) / sig AS y FROM n{t})" if steps is not None else f"""l{t} AS MATERIALIZED (SELECT n.i, list_concat(list_transform(range(1, (SELECT count(*) FROM m{t}) + 1), lambda j: CASE WHEN j = n.i THEN {lam}::DOUBLE * len(around) + n.wt / n.sig WHEN list_contains(around, j) THEN -{lam}::DOUBLE ELSE 0.0::DOUBLE END),
                 [(n.fx + n.n * n.x) / n.sig, (n.fy + n.n * n.y) / n.sig]) AS v FROM n{t} n JOIN (SELECT a, list(b) AS around FROM e{t} GROUP BY a) ON a = n.i)""",
-            solved(f"f{t}", f"l{t}"),
+            solved(f"f{t}", f"l{t}") if steps is None else settled(f"f{t}", f"l{t}", f"e{t}", lam, steps),
             f"s{t + 1} AS MATERIALIZED (SELECT greatest(0.0, n - (SELECT sum(r) FROM r{t})) / n AS alpha, area, n FROM s{t})",
             f"near{t} AS MATERIALIZED (SELECT a AS i, avg(sig) AS around FROM e{t} JOIN m{t} ON m{t}.i = b GROUP BY a)",
         ]
@@ -178,10 +188,27 @@ ORACLES["parameter_table"] = f"""{ctes('parts')}, s AS (SELECT count(*) AS n, le
 ORACLES["npy_round_trip"] = f"{ctes('p2')} SELECT row_number() OVER (ORDER BY id) - 1 AS id, round(x, 6) AS x, round(y, 6) AS y FROM p2"
 ORACLES["filament_objects"] = f"{MODEL}, {FILAMENTS} SELECT fil_id, CAST(type AS INT) AS type, round(len, 6) AS length, CAST(len(path) AS INT) AS n_nodes, CAST(len(path) - 1 AS INT) AS n_edges FROM fils"
 ORACLES["filament_residuals_by_join"] = ORACLES["filament_residuals"]
-ORACLES["position_solve"] = f"""{SEEDED}, t0 AS (SELECT 0 AS rep, node AS id, x, y FROM seeds), {prim('g0', 't0')}, n0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY node) AS i, node, x, y FROM seeds),
-    e0 AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM g0 JOIN n0 a ON a.node = src JOIN n0 b ON b.node = dst UNION ALL SELECT b.i, a.i FROM g0 JOIN n0 a ON a.node = src JOIN n0 b ON b.node = dst),
-    l0 AS MATERIALIZED (SELECT i, list_concat(list_transform(range(1, (SELECT count(*) FROM n0) + 1), lambda j: CASE WHEN j = n0.i THEN 2.0::DOUBLE * len(around) + 1 WHEN list_contains(around, j) THEN -2.0::DOUBLE ELSE 0.0::DOUBLE END), [x, y]) AS v
-        FROM n0 JOIN (SELECT a, list(b) AS around FROM e0 GROUP BY a) ON a = i), {solved('f0', 'l0')} SELECT node, round(v[-2], 6) AS x, round(v[-1], 6) AS y FROM f0 JOIN n0 USING (i)"""
+ORACLES["position_solve"] = f"""{RECURSIVE}, {WHOLE}, ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM tree UNION ALL SELECT dst, src FROM tree), ridges AS (SELECT id AS i, 1.0::DOUBLE AS d, x, y FROM p2),
+    {settled('f0', 'ridges', 'ways', 2.0, 400)} SELECT i AS node, round(v[1], 6) AS x, round(v[2], 6) AS y FROM f0"""
+
+#: Points that stay as nodes after two rounds of peeling the tree's ends, as nodes and points of a fit; the bandwidth of P2.
+PEELED = f"""{prim('g', 'own')}, way AS MATERIALIZED (SELECT src AS u, dst AS v FROM g UNION ALL SELECT dst, src FROM g),
+    first AS (SELECT u FROM way GROUP BY u HAVING count(*) = 1), inner1 AS (SELECT u, v FROM way WHERE u NOT IN (SELECT u FROM first) AND v NOT IN (SELECT u FROM first)),
+    second AS (SELECT u FROM inner1 GROUP BY u HAVING count(*) = 1), kept AS MATERIALIZED (SELECT id, id AS node, x, y FROM own WHERE id NOT IN (SELECT u FROM first UNION SELECT u FROM second))"""
+WIDTH = "width AS MATERIALIZED (SELECT pow(0.1 * pow(1 / 4.0, 1 / 6.0) * pow(count(*), -1 / 6.0) * least(stddev_pop(x), stddev_pop(y)), 2) AS sig FROM p2)"
+
+
+def fitted(points: str, rounds: int, out: str, lam: float = 1.0) -> str:
+    """out from a fit over the tree whose nodes are the points of points(id, x, y) without their outer two layers."""
+    sig = "(SELECT sig FROM width)"
+    return f"(WITH RECURSIVE own AS (SELECT 0 AS rep, id, x, y FROM {points}), {PEELED}, {fit('kept', 'kept', rounds, lam=f'({lam} / {sig})', sig=sig, alpha=0.0, ksig=7.0, steps=1500)} SELECT {out} FROM m{rounds})"
+
+
+ORACLES["fit_points"] = f"{RECURSIVE}, {WIDTH}, model AS {fitted('p2', 2, '*')} SELECT node, round(x, 6) AS x, round(y, 6) AS y, round(sig, 6) AS sig, round(pi, 6) AS pi FROM model"
+ORACLES["bootstrap_fit_nodes"] = f"""{RECURSIVE}, {WIDTH}, {sampled(3, "CAST(floor((SELECT count(*) FROM p2) * 0.75) AS BIGINT)")}
+    SELECT CAST(rep AS INT) AS rep, node, round(x, 6) AS x, round(y, 6) AS y FROM ({' UNION ALL '.join(f"SELECT * FROM {fitted(f'(SELECT id, x, y FROM drawn WHERE rep = {r})', 2, f'{r} AS rep, node, x, y')}" for r in range(3))})"""
+for _name in ("fit_by_tables", "fit_points_by_tables"):
+    ORACLES[_name] = ORACLES[_name.rsplit("_by_", 1)[0]]
 for _name in ("onion_layers_by_rounds", "fit_fixed_variance_by_passes", "fit_events_by_passes"):
     ORACLES[_name] = ORACLES[_name.rsplit("_by_", 1)[0]]
 

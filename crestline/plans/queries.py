@@ -11,7 +11,9 @@ from crestline.functions import geometry as g
 from crestline.functions import stats
 from crestline.operators import filaments as fil
 from crestline.operators import graph, mixture, resample, spatial, topology
-from crestline.operators.fit import FitParameters, bootstrap_fits, fit_graph
+from crestline.operators.fit import MOST_NODES, FitParameters, bootstrap_fits, fit_from_points, fit_graph
+from crestline.operators.fit_tables import fit_tables
+from crestline.operators.solve import solve
 from crestline.operators.state import limited
 from crestline.plans.fixtures import ALPHA, AREA, KSIG, SIG, as_nodes, events, neighbour_edges, p2, p3, parts, seeds, table
 
@@ -704,13 +706,33 @@ def parameter_table(spark, d):
 
 @query
 def position_solve(spark, d):
-    """Positions that solve (lam L + diag) F = right over the tree of the seeds, with unit weights."""
-    import numpy as np
+    """Positions that solve (lam L + diag) F = right over the tree of all points, with unit weights, by rounds of elimination."""
+    nodes = as_nodes(p2(spark, d))
+    edges = topology.mst(nodes)
+    with limited(edges=-1):
+        found = solve(nodes.withColumn("ridge", F.lit(1.0)), edges, 2.0)
+    return found.select("node", r6("x"), r6("y"))
+
+
+def _fit_points(spark, d, most_nodes: int):
+    """A fit with all points as nodes, but for the outer layers of their tree."""
+    par = FitParameters(lam=1.0, max_rounds=2, denoising=2)
+    return fit_from_points(p2(spark, d), par.with_bandwidth(p2(spark, d)), most_nodes=most_nodes).nodes(spark).select("node", r6("x"), r6("y"), r6("sig"), r6("pi"))
+
+
+@query
+def fit_points(spark, d):
+    return _fit_points(spark, d, MOST_NODES)
+
+
+@query
+def fit_points_by_tables(spark, d):
+    """The same with a model that is a table."""
+    return _fit_points(spark, d, -1)
 
-    from crestline.operators import dense
 
-    nodes = seeds(spark, d).orderBy("node").toArrow()
-    x = np.stack([nodes.column(c).to_numpy() for c in "xy"], 1)
-    edges = dense.spanning_tree(x)
-    out = dense.laplacian_solve(len(x), edges[:, 0], edges[:, 1], np.ones(len(x)), 2.0, x)
-    return spark.createDataFrame([(int(n), float(a), float(b)) for n, (a, b) in zip(nodes.column("node").to_numpy(), out, strict=True)], "node bigint, x double, y double").select("node", r6("x"), r6("y"))
+@query
+def fit_by_tables(spark, d):
+    """The fit of `fit` with a model that is a table."""
+    par = FitParameters(lam=5.0, lam_sig=5.0, lam_pi=1.0, max_rounds=5, sig=SIG, background=True, alpha=ALPHA, ksig=KSIG)
+    return fit_tables(p2(spark, d), seeds(spark, d).select("node", "x", "y"), par).nodes().select("node", r6("x"), r6("y"), r6("sig"), r6("pi"))
