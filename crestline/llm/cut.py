@@ -1,4 +1,4 @@
-"""Cutting lineage in storage that all executors share."""
+"""Cutting lineage in storage that all executors share, and names for columns beside those of an input."""
 
 from __future__ import annotations
 
@@ -18,3 +18,11 @@ def cut(df: DataFrame) -> DataFrame:
         # on one machine its own folder will do
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="crestline-"))
     return df.checkpoint(eager=True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

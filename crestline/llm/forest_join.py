@@ -301,8 +301,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts stay where they are; more are joined."""
     text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     name = F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("long"), text).alias("i"), text.alias("h"))
-    rows = docs.withColumn("_row", name)
-    found = near_duplicates(rows.select("_row", text_col), id_col="_row", text_col=text_col, **options)
+    # what comes in travels in one column, so that no name of its own can clash
+    rows = docs.select(name.alias("_row"), F.col(text_col).alias("_text"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_held"))
+    found = near_duplicates(rows.select("_row", "_text"), id_col="_row", text_col="_text", **options)
+    rows = rows.drop("_text")
     # rows of one name have one text, so one class
     marks = found.groupBy("_row").agg(F.max(F.col("_row") != F.col("class_id")).alias("_lost"), (F.count("*") > 1).alias("_again"))
     marks = cut(marks.where("_lost or _again"))
@@ -313,4 +315,4 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         place = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
         twice = marked.where("not _lost and _again").withColumn("_place", place).where("_place = 1").drop("_place")
         kept = kept.unionByName(twice)
-    return kept.drop("_row", "_lost", "_again")
+    return kept.select("_held.*")

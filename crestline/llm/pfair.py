@@ -16,9 +16,9 @@ supplies (at most two a source and one), and `most_entries` checks it. Each supp
 slot by slot among all sources: some thousands of sources, with weights in the tens, are what this is made for.
 
 Defined results: rows with a null source form a source of their own with the default
-weight; ties and repeated rows are told apart arbitrarily but get one place each; texts
-are not looked at; an empty table gives an empty result; input columns named like
-the new ones are replaced.
+weight; rows with one order_col go by a hash of their columns, and rows alike in all get one place each; texts
+are not read for anything else; an empty table gives an empty result; input columns named like
+the new ones are replaced, all others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -101,9 +101,12 @@ def mix(docs: DataFrame, weights: dict[str, int], *, default_weight: int = 1, so
     deadline (bounds that the schedule sets for slot: release <= slot < deadline); position (of the row, from 0)."""
     if default_weight < 1 or any(w < 1 for w in weights.values()):
         raise ValueError("weights are positive integers")
-    rows = docs.drop(*NEW)
-    digest = F.md5(F.coalesce(F.col(order_col).cast("string"), F.lit("")))
-    rows = rows.withColumn("_cell", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % cells).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("-")))
+    kept = docs.drop(*NEW)
+    hashed = [F.col(f"`{f.name}`") for f in kept.schema.fields if "map<" not in f.dataType.simpleString()]
+    # what comes in travels in one column, so that no name of its own can clash
+    rows = kept.select(F.struct(*[f"`{c}`" for c in kept.columns]).alias("_held"), F.col(source_col).cast("string").alias("_given"), F.col(order_col).alias("_by"), F.xxhash64(*hashed).alias("_hash"))
+    digest = F.md5(F.coalesce(F.col("_by").cast("string"), F.lit("")))
+    rows = rows.withColumn("_cell", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % cells).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("_given")), F.lit("-")))
     counts = rows.groupBy("_source", "_cell").agg(F.count("*").alias("_n"))
     named = F.when(F.col("_source") != "-", F.expr("substring(_source, 2)"))
     totals = counts.groupBy("_source").agg(F.sum("_n").alias("rows")).select(F.col("_source").alias("source"), _weight_of(named, weights, default_weight).alias("w"), F.ceil(F.col("rows") / block_rows).alias("blocks"))
@@ -112,12 +115,12 @@ def mix(docs: DataFrame, weights: dict[str, int], *, default_weight: int = 1, so
     small = size <= most_entries
     earlier = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_source", "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    numbered = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_source", "_cell").orderBy(order_col)) - 1)
+    numbered = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_source", "_cell").orderBy("_by", "_hash")) - 1)
     numbered = numbered.join(offsets, ["_source", "_cell"]).withColumn("_place", F.col("_before") + F.col("_in"))
     frames = frames.withColumnRenamed("source", "_source")
     # beyond the checked size the frames are dealt out by source, and Spark splits the large ones
     found = numbered.join(F.broadcast(frames) if small else frames, "_source")
-    found = found.withColumn("weight", _weight_of(F.col(source_col).cast("string"), weights, default_weight).cast("long")).withColumn("block", F.expr(f"_place div {block_rows}"))
+    found = found.withColumn("weight", _weight_of(F.col("_given"), weights, default_weight).cast("long")).withColumn("block", F.expr(f"_place div {block_rows}"))
     found = found.withColumn("_f", F.expr("block div weight"))
     found = found.withColumn("_frame", F.expr("filter(_frames, f -> f.first <= _f and _f < f.last)[0]"))
     found = found.withColumn("_slot", F.expr("_frame.slots[cast(block % weight as int)]")).withColumn("_base", F.expr("_frame.start + (_f - _frame.first) * _frame.width"))
@@ -128,7 +131,7 @@ def mix(docs: DataFrame, weights: dict[str, int], *, default_weight: int = 1, so
         # only the last block of a source can be short; each row comes so much earlier as those before it lack
         lacks = frames_short(totals, frames, block_rows, counts)
         done = done.withColumn("position", F.col("slot") * block_rows + F.expr(f"_place % {block_rows}")).join(F.broadcast(lacks)).withColumn("position", F.expr("position - aggregate(_lacks, 0L, (a, x) -> a + if(x.slot < slot, x.lack, 0))")).drop("_lacks")
-    return done.select(*rows.columns[:-2], *NEW)
+    return done.select("_held.*", *NEW)
 
 
 def frames_short(totals: DataFrame, frames: DataFrame, block_rows: int, counts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from crestline.llm import ann, chat, components, decontaminate, forest_join, pfair, queries, shingles
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -493,8 +494,7 @@ def test_table_scan_equals_decoded_products():
 
 
 def test_pipeline(spark, sf_dir, real, tmp_path):
-    import corpus_pipeline as c
-
+    c = corpus_pipeline
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = docs.columns, [docs]
     for name, stage in c.STAGES:
@@ -514,8 +514,26 @@ def test_pipeline(spark, sf_dir, real, tmp_path):
 
 
 def test_pipeline_of_an_empty_table(spark, sf_dir):
-    import corpus_pipeline as c
-
+    c = corpus_pipeline
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+CLASHES = ["_source", "_cell", "_n", "_before", "_in", "_place", "_frames", "_f", "_frame", "_slot", "_base", "_lacks", "_held", "_given", "_by", "_hash", "_row", "_text", "_lost", "_again", "_y", "x", "key", "score", "_score", "kinds", "_kinds", "extra"]
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, sf_dir, stage):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    kept = dict(corpus_pipeline.STAGES)[stage](spark, wide, sf_dir)
+    assert kept.columns[: len(wide.columns)] == wide.columns
+    rows = kept.select("doc_id", *[F.col(c).alias(f"c{i}") for i, c in enumerate(CLASHES)]).collect()
+    assert rows and all(list(r[1:]) == [f"{c} {r.doc_id}" for c in CLASHES] for r in rows)
+
+
+def test_rows_of_one_id_have_one_place_whatever_the_partitions(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}", "src0") for i in range(30)], "doc_id bigint, text string, source string")
+    places = [{r.text: r.position for r in pfair.mix(d, {}).collect()} for d in (docs, docs.repartition(5), docs.orderBy(F.desc("text")))]
+    assert places[0] == places[1] == places[2] and sorted(places[0].values()) == list(range(30))
