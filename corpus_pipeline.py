@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.llm import decontaminate, forest_join, pfair, pii, quality
-from crestline.llm.cut import cut
+from crestline.llm.cut import cut, free_name
 from crestline.llm.queries import MIX_DEFAULT, MIX_WEIGHTS, id_rest, pii_key, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns as in its own query."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=id_rest("doc_id", 3) != 1)
-    return quality.score(docs, model, score_col="_score").where("_score >= 0.5").drop("_score")
+    name = free_name(docs, "score")
+    return quality.score(docs, model, score_col=name).where(F.col(name) >= 0.5).drop(name)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars follows the text."""
-    done = pii.pseudonymise(docs, pii_key(spark), kinds_col="_kinds").drop("_kinds")
+    name = free_name(docs, "kinds")
+    done = pii.pseudonymise(docs, pii_key(spark), kinds_col=name).drop(name)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in done.columns else done
 
 
