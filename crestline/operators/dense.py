@@ -60,31 +60,32 @@ def relative_neighbour_pairs(x: np.ndarray, rows: np.ndarray | None = None, near
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def delaunay_pairs(x: np.ndarray) -> np.ndarray:
-    """Edges (i < j) of the Delaunay triangulation by adding points one after another (Bowyer and Watson's way), in any dimension
-    from 2. A point shift of 1e-9 of the extent, fixed by its number, settles cocircular points."""
-    n, d = x.shape
-    if n < 2:
-        return np.zeros((0, 2), np.int64)
-    if n <= d:
-        return np.array([(i, j) for i in range(n) for j in range(i + 1, n)], np.int64)
-    extent = max(float((x.max(0) - x.min(0)).max()), 1e-12)
-    shift = np.random.default_rng(1).uniform(-1, 1, x.shape) * extent * 1e-9
-    points = (x - x.mean(0) + shift) / extent
-    # a simplex that holds all points
-    far = 1e4
-    corners = np.concatenate((np.full((1, d), -far), np.eye(d) * far * (d + 1) - far))
-    points = np.concatenate((points, corners))
-    cells = [tuple(range(n, n + d + 1))]
+#: Distance, in extents of the points, of the corners of a simplex that holds all of them.
+FAR = 1e4
+
+
+def unit_shift(ids: np.ndarray, dims: int) -> np.ndarray:
+    """A number from -1 to 1 for each id and dimension, the same wherever it is worked out."""
+    z = (ids.astype(np.uint64)[:, None] * np.uint64(dims) + np.arange(1, dims + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).astype(float) / 2.0**63 - 1
+
 
-    def sphere(cell):
-        a = points[list(cell)]
-        left = 2 * (a[1:] - a[0])
-        right = (a[1:] ** 2).sum(1) - (a[0] ** 2).sum()
-        centre = np.linalg.solve(left, right)
-        return centre, ((a[0] - centre) ** 2).sum()
+def sphere(points: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre and squared radius of the sphere through the corners of a simplex."""
+    centre = np.linalg.solve(2 * (points[1:] - points[0]), (points[1:] ** 2).sum(1) - (points[0] ** 2).sum())
+    return centre, float(((points[0] - centre) ** 2).sum())
 
-    spheres = [sphere(cells[0])]
+
+def simplices(points: np.ndarray) -> tuple[list[tuple], list[tuple]]:
+    """Delaunay simplices of points (about the origin, of extent 1) and of d + 1 far corners, which have the places after them, with their spheres; by adding points one
+    after another (Bowyer and Watson's way), in any dimension from 2."""
+    n, d = points.shape
+    corners = np.concatenate((np.full((1, d), -FAR), np.eye(d) * FAR * (d + 1) - FAR))
+    points = np.concatenate((points, corners))
+    cells = [tuple(range(n, n + d + 1))]
+    spheres = [sphere(points[list(cells[0])])]
     for p in range(n):
         centres = np.array([s[0] for s in spheres])
         radii = np.array([s[1] for s in spheres])
@@ -100,7 +101,20 @@ def delaunay_pairs(x: np.ndarray) -> np.ndarray:
         for face, times in faces.items():
             if times == 1:
                 cells.append((*face, p))
-                spheres.append(sphere(cells[-1]))
+                spheres.append(sphere(points[list(cells[-1])]))
+    return cells, spheres
+
+
+def delaunay_pairs(x: np.ndarray, ids: np.ndarray | None = None) -> np.ndarray:
+    """Edges (i < j) of the Delaunay triangulation. A shift of up to 1e-9 of the extent, fixed by a point's id (its place, if none is given), settles cocircular points."""
+    n, d = x.shape
+    if n < 2:
+        return np.zeros((0, 2), np.int64)
+    if n <= d:
+        return np.array([(i, j) for i in range(n) for j in range(i + 1, n)], np.int64)
+    extent = max(float((x.max(0) - x.min(0)).max()), 1e-12)
+    shift = unit_shift(np.arange(n) if ids is None else ids, d) * extent * 1e-9
+    cells, _ = simplices((x - x.mean(0) + shift) / extent)
     pairs = {(min(a, b), max(a, b)) for c in cells for i, a in enumerate(c) for b in c[i + 1 :] if a < n and b < n}
     return np.array(sorted(pairs), np.int64).reshape(-1, 2)
 

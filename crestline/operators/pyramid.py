@@ -332,3 +332,22 @@ def ways_out(pyramid: Pyramid, label: DataFrame, seekers: DataFrame, *, looked:
     met = meet(pairs, items.select("comp", "item", "own"), leaves, ["comp", "item"]).select("comp", "bound", "own", "other")
     found = met.mapInArrow(compare, "comp bigint, d2 double, src bigint, dst bigint")
     return found.groupBy("comp").agg(F.min(F.struct("d2", "src", "dst")).alias("e")).select("comp", "e.*")
+
+
+def inside_spheres(pyramid: Pyramid, spheres: DataFrame, most: int) -> DataFrame:
+    """(item, id, dims): up to `most` points strictly inside each of spheres(item, c_d, r2), those nearest to its centre."""
+    dims = pyramid.dims
+    cells = cells_of(pyramid, pyramid.rows, [F.count("*").alias("n")], [F.sum("n").alias("n")])
+    centre = [F.col(f"c_{d}").alias(f"a_{p}_{d}") for d in dims for p in ("lo", "hi")]
+    first = spheres.select("item", F.col("r2").alias("bound"), *centre)
+    pairs = None
+    for level in range(len(pyramid.levels)):
+        pairs = below(pyramid, cells, pairs, first, level).where("least < bound")
+        pairs = pairs.select("item", "bound", *[f"a_{p}_{d}" for d in dims for p in ("lo", "hi")], F.col("cell").alias("above"))
+    leaves = pyramid.rows.groupBy(F.col("code").alias("cell")).agg(held(dims).alias("other"))
+    met = pairs.withColumnRenamed("above", "cell").join(leaves, "cell").select("item", "bound", *[F.col(f"a_lo_{d}").alias(f"c_{d}") for d in dims], "other")
+    spread = met.select("item", "bound", *[f"c_{d}" for d in dims], F.explode("other").alias("o")).select("item", "bound", *[f"c_{d}" for d in dims], "o.*")
+    far2 = sum((F.col(d) - F.col(f"c_{d}")) * (F.col(d) - F.col(f"c_{d}")) for d in dims)
+    near = spread.withColumn("far2", far2).where("far2 < bound")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("far2", "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("item", "id", *dims)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from crestline.functions.geometry import columns, eigenvalues_2d, squared_distance
 from crestline.functions.stats import covariance
 from crestline.operators import dense, pyramid
+from crestline.operators.delaunay import delaunay_by_cells
 from crestline.operators.graph import canonical, components, diameter, edge_weights, ends, giant_component
 from crestline.operators.spatial import knn_join, range_join
 from crestline.operators.state import cut, limits
@@ -136,15 +137,15 @@ def full_graph(nodes: DataFrame, most_nodes: int = FULL_NODES) -> DataFrame:
     return a.join(b, F.col("src") > F.col("dst"))
 
 
-def _by_rep(nodes: DataFrame, edges_of: Callable[[np.ndarray], np.ndarray], dims: Sequence[str], rep: str | None, out: str = "src bigint, dst bigint") -> DataFrame:
-    """Run a dense routine over the nodes of each replica in one task; edges come back as node ids."""
+def _by_rep(nodes: DataFrame, edges_of: Callable[[np.ndarray, np.ndarray], np.ndarray], dims: Sequence[str], rep: str | None, out: str = "src bigint, dst bigint") -> DataFrame:
+    """Run a dense routine over the places and ids of the nodes of each replica in one task; edges come back as node ids."""
     rows = nodes.select((F.col(rep) if rep else F.lit(0)).cast("int").alias("rep"), F.col("node").cast("long").alias("node"), *dims)
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("node").to_numpy()
         order = np.argsort(ids, kind="stable")
         x = np.stack([table.column(d).to_numpy()[order] for d in dims], 1).astype(float)
-        pairs = edges_of(x)
+        pairs = edges_of(x, ids[order])
         found = ids[order][pairs] if len(pairs) else np.zeros((0, 2), np.int64)
         return pa.table({"rep": pa.array(np.full(len(found), table.column("rep")[0].as_py(), np.int32)), "src": pa.array(found[:, 0]), "dst": pa.array(found[:, 1])})
 
@@ -159,16 +160,16 @@ def mst(nodes: DataFrame, dims: Sequence[str] = DIMS, rep: str | None = None, lo
     rep_nodes: the nodes of a replica, where that is known."""
     most = limits().nodes if local_nodes is None else local_nodes
     if rep and rep_nodes is not None and rep_nodes <= most:
-        return _by_rep(nodes, dense.spanning_tree, dims, rep)
+        return _by_rep(nodes, lambda x, _: dense.spanning_tree(x), dims, rep)
     if rep:
         sizes = nodes.groupBy(rep).agg(F.count("*").alias("n")).orderBy(rep).collect()
         if not sizes or max(r.n for r in sizes) <= most:
-            return _by_rep(nodes, dense.spanning_tree, dims, rep)
+            return _by_rep(nodes, lambda x, _: dense.spanning_tree(x), dims, rep)
         held = cut(nodes)
         trees = [boruvka(held.where(F.col(rep) == r[rep]).drop(rep), dims).select(F.lit(r[rep]).alias(rep), "src", "dst") for r in sizes]
         return reduce(DataFrame.unionByName, trees)
     if nodes.limit(most + 1).count() <= most:
-        return _by_rep(nodes, dense.spanning_tree, dims, None)
+        return _by_rep(nodes, lambda x, _: dense.spanning_tree(x), dims, None)
     return boruvka(nodes, dims)
 
 
@@ -284,11 +285,12 @@ def relative_neighbours(nodes: DataFrame, dims: Sequence[str] = DIMS, local_node
 
 
 def delaunay(nodes: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
-    """Delaunay edges, src < dst, of a planar or spatial set of nodes held in one task (ties of cocircular points are settled by a fixed tiny shift); an error beyond limits().nodes."""
-    most = limits().nodes
-    if nodes.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} nodes are not triangulated in one task")
-    return _by_rep(nodes, dense.delaunay_pairs, dims, None)
+    """Delaunay edges, src < dst, of a planar or spatial set of nodes (ties of cocircular points are settled by a tiny shift, fixed by a node's id). Up to
+    limits().nodes nodes are triangulated in one task, more by cells that know enough of what is around them."""
+    most = max(limits().nodes, len(dims) + 1)
+    if nodes.limit(most + 1).count() <= most:
+        return _by_rep(nodes, dense.delaunay_pairs, dims, None)
+    return delaunay_by_cells(nodes, dims)
 
 
 def remove_short_edges(nodes: DataFrame, edges: DataFrame, length: float, dims: Sequence[str] = DIMS) -> tuple[DataFrame, DataFrame]:

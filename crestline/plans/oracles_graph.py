@@ -207,7 +207,7 @@ def fitted(points: str, rounds: int, out: str, lam: float = 1.0) -> str:
 ORACLES["fit_points"] = f"{RECURSIVE}, {WIDTH}, model AS {fitted('p2', 2, '*')} SELECT node, round(x, 6) AS x, round(y, 6) AS y, round(sig, 6) AS sig, round(pi, 6) AS pi FROM model"
 ORACLES["bootstrap_fit_nodes"] = f"""{RECURSIVE}, {WIDTH}, {sampled(3, "CAST(floor((SELECT count(*) FROM p2) * 0.75) AS BIGINT)")}
     SELECT CAST(rep AS INT) AS rep, node, round(x, 6) AS x, round(y, 6) AS y FROM ({' UNION ALL '.join(f"SELECT * FROM {fitted(f'(SELECT id, x, y FROM drawn WHERE rep = {r})', 2, f'{r} AS rep, node, x, y')}" for r in range(3))})"""
-for _name in ("fit_by_tables", "fit_points_by_tables"):
+for _name in ("fit_by_tables", "fit_points_by_tables", "delaunay_graph_by_cells"):
     ORACLES[_name] = ORACLES[_name.rsplit("_by_", 1)[0]]
 for _name in ("onion_layers_by_rounds", "fit_fixed_variance_by_passes", "fit_events_by_passes"):
     ORACLES[_name] = ORACLES[_name.rsplit("_by_", 1)[0]]

@@ -83,3 +83,13 @@ def test_tree_with_ties_and_coincident_points(spark, many_upper_cells):
 def test_tree_of_clusters_in_clusters(spark):
     x = np.concatenate([rnd.random((60, 3)) * 0.01 + [a, b, 0] for a in (0, 1, 50) for b in (0, 1)])
     assert tree(spark, x, k=4) == [tuple(e) for e in dense.spanning_tree(x).tolist()]
+
+
+@pytest.mark.parametrize("case", ["clusters", "grid", "space", "line"])
+def test_delaunay_by_cells_is_that_of_one_task(spark, case):
+    grid = np.stack(np.meshgrid(np.arange(9.0), np.arange(9.0)), -1).reshape(-1, 2)
+    x = {"clusters": np.concatenate((rnd.random((150, 2)), rnd.random((100, 2)) * 0.01 + 3, [[50, 50]])), "grid": np.concatenate((grid, grid[:3])), "space": rnd.random((120, 3)), "line": np.stack((np.arange(60.0), np.zeros(60)), 1)}[case]
+    want = {tuple(e) for e in dense.delaunay_pairs(x, np.arange(len(x))).tolist()}
+    with limited(nodes=-1, neighbours=-1):
+        got = [tuple(r) for r in topology.delaunay(table(spark, x, "node"), "xyz"[: x.shape[1]]).collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -54,8 +54,6 @@ def test_trees_of_large_replicas_grow_by_rounds(spark, cloud):
 
 
 def test_quadratic_graphs_have_a_bound(spark, cloud):
-    with limited(nodes=50), pytest.raises(ValueError):
-        topology.delaunay(nodes_of(spark, cloud))
     with pytest.raises(ValueError):
         topology.full_graph(nodes_of(spark, cloud), most_nodes=100)
 
