@@ -210,6 +210,16 @@ def weighted_solve(diagonal: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np
     raise RuntimeError(f"the system did not settle: residual {np.abs(r).max()}")
 
 
+def central(turn: int) -> bool:
+    """Whether the search of this turn starts at the most central node."""
+    return turn > 2 and turn % 2 == 1
+
+
+def search_order(hops, low, high, turn: int):
+    """What is least for the node to search from next: any, twice the furthest from the last one, then in turn the most central one and the one of the largest bound."""
+    return -hops if turn in (1, 2) else low if central(turn) else -high
+
+
 class Compact:
     """A small undirected graph with nodes as places in ids, its neighbours end to end."""
 
@@ -262,6 +272,43 @@ class Compact:
         at = np.flatnonzero(hops >= 0)
         return at, hops[at], length[at]
 
+    def hops_from(self, sources: np.ndarray) -> np.ndarray:
+        """Hops of each node to the nearest of some places, -1 where none is reached."""
+        hops, front, step = np.full(len(self.ids), -1), sources, 0
+        hops[sources] = 0
+        while len(front):
+            step += 1
+            to = self.to[self.out(front)]
+            front = np.unique(to[hops[to] < 0])
+            hops[front] = step
+        return hops
+
+    def diameter(self, searches: list[int] | None = None) -> int:
+        """Most hops between two connected nodes, by searches from the nodes whose bounds allow more than was found, one in each component at a time."""
+        label = self.labels()
+        low, high = np.zeros(len(label), int), np.bincount(label, minlength=len(label))[label] - 1
+        best, turn, hops = 0, 0, np.zeros(len(label), int)
+        searched, open_ = np.zeros(len(label), bool), high > 0
+        while open_.any():
+            # a central node may bound the others well though it is itself no end of a longest path
+            live = np.isin(label, label[open_])
+            able = np.flatnonzero(live & ~searched if central(turn) else open_)
+            order = able[np.lexsort((able, search_order(hops, low, high, turn)[able], label[able]))]
+            sources = order[np.concatenate(([True], np.diff(label[order]) > 0))]
+            if searches is not None:
+                searches.append(len(sources))
+            searched[sources] = True
+            hops = self.hops_from(sources)
+            far = np.zeros(len(label), int)
+            np.maximum.at(far, label, hops)
+            ecc = far[label]
+            seen = hops >= 0
+            low[seen] = np.maximum(low, np.maximum(hops, ecc - hops))[seen]
+            high[seen] = np.minimum(high, ecc + hops)[seen]
+            best, turn = max(best, int(far.max())), turn + 1
+            open_ = (high > best) & (low < high) & ~searched
+        return best
+
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
         """(coreness, layer, global layer) of each node, 0 where it was never taken, and the last core and layer counter."""
         n = len(self.ids)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, distance, segment_distance
 from crestline.operators import dense
-from crestline.operators.graph import canonical, components, degree, edge_weights, ends, hop_distances, induced, numbered, path_lengths
+from crestline.operators.chains import chains, numbered_groups
+from crestline.operators.graph import canonical, degree, edge_weights, ends, hop_distances, induced, numbered, path_lengths
 from crestline.operators.mixture import responsibilities
 from crestline.operators.spatial import knn_join
 from crestline.operators.state import cut, limits
@@ -122,7 +123,7 @@ def find_filaments(nodes: DataFrame, edges: DataFrame, dims: Sequence[str] = DIM
     1 - chord / length. fil_id counts from 0 over loops, then paths with an end, then those between bifurcations, by their nodes.
     Without `between` those between bifurcations are left out; the others keep their numbers.
 
-    Chains are found as components of the degree-2 nodes, and each is put in order in a group of its own."""
+    Chains of a graph that is not held in one place are ranked by pointer doubling (operators/chains.py); the arrays are made last."""
     found = _filaments(nodes, edges, dims)
     return found if between else found.where("type <> 3")
 
@@ -133,27 +134,21 @@ def _filaments(nodes: DataFrame, edges: DataFrame, dims: Sequence[str]) -> DataF
     held = _small_chains(nodes, weighted, dims)
     if held is not None:
         return held
-    deg = cut(degree(nodes, flat.select("src", "dst")))
-    inner = deg.where("deg = 2").select("node")
-    chain = components(inner, induced(canonical(flat), inner))
-    a, b = (chain.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}")) for c in ("src", "dst"))
-    da, db = (deg.select(F.col("node").alias(c), F.col("deg").alias(f"d_{c}")) for c in ("src", "dst"))
-    pa_, pb = (nodes.select(F.col("node").alias(c), F.array(*dims).alias(f"x_{c}")) for c in ("src", "dst"))
-    rows = weighted.join(a, "src", "left").join(b, "dst", "left").join(da, "src").join(db, "dst").join(pa_, "src").join(pb, "dst")
-    own = F.coalesce(F.col("c_src"), F.col("c_dst"))
-    rows = rows.withColumn("chain", F.coalesce(F.concat(F.lit("c"), own.cast("string")), F.concat_ws("-", F.lit("e"), "src", "dst")))
-
-    def order(table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        degrees = dict(zip(t["src"], t["d_src"], strict=True)) | dict(zip(t["dst"], t["d_dst"], strict=True))
-        place = dict(zip(t["src"], t["x_src"], strict=True)) | dict(zip(t["dst"], t["x_dst"], strict=True))
-        kind, length, curvature, path, ids = _described(t["src"], t["dst"], t["edge_id"], t["w"], degrees, place)
-        return pa.table({"type": pa.array([kind], pa.int32()), "length": [length], "curvature": [curvature], "nodes": pa.array([path], pa.list_(pa.int64())), "edges": pa.array([ids], pa.list_(pa.int64()))})
-
-    kept = rows.select("chain", F.col("edge_id").cast("long").alias("edge_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w", "d_src", "d_dst", "x_src", "x_dst")
-    found = kept.groupBy("chain").applyInArrow(order, "type int, length double, curvature double, nodes array<bigint>, edges array<bigint>")
-    place = F.row_number().over(Window.orderBy(F.col("type") == 3, F.col("type") != 0, "nodes"))  # over filaments, which are few
-    return found.select((place - 1).cast("long").alias("fil_id"), "type", "length", "curvature", "nodes", "edges")
+    deg = cut(degree(nodes, flat.select("src", "dst")).where("deg > 0"))
+    links = cut(chains(weighted, deg))
+    whole = links.groupBy("start").agg(F.sum("w").alias("length"), F.min(F.struct("dist", "tail", "head")).alias("a"), F.max(F.struct("dist", "head")).alias("z"))
+    whole = whole.select("start", "length", F.col("a.tail").alias("first"), F.col("a.head").alias("second"), F.col("z.head").alias("last"))
+    for side in ("first", "last"):
+        place = nodes.select(F.col("node").alias(side), *[F.col(d).alias(f"{side[0]}_{d}") for d in dims])
+        whole = whole.join(place, side).join(deg.select(F.col("node").alias(side), F.col("deg").alias(f"deg_{side}")), side)
+    kind = F.expr("CASE WHEN deg_first = 2 THEN 0 WHEN deg_first > 1 THEN 3 WHEN deg_last = 1 THEN 1 ELSE 2 END")
+    chord = distance(columns(dims, "f_"), columns(dims, "l_"))
+    whole = whole.select("start", kind.alias("type"), "length", F.when(F.col("length") > 0, 1 - chord / F.col("length")).otherwise(0.0).alias("curvature"), "first", "second")
+    # two paths that begin alike differ in their second node
+    whole = numbered_groups(whole.withColumn("late", F.col("type") == 3).withColumn("not_loop", F.col("type") != 0), ["late", "not_loop", "first", "second"], "fil_id")
+    held = links.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("dist", F.col("head").cast("long").alias("head"), F.col("edge_id").cast("long").alias("edge_id")))).alias("way"))
+    path = F.concat(F.array(F.col("first").cast("long")), F.transform("way", lambda s: s["head"]))
+    return whole.join(held, "start").select("fil_id", "type", "length", "curvature", path.alias("nodes"), F.transform("way", lambda s: s["edge_id"]).alias("edges"))
 
 
 def component_of(points: DataFrame, nodes: DataFrame, *, ksig: float = 7.0, alpha: float = 0.0, area: float = 1.0, background: bool = False, dims: Sequence[str] = DIMS) -> DataFrame:

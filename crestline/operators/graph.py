@@ -6,7 +6,9 @@ whether that multiplicity counts. nodes(node, ...) names all nodes, isolated one
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from crestline.functions.geometry import columns, distance
 from crestline.operators import dense
+from crestline.operators.dense import central, search_order
 from crestline.operators.state import cut, limits
 
 DIMS = ("x", "y")
@@ -169,26 +172,63 @@ def giant_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts.select("node", (F.col("comp") == best[0].comp).cast("int").alias("in_giant"))
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(source, node, hops) for every node that can be reached from each of sources(node), by rounds of frontiers."""
+#: Fronts of a search that are read as one table from then on.
+MERGED_FRONTS = 40
+
+
+def hop_distances(edges: DataFrame, sources: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(source, node, hops) for every node that can be reached from each of sources(node), by rounds of frontiers. A neighbour of a front lies in it,
+    in the one before or in the next, so a round looks at no others. An error if the search is not over after most_rounds, where given."""
     held = small(canonical(edges))
     if held is not None:
         return _walks(sources, held, True).select("source", "node", "hops")
     ways = cut(both_ways(canonical(edges)))
     front = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
-    seen = front
-    for step in range(1, most_rounds):
-        new = front.join(ways, front["node"] == ways["src"]).select("source", F.col("dst").alias("node")).distinct().join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        front = cut(new.withColumn("hops", F.lit(step)))
+    before, seen = front.limit(0), [front]
+    for step in itertools.count(1):
+        if step == most_rounds:
+            raise RuntimeError("paths are longer than the rounds allowed")
+        near = front.select("source", F.col("node").alias("src")).join(ways, "src").select("source", F.col("dst").alias("node")).distinct()
+        new = near.join(front.unionByName(before).select("source", "node"), ["source", "node"], "left_anti")
+        before, front = front, cut(new.withColumn("hops", F.lit(step)))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front))
-    raise RuntimeError("paths are longer than the rounds allowed")
+            return reduce(DataFrame.unionByName, seen)
+        seen.append(front)
+        if len(seen) > MERGED_FRONTS:
+            seen = [cut(reduce(DataFrame.unionByName, seen))]
 
 
-def diameter(nodes: DataFrame, edges: DataFrame) -> int:
-    """Most hops between two connected nodes."""
-    return hop_distances(edges, nodes).agg(F.max("hops").alias("d")).first().d or 0
+def diameter(nodes: DataFrame, edges: DataFrame, searches: list[int] | None = None) -> int:
+    """Most hops between two connected nodes. A search from a node bounds how far any other of its component can be from its furthest one; only nodes that might still
+    be further than what was found are searched from, one in each component at a time, in turn the one of the largest bound and the most
+    central one. The numbers of sources are added to searches."""
+    flat = canonical(edges)
+    held = small(flat)
+    if held is not None:
+        return held.diameter(searches)
+    flat = cut(flat)
+    parts = cut(components(nodes, flat))
+    sizes = parts.groupBy("comp").agg((F.count("*") - 1).alias("high")).where("high > 0")
+    state = cut(parts.join(sizes, "comp").select("node", "comp", F.lit(0).cast("bigint").alias("low"), "high", F.lit(0).alias("hops"), F.lit(True).alias("open"), F.lit(False).alias("searched")))
+    best = 0
+    for turn in itertools.count():
+        # a central node may bound the others well though it is itself no end of a longest path
+        able = state.where("not searched" if central(turn) else "open")
+        pick = F.min(F.struct(search_order(F.col("hops"), F.col("low"), F.col("high"), turn).alias("o"), "node"))
+        sources = cut(able.groupBy("comp").agg(pick.alias("p")).select("comp", "p.node"))
+        count = sources.count()
+        if searches is not None and count:
+            searches.append(count)
+        if not count:
+            return best
+        found = cut(hop_distances(flat, sources.select("node")))
+        far = found.groupBy("source").agg(F.max("hops").alias("ecc"))
+        best = max(best, far.agg(F.max("ecc").alias("e")).first().e)
+        known = found.join(far, "source").select("node", "hops", "ecc")
+        low, high = F.greatest("low", "hops", F.col("ecc") - F.col("hops")), F.least("high", F.col("ecc") + F.col("hops"))
+        tight = state.drop("hops").join(known, "node").select("node", "comp", low.alias("low"), high.alias("high"), "hops", (F.col("searched") | (F.col("hops") == 0)).alias("searched"))
+        tight = cut(tight.withColumn("open", (F.col("high") > best) & (F.col("low") < F.col("high")) & ~F.col("searched")))
+        state = tight.join(tight.where("open").select("comp").distinct(), "comp", "left_semi")
 
 
 def path_lengths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, dims: Sequence[str] = DIMS, fewest_hops: bool = True, most_rounds: int = 10_000) -> DataFrame:
@@ -214,16 +254,21 @@ def path_lengths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, dims: S
 def shortest_path(edges: DataFrame, start: int, stop: int) -> DataFrame:
     """(step, node) along a path of fewest hops from start to stop, the least former node at each step; empty if there is none."""
     spark = edges.sparkSession
-    hops = cut(hop_distances(edges, spark.createDataFrame([(start,)], "node bigint")))
-    last = hops.where(F.col("node") == stop).first()
-    if last is None:
+    flat = cut(canonical(edges))
+    hops = cut(hop_distances(flat, spark.createDataFrame([(start,)], "node bigint")).select("node", "hops"))
+    if hops.where(F.col("node") == stop).isEmpty():
         return spark.createDataFrame([], "step int, node bigint")
-    ways = cut(both_ways(canonical(edges)))
-    path = [stop]
-    for step in range(last.hops - 1, -1, -1):
-        before = hops.where(F.col("hops") == step).select(F.col("node").alias("dst"))
-        path.append(ways.where(F.col("src") == path[-1]).join(before, "dst").agg(F.min("dst").alias("n")).first().n)
-    return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node bigint")
+    ends_ = both_ways(flat).join(hops.select(F.col("node").alias("src"), F.col("hops").alias("h")), "src").join(hops.select(F.col("node").alias("dst"), F.col("hops").alias("former")), "dst")
+    ptr = cut(ends_.where("former = h - 1").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("ptr")))
+    # pointers double, and so do the nodes known to lie on the path
+    path = hops.where(F.col("node") == stop).select("node")
+    while True:
+        more = path.join(ptr, "node").select(F.col("ptr").alias("node")).join(path, "node", "left_anti")
+        more = cut(more)
+        if more.isEmpty():
+            return hops.join(path, "node").select(F.col("hops").cast("int").alias("step"), "node")
+        path = cut(path.unionByName(more))
+        ptr = cut(ptr.join(ptr.select(F.col("node").alias("ptr"), F.col("ptr").alias("further")), "ptr").select("node", F.col("further").alias("ptr")))
 
 
 def edge_id_of(edges: DataFrame, pairs: DataFrame) -> DataFrame:

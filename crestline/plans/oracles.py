@@ -177,7 +177,7 @@ ORACLES: dict[str, str] = {
             JOIN far ON far.id = way.v AND far.e < 0.1::DOUBLE),
         ev AS (SELECT node, CASE WHEN node = (SELECT c FROM home) THEN d WHEN d = 1 THEN -1 WHEN d > 2 THEN d - 2 END AS event, e, len FROM walk JOIN deg USING (node) JOIN far ON far.id = node)
         SELECT node, CAST(event AS INT) AS event, round(e, 6) AS euclidean, round(len, 6) AS geodesic, CAST(sum(event) OVER (ORDER BY e, node) AS BIGINT) AS connectivity FROM ev WHERE event IS NOT NULL""",
-    "graph_diameter": f"""{TREE_SQL.replace('WITH RECURSIVE p2 AS (SELECT', ctes('seeds').replace('WITH ', 'WITH RECURSIVE ', 1) + ', p2 AS (SELECT node AS id, x, y FROM seeds), unused AS (SELECT', 1)},
+    "graph_diameter": f"""{TREE_SQL},
         hop(root, node, prior, hops) AS (SELECT id, id, CAST(-1 AS BIGINT), 0 FROM p2 UNION ALL SELECT h.root, t.v, h.node, h.hops + 1 FROM hop h JOIN (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree) t ON t.u = h.node AND t.v <> h.prior)
         SELECT CAST(max(hops) AS BIGINT) AS diameter FROM hop""",
     "remove_short_edges": f"""{TREE_SQL}, long AS (SELECT src, dst FROM tree JOIN p2 a ON a.id = src JOIN p2 b ON b.id = dst WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) >= 0.01::DOUBLE),

@@ -301,7 +301,8 @@ def edge_numbers(spark, d):
 
 @query
 def graph_diameter(spark, d):
-    nodes = seeds(spark, d).persist()
+    """Of the tree of all points."""
+    nodes = as_nodes(p2(spark, d))
     return spark.createDataFrame([(int(graph.diameter(nodes, topology.mst(nodes))),)], "diameter bigint")
 
 
