@@ -119,19 +119,20 @@ def leading(rows: DataFrame, groups: Sequence[str], value: str, item: str, k: in
     ties = rows.join(small(bound.where("need is not null"), n_groups), groups).where(F.col(value) == F.col("bound")).drop("bound")
     ties = cut(ties.withColumn("bytes", F.col(item).cast("binary")))
     up = Window.partitionBy(*groups).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-    open_ = cut(ties.groupBy(*groups).agg(F.count("*").alias("n"), F.first("need").alias("need")).select(*groups, "need", F.lit(b"").alias("prefix"), (F.col("n") > F.col("need")).alias("open")))
+    open_ = cut(ties.groupBy(*groups).agg(F.count("*").alias("n"), F.first("need").alias("need")).select(*groups, "need", F.lit(b"").alias("prefix"), F.lit(0).alias("span"), (F.col("n") > F.col("need")).alias("open")))
     done, width = [open_.where("not open")], FIRST_BYTES
     while not (open_ := open_.where("open")).isEmpty():
         own = ties.select(*groups, "bytes").join(small(open_, n_groups), groups).where("substring(bytes, 1, length(prefix)) = prefix")
         bins = own.groupBy(*groups, F.expr(f"substring(bytes, length(prefix) + 1, {width})").alias("digit")).agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("prefix").alias("prefix"))
-        bins = bins.withColumn("upto", F.sum("n").over(up)).where("upto >= need and upto - n < need")
-        open_ = cut(bins.select(*groups, F.expr("need - (upto - n)").alias("need"), F.concat("prefix", "digit").alias("prefix"), (F.col("upto") > F.col("need")).alias("open")))
+        bins = bins.withColumn("upto", F.sum("n").over(up)).where("upto >= need and upto - n < need").withColumn("span", F.length("prefix") + width)
+        open_ = cut(bins.select(*groups, F.expr("need - (upto - n)").alias("need"), F.concat("prefix", "digit").alias("prefix"), "span", (F.col("upto") > F.col("need")).alias("open")))
         done.append(open_.where("not open"))
         width *= 2
     last = done[0]
     for more in done[1:]:
         last = last.unionByName(more)
-    within = ties.drop("need").join(small(last.select(*groups, "prefix"), n_groups), groups).where("substring(bytes, 1, length(prefix)) <= prefix").drop("bytes", "prefix")
+    # where the last item within ends before the span does, those that go on from it are beyond
+    within = ties.drop("need").join(small(last.select(*groups, "prefix", "span"), n_groups), groups).where("substring(bytes, 1, span) <= prefix").drop("bytes", "prefix", "span")
     order = Window.partitionBy(*groups).orderBy(F.desc(value), F.col(item))
     return above.unionByName(within).withColumn("rank", F.row_number().over(order).cast("int"))
 
