@@ -132,8 +132,8 @@ def first_model(count: np.ndarray, kinds: np.ndarray, states: int, seed: int) ->
     """States that tend to stay, and differ by chance in how often they emit each bucket."""
     random = np.random.default_rng(seed)
     emit = ((count + 1) / (count + 1).sum())[:, None] * random.uniform(0.5, 1.5, (len(count), states))
-    step = np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(step, 0.9 if states > 1 else 1.0)
+    step = np.full((states, states), 0.01 / max(1, states - 1))
+    np.fill_diagonal(step, 0.99 if states > 1 else 1.0)
     return Model(np.full(states, 1 / states), step, emit / emit.sum(0), count, kinds)
 
 
@@ -254,10 +254,12 @@ def expected_counts(model: Model, codes: np.ndarray, sizes: np.ndarray, most: in
 
 
 def maximised(model: Model, got: Expected, smoothing: float) -> Model:
-    """Shares from expected counts; smoothing adds so many uses of all buckets as they are spread in the corpus, and of all states."""
+    """Shares from expected counts. A state's buckets are drawn to those of the corpus, by smoothing times as many uses as the state has buckets (Witten and
+    Bell's rule), so that a state of few texts does not rule out what it has not seen; starts and steps get smoothing uses for all states."""
     states = len(model.start)
     flat = (model.count + 1) / (model.count + 1).sum()
-    emit = got.emit + smoothing * flat[:, None]
+    met = np.minimum(got.emit, 1).sum(0)
+    emit = got.emit + smoothing * np.maximum(met, 1) * flat[:, None]
     step = got.step + smoothing / states
     start = got.start + smoothing / states
     return Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0), model.count, model.kinds)
