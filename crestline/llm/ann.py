@@ -112,8 +112,12 @@ def fit_arrays(x: np.ndarray, n_lists: int, *, k: int = 20, recall: float = 0.98
                     books[m, c] = np.linalg.solve(left, right)
             new = ((rest[:, m] - books[m, codes[:, m]]) * u).sum(1)
             total, along[:, m] = others + new, new
-    asked = x[draw.choice(n, min(n, 256), False)]
-    near = np.argsort(-(asked @ x.T), 1)[:, 1 : k + 1]
+    chosen = draw.choice(n, min(n, 256), False)
+    asked = x[chosen]
+    products = asked @ x.T
+    # of vectors of unlike length another one may well be nearer than the vector itself
+    products[np.arange(len(chosen)), chosen] = -np.inf
+    near = np.argsort(-products, 1)[:, : min(k, n - 1)]
     rank = np.argsort(np.argsort(-(asked @ centres.T), 1), 1)
     seen = rank[np.arange(len(asked))[:, None], at[near]]
     probes = next((p for p in range(1, n_lists + 1) if not seen.size or (seen < p).mean() >= recall), n_lists)
@@ -182,6 +186,11 @@ def top(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple
     return query[place < k], ids[place < k], score[place < k]
 
 
+def chunk_counts(widths: np.ndarray, dims: int, chunk_bytes: int) -> np.ndarray:
+    """Chunks of each list of so many vectors; one that holds most vectors, such as equal ones, has as many as it needs."""
+    return np.maximum(1, -(-widths * 8 * dims // chunk_bytes))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
@@ -189,7 +198,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, rerank: int = 100, recall: float = 0.98, list_rows: int = 2048, most_lists: int = 4096, most_sample: int = 20_000, chunk_bytes: int = 64_000_000, most_held: int = 500_000) -> DataFrame:
-    """(query_id, rank, id, score) of the k nearest found for each row of vectors where is_query (over the column id) holds."""
+    """(query_id, rank, id, score) of the k nearest found for each row of vectors where is_query (over the column id) holds. Learned from at most most_sample vectors, of
+    more than 400 dimensions from as many as have 8 million components; lists are held in chunks of about chunk_bytes."""
     rows = usable(vectors, id_col, vector_col)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     out = f"query_id bigint, rank int, {id_col} bigint, score double"
@@ -203,7 +213,6 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     n_lists = max(1, min(most_lists, -(-count // list_rows)))
     model = fit_arrays(sample, n_lists, k=k, recall=recall)
     n_lists = len(model.centres)
-    chunks = max(1, -(-count * 8 * dims // (n_lists * chunk_bytes)))
     widths = np.zeros(n_lists, np.int64)
 
     def count_lists(batches):
@@ -213,9 +222,10 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                 own += np.bincount(model.lists(batch.column(0).slice(a, 2048).flatten().to_numpy().reshape(-1, dims)), minlength=n_lists)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(own), pa.int32()), pa.array(own[own > 0], pa.int64())], ["list", "n"])
 
-    if model.probes < n_lists:
+    if model.probes < n_lists or count * 8 * dims > chunk_bytes:
         for r in rows.select("v").mapInArrow(count_lists, "list int, n bigint").groupBy("list").agg(F.sum("n").alias("n")).collect():
             widths[r.list] = r.n
+    chunks = chunk_counts(widths, dims, chunk_bytes)
 
     def place(batches):
         for batch in batches:
@@ -228,7 +238,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                 codes = packed(encode(paired(x - model.centres[at]), direction, model.books, model.weight))
                 raw = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int32()), pa.array((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks, pa.int64()), pa.array(np.zeros(len(ids)), pa.int32()), part.column(0), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in range(len(ids))], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())],
+                    [pa.array(at, pa.int32()), pa.array((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[at], pa.int64()), pa.array(np.zeros(len(ids)), pa.int32()), part.column(0), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in range(len(ids))], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())],
                     ["list", "chunk", "kind", "id", "v", "codes"],
                 )
 
@@ -241,11 +251,12 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                 # rows of the query's own id are no candidates
                 before = np.cumsum(widths[near], 1) - widths[near]
                 visited = (np.arange(n_lists) < model.probes) | (before < k + part.column(2).to_numpy()[:, None])
-                n = int(visited.sum()) * chunks
-                owner = np.repeat(np.nonzero(visited)[0], chunks)
+                times = chunks[near[visited]]
+                n = int(times.sum())
+                owner = np.repeat(np.nonzero(visited)[0], times)
                 raw = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(near[visited], chunks), pa.int32()), pa.array(np.tile(np.arange(chunks), n // chunks), pa.int64()), pa.array(np.ones(n), pa.int32()), part.column(0).take(pa.array(owner)), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in owner], pa.binary()), pa.nulls(n, pa.binary())],
+                    [pa.array(np.repeat(near[visited], times), pa.int32()), pa.array(np.arange(n) - np.repeat(np.cumsum(times) - times, times), pa.int64()), pa.array(np.ones(n), pa.int32()), part.column(0).take(pa.array(owner)), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in owner], pa.binary()), pa.nulls(n, pa.binary())],
                     ["list", "chunk", "kind", "id", "v", "codes"],
                 )
 

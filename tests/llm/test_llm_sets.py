@@ -459,6 +459,30 @@ def test_queries_in_a_small_list_go_on(spark):
     assert got == {q: 20 for q in range(0, 305, 4)}
 
 
+def test_a_list_of_most_vectors_is_split(spark):
+    assert ann.chunk_counts(np.array([0, 10, 900]), 4, 320).tolist() == [1, 1, 90]
+    draw = np.random.default_rng(21)
+    x = np.concatenate((np.tile(draw.normal(size=8), (900, 1)), draw.normal(size=(100, 8)) * 3))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rows = ann.search(table, F.col("id") % 20 == 0, list_rows=50, chunk_bytes=64 * 40).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, 1000, 20):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(1000), -s))[:20].tolist()) & set(got[q]))
+    assert all(len(v) == 20 for v in got.values()) and hits >= 0.95 * 20 * 50
+
+
+def test_samples_of_unlike_lengths_mask_their_own_row():
+    draw = np.random.default_rng(22)
+    x = draw.normal(size=(500, 6)) * draw.uniform(0.1, 5, (500, 1))
+    model = ann.fit_arrays(x, 10, k=5)
+    assert 1 <= model.probes <= 10 and 0 < model.share <= 1
+
+
 def test_large_components_take_part(spark):
     table = spark.createDataFrame([(i, [1e20 * (i + 1), 1e20, -1e20]) for i in range(6)], "vec_id bigint, embedding array<float>")
     got = ann.search(table, F.col("id") == 0).orderBy("rank").collect()
