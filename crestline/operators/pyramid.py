@@ -38,12 +38,13 @@ ROWS = 1000
 
 @dataclass(frozen=True)
 class Pyramid:
-    """rows: (id, dims, code, apart, spare, near) of all points; spare: as many coincident points of lesser id are there already as a search needs; near: squared distance
-    within which the own lowest cell has enough points. bits: halvings."""
+    """rows: (rep, id, dims, code, apart, spare, near) of all points, each key rep in cells of its own; spare: as many coincident points of lesser id are there already as a search needs; near: squared distance
+    within which the own lowest cell has enough points. bits: halvings. keys: number of keys."""
 
     rows: DataFrame
     bits: int
     dims: tuple[str, ...]
+    keys: int = 1
 
     @property
     def levels(self) -> list[int]:
@@ -120,30 +121,31 @@ def described(ids: np.ndarray, x: np.ndarray, code: np.ndarray, need: int) -> tu
     return apart, near
 
 
-def plant(points: DataFrame, n: int, *, id_col: str = "id", dims: Sequence[str] = DIMS, leaf: int = 16, need: int = 0) -> Pyramid:
-    """The pyramid of n points (those with a null or non-finite coordinate take no part); lowest cells hold at most about leaf of them. need: points, with the own one, that a search must find."""
+def plant(points: DataFrame, n: int, *, id_col: str = "id", dims: Sequence[str] = DIMS, leaf: int = 16, need: int = 0, key: str | None = None, keys: int = 1) -> Pyramid:
+    """The pyramid of n points, or of at most n for each value of key, of which there are about keys, whole numbers from 0 on (points with a null or non-finite coordinate take no part); lowest cells hold at most about leaf of them. need: points, with the own one, that a search must find."""
     finite = " and ".join(f"{d} is not null and not isnan({d}) and abs({d}) < double('infinity')" for d in dims)
-    rows = points.select(F.col(id_col).cast("long").alias("id"), *[F.col(d).cast("double").alias(d) for d in dims]).where(finite)
+    rep = (F.col(key) if key else F.lit(0)).cast("int").alias("rep")
+    rows = points.where(finite).select(rep, F.col(id_col).cast("long").alias("id"), *[F.col(d).cast("double").alias(d) for d in dims])
     depth = min(MOST_UPPER, max(0, math.ceil(math.log2(max(n, 1) / UPPER_POINTS))))
     rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53))
     names = [*dims, "hash"]
-    upper = "id bigint, " + ", ".join(f"{d} double" for d in dims) + ", upper int"
+    upper = "rep int, id bigint, " + ", ".join(f"{d} double" for d in dims) + ", upper int"
     if depth:
-        most = max(1, n // (SAMPLED << depth))
-        taken = rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(most)) == 0).select(*names).toArrow()
+        most = max(1, n * keys // (SAMPLED << depth))
+        taken = rows.where(F.pmod(F.xxhash64("rep", "id", F.lit(17)), F.lit(most)) == 0).select(*names).toArrow()
         side, value = upper_halvings(np.stack([c.to_numpy() for c in taken.columns], 1), depth)
 
         def place(batches):
             for batch in batches:
-                x = np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
+                x = np.stack([c.to_numpy() for c in batch.columns[2:]], 1)
                 node, every = np.zeros(len(x), np.int64), np.arange(len(x))
                 for _ in range(depth):
                     node = 2 * node + 1 + (x[every, side[node]] >= value[node])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((node - (1 << depth) + 1).astype(np.int32))], ["id", *dims, "upper"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((node - (1 << depth) + 1).astype(np.int32))], ["rep", "id", *dims, "upper"])
 
-        placed = rows.select("id", *names).mapInArrow(place, upper)
+        placed = rows.select("rep", "id", *names).mapInArrow(place, upper)
     else:
-        placed = rows.select("id", *dims, F.lit(0).alias("upper"))
+        placed = rows.select("rep", "id", *dims, F.lit(0).alias("upper"))
     # sampled halves are uneven, so upper cells may hold about twice what is aimed at
     lower = max(0, math.ceil(math.log2(max(n, 1) * (2 if depth else 1) / (1 << depth) / leaf)))
 
@@ -152,12 +154,13 @@ def plant(points: DataFrame, n: int, *, id_col: str = "id", dims: Sequence[str]
         x = np.stack(x, 1)
         code = lower_halvings(ids, x, lower)
         apart, near = described(ids, x, code, need)
-        code += table.column("upper")[0].as_py() << lower
+        own = table.column("rep")
+        code += (own[0].as_py() << (depth + lower)) + (table.column("upper")[0].as_py() << lower)
         spare = coincident_rank(ids, x) >= need if need else np.zeros(len(ids), bool)
-        return pa.table({"id": ids, **{d: x[:, j] for j, d in enumerate(dims)}, "code": code, "apart": apart, "spare": spare, "near": near})
+        return pa.table({"rep": own, "id": ids, **{d: x[:, j] for j, d in enumerate(dims)}, "code": code, "apart": apart, "spare": spare, "near": near})
 
-    found = placed.groupBy("upper").applyInArrow(settle, "id bigint, " + ", ".join(f"{d} double" for d in dims) + ", code bigint, apart boolean, spare boolean, near double")
-    return Pyramid(cut(found), depth + lower, tuple(dims))
+    found = placed.groupBy("rep", "upper").applyInArrow(settle, "rep int, id bigint, " + ", ".join(f"{d} double" for d in dims) + ", code bigint, apart boolean, spare boolean, near double")
+    return Pyramid(cut(found), depth + lower, tuple(dims), keys)
 
 
 def box(dims: Sequence[str]) -> list[Column]:
@@ -195,10 +198,10 @@ def below(pyramid: Pyramid, cells: DataFrame, pairs: DataFrame | None, items: Da
     """Pairs of items and the cells of level k under those that were left at the level above, with least and most."""
     depths = pyramid.levels
     here = cells.where(F.col("level") == k).drop("level")
-    here = here.withColumn("above", F.expr(f"shiftright(cell, {depths[k] - depths[k - 1]})") if k else F.lit(0).cast("bigint"))
-    # a level has at most 2 to its depth cells; at the first all are under the root
-    here = broadcast_small(here, 1 << depths[k])
-    now = items.withColumn("above", F.lit(0).cast("bigint")) if pairs is None else pairs
+    here = here.withColumn("above", F.expr(f"shiftright(cell, {depths[k] - (depths[k - 1] if k else 0)})"))
+    # a level has at most 2 to its depth cells for each key; at the first all are under the root, which is named by the key
+    here = broadcast_small(here, pyramid.keys << depths[k])
+    now = items.withColumn("above", F.col("rep").cast("bigint")) if pairs is None else pairs
     least, most = gaps(pyramid.dims)
     return now.join(here, "above").withColumn("least", least).withColumn("most", most)
 
@@ -209,7 +212,7 @@ def boxed(dims: Sequence[str]) -> list[Column]:
 
 def item_key() -> Column:
     """Points that lie apart are items of their own."""
-    return F.struct(F.col("apart"), F.when(F.col("apart"), F.col("id")).otherwise(F.col("code")).alias("key"))
+    return F.struct(F.col("rep"), F.col("apart"), F.when(F.col("apart"), F.col("id")).otherwise(F.col("code")).alias("key"))
 
 
 def held(dims: Sequence[str], *more: str) -> Column:
@@ -251,11 +254,11 @@ def looked_at(pairs: DataFrame, items: DataFrame, cells: DataFrame, on: Sequence
 
 
 def nearest(queries: Pyramid, points: Pyramid, k: int, *, exclude_self: bool, looked: list[int] | None = None) -> DataFrame:
-    """(q_id, rank, p_id, d2): the k nearest points (of at least k) of each query, ties to the smaller id; the numbers of compared pairs are added to looked."""
+    """(rep, q_id, rank, p_id, d2): the k nearest points of the same key (all, where there are fewer) of each query, ties to the smaller id; the numbers of compared pairs are added to looked."""
     dims, need = points.dims, k + exclude_self
     cells = cells_of(points, points.rows.where("not spare"), [F.count("*").alias("n")], [F.sum("n").alias("n")])
     items = cut(queries.rows.groupBy(item_key().alias("item")).agg(*box(dims), F.max("near").alias("bound"), held(dims).alias("own")))
-    first = items.select("item", "bound", *boxed(dims))
+    first = items.select("item", "item.rep", "bound", *boxed(dims))
     pairs = None
     order = Window.partitionBy("item").orderBy("most").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("item")
@@ -282,12 +285,12 @@ def nearest(queries: Pyramid, points: Pyramid, k: int, *, exclude_self: bool, lo
                 kept = d2 <= part.column(0).to_numpy()[row]
                 if exclude_self:
                     kept &= q[i] != p[j]
-                yield pa.RecordBatch.from_arrays([pa.array(q[i[kept]]), pa.array(p[j[kept]]), pa.array(d2[kept])], ["q_id", "p_id", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(3).to_numpy()[row[kept]]), pa.array(q[i[kept]]), pa.array(p[j[kept]]), pa.array(d2[kept])], ["rep", "q_id", "p_id", "d2"])
 
-    met = meet(pairs, items.select("item", "own"), leaves, ["item"]).select("bound", "own", "other")
-    found = met.mapInArrow(compare, "q_id bigint, p_id bigint, d2 double")
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("d2", "p_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", F.col("rank").cast("int").alias("rank"), "p_id", "d2")
+    met = meet(pairs, items.select("item", "own"), leaves, ["item"]).select("bound", "own", "other", "item.rep")
+    found = met.mapInArrow(compare, "rep int, q_id bigint, p_id bigint, d2 double")
+    rank = F.row_number().over(Window.partitionBy("rep", "q_id").orderBy("d2", "p_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("rep", "q_id", F.col("rank").cast("int").alias("rank"), "p_id", "d2")
 
 
 def ways_out(pyramid: Pyramid, label: DataFrame, seekers: DataFrame, *, looked: list[int] | None = None) -> DataFrame:
@@ -295,11 +298,11 @@ def ways_out(pyramid: Pyramid, label: DataFrame, seekers: DataFrame, *, looked:
 
     label: (id, comp) of all nodes. seekers: (id, bound), bound a squared length that the component's way out has at most."""
     dims = pyramid.dims
-    named = cut(pyramid.rows.where("not spare").select("id", *dims, "code", "apart").join(label, "id"))
+    named = cut(pyramid.rows.where("not spare").select("rep", "id", *dims, "code", "apart").join(label, "id"))
     cells = cells_of(pyramid, named, [F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")], [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")])
     items = named.join(seekers, "id").groupBy("comp", item_key().alias("item")).agg(*box(dims), F.min("bound").alias("bound"), held(dims).alias("own"))
     items = cut(items)
-    first = items.select("comp", "item", "bound", *boxed(dims))
+    first = items.select("comp", "item", "item.rep", "bound", *boxed(dims))
     comps = items.select("comp").distinct().count()
     pairs = None
     levels = len(pyramid.levels)
@@ -339,7 +342,7 @@ def inside_spheres(pyramid: Pyramid, spheres: DataFrame, most: int) -> DataFrame
     dims = pyramid.dims
     cells = cells_of(pyramid, pyramid.rows, [F.count("*").alias("n")], [F.sum("n").alias("n")])
     centre = [F.col(f"c_{d}").alias(f"a_{p}_{d}") for d in dims for p in ("lo", "hi")]
-    first = spheres.select("item", F.col("r2").alias("bound"), *centre)
+    first = spheres.select("item", F.lit(0).alias("rep"), F.col("r2").alias("bound"), *centre)
     pairs = None
     for level in range(len(pyramid.levels)):
         pairs = below(pyramid, cells, pairs, first, level).where("least < bound")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crestline.functions.stats import bounding_box
-from crestline.operators.fit import MOST_NODES
+from crestline.operators.spatial import knn_join
+from crestline.operators.state import limits
 
 DIMS = ("x", "y")
 
@@ -43,11 +44,17 @@ def probability_map(points: DataFrame, nodes: DataFrame, edges: DataFrame, cells
     return drawn.select("rep", *names).distinct().groupBy(*names).agg((F.count("*") / reps).alias("p"))
 
 
-def position_uncertainty(nodes: DataFrame, replicas: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
-    """(node, rho): root mean square over replicas of a node's distance to the replica's nearest node."""
-    own = nodes.orderBy("node").select("node", *dims).limit(MOST_NODES + 1).collect()
-    if len(own) > MOST_NODES:
-        raise ValueError(f"a model has at most {MOST_NODES} nodes")
+def position_uncertainty(nodes: DataFrame, replicas: DataFrame, dims: Sequence[str] = DIMS, local_points: int | None = None) -> DataFrame:
+    """(node, rho): root mean square over replicas of a node's distance to the replica's nearest node. Where nodes or a replica are more than
+    local_points (limits().nodes, if not given), nodes descend through the cells of each replica."""
+    most = limits().nodes if local_points is None else local_points
+    own = nodes.select("node", *dims).limit(max(most, 0) + 1).collect()
+    if len(own) > most or (replicas.groupBy("rep").count().agg(F.max("count").alias("n")).first().n or 0) > most:
+        reps = [r.rep for r in replicas.select("rep").distinct().collect()]
+        asked = nodes.select("node", *dims, F.explode(F.array(*map(F.lit, reps))).alias("rep"))
+        found = knn_join(asked, replicas.withColumn("_id", F.col("node")), 1, query_id="node", point_id="_id", dims=dims, key="rep")
+        return found.groupBy(F.col("q_id").alias("node")).agg(F.sqrt(F.avg("d2")).alias("rho"))
+    own.sort(key=lambda r: r[0])
     ids = np.array([r[0] for r in own], np.int64)
     x = np.array([r[1:] for r in own], float).reshape(-1, len(dims))
 

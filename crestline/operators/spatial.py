@@ -77,12 +77,23 @@ def _knn_small(queries: DataFrame, points: DataFrame, k: int, query_id: str, poi
     return rows.mapInArrow(run, "q_id bigint, rank int, p_id bigint, d2 double")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "id", point_id: str = "id", dims: Sequence[str] = DIMS, exclude_self: bool = False, looked: list[int] | None = None) -> DataFrame:
-    """The k nearest points of each query, ties to the smaller id: q_id, rank (from 1), p_id and d2.
+def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "id", point_id: str = "id", dims: Sequence[str] = DIMS, exclude_self: bool = False, key: str | None = None, looked: list[int] | None = None) -> DataFrame:
+    """The k nearest points of each query, ties to the smaller id: q_id, rank (from 1), p_id and d2. With key, a column of whole numbers from 0 on of both, only among points of the
+    query's key (all, where they are fewer), which comes along.
 
     Up to limits().neighbours points go to every task and are compared with all its queries. Beyond, both lie in cells that follow their density, and
     those cells meet that may hold a neighbour; the number of compared pairs is added to looked.
     """
+    if key:
+        sizes = points.groupBy(key).count().agg(F.max("count").alias("n"), F.count("*").alias("keys")).first()
+        if not sizes.keys or k < 1:
+            return points.sparkSession.createDataFrame([], f"{key} int, q_id bigint, rank int, p_id bigint, d2 double")
+        need = k + exclude_self
+        held = {"dims": dims, "key": key, "keys": sizes["keys"]}
+        placed = pyramid.plant(points, sizes.n, id_col=point_id, leaf=pyramid.leaf_size(need), need=need, **held)
+        most = queries.groupBy(key).count().agg(F.max("count").alias("n")).first().n or 0
+        asked = placed if queries is points and query_id == point_id else pyramid.plant(queries, most, id_col=query_id, **held)
+        return pyramid.nearest(asked, placed, k, exclude_self=exclude_self, looked=looked).withColumnRenamed("rep", key)
     n = points.count()
     wanted = min(k, n - (1 if exclude_self else 0))
     if wanted < 1:
@@ -92,4 +103,4 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "
     need = wanted + exclude_self
     placed = pyramid.plant(points, n, id_col=point_id, dims=dims, leaf=pyramid.leaf_size(need), need=need)
     asked = placed if queries is points and query_id == point_id else pyramid.plant(queries, queries.count(), id_col=query_id, dims=dims)
-    return pyramid.nearest(asked, placed, wanted, exclude_self=exclude_self, looked=looked)
+    return pyramid.nearest(asked, placed, wanted, exclude_self=exclude_self, looked=looked).drop("rep")

@@ -200,6 +200,6 @@ ORACLES["ends_and_loops"] = ORACLES["find_filaments"].replace("SELECT row_number
 ORACLES["path_lengths_by_rounds"] = f"""{GRAPH.replace('WITH ', 'WITH RECURSIVE ', 1)}, ways AS MATERIALIZED (SELECT u, v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS w FROM (SELECT src AS u, dst AS v FROM flat UNION SELECT dst, src FROM flat) JOIN p2 a ON a.id = u JOIN p2 b ON b.id = v),
     step(node, hops, len) AS (SELECT min(id), 0, 0.0::DOUBLE FROM p2 UNION ALL SELECT v, hops + 1, min(len + w) FROM step JOIN ways ON u = node WHERE hops < 200 GROUP BY v, hops),
     first AS (SELECT node, min(hops) AS hops, arg_min(len, hops) AS len FROM step GROUP BY node) SELECT (SELECT min(id) FROM p2) AS source, node, CAST(hops AS INT) AS hops, round(len, 6) AS len FROM first"""
-for _name in ("knn_by_cells", "sphere_of_influence_by_cells", "relative_neighbours_by_cells", "numbered_edges_by_rounds", "components_by_rounds", "hop_distances_by_rounds", "find_filaments_by_rounds"):
+for _name in ("position_uncertainty_by_cells", "knn_by_cells", "sphere_of_influence_by_cells", "relative_neighbours_by_cells", "numbered_edges_by_rounds", "components_by_rounds", "hop_distances_by_rounds", "find_filaments_by_rounds"):
     ORACLES[_name] = ORACLES[_name.rsplit("_by_", 1)[0]]
 

@@ -618,7 +618,7 @@ def distributed(name: str, over: str) -> None:
     QUERIES[f"{name}_{over}"] = run
 
 
-for _name in ("knn", "sphere_of_influence", "relative_neighbours", "delaunay_graph"):
+for _name in ("knn", "sphere_of_influence", "relative_neighbours", "delaunay_graph", "position_uncertainty"):
     distributed(_name, "by_cells")
 for _name in ("numbered_edges", "components", "hop_distances", "onion_layers"):
     distributed(_name, "by_rounds")

@@ -93,3 +93,19 @@ def test_delaunay_by_cells_is_that_of_one_task(spark, case):
     with limited(nodes=-1, neighbours=-1):
         got = [tuple(r) for r in topology.delaunay(table(spark, x, "node"), "xyz"[: x.shape[1]]).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_neighbours_of_the_same_key(spark, many_upper_cells):
+    x, keys = rnd.random((800, 2)), rnd.integers(0, 4, 800)
+    points = table(spark, np.concatenate((x, x[:5])) + 0.0).join(spark.createDataFrame(pd.DataFrame({"id": np.arange(805), "rep": [*keys.tolist(), *keys[:5].tolist()]})), "id")
+    asked = table(spark, x[:50]).join(points.select("id", "rep"), "id")
+    got = {(r.rep, r.q_id, r["rank"]): (r.p_id, r.d2) for r in spatial.knn_join(asked, points, 3, key="rep").collect()}
+    own = {(r.rep, r.q_id, r["rank"]): r.p_id for r in spatial.knn_join(points, points, 2, key="rep", exclude_self=True).collect()}
+    every, held = np.concatenate((x, x[:5])), np.concatenate((keys, keys[:5]))
+    for i in range(50):
+        at = np.flatnonzero(held == keys[i])
+        d2 = ((every[at] - x[i]) ** 2).sum(1)
+        order = np.lexsort((at, d2))
+        assert [got[keys[i], i, r][0] for r in (1, 2, 3)] == at[order[:3]].tolist()
+        assert [own[keys[i], i, r] for r in (1, 2)] == [j for j in at[order[:3]].tolist() if j != i][:2]
+    assert len(got) == 150 and len(own) == 2 * 805
