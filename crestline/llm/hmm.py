@@ -37,7 +37,7 @@ from crestline.llm.cut import cut
 
 BUCKETS = 16_384
 #: Text of a block, and tokens whose tables are held at once.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 MOST_TOKENS = 200_000
 #: The end of a text, as a word; words are never empty.
 END = b""
