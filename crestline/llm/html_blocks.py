@@ -33,7 +33,8 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Block(NamedTuple):
-    """place: 0 outside of main and article, else 1 in a main element plus twice the number of the article in the page, from 1; linked: characters within links."""
+    """place: -1 in an element that is set apart, 0 outside of main and article, else 1 in a main element plus twice the number of the article in the page, from 1;
+    linked: characters within links."""
 
     text: str
     place: int
@@ -66,21 +67,23 @@ def marked(name: str, own: dict[str, str], place: int) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; what lies in a dropped element is left out."""
+def blocks(page: str, apart: bool = False) -> list[Block]:
+    """Text blocks in page order; what lies in a dropped element is left out, or has place -1 if apart is asked for."""
     found: list[Block] = []
     stack = [Open("", False, 0, False)]
     text: list[str] = []
-    linked = 0
+    beside: list[str] = []
+    linked = beside_linked = 0
     at = articles = 0
 
     def flush() -> None:
-        nonlocal linked
-        joined = " ".join("".join(text).split())
-        if joined:
-            found.append(Block(joined, stack[-1].place, linked))
-        text.clear()
-        linked = 0
+        nonlocal linked, beside_linked
+        for parts, place, links in ((text, stack[-1].place, linked), (beside, -1, beside_linked)):
+            joined = " ".join("".join(parts).split())
+            if joined:
+                found.append(Block(joined, place, links))
+            parts.clear()
+        linked = beside_linked = 0
 
     def close(names: set[str], within: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -91,12 +94,15 @@ def blocks(page: str) -> list[Block]:
                 return
 
     def add(part: str) -> None:
-        nonlocal linked
-        if part and not stack[-1].dropped:
+        nonlocal linked, beside_linked
+        if part and (apart or not stack[-1].dropped):
             part = html.unescape(part)
-            text.append(part)
-            if stack[-1].link:
-                linked += len(part.strip())
+            (beside if stack[-1].dropped else text).append(part)
+            links = len(part.strip()) if stack[-1].link else 0
+            if stack[-1].dropped:
+                beside_linked += links
+            else:
+                linked += links
 
     while m := TAG.search(page, at):
         add(page[at : m.start()])
@@ -107,7 +113,7 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
         elif name == "br":
-            text.append(" ")
+            (beside if stack[-1].dropped else text).append(" ")
         if m[1]:
             if any(o.name == name for o in stack):
                 close({name}, set())

@@ -426,6 +426,55 @@ def test_pages_without_article_against_brute_force(spark, sf_dir):
     assert gone > 5
 
 
+def test_array_decides_first_on_the_whole_table(spark):
+    """The registered query on unchanged pages: what goes as repeated is what a plain count of runs over whole hosts finds."""
+    from collections import Counter
+    from urllib.parse import urlsplit
+
+    sf_dir = "/root/testdata/sf0.01"
+    plain = lambda text: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.lower())
+    pages, seen = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        found = html_blocks.blocks(r.html or "", apart=True)
+        host = urlsplit(r.url or "").hostname or ""
+        article = host_suffix.settled(found)[0]
+        name = tuple(w for b in found if b.place >= 0 for w in plain(b.text))
+        streams = []
+        for chosen in ([b for b in found if b.place >= 0 and b.place != article], [b for b in found if b.place < 0]):
+            stream = [(k, w) for k, b in enumerate(chosen) for w in plain(b.text)]
+            for a in range(len(stream) - 7):
+                seen.setdefault((host, len(streams), *(w for _, w in stream[a : a + 8])), set()).add(name)
+            streams.append((chosen, stream))
+        pages[r.page_id] = host, article, streams
+    got = {r.page_id: r for r in queries.op3_host_suffix_text(spark, sf_dir).collect()}
+    for i, (host, article, streams) in pages.items():
+        gone = 0
+        for kind, (chosen, stream) in enumerate(streams):
+            hit = [False] * len(stream)
+            for a in range(len(stream) - 7):
+                if len(seen[host, kind, *(w for _, w in stream[a : a + 8])]) >= 3:
+                    hit[a : a + 8] = [True] * 8
+            total, covered = Counter(k for k, _ in stream), Counter(k for (k, _), h in zip(stream, hit, strict=True) if h)
+            gone += sum(covered[k] > (0 if b.linked * 2 > len(b.text) else 0.8) * max(total[k], 1) for k, b in enumerate(chosen))
+        assert got[i].n_repeated == gone
+    assert sum(r.n_repeated for r in got.values()) > 20
+
+
+def test_array_and_markup(spark):
+    foot = "All rights to these pages are with the house that made them"
+    own = [f"Own words number {i} {chr(97 + i) * 3} come here and stay {i}" for i in range(8)]
+    page = lambda i, end: f"<div>{own[i]}</div>{end}"
+    rows = [(i, "http://a.b/", page(i, f"<footer>{foot}</footer><p class=ad>Buy {i}</p>"), None) for i in range(3)]
+    # two pages are too few, in contents too if a third has the words in an element that names itself; and copies are one page
+    rows += [(i, "http://two.pages/", page(i, f"<footer>{foot}</footer>" if i == 4 else f"<div>{foot}</div>"), None) for i in (3, 4, 5)]
+    rows += [(i, "http://same.page/", page(6, f"<footer>{foot}</footer>"), None) for i in (6, 7, 8)]
+    for chunk in (2, 256):
+        got = {r.page_id: r for r in host_suffix.extract(pages_of(spark, rows), chunk_pages=chunk).collect()}
+        assert [(got[i].text, got[i].n_repeated, got[i].n_markup) for i in range(3)] == [(own[i], 1, 1) for i in range(3)]
+        assert [(got[i].text, got[i].n_repeated, got[i].n_markup) for i in (3, 4, 5)] == [(f"{own[i]}\n{foot}" if i != 4 else own[i], 0, int(i == 4)) for i in (3, 4, 5)]
+        assert [(got[i].text, got[i].n_repeated, got[i].n_markup) for i in (6, 7, 8)] == [(own[6], 0, 1)] * 3
+
+
 def test_repeated_runs_against_brute_force():
     draw = random.Random(4)
     for _ in range(30):
