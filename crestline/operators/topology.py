@@ -7,7 +7,6 @@ names those that a fit may use.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -156,7 +155,7 @@ def _by_rep(nodes: DataFrame, edges_of: Callable[[np.ndarray, np.ndarray], np.nd
 def mst(nodes: DataFrame, dims: Sequence[str] = DIMS, rep: str | None = None, local_nodes: int | None = None, rep_nodes: int | None = None) -> DataFrame:
     """Euclidean minimum spanning tree, edges with src < dst, ties by (length, src, dst). With rep, a tree for each replica.
 
-    Up to local_nodes nodes (limits().nodes, if not given) a tree is grown in one task, replicas in parallel; larger sets grow by rounds of joins, replicas one after another.
+    Up to local_nodes nodes (limits().nodes, if not given) a tree is grown in one task, replicas in parallel; larger sets grow by rounds of joins, all replicas in the same ones.
     rep_nodes: the nodes of a replica, where that is known."""
     most = limits().nodes if local_nodes is None else local_nodes
     if rep and rep_nodes is not None and rep_nodes <= most:
@@ -165,23 +164,40 @@ def mst(nodes: DataFrame, dims: Sequence[str] = DIMS, rep: str | None = None, lo
         sizes = nodes.groupBy(rep).agg(F.count("*").alias("n")).orderBy(rep).collect()
         if not sizes or max(r.n for r in sizes) <= most:
             return _by_rep(nodes, lambda x, _: dense.spanning_tree(x), dims, rep)
-        held = cut(nodes)
-        trees = [boruvka(held.where(F.col(rep) == r[rep]).drop(rep), dims).select(F.lit(r[rep]).alias(rep), "src", "dst") for r in sizes]
-        return reduce(DataFrame.unionByName, trees)
+        return trees_by_rounds(nodes, dims, rep, [r[rep] for r in sizes], max(r.n for r in sizes))
     if nodes.limit(most + 1).count() <= most:
         return _by_rep(nodes, lambda x, _: dense.spanning_tree(x), dims, None)
     return boruvka(nodes, dims)
 
 
-def boruvka(nodes: DataFrame, dims: Sequence[str] = DIMS, k: int = 8, most_rounds: int = 64, looked: list[int] | None = None) -> DataFrame:
+def trees_by_rounds(nodes: DataFrame, dims: Sequence[str], rep: str, reps: Sequence, most: int) -> DataFrame:
+    """(rep, src, dst): the trees of all replicas, of at most `most` nodes each, by the same rounds. A node of a replica has a number that keeps the order of
+    replicas and nodes, so that ties go as they do within a replica."""
+    held = cut(nodes.select(rep, F.col("node").cast("long").alias("node"), *dims))
+    number = cut(held.select("node").distinct().orderBy("node").select("node", F.monotonically_increasing_id().alias("_n")))
+    bits = int(number.agg(F.max("_n").alias("m")).first().m).bit_length()
+    if len(reps).bit_length() + bits > 62:
+        raise ValueError("too many replicas to number their nodes")
+    place = nodes.sparkSession.createDataFrame(list(zip(reps, range(len(reps)), strict=True)), f"{rep} {nodes.schema[rep].dataType.simpleString()}, _r int")
+    whole = F.shiftleft(F.col("_r").cast("long"), bits) + F.col("_n")
+    numbered = held.join(F.broadcast(place), rep).join(number, "node").select("_r", whole.alias("node"), *dims)
+    tree = boruvka(numbered, dims, key="_r", n=most, keys=len(reps), bits=bits)
+    tree = tree.select(F.shiftright("src", bits).cast("int").alias("_r"), *[F.col(c).bitwiseAND(F.lit((1 << bits) - 1)).alias(c) for c in ("src", "dst")])
+    own = [number.select(F.col("node").alias(f"_{c}"), F.col("_n").alias(c)) for c in ("src", "dst")]
+    found = tree.join(own[0], "src").join(own[1], "dst").join(F.broadcast(place), "_r")
+    return found.select(rep, F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+
+def boruvka(nodes: DataFrame, dims: Sequence[str] = DIMS, k: int = 8, most_rounds: int = 64, looked: list[int] | None = None, key: str | None = None, n: int | None = None, keys: int = 1, bits: int = 0) -> DataFrame:
     """The same tree by rounds: each component takes its shortest way out. It is among the k nearest neighbours of its nodes, unless some node
     has all its neighbours inside and might have a nearer foreign one beyond them; such nodes descend through cells for it, past those that hold
-    their own component only. The numbers of compared pairs are added to looked."""
-    n = nodes.count()
+    their own component only. The numbers of compared pairs are added to looked. With key (whole numbers from 0 on, of which there are keys), a tree for each value,
+    which the bits of a node's number beyond `bits` must be; n: at most so many nodes of each."""
+    n = nodes.count() if n is None else n
     if n < 2:
         return nodes.sparkSession.createDataFrame([], "src bigint, dst bigint")
     k = min(k, n - 1)
-    placed = pyramid.plant(nodes, n, id_col="node", dims=dims, leaf=pyramid.leaf_size(k + 1), need=k + 1)
+    placed = pyramid.plant(nodes, n, id_col="node", dims=dims, leaf=pyramid.leaf_size(k + 1), need=k + 1, key=key, keys=keys)
     near = cut(pyramid.nearest(placed, placed, k, exclude_self=True, looked=looked).select(F.col("q_id").alias("src"), F.col("p_id").alias("dst"), "d2"))
     label = cut(placed.rows.select("id", F.col("id").alias("comp")))
     tree = None
@@ -204,9 +220,14 @@ def boruvka(nodes: DataFrame, dims: Sequence[str] = DIMS, k: int = 8, most_round
         comps = label.select(F.col("comp").alias("node")).distinct()
         links = new.join(named.withColumnRenamed("comp", "a"), "src").join(other.withColumnRenamed("other", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         merged = cut(components(comps, links))
-        label = cut(label.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("joined")), "comp").select("id", F.col("joined").alias("comp")))
-        if merged.select("comp").distinct().limit(2).count() == 1:
+        # a tree is complete once its key has one component; its nodes take no further part
+        of = F.shiftright("comp", bits) if key else F.lit(0)
+        left = cut(merged.select("comp").distinct().groupBy(of.alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"))
+        if left.isEmpty():
             return tree.distinct()
+        joined = merged.select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
+        label = label.join(joined, "comp").select("id", F.col("joined").alias("comp"))
+        label = cut(label.join(pyramid.broadcast_small(left, keys), of == F.col("of"), "left_semi") if key else label)
     raise RuntimeError("the tree did not close")
 
 

@@ -53,6 +53,26 @@ def test_trees_of_large_replicas_grow_by_rounds(spark, cloud):
     assert got == {(r.rep, r.src, r.dst) for r in topology.mst(both, rep="rep").collect()}
 
 
+def test_trees_of_replicas_grow_in_the_same_rounds(spark, cloud, monkeypatch):
+    # unlike sizes, one of a single node; names that are no numbers; negative ids; a grid full of ties; far groups that need several rounds
+    grid = [(float(i % 6), float(i // 6)) for i in range(36)]
+    far = [(*(p + 1000 * (i % 4)),) for i, p in enumerate(cloud[:60])]
+    rows = [(name, 3 * i - 50, float(a), float(b)) for name, x in (("grid", grid), ("far", far), ("one", grid[:1]), ("b", cloud[:25])) for i, (a, b) in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "rep string, node bigint, x double, y double")
+    want = {("grid", *e) for e in tree_of(grid)} | {("far", *e) for e in tree_of(far)} | {("b", *e) for e in tree_of(cloud[:25])}
+    calls = []
+    monkeypatch.setattr(topology, "boruvka", lambda *a, run=topology.boruvka, **b: calls.append(1) or run(*a, **b))
+    for edges in (-1, 200_000):
+        with limited(edges=edges):
+            got = [(r.rep, r.src, r.dst) for r in topology.mst(nodes, rep="rep", local_nodes=5).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert len(calls) == 2
+
+
+def tree_of(x):
+    return {(3 * i - 50, 3 * j - 50) for i, j in kruskal(np.array(x))}
+
+
 def test_quadratic_graphs_have_a_bound(spark, cloud):
     with pytest.raises(ValueError):
         topology.full_graph(nodes_of(spark, cloud), most_nodes=100)
