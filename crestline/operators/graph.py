@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from crestline.functions.geometry import columns, distance
 from crestline.operators import dense
 from crestline.operators.dense import central, search_order
+from crestline.operators.fringe import fringe_layers
 from crestline.operators.state import cut, limits
 
 DIMS = ("x", "y")
@@ -278,10 +279,11 @@ def edge_id_of(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return asked.join(ways, ["_a", "_b"], "left").drop("_a", "_b")
 
 
-def onion_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def onion_layers(nodes: DataFrame, edges: DataFrame, searches: list[int] | None = None) -> DataFrame:
     """(node, coreness, layer, global_layer) by peeling: each round takes all nodes of degree from 1 to the core's number; the core
     rises once every node left has a larger degree. Nodes that lose their last edge without being taken, and isolated ones, get
-    the last core and its layer counter."""
+    the last core and its layer counter. All that goes at degree 1 (trees, whatever their depth) is worked out at once (operators/fringe.py);
+    the cores beyond are peeled round by round. The numbers of open pointers of the rounds are added to searches."""
     held = small(canonical(edges))
     if held is not None:
         a, b, c, core, layer = held.peel()
@@ -289,21 +291,23 @@ def onion_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         known = nodes.sparkSession.createDataFrame(took, "node bigint, coreness int, layer int, global_layer int")
         rest = (core, layer, layer)
         return nodes.select("node").join(known, "node", "left").select("node", *[F.coalesce(n, F.lit(v)).alias(n) for n, v in zip(("coreness", "layer", "global_layer"), rest, strict=True)])
-    alive = cut(both_ways(canonical(edges)))
-    taken = None
-    core, layer, rounds = 1, 1, 1
-    while True:
+    # what goes at degree 1 takes rounds by the logarithm of its length
+    first, alive = fringe_layers(cut(both_ways(canonical(edges)).where("src <> dst")), searches)
+    last = first.agg(F.max("layer").alias("m")).first().m or 1
+    parts = [first.select("node", F.lit(1).alias("coreness"), "layer", F.col("layer").alias("global_layer"))]
+    core, layer, rounds = 1, last + 1, last + 1
+    while not alive.isEmpty():
+        if alive.groupBy("src").count().agg(F.min("count").alias("m")).first().m >= core + 1:
+            core, layer = core + 1, 1
         degrees = alive.groupBy("src").agg(F.count("*").alias("deg"))
         peeled = cut(degrees.where(F.col("deg") <= core).select(F.col("src").alias("node"), F.lit(core).alias("coreness"), F.lit(layer).alias("layer"), F.lit(rounds).alias("global_layer")))
         gone = peeled.select("node")
         alive = cut(alive.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-        taken = peeled if taken is None else taken.unionByName(peeled)
+        parts.append(peeled)
+        if len(parts) > MERGED_FRONTS:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
         layer, rounds = layer + 1, rounds + 1
-        least = alive.groupBy("src").count().agg(F.min("count").alias("m")).first().m
-        if least is None:
-            break
-        if least >= core + 1:
-            core, layer = core + 1, 1
+    taken = reduce(DataFrame.unionByName, parts)
     left = nodes.select("node").join(taken, "node", "left_anti")
     return taken.unionByName(left.select("node", F.lit(core).alias("coreness"), F.lit(layer).alias("layer"), F.lit(layer).alias("global_layer")))
 

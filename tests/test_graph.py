@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from crestline.operators import filaments, graph
@@ -117,3 +119,35 @@ def test_filament_objects(spark):
     objects = filaments.to_objects(table)
     assert [f.nodes for f in objects] == [[1, 0], [2, 0], [3, 0]] and "bifurcation" in objects[0].summary()
     assert [f.nodes for f in filaments.to_objects(filaments.to_table(spark, objects))] == [[1, 0], [2, 0], [3, 0]]
+
+
+def layers_of(spark, edges, n, **more):
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    return {r.node: (r.coreness, r["layer"], r.global_layer) for r in graph.onion_layers(nodes, spark.createDataFrame(edges, "src bigint, dst bigint"), **more).collect()}
+
+
+@pytest.mark.parametrize("cores", [False, True])
+def test_layers_of_trees_are_those_of_peeling(spark, cores):
+    draw, edges, n = random.Random(8), [], 0
+    for size in [2, 3, 4, 5, 6, 7, 8, 9, 15, 16, 40, 40, 40, 150]:
+        for shape in range(4):
+            # paths, bushes, combs; and trees on a loop or on a clique
+            back = {0: 1, 1: size, 2: 3, 3: 2}[shape]
+            edges += [(n + i, n + max(0, i - draw.randrange(1, back + 1))) for i in range(1, size)]
+            if cores and size > 6:
+                edges += [(n, n + 4)] if shape else [(n + i, n + j) for i in range(5) for j in range(i)]
+            n += size
+    names = list(range(n))
+    draw.shuffle(names)
+    edges = [(names[a], names[b]) for a, b in edges] + [(5, 5)]
+    want = layers_of(spark, edges, n + 3)
+    with limited(edges=-1):
+        assert layers_of(spark, edges, n + 3) == want
+
+
+def test_layers_of_a_long_path_take_few_rounds(spark):
+    n, rounds = 10_000, []
+    with limited(edges=-1):
+        got = layers_of(spark, [(i, i + 1) for i in range(n - 1)], n, searches=rounds)
+    assert got == {i: (1, *[min(i, n - 1 - i) + 1] * 2) for i in range(n)}
+    assert len(rounds) <= 15
