@@ -114,6 +114,15 @@ FREQUENCY = f"""{RECURSIVE}, {sampled(20, "least(CAST(floor((SELECT count(*) FRO
     freq AS MATERIALIZED (SELECT src, dst, count(*) / 20.0::DOUBLE AS freq FROM trees GROUP BY src, dst)"""
 WHOLE = f"whole AS (SELECT 0 AS rep, id, x, y FROM p2), {prim('tree', 'whole')}"
 
+#: Layers of p2 over the edges flat, by peeling step by step.
+LAYERS = """peel(src, dst, core, layer, step) AS (SELECT u, v, 1, 1, 1 FROM (SELECT src AS u, dst AS v FROM flat UNION ALL SELECT dst, src FROM flat) UNION ALL
+            SELECT src, dst, CASE WHEN least_left > core THEN core + 1 ELSE core END, CASE WHEN least_left > core THEN 1 ELSE layer + 1 END, step + 1 FROM (
+                SELECT *, min(left_here) OVER () AS least_left FROM (SELECT *, count(*) OVER (PARTITION BY src) AS left_here FROM (
+                    SELECT *, count(*) OVER (PARTITION BY src) AS ds, count(*) OVER (PARTITION BY dst) AS dd FROM peel) WHERE ds > core AND dd > core))),
+        taken AS (SELECT src AS node, any_value(core) AS coreness, any_value(layer) AS layer, step FROM peel GROUP BY src, step HAVING count(*) <= any_value(core)),
+        last AS (SELECT core, layer + 1 AS layer FROM peel ORDER BY step DESC LIMIT 1)
+        SELECT id AS node, CAST(coalesce(coreness, core) AS INT) AS coreness, CAST(coalesce(taken.layer, last.layer) AS INT) AS layer, CAST(coalesce(step, last.layer) AS INT) AS global_layer FROM p2 LEFT JOIN taken ON node = id, last"""
+
 #: Graphs of radius r over the seeds, and the fewest hops and shortest lengths between their nodes.
 RADII = f"""{SEEDED}, radii AS (SELECT unnest([0.03::DOUBLE, 0.06::DOUBLE, 0.09::DOUBLE]) AS r),
     near AS MATERIALIZED (SELECT r, a.node AS u, b.node AS v, sqrt({far2('a.', 'b.')}) AS w FROM radii, seeds a JOIN seeds b ON a.node <> b.node WHERE {far2('a.', 'b.')} <= r * r),
@@ -150,14 +159,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'length', arg_min(r, (-len, r)), round(max(len), 6) FROM wide""",
     "best_giant": f"{RADII}, sizes AS (SELECT r, max(n) AS n FROM (SELECT r, root, count(*) AS n FROM apart GROUP BY r, root) GROUP BY r) SELECT arg_min(r, (-n, r)) AS radius, max(n) AS size FROM sizes",
     "best_ellipsoid": f"{RADII} SELECT arg_min(r, (-hops, r)) AS radius, CAST(max(hops) AS BIGINT) AS diameter FROM wide",
-    "onion_layers": f"""{ctes('p2', 'near', 'edges', 'flat').replace('WITH ', 'WITH RECURSIVE ', 1)},
-        peel(src, dst, core, layer, step) AS (SELECT u, v, 1, 1, 1 FROM (SELECT src AS u, dst AS v FROM flat UNION ALL SELECT dst, src FROM flat) UNION ALL
-            SELECT src, dst, CASE WHEN least_left > core THEN core + 1 ELSE core END, CASE WHEN least_left > core THEN 1 ELSE layer + 1 END, step + 1 FROM (
-                SELECT *, min(left_here) OVER () AS least_left FROM (SELECT *, count(*) OVER (PARTITION BY src) AS left_here FROM (
-                    SELECT *, count(*) OVER (PARTITION BY src) AS ds, count(*) OVER (PARTITION BY dst) AS dd FROM peel) WHERE ds > core AND dd > core))),
-        taken AS (SELECT src AS node, any_value(core) AS coreness, any_value(layer) AS layer, step FROM peel GROUP BY src, step HAVING count(*) <= any_value(core)),
-        last AS (SELECT core, layer + 1 AS layer FROM peel ORDER BY step DESC LIMIT 1)
-        SELECT id AS node, CAST(coalesce(coreness, core) AS INT) AS coreness, CAST(coalesce(taken.layer, last.layer) AS INT) AS layer, CAST(coalesce(step, last.layer) AS INT) AS global_layer FROM p2 LEFT JOIN taken ON node = id, last""",
+    "onion_layers": f"""{ctes('p2', 'near', 'edges', 'flat').replace('WITH ', 'WITH RECURSIVE ', 1)}, {LAYERS}""",
+    "tree_layers": f"{RECURSIVE}, {WHOLE}, flat AS (SELECT src, dst FROM tree), {LAYERS}",
     "short_branches_cut_fully": f"""{RECURSIVE}, {WHOLE},
         alive(step, u, v, du, dv) AS (SELECT 0, u, v, count(*) OVER (PARTITION BY u), count(*) OVER (PARTITION BY v) FROM (SELECT src AS u, dst AS v FROM tree UNION ALL SELECT dst, src FROM tree) UNION ALL
             SELECT step + 1, u, v, count(*) OVER (PARTITION BY u), count(*) OVER (PARTITION BY v) FROM (
@@ -209,6 +212,6 @@ ORACLES["bootstrap_fit_nodes"] = f"""{RECURSIVE}, {WIDTH}, {sampled(3, "CAST(flo
     SELECT CAST(rep AS INT) AS rep, node, round(x, 6) AS x, round(y, 6) AS y FROM ({' UNION ALL '.join(f"SELECT * FROM {fitted(f'(SELECT id, x, y FROM drawn WHERE rep = {r})', 2, f'{r} AS rep, node, x, y')}" for r in range(3))})"""
 for _name in ("fit_by_tables", "fit_points_by_tables", "delaunay_graph_by_cells"):
     ORACLES[_name] = ORACLES[_name.rsplit("_by_", 1)[0]]
-for _name in ("onion_layers_by_rounds", "fit_fixed_variance_by_passes", "fit_events_by_passes"):
+for _name in ("onion_layers_by_rounds", "tree_layers_by_rounds", "bootstrap_frequency_by_rounds", "fit_fixed_variance_by_passes", "fit_events_by_passes"):
     ORACLES[_name] = ORACLES[_name.rsplit("_by_", 1)[0]]
 

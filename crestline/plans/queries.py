@@ -311,6 +311,13 @@ def onion_layers(spark, d):
     return graph.onion_layers(as_nodes(p2(spark, d)), neighbour_edges(spark, d))
 
 
+@query
+def tree_layers(spark, d):
+    """Layers of the tree of all points."""
+    nodes = as_nodes(p2(spark, d))
+    return graph.onion_layers(nodes, topology.mst(nodes))
+
+
 @query
 def pruned_nodes(spark, d):
     nodes = as_nodes(p2(spark, d))
@@ -626,6 +633,22 @@ for _name in ("fit_fixed_variance", "fit_events"):
     distributed(_name, "by_passes")
 
 
+@query
+def tree_layers_by_rounds(spark, d):
+    """Layers of the tree of all points, by pointers that double."""
+    nodes = as_nodes(p2(spark, d))
+    tree = topology.mst(nodes)
+    with limited(edges=-1):
+        return graph.onion_layers(nodes, tree)
+
+
+@query
+def bootstrap_frequency_by_rounds(spark, d):
+    """The trees of all samples grow in the same rounds."""
+    with limited(nodes=-1):
+        return topology.bootstrap_frequency(as_nodes(p2(spark, d)), 20).select("src", "dst", r6("freq"))
+
+
 @query
 def path_lengths_by_rounds(spark, d):
     """From the least node along edges to the nearest neighbours."""

@@ -10,7 +10,7 @@ from crestline.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 #: Slow loops by construction; compared with their fast twin in test_topology and test_graph.
-SLOW = {"mst_by_rounds", "path_lengths_by_rounds", "hop_distances_by_rounds"}
+SLOW = {"mst_by_rounds", "bootstrap_frequency_by_rounds", "tree_layers_by_rounds", "path_lengths_by_rounds", "hop_distances_by_rounds"}
 
 
 @pytest.fixture(scope="module")
