@@ -273,7 +273,7 @@ def bootstrap_mst(nodes: DataFrame, reps: int = 100, share: float = 0.75, thresh
 
 def relative_neighbours(nodes: DataFrame, dims: Sequence[str] = DIMS, local_nodes: int | None = None) -> DataFrame:
     """Pairs with no third node strictly nearer to both than they are to each other. Up to local_nodes nodes (limits().nodes, if not given) go to every task, which
-    looks at its own; beyond, candidate pairs come from the grid."""
+    looks at its own; beyond, candidate pairs are Delaunay edges."""
     most = limits().nodes if local_nodes is None else local_nodes
     own = nodes.select(F.col("node").cast("long").alias("node"), *[F.col(d).cast("double").alias(d) for d in dims]).limit(max(most, 0) + 1).toArrow()
     if own.num_rows <= most:
@@ -289,20 +289,47 @@ def relative_neighbours(nodes: DataFrame, dims: Sequence[str] = DIMS, local_node
         spark = nodes.sparkSession
         places = spark.range(0, len(ids), 1, max(1, min(len(ids) // 64, 4 * spark.sparkContext.defaultParallelism)))
         return places.mapInArrow(run, "src bigint, dst bigint")
-    # each pair of the graph joins a node to one nearer than every common neighbour: look for witnesses among the k nearest
-    k, pairs = 16, None
-    n = nodes.count()
-    while True:
-        near = cut(knn(nodes, min(k, n - 1) + 1, dims))
-        witness = near.select("src", F.col("dst").alias("r"), F.col("d2").alias("r2"))
-        point = nodes.select(F.col("node").alias("r"), *[F.col(d).alias(f"r_{d}") for d in dims])
-        seen = ends(nodes, near.select("src", "dst", "d2"), dims).join(witness, "src").join(point, "r")
-        blocked = seen.where((F.col("r2") < F.col("d2")) & (squared_distance(columns(dims, "b_"), columns(dims, "r_")) < F.col("d2"))).select("src", "dst").distinct()
-        pairs = canonical(near.select("src", "dst").join(blocked, ["src", "dst"], "left_anti"))
-        open_ends = near.join(blocked, ["src", "dst"], "left_anti").groupBy("src").agg(F.max("rank").alias("m")).where(F.col("m") >= min(k, n - 1))
-        if k >= n - 1 or open_ends.isEmpty():
-            return pairs
-        k *= 2
+    return relative_neighbours_of_many(nodes, dims)
+
+
+def relative_neighbours_of_many(nodes: DataFrame, dims: Sequence[str] = DIMS, k: int = 16, first: int = 64) -> DataFrame:
+    """The same pairs by few candidates. No node lies in the sphere around a pair of the graph, so it is an edge of the Delaunay graph of the distinct positions (the plane and space only). A third node
+    is sought among the k nearest of both ends, which is enough where one end is among those of the other; for what is open then, in the sphere
+    that holds all places nearer to both, the `first` nodes nearest to its centre first, and more while these are not all."""
+    if len(dims) not in (2, 3):
+        raise ValueError(f"relative neighbours of more than {limits().nodes} nodes are sought in the plane and in space")
+    places = cut(nodes.groupBy(*[F.col(d).cast("double").alias(d) for d in dims]).agg(F.min(F.col("node").cast("long")).alias("node")))
+    n = places.count()
+    k = min(k, n - 1)
+    pairs = places.select(F.col("node").alias("src"), F.col("node").alias("dst")).limit(0)
+    if n > 1:
+        placed = pyramid.plant(places, n, id_col="node", dims=dims, leaf=pyramid.leaf_size(k + 1), need=k + 1)
+        near = cut(pyramid.nearest(placed, placed, k, exclude_self=True).select(F.col("q_id").alias("src"), F.col("p_id").alias("r"), F.col("d2").alias("r2")))
+        edges = cut(ends(places, delaunay(places, dims), dims).withColumn("d2", squared_distance(columns(dims, "a_"), columns(dims, "b_"))))
+        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[F.col(f"{q}_{d}").alias(f"{p}_{d}") for p, q in ("ab", "ba") for d in dims], "d2"))
+        third = places.select(F.col("node").alias("r"), *[F.col(d).alias(f"r_{d}") for d in dims])
+        nearer = squared_distance(columns(dims, "b_"), columns(dims, "r_")) < F.col("d2")
+        pair = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+        gone = both.join(near, "src").where("r2 < d2").join(third, "r").where(nearer).select(*pair).distinct()
+        # whoever is nearer to an end than the other end is known if that end's list reaches as far
+        reach = near.groupBy("src").agg(F.max("r2").alias("reach"))
+        known = both.join(reach, "src").groupBy(*pair).agg(F.max((F.col("d2") <= F.col("reach")) | F.lit(k == n - 1)).alias("known"))
+        left = cut(edges.join(gone, ["src", "dst"], "left_anti").join(known, ["src", "dst"]))
+        pairs, open_, most = left.where("known").select("src", "dst"), left.where("not known").drop("known"), first
+        while not open_.isEmpty():
+            middle = [((F.col(f"a_{d}") + F.col(f"b_{d}")) / 2).alias(f"c_{d}") for d in dims]
+            spheres = open_.select(F.struct("src", "dst").alias("item"), *middle, (F.col("d2") * (0.75 + 1e-9)).alias("r2"))
+            inside = cut(pyramid.inside_spheres(placed, spheres, most).select("item.src", "item.dst", *[F.col(d).alias(f"r_{d}") for d in dims]).join(open_, ["src", "dst"]))
+            hit = F.max(nearer & (squared_distance(columns(dims, "a_"), columns(dims, "r_")) < F.col("d2")))
+            seen = inside.groupBy("src", "dst").agg(hit.alias("hit"), F.count("*").alias("n"))
+            judged = cut(open_.join(seen, ["src", "dst"], "left").where("hit is null or not hit"))
+            full = F.coalesce("n", F.lit(0)) >= most
+            pairs, open_, most = cut(pairs.unionByName(judged.where(~full).select("src", "dst"))), judged.where(full).drop("hit", "n"), most * 8
+    # nodes of one position have all neighbours of it, and each other
+    here = nodes.select(F.col("node").cast("long").alias("own"), *[F.col(d).cast("double").alias(d) for d in dims]).join(places, list(dims)).select("own", "node")
+    spread = pairs.join(here.select(F.col("node").alias("src"), F.col("own").alias("a")), "src").join(here.select(F.col("node").alias("dst"), F.col("own").alias("b")), "dst")
+    same = here.join(here.withColumnRenamed("own", "other"), "node").where("own < other").select(F.col("own").alias("src"), F.col("other").alias("dst"))
+    return canonical(spread.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(same))
 
 
 def delaunay(nodes: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:

@@ -143,3 +143,16 @@ def test_merged_trees_fold(spark, cloud):
 def test_ellipsoid_keeps_the_ball_where_points_are_few(spark, cloud):
     nodes = nodes_of(spark, cloud[:12])
     assert pairs(topology.ellipsoid(nodes, 1.0)) == pairs(topology.fixed_length_graph(nodes, 1.0))
+
+
+def test_relative_neighbours_of_many_lose_no_pair(spark):
+    # two far groups, each with more nodes than lists are long; copies; a grid full of ties; space
+    draw = np.random.default_rng(3)
+    sets = [np.vstack([draw.normal(size=(60, 2)), draw.normal(size=(60, 2)) + [300, 7]]), np.array([(i % 7, i // 7) for i in range(42)] + [(3, 3)] * 3 + [(50, 2)] * 2), draw.normal(size=(70, 3))]
+    for x in sets:
+        dims = "xyz"[: x.shape[1]]
+        nodes = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "node bigint, " + ", ".join(f"{d} double" for d in dims))
+        got = [(r.src, r.dst) for r in topology.relative_neighbours_of_many(nodes, dims, k=4, first=8).collect()]
+        assert set(got) == pairs(topology.relative_neighbours(nodes, dims)) and len(got) == len(set(got))
+    for n in (0, 1, 2):
+        assert topology.relative_neighbours_of_many(nodes.where(f"node < {n}"), "xyz").count() == (n == 2)
