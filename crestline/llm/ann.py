@@ -4,13 +4,17 @@ Vectors fall into lists around centres; what is left of a vector is coded with f
 each pair of dimensions. Codes and codebooks minimise a loss in which the error parallel to the vector
 counts more than the rest of it, as that error moves large inner products. A query's
 table holds its product with every code; a scan adds up table entries for all codes of
-a list, and the best of each chunk are scored exactly on the original vectors: `rerank` at least, and the share
-of a list's rows that the scan must rank to hold `recall` of the true neighbours within the sample.
+a list, and the best of each chunk are scored exactly on the original vectors: `rerank` at least, up to four times as many where the
+scan needs them to hold `recall` of the true neighbours within the sample.
 
 Centres and codebooks are fitted on a sample of at most `most_sample` vectors (those
-with the smallest hash); every vector is coded. How many lists a query visits is
-the least number that holds `recall` of the true neighbours within the sample, so vectors without
-clusters are scanned whole; a query goes on to further lists until those it visits hold k candidates. Lists beyond `chunk_bytes` of vectors are scanned in chunks; queries visit each
+with the smallest hash); every vector is coded. A query visits the least number of lists that holds `recall` of the true neighbours within the sample, and
+goes on until those it visits hold k candidates.
+
+What is fitted on a sample need not suit the queries, so bounds decide what may be left out. The kth best of a part of the sample is a score that a
+neighbour has at least. A query visits every list whose centre and radius allow that score. In a chunk, the sum of the table entries and the length
+of a row's coding error bound its score; every row that may reach the kth best known is scored exactly. So no neighbour is lost, whatever the rows;
+vectors without clusters are scanned whole. Lists beyond `chunk_bytes` of vectors are scanned in chunks; queries visit each
 chunk as rows, so nothing grows on the driver or in a broadcast. A task keeps the k best of each query over all chunks that it scans,
 and sends these on.
 
@@ -30,11 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CODES = 16
+#: More than sums of double precision are off, as a part of the lengths of both vectors.
+ROUNDING = 1e-11
+#: Components of the part of the sample that goes along for a first bound.
+KNOWN = 500_000
 
 
 @dataclass(frozen=True)
 class Quantiser:
-    """centres: lists by dimensions; books: pairs of dimensions by 16 by 2; probes: lists for a query; share: of a list's rows, scored exactly."""
+    """centres: lists by dimensions; books: pairs of dimensions by 16 by 2; probes: lists that a query visits at least; share: of a list's rows, for a first choice."""
 
     centres: np.ndarray
     books: np.ndarray
@@ -160,16 +168,47 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return (codes[:, 0::2] * CODES + codes[:, 1::2]).astype(np.uint8)
 
 
-def best(chunk: dict, ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int, share: float):
-    """The k best ids of a chunk and their exact scores for each query."""
+def floors(queries: np.ndarray, ids: np.ndarray, known: np.ndarray, known_ids: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k best of each query have at least, by known vectors; -inf where there are too few."""
+    if len(known) < k:
+        return np.full(len(queries), -np.inf)
+    products = queries @ known.T
+    products[ids[:, None] == known_ids[None]] = -np.inf
+    kth = np.argpartition(-products, k - 1, 1)[:, k - 1]
+    low = products[np.arange(len(queries)), kth] - ROUNDING * lengths(queries) * lengths(known[kth])
+    return np.where(np.isnan(low), -np.inf, low)
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(-1))
+
+
+@np.errstate(over="ignore", invalid="ignore")
+def best(chunk: dict, ids: np.ndarray, queries: np.ndarray, low: np.ndarray, centre: np.ndarray, books: np.ndarray, k: int, rerank: int, share: float):
+    """The k best ids of a chunk (fewer, where others are below low) and their exact scores for each query."""
     # powers of two keep the order of a query's sums, and all of them finite
-    small, few = (np.ldexp(x, -np.frexp(np.abs(x).max(axis, keepdims=True))[1]) for x, axis in ((queries, 1), (books, None)))
-    rough = scan(query_tables(small, few), chunk["codes"])
-    rough[ids[:, None] == chunk["ids"][None]] = -np.inf
-    some = min(max(rerank, int(np.ceil(share * rough.shape[1]))), rough.shape[1])
-    picked = np.argpartition(-rough, some - 1, 1)[:, :some] if some < rough.shape[1] else np.tile(np.arange(some), (len(ids), 1))
+    (small, up), (few, wide) = ((np.ldexp(x, -e), e) for x, e in ((x, np.frexp(np.abs(x).max(axis, keepdims=True))[1]) for x, axis in ((queries, 1), (books, None))))
+    tables = query_tables(small, few)
+    rough = scan(tables, chunk["codes"])
+    far = lengths(queries)[:, None]
+    # sums of single precision are a little off, and so are those of double precision
+    off = (tables.shape[1] + 2) * 2.0**-22 * np.abs(tables).max(2).sum(1, dtype=float, keepdims=True)
+    upper = (queries @ centre)[:, None] + np.ldexp(rough + off, up + wide.ravel()[0]) + far * (chunk["errors"] + ROUNDING * (chunk["lengths"] + lengths(centre)))[None]
+    # what is not a number leaves nothing out
+    alive = ~(upper < low[:, None]) & (ids[:, None] != chunk["ids"][None])
+    some = max(rerank, k, min(int(np.ceil(share * rough.shape[1])), 4 * rerank))
+    close = None
     for q in range(len(ids)):
-        mine = picked[q][np.isfinite(rough[q, picked[q]])]
+        mine = np.flatnonzero(alive[q])
+        if len(mine) > some:
+            first = mine[np.argpartition(-rough[q, mine], some - 1)[:some]]
+            scores = (chunk["vectors"][first] * queries[q]).sum(1)
+            kth = np.argpartition(-scores, k - 1)[k - 1]
+            least = np.fmax(low[q], scores[kth])
+            mine = mine[~(upper[q, mine] < least)]
+            if len(mine) > some:
+                close = queries @ chunk["vectors"].T if close is None else close
+                mine = mine[~(close[q, mine] + ROUNDING * far[q] * chunk["lengths"][mine] < least)]
         # summed row by row: equal vectors have equal scores wherever they lie
         exact = (chunk["vectors"][mine] * queries[q]).sum(1)
         order = np.lexsort((chunk["ids"][mine], -exact))[:k]
@@ -208,23 +247,29 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     dims, count = sizes[0]["d"], sizes[0]["count"]
     rows = rows.where(F.size("v") == dims)
     bound = max(256, min(most_sample, 8_000_000 // dims))
-    packed_sample = rows.orderBy(F.xxhash64("id"), "id").limit(bound).select("v").toArrow()
+    packed_sample = rows.orderBy(F.xxhash64("id"), "id").limit(bound).select("v", "id").toArrow()
     sample = packed_sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dims)
+    known = sample[: max(1, KNOWN // dims)]
+    known_ids = packed_sample.column(1).to_numpy()[: len(known)]
     n_lists = max(1, min(most_lists, -(-count // list_rows)))
     model = fit_arrays(sample, n_lists, k=k, recall=recall)
     n_lists = len(model.centres)
-    widths = np.zeros(n_lists, np.int64)
+    widths, radii = np.zeros(n_lists, np.int64), np.zeros(n_lists)
 
     def count_lists(batches):
-        own = np.zeros(n_lists, np.int64)
+        own, wide = np.zeros(n_lists, np.int64), np.zeros(n_lists)
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                own += np.bincount(model.lists(batch.column(0).slice(a, 2048).flatten().to_numpy().reshape(-1, dims)), minlength=n_lists)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(own), pa.int32()), pa.array(own[own > 0], pa.int64())], ["list", "n"])
-
-    if model.probes < n_lists or count * 8 * dims > chunk_bytes:
-        for r in rows.select("v").mapInArrow(count_lists, "list int, n bigint").groupBy("list").agg(F.sum("n").alias("n")).collect():
-            widths[r.list] = r.n
+                x = batch.column(0).slice(a, 2048).flatten().to_numpy().reshape(-1, dims)
+                at = model.lists(x)
+                own += np.bincount(at, minlength=n_lists)
+                # what is not a number would be taken for no distance
+                np.maximum.at(wide, at, np.nan_to_num(lengths(x - model.centres[at]), nan=np.inf))
+        met = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(own[met], pa.int64()), pa.array(wide[met])], ["list", "n", "radius"])
+
+    for r in rows.select("v").mapInArrow(count_lists, "list int, n bigint, radius double").groupBy("list").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect():
+        widths[r.list], radii[r.list] = r.n, r.radius
     chunks = chunk_counts(widths, dims, chunk_bytes)
 
     def place(batches):
@@ -235,11 +280,14 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                 x = part.column(1).flatten().to_numpy().reshape(-1, dims)
                 at = model.lists(x)
                 direction = paired(x / np.linalg.norm(x, axis=1, keepdims=True))
-                codes = packed(encode(paired(x - model.centres[at]), direction, model.books, model.weight))
+                rest = paired(x - model.centres[at])
+                found = encode(rest, direction, model.books, model.weight)
+                errors = np.nan_to_num(lengths((rest - model.books[np.arange(rest.shape[1]), found]).reshape(len(x), -1)), nan=np.inf)
+                codes = packed(found)
                 raw = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int32()), pa.array((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[at], pa.int64()), pa.array(np.zeros(len(ids)), pa.int32()), part.column(0), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in range(len(ids))], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())],
-                    ["list", "chunk", "kind", "id", "v", "codes"],
+                    [pa.array(at, pa.int32()), pa.array((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[at], pa.int64()), pa.array(np.zeros(len(ids)), pa.int32()), part.column(0), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in range(len(ids))], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)],
+                    ["list", "chunk", "kind", "id", "v", "codes", "bound"],
                 )
 
     def visit(batches):
@@ -247,20 +295,24 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 x = part.column(1).flatten().to_numpy().reshape(-1, dims)
-                near = np.argsort(-(x @ model.centres.T), 1, kind="stable")
+                low = floors(x, part.column(0).to_numpy(), known, known_ids, k)
+                products = x @ model.centres.T
+                near = np.argsort(-products, 1, kind="stable")
+                most = products + lengths(x)[:, None] * (radii + ROUNDING * (radii + lengths(model.centres)))
+                able = ~(np.take_along_axis(most, near, 1) < low[:, None]) & (widths[near] > 0)
                 # rows of the query's own id are no candidates
                 before = np.cumsum(widths[near], 1) - widths[near]
-                visited = (np.arange(n_lists) < model.probes) | (before < k + part.column(2).to_numpy()[:, None])
+                visited = (np.arange(n_lists) < model.probes) | (before < k + part.column(2).to_numpy()[:, None]) | able
                 times = chunks[near[visited]]
                 n = int(times.sum())
                 owner = np.repeat(np.nonzero(visited)[0], times)
                 raw = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(near[visited], times), pa.int32()), pa.array(np.arange(n) - np.repeat(np.cumsum(times) - times, times), pa.int64()), pa.array(np.ones(n), pa.int32()), part.column(0).take(pa.array(owner)), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in owner], pa.binary()), pa.nulls(n, pa.binary())],
-                    ["list", "chunk", "kind", "id", "v", "codes"],
+                    [pa.array(np.repeat(near[visited], times), pa.int32()), pa.array(np.arange(n) - np.repeat(np.cumsum(times) - times, times), pa.int64()), pa.array(np.ones(n), pa.int32()), part.column(0).take(pa.array(owner)), pa.array([raw[8 * dims * i : 8 * dims * (i + 1)] for i in owner], pa.binary()), pa.nulls(n, pa.binary()), pa.array(low[owner])],
+                    ["list", "chunk", "kind", "id", "v", "codes", "bound"],
                 )
 
-    schema = "list int, chunk bigint, kind int, id bigint, v binary, codes binary"
+    schema = "list int, chunk bigint, kind int, id bigint, v binary, codes binary, bound double"
     asked = rows.where(is_query).groupBy("id").agg(F.first("v").alias("v"), F.count("*").alias("own"))
     both = rows.mapInArrow(place, schema).unionByName(asked.mapInArrow(visit, schema))
     dealt = both.repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
@@ -292,14 +344,16 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                         "ids": np.concatenate([p.column(3).to_numpy() for p in parts]),
                         "vectors": np.frombuffer(b"".join(x for p in parts for x in p.column(4).to_pylist())).reshape(n, dims),
                         "codes": np.frombuffer(b"".join(x for p in parts for x in p.column(5).to_pylist()), np.uint8).reshape(n, -1).astype(np.intp),
+                        "errors": np.concatenate([p.column(6).to_numpy() for p in parts]),
                     }
+                    chunk["lengths"] = lengths(chunk["vectors"])
                 if chunk is None:
                     continue
                 for c in range(0, part.num_rows, 128):
                     some = part.slice(c, 128)
                     ids = some.column(3).to_numpy()
                     queries = np.frombuffer(b"".join(some.column(4).to_pylist())).reshape(len(ids), dims)
-                    found = list(best(chunk, ids, queries, model.books, k, rerank, model.share))
+                    found = list(best(chunk, ids, queries, some.column(6).to_numpy(), model.centres[now[0]], model.books, k, rerank, model.share))
                     held += [(np.full(len(x), q), x, y) for q, (x, y) in zip(ids, found, strict=True)]
                     n_held += sum(len(x) for x, _ in found)
                     if n_held > most_held:

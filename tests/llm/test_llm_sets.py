@@ -439,6 +439,20 @@ def test_recall_over_many_lists(spark, spread):
     assert len(got) == 300 and all(len(v) == len(set(v)) == 20 for v in got.values()) and hits >= 0.95 * 20 * 300
 
 
+def test_queries_unlike_the_other_rows_lose_no_neighbour(spark):
+    draw = np.random.default_rng(31)
+    x = draw.normal(size=(60, 24))[draw.integers(0, 60, 4000)] * 3 + draw.normal(size=(4000, 24)) * 0.3
+    x[::20] = draw.normal(size=(200, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann.search(table, F.col("id") % 20 == 0, list_rows=100).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 4000, 20):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(4000), -s))[:20].tolist()
+
+
 def test_equal_vectors_tie_to_the_smaller_id(spark):
     draw = np.random.default_rng(16)
     base = draw.normal(size=(3, 50))
