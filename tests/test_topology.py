@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -156,3 +157,34 @@ def test_relative_neighbours_of_many_lose_no_pair(spark):
         assert set(got) == pairs(topology.relative_neighbours(nodes, dims)) and len(got) == len(set(got))
     for n in (0, 1, 2):
         assert topology.relative_neighbours_of_many(nodes.where(f"node < {n}"), "xyz").count() == (n == 2)
+
+
+def test_merged_trees_of_more_nodes_than_a_task_holds(spark, cloud):
+    nodes = nodes_of(spark, cloud[:40])
+    want = sorted(map(tuple, topology.merged_trees(nodes, 2, 0.5, 3.0).collect()))
+    with limited(nodes=30):
+        assert sorted(map(tuple, topology.merged_trees(nodes, 2, 0.5, 3.0).collect())) == want
+
+
+@pytest.mark.parametrize("kind", ["even", "lattice", "coincident", "far", "space", "heavy", "line", "one place"])
+def test_trees_by_cells_are_those_grown_node_by_node(kind):
+    draw = np.random.default_rng(41)
+    x = {
+        "even": lambda: draw.normal(size=(1500, 2)),
+        "lattice": lambda: np.stack(np.meshgrid(np.arange(40.0), np.arange(40.0)), -1).reshape(-1, 2)[draw.permutation(1600)],
+        "coincident": lambda: draw.integers(0, 30, (1500, 2)).astype(float),
+        "far": lambda: np.concatenate((draw.random((600, 2)), draw.random((600, 2)) + [1e6, 5e5])),
+        "space": lambda: draw.normal(size=(1500, 3)),
+        "heavy": lambda: draw.standard_cauchy((1500, 2)),
+        "line": lambda: np.stack((draw.random(1500), np.zeros(1500)), 1),
+        "one place": lambda: np.ones((1200, 2)),
+    }[kind]()
+    assert dense.spanning_tree(x).tolist() == dense.grown_tree(x).tolist()
+
+
+def test_a_tree_of_many_nodes_takes_seconds():
+    x = np.random.default_rng(42).normal(size=(60_000, 2))
+    start = time.monotonic()
+    assert len(dense.spanning_tree(x)) == len(x) - 1
+    # node by node it took minutes
+    assert time.monotonic() - start < 30
