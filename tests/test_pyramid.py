@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from crestline.operators import dense, pyramid, spatial, topology
 from crestline.operators.state import limited
@@ -109,3 +110,25 @@ def test_neighbours_of_the_same_key(spark, many_upper_cells):
         assert [got[keys[i], i, r][0] for r in (1, 2, 3)] == at[order[:3]].tolist()
         assert [own[keys[i], i, r] for r in (1, 2)] == [j for j in at[order[:3]].tolist() if j != i][:2]
     assert len(got) == 150 and len(own) == 2 * 805
+
+
+def test_wide_spheres_look_at_few_cells(spark, many_upper_cells):
+    x = rnd.random((3000, 2))
+    placed = pyramid.plant(table(spark, x), len(x))
+    centre = np.array([[-1e4, 0.3], [0.5, 2e4], [0.5, 0.5]])
+    r2 = np.array([(1e4 + 0.5) ** 2, 4e8, 0.04])
+    spheres = spark.createDataFrame(pd.DataFrame({"item": [0, 1, 2], "c_x": centre[:, 0], "c_y": centre[:, 1], "r2": r2}))
+    looked = []
+    got = pyramid.inside_spheres(placed, spheres, 5, looked=looked).groupBy("item").agg(F.sort_array(F.collect_set("id")).alias("ids")).collect()
+    far2 = ((centre[:, None] - x[None]) ** 2).sum(2)
+    want = {i: sorted(np.lexsort((np.arange(len(x)), far2[i]))[:5].tolist()) for i in range(3)}
+    assert {r["item"]: r["ids"] for r in got} == want
+    # all three hold most of the points or many of them
+    assert looked[0] < 600 < (far2 < r2[:, None]).sum() / 5
+
+
+def test_items_are_dealt_by_the_number_of_cells(spark):
+    # few bytes of items become many pairs, so Spark alone would leave as many tasks as cores, however many the points
+    first = spark.range(1000).select(F.col("id").alias("item"))
+    few, many = (pyramid.dealt(pyramid.Pyramid(first, bits, ("x", "y")), first).rdd.getNumPartitions() for bits in (4, 14))
+    assert few == spark.sparkContext.defaultParallelism and many == (1 << 14) // pyramid.TASK_CELLS

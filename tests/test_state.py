@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from crestline.operators.state import THRESHOLD, cut, few_broadcasts
+from crestline.operators.state import ADVISED, MOST_TASK_BYTES, THRESHOLD, cut, few_broadcasts
 
 
 def test_packed_tables_of_loops_are_not_broadcast(spark):
@@ -14,3 +14,10 @@ def test_packed_tables_of_loops_are_not_broadcast(spark):
     with few_broadcasts(spark):
         assert "BroadcastHashJoin" not in plan()
     assert cut(rows.limit(3)).count() == 3 and spark.conf.get(THRESHOLD) == before
+
+
+def test_tasks_of_loops_read_few_packed_bytes(spark):
+    before = spark.conf.get(ADVISED)
+    with few_broadcasts(spark):
+        assert int(spark.conf.get(ADVISED)) == MOST_TASK_BYTES
+    assert spark.conf.get(ADVISED) == before
