@@ -112,6 +112,18 @@ def test_neighbours_of_the_same_key(spark, many_upper_cells):
     assert len(got) == 150 and len(own) == 2 * 805
 
 
+def test_upper_cells_decide_most_of_a_tree(spark, many_upper_cells):
+    # also places in common, on lines, and a far one
+    x = np.concatenate((rnd.random((1500, 2)), np.zeros((200, 2)), np.round(rnd.random((300, 2)), 1), [[1e6, 1e6]]))
+    nodes = table(spark, x, "node")
+    whole = {tuple(e) for e in dense.spanning_tree(x).tolist()}
+    placed = pyramid.plant(nodes, len(x), id_col="node", need=9)
+    sure, label = topology.sure_edges(placed)
+    found = {tuple(e) for e in sure.collect()}
+    assert found <= whole and len(found) > 0.6 * len(whole) and label.select("comp").distinct().count() == len(x) - len(found)
+    assert {tuple(e) for e in topology.boruvka(nodes).collect()} == whole
+
+
 def test_wide_spheres_look_at_few_cells(spark, many_upper_cells):
     x = rnd.random((3000, 2))
     placed = pyramid.plant(table(spark, x), len(x))
