@@ -94,3 +94,14 @@ def test_replicas_by_tables(spark, points):
 def test_no_nodes_are_an_error(spark, points):
     with pytest.raises(ValueError):
         fit_tables(points, points.where("id < 0").withColumnRenamed("id", "node"), FitParameters(sig=1.0))
+
+
+def test_larger_systems_leave_nothing_on_the_driver(spark, monkeypatch):
+    pairs, ridge, right = GRAPHS["tree"], rnd.random(40) + 0.2, rnd.normal(size=(40, 2))
+    brought, kind = [], type(spark.range(1))
+    monkeypatch.setattr(kind, "toArrow", lambda df, run=kind.toArrow: brought.append((t := run(df)).num_rows) or t)
+    with limited(edges=12):
+        got = solve.solve(rows_of(spark, ridge, right), edges_of(spark, pairs), 2.0).orderBy("node").toPandas()
+    want = dense.laplacian_solve(40, pairs[:, 0], pairs[:, 1], ridge, 2.0, right)
+    # the nodes and the edges of the system that is held, once
+    assert len(brought) == 2 and max(brought) <= 12 and np.abs(got[["x", "y"]].to_numpy() - want).max() < 1e-9
